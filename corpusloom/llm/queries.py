@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality_gbdt, sentencepiece_table
+from corpusloom.llm import packing, quality_gbdt, sentencepiece_table, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbdt.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op8_quality)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits to every document."""
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.edited_counts(docs.withColumn("edits", token_counts.sample_edits()), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_simhash, op5_packing, op8_quality, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
