@@ -86,3 +86,24 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(k):
         h = mix(h * np.uint64(0x2545F4914F6CDD1D) + words[i : len(words) - k + 1 + i])
     return np.unique(h)
+
+
+def hinted(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A broadcast hint if ``df`` has at most ``most_rows`` rows (ids and numbers); otherwise ``df``, for a shuffled join. ``df`` should be cut."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the symmetric boolean matrix ``links``: fewer than its rows, whatever the number of links."""
+    left, out = links.any(1), []
+    while left.any():
+        root = int(left.argmax())
+        left[root] = False
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(links[at] & left)
+            left[new] = False
+            out += [(at, int(i)) for i in new]
+            todo += new.tolist()
+    return out

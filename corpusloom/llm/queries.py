@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, quality_gbdt, sentencepiece_table, simhash, token_counts
+from corpusloom.llm import embedding_dedup, jaccard_join, packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts, url_templates, warc_fixity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,21 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' records against a replica with a changed byte in every 97th page and every 211th record lost."""
+    pages = table(spark, sf_dir, "pages")
+    hit = F.pmod(F.col("page_id"), F.lit(97)) == 13
+    replica = pages.withColumn("html", F.when(hit, F.concat(F.lit("X"), F.substring("html", 2, 2_000_000_000))).otherwise(F.col("html")))
+    return warc_fixity.fixity_audit(pages, replica, F.pmod(F.col("page_id"), F.lit(211)) == 7)
+
+
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -26,15 +42,44 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbdt.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after three edits to every document."""
     docs = table(spark, sf_dir, "documents")
     return token_counts.edited_counts(docs.withColumn("edits", token_counts.sample_edits()), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op4_simhash, op5_packing, op8_quality, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc_fixity, op3_url_templates, op4_simhash, op5_packing, op6_pii, op7_jaccard_join, op8_quality, op9_embedding_dedup, op10_token_counts)}
+
+def _fixity_sql() -> str:
+    crlf = "chr(13) || chr(10)"
+
+    def layout(html: str) -> str:
+        head = f"'WARC/1.1' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'WARC-Date: {warc_fixity.DATE}' || {crlf} || 'WARC-Payload-Digest: sha256:' || sha256({html}) || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || CAST(strlen({html}) AS VARCHAR) || {crlf} || {crlf} || {html}"
+        return f"""SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length, sha256 FROM (
+            SELECT page_id, length, sha256, row_number() OVER (ORDER BY page_id NULLS FIRST, url, sha256) - 1 AS pos, (row_number() OVER (ORDER BY page_id NULLS FIRST, url, sha256) - 1) // 1024 AS file FROM (
+                SELECT page_id, coalesce(url, '') AS url, CAST(strlen({head}) + 4 AS BIGINT) AS length, sha256({head}) AS sha256 FROM pages))"""
+
+    body = "coalesce(html, '')"
+    changed = f"CASE WHEN page_id % 97 = 13 THEN 'X' || substring({body}, 2) ELSE {body} END"
+    return f"""SELECT a.page_id, a.file, a."offset", a.length, a.sha256, CASE WHEN b.sha256 IS NULL THEN 'missing' WHEN a.sha256 <> b.sha256 THEN 'altered' ELSE 'intact' END AS status
+        FROM ({layout(body)}) a LEFT JOIN (SELECT * FROM ({layout(changed)}) WHERE page_id % 211 <> 7) b ON a.file = b.file AND a."offset" = b."offset"
+    """
+
+
+ORACLE_SQL: dict[str, str] = {"op2_warc_fixity": _fixity_sql()}
