@@ -130,25 +130,25 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles int, node long")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by scanning the inverted lists of the elements in blocks."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of ``left`` with ``right``, by scanning the inverted lists of the elements in blocks."""
+    sets, n = [*left, *right], len(left)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[token] > 1  # the list of an element that one set alone has holds no pair
     owner, token = owner[shared], token[shared]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, len(right)), np.float32)
     if len(token):
         _, token = np.unique(token, return_inverse=True)
         order = np.argsort(token, kind="stable")
         owner, token = owner[order], token[order]
-        width = max(64, min(4096, 4_000_000 // n))
+        width = max(64, min(4096, 4_000_000 // len(sets)))
         for low in range(0, int(token[-1]) + 1, width):
             a, b = np.searchsorted(token, (low, low + width))
-            lists = np.zeros((n, width), np.float32)
+            lists = np.zeros((len(sets), width), np.float32)
             lists[owner[a:b], token[a:b] - low] = 1
-            out += lists @ lists.T
-    return out.astype(np.int64)
+            out += lists[:n] @ lists[n:].T
+    return out
 
 
 def tile_links(blocks: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -160,30 +160,35 @@ def tile_links(blocks: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
             out = []
             for rep, block, q, text in zip(b["rep"], b["block"], b["q"], b["text"]):
                 raw, mine = shingles(hashes.of(text), n).tobytes(), int(mix(np.array([rep], np.int64).view(np.uint64))[0]) % q
-                out += [(block, min(mine, j), max(mine, j), rep, raw) for j in range(q)]
+                out += [(block, min(mine, j), max(mine, j), mine > j, rep, raw) for j in range(q)]
                 if len(out) >= 256:
-                    yield pd.DataFrame(out, columns=["block", "i", "j", "rep", "raw"])
+                    yield pd.DataFrame(out, columns=["block", "i", "j", "second", "rep", "raw"])
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["block", "i", "j", "rep", "raw"])
+                yield pd.DataFrame(out, columns=["block", "i", "j", "second", "rep", "raw"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
+        pdf = pdf.sort_values(["second", "rep"], kind="stable")
         sets = [np.frombuffer(x, np.uint64) for x in pdf["raw"]]
-        sizes = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        ok = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
+        sizes, alone = np.array([len(s) for s in sets], np.float32), pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        n = len(sets) if alone else int((~pdf["second"]).sum())
+        left, right = slice(0, n), slice(0 if alone else n, len(sets))
+        both = overlaps(sets[left], sets[right])
+        ok = np.zeros((len(sets), len(sets)), bool)
+        # exact: all numbers are far below 2 ** 53
+        ok[left, right] = den * both.astype(float) >= num * (sizes[left, None].astype(float) + sizes[None, right] - both)
+        ok |= ok.T
         np.fill_diagonal(ok, False)
         rep, edges = pdf["rep"].to_numpy(), forest(ok)
         return pd.DataFrame({"src": [rep[a] for a, _ in edges], "dst": [rep[b] for _, b in edges]}, dtype="int64")
 
     # without a doc_id that is unique, any of its rows would do for another: the set decides
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(hinted(blocks), "rep")
-    dealt = texts.mapInPandas(deal, "block long, i int, j int, rep long, raw binary")
+    dealt = texts.mapInPandas(deal, "block long, i int, j int, second boolean, rep long, raw binary")
     return dealt.groupBy("block", "i", "j").applyInPandas(link, "src long, dst long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, most_rows: int = 1024, most_shingles: int = 150_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, most_rows: int = 1024, most_shingles: int = 600_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document: sets of ``n``-word shingles, linked where num / den of the union is shared.
 
     Words are A-Z lower-cased runs without ASCII white space; with fewer than ``n`` words the whole sequence is one shingle.
