@@ -2,7 +2,7 @@
 
 Light sets (small) enumerate all their subsets of the fixed sizes that a similar partner must share and meet in equal
 subsets. Heavy sets (large) cut the hash space into more ranges than a similar partner can differ in and meet in an
-equal non-empty range. The boundary is the size up to which enumeration costs less than the ranges. Sets that meet,
+equal range; shingles that many documents share are left out of it. The boundary is the size up to which enumeration costs less than the ranges. Sets that meet,
 directly or by others, form a block; inside blocks the inverted lists of all shingles are scanned, in tiles of bounded
 size, and exact overlaps decide. A tile returns a spanning forest of its links, never all pairs.
 """
@@ -33,9 +33,14 @@ def subset_sizes(r: int, num: int, den: int) -> tuple[int, ...]:
     return tuple(sorted({c for s in range(-(-num * r // den), den * r // num + 1) if (c := needed(r, s, num, den)) <= min(r, s)}))
 
 
+def least_tokens(num: int, den: int) -> int:
+    """Ranges with fewer elements are void: they'd be equal by chance too often. Below 0.84 there is no room for more than 1."""
+    return 2 if 100 * num >= 84 * den else 1
+
+
 @lru_cache(maxsize=100_000)
 def ranges(bucket: int, num: int, den: int) -> tuple[int, int, int, np.ndarray]:
-    """Least and greatest size of a bucket, how many empty ranges a set may have, and the inner bounds of its ranges.
+    """Least and greatest size of a bucket, how many void ranges a set may have, and the inner bounds of its ranges.
 
     Similar sets lie in the same or adjacent buckets. Two of them, none larger than the bucket's greatest size, differ in at most k
     elements, so of k + 1 + spare ranges 1 + spare agree at least.
@@ -45,7 +50,7 @@ def ranges(bucket: int, num: int, den: int) -> tuple[int, int, int, np.ndarray]:
         low = den * low // num + 1
     high = den * low // num
     k = 2 * high * (den - num) // (num + den)
-    spare = 2 + (k + 1) // 48
+    spare = 2 + (k + 1) * (25 if least_tokens(num, den) > 1 else 18) // 100
     n = k + 1 + spare
     return low, high, spare, np.array([(i << 64) // n for i in range(1, n)], np.uint64)
 
@@ -71,35 +76,54 @@ def boundary(num: int, den: int) -> int:
         r += 1
 
 
-def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes in which any two similar sets have one in common. ``h``: sorted distinct hashes."""
+def signatures(h: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Hashes in which any two similar sets have one in common. ``h``: sorted distinct hashes; ``common``: sorted hashes of frequent elements.
+
+    Leaving out the same elements everywhere never adds differences, so ranges are compared without the frequent ones. Of two similar
+    sets of which one has at most ``spare`` void ranges, one range that isn't void agrees. Sets with more, made of frequent elements for
+    the most part, give their whole ranges as well, and if too many of these are void, the void ones too.
+    """
     r, light = len(h), boundary(num, den)
-    mixed = mix(h)
     out = []
     if r <= light:
+        mixed = mix(h)
         total = mixed.sum(dtype=np.uint64)
         for c in subset_sizes(r, num, den):
             gone = list(combinations(range(r), r - c))
             left = np.full(len(gone), total) - (mixed[np.array(gone, np.int64)].sum(1, dtype=np.uint64) if r > c else np.zeros(1, np.uint64))
             out.append(mix(left + np.uint64(c)))
     if den * r // num > light:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-        b = bucket_of(r, num, den)
+        least, b = least_tokens(num, den), bucket_of(r, num, den)
+        rare = h
+        if common is not None and len(common):
+            rare = h[common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h]
         for i in (b, b + 1):
-            _, _, spare, bounds = ranges(i, num, den)
-            at = np.concatenate([[0], np.searchsorted(h, bounds), [r]])
-            n = at[1:] - at[:-1]
-            sig = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(len(n), dtype=np.uint64) + np.uint64((i + 1) << 32)))
-            out.append(sig if (n == 0).sum() > spare else sig[n > 0])
+            spare = ranges(i, num, den)[2]
+            sig, n = _of_ranges(rare, i, num, den, 0)
+            void = n < least
+            out.append(sig[~void])
+            if void.sum() > spare:
+                sig, n = _of_ranges(h, i, num, den, 1)
+                void = n < least
+                out.append(sig if void.sum() > spare else sig[~void])
     return np.concatenate(out)
 
 
+def _of_ranges(h: np.ndarray, bucket: int, num: int, den: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    bounds = ranges(bucket, num, den)[3]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
+    at = np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
+    n = at[1:] - at[:-1]
+    return mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(len(n), dtype=np.uint64) + np.uint64((2 * bucket + kind + 2) << 32))), n
+
+
 def set_key(h: np.ndarray) -> int:
     return int(mix(np.array([mix(h).sum(dtype=np.uint64) + np.uint64(len(h))])).view(np.int64)[0])
 
 
-def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def signature_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
     """(signature, node), a node for each distinct set; copies within a partition give their rows once."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHashes(), set()
@@ -112,22 +136,49 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         seen.clear()
                     seen.add(k)
                     keys.append(k)
-                    sigs.append(signatures(h, num, den).view(np.int64))
+                    sigs.append(signatures(h, num, den, sent.value).view(np.int64))
             yield pd.DataFrame({"node": np.array(keys, np.int64), "signatures": sigs})
 
     return docs.where("doc_id is not null").select("text").mapInPandas(run, "node long, signatures array<long>").select("node", F.explode("signatures").alias("signature"))
 
 
-def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node); node is null for an empty set."""
+def profile(docs: DataFrame, n: int, most: int = 4_000_000) -> DataFrame:
+    """One pass over all texts: (doc_id, n_shingles, node) of every document, node null for an empty set, and (token, n) of shingles
+    that ``n`` > 1 different sets of a run of about ``most`` shingles hold (lossy counting)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, seen, kept, size = WordHashes(), set(), [], 0
+
+        def counted() -> pd.DataFrame:
+            token, times = np.unique(np.concatenate(kept), return_counts=True)
+            token, times = token[times > 1], times[times > 1]
+            none = pd.array([None] * len(token), "Int64")
+            return pd.DataFrame({"doc_id": none, "n_shingles": none.astype("Int32"), "node": none, "token": token.view(np.int64), "n": times})
+
         for b in batches:
             sets = [shingles(hashes.of(text), n) for text in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(h) for h in sets], "node": pd.array([set_key(h) if len(h) else None for h in sets], "Int64")})
+            keys = [set_key(h) if len(h) else None for h in sets]
+            none = pd.array([None] * len(sets), "Int64")
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(h) for h in sets], "node": pd.array(keys, "Int64"), "token": none, "n": none})
+            for k, h in zip(keys, sets):
+                if k is not None and k not in seen:
+                    seen.add(k)
+                    kept.append(h)
+                    size += len(h)
+                if size > most:
+                    yield counted()
+                    kept, size = [], 0
+                    seen.clear()
+        if kept:
+            yield counted()
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles int, node long, token long, n long")
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles int, node long")
+def common_shingles(counts: DataFrame, at_least: int = 16, most: int = 1_000_000) -> np.ndarray:
+    """The most frequent shingles, sorted, at most ``most`` (8 bytes each). Which ones they are changes the work, never the result."""
+    top = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least).orderBy(F.desc("n"), "token").limit(most)
+    return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -195,11 +246,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Null texts and texts without words have an empty set and are linked with nothing; so are rows with a null doc_id.
     Equal texts are linked. component_id is the smallest doc_id reachable. An empty table gives an empty result.
     """
-    signed = signature_rows(docs, n, num, den)
+    seen = cut(profile(docs, n))
+    named = seen.where("token is null").select("doc_id", "n_shingles", "node")
+    signed = signature_rows(docs, n, num, den, common_shingles(seen.where("token is not null")))
     first = F.first("node").over(Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = signed.select("node", first.alias("first")).where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
     block = cut(components(met))
-    named = cut(nodes(docs, n))
     reps = cut(named.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")))
     placed = cut(reps.join(hinted(block), "node").select("rep", "size", F.col("component").alias("block")))
     chunks = placed.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_rows), F.ceil(F.sum("size") / most_shingles)).cast("int").alias("q"))
