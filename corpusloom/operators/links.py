@@ -26,7 +26,7 @@ def tag_links(page: Column, tags: dict[str, str] | None = None, nofollow: bool =
 
 
 def _links_of(body: Column, tag: str, attr: str, nofollow: bool) -> Column:
-    found = F.regexp_extract_all(body, F.lit(rf"(?is)<{tag}\s[^>]*>" + (r"(?:.*?</a>)?" if tag == "a" else "")), F.lit(0))
+    found = F.regexp_extract_all(body, F.lit(rf"(?is)<{tag}\s[^>]*>" + (r"(?:(?:(?!<a\s).)*?</a>)?" if tag == "a" else "")), F.lit(0))
 
     def link(t: Column) -> Column:
         start = F.regexp_extract(t, r"(?s)^<[^>]*>", 0)
