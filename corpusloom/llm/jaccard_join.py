@@ -137,7 +137,7 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarr
                     seen.add(k)
                     keys.append(k)
                     sigs.append(signatures(h, num, den, sent.value).view(np.int64))
-            yield pd.DataFrame({"node": np.array(keys, np.int64), "signatures": sigs})
+            yield pd.DataFrame({"node": np.array(keys, np.int64), "signatures": pd.Series(sigs, dtype=object)})
 
     return docs.where("doc_id is not null").select("text").mapInPandas(run, "node long, signatures array<long>").select("node", F.explode("signatures").alias("signature"))
 
@@ -260,7 +260,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     known = reps.join(linked, reps["rep"] == linked["node"], "left").where("component is not null or copies > 1")
     known = cut(known.select(reps["node"], F.coalesce("component", "rep").alias("component_id")))
     out = named.join(known, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [statistics(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": pd.Series([statistics(t) for t in b["text"]], index=b.index, dtype=object)})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, y double, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")

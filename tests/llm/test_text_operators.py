@@ -1,0 +1,279 @@
+"""Operators that work on one document at a time, against the definitions."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from corpusloom.llm import packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts  # noqa: E402
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_JSON, BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+ODD = [None, "", " ", "  a  b ", "x" * 3000, "ab " * 5000, "é\x00😀\u2028\n\t y", "<s> <0x41> ▁y </s>", "a@b.co 1.2.3.4 +1 (555) 555-0100 4111 1111 1111 1111", "same text", "same text"]
+
+
+def odd_docs(spark, columns="text"):
+    """All the odd texts, a null id, and columns with names that operators use inside."""
+    rows = [(i, t, "block", 1.0, "x", 7) for i, t in enumerate(ODD)] + [(None, "no id", "b", None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, block string, score double, node string, n long")
+
+
+def random_texts(alphabet, n, most, seed=1):
+    r = random.Random(seed)
+    return ["".join(r.choice(alphabet) for _ in range(r.randint(0, most))) for _ in range(n)]
+
+
+# ---- encoding ----
+def test_encoding_equals_the_library(spark):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+    texts = [*ODD, *random_texts("abcdeéß ▁.,\n1😀日", 200, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sentencepiece_table.encoding_digests(docs, MODEL).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "")
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+        assert tuple(got[i])[1:] == want, repr(t)
+    columns = sentencepiece_table.decode(sentencepiece_table.encode(docs, MODEL), MODEL)
+    for r in columns.where("doc_id < 20").collect():
+        assert list(r["ids"]) == sp.encode(r["text"] or "") and r["decoded"] == sp.decode(list(r["ids"]))
+
+
+def test_last_tokens_are_those_of_every_prefix():
+    t = sentencepiece_table.table(MODEL)
+    text = "▁thereafter▁▁x."
+    last = t.last_tokens(text)
+    for i in range(1, len(text) + 1):
+        assert last[i - 1] == t.merge(text[:i])[-1]
+
+
+def test_encoding_of_odd_tables(spark):
+    assert sentencepiece_table.encoding_digests(odd_docs(spark), MODEL).count() == len(ODD) + 1
+    assert sentencepiece_table.encoding_digests(odd_docs(spark).limit(0), MODEL).count() == 0
+
+
+# ---- fingerprints ----
+def test_fingerprints_follow_the_order(spark):
+    texts = {i: t for i, t in enumerate(ODD + random_texts("ab cde", 40, 300))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in simhash.fingerprint_report(docs).collect()}
+    order = sorted(texts, reverse=True)
+    assert len(got) == len(texts)
+    number = {i: int(r["fingerprint"], 16) for i, r in got.items()}
+    for i, j in zip(order, order[1:] + order[:1]):
+        a, b = texts[i] or "", texts[j] or ""
+        k = len(a) // 3
+        edited = a[: len(a) - k] + b[:k]
+        assert got[i]["n_chars"] == len(a) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i]["near_next"] == pytest.approx(1 - (number[i] ^ number[j]).bit_count() / 128)
+        assert 0 <= got[i]["near_edited"] <= 1
+    assert number[9] == number[10], "equal texts"
+    for i, r in got.items():
+        apart = [(number[i] ^ x).bit_count() for x in number.values()]
+        assert r["n_near"] == sum(0 < d <= 3 for d in apart) and r["n_same"] == apart.count(0) - 1
+
+
+def test_search_within_a_radius_is_exact(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(128) for _ in range(6)]
+    prints = list({b ^ sum(1 << k for k in r.sample(range(128), r.randint(0, 5))) for b in base for _ in range(60)})
+    table = spark.createDataFrame([(f"{p:032x}", 1 + i % 3) for i, p in enumerate(prints)], "fingerprint string, n long")
+    for radius in (2, 3):
+        got = {x["fingerprint"]: x["n_near"] for x in simhash.within_radius(table, radius, tile=16).collect()}
+        for p in prints:
+            assert got.get(f"{p:032x}", 0) == sum(1 + i % 3 for i, q in enumerate(prints) if 0 < (p ^ q).bit_count() <= radius)
+
+
+def test_fingerprints_of_odd_tables(spark):
+    assert simhash.fingerprint_report(odd_docs(spark)).count() == len(ODD) + 1
+    assert simhash.fingerprint_report(odd_docs(spark).limit(0)).count() == 0
+    one = simhash.fingerprint_report(odd_docs(spark).where("doc_id = 9")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1
+
+
+def test_an_edit_stays_nearer_than_another_text():
+    h = simhash.WordHashes()
+    texts = [t for t in random_texts("abcdefgh  ", 100, 900, 5) if len(t) > 60]
+    for a, b in zip(texts, texts[1:]):
+        fa = simhash.fingerprint(a, h)
+        assert simhash.likeness(fa, simhash.fingerprint(simhash.edited(a, b), h)) > simhash.likeness(fa, simhash.fingerprint(b, h))
+
+
+# ---- packing ----
+def unpacked(docs, rows, capacity=2048):
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(BYTE_JSON)
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t in docs}
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d, parts in by_doc.items():
+        assert [s for s, _ in sorted(parts)] == np.cumsum([0, *[n for _, n in sorted(parts)]])[:-1].tolist() and sum(n for _, n in parts) == len(ids[d])
+    for parts in by_seq.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0, *[n for _, n in sorted(parts)]])[:-1].tolist() and sum(n for _, n in parts) <= capacity
+    assert set(by_doc) == set(ids)
+    return len(by_seq), sum(len(x) for x in ids.values())
+
+
+def test_packing_is_whole_and_tight(spark):
+    texts = [t for t in ODD] + random_texts("abcdefg hij  ", 150, 4000, 3)
+    docs = list(enumerate(texts))
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), BYTE_JSON).collect()
+    n, tokens = unpacked(docs, rows)
+    assert n <= 1.03 * tokens / 2048 + 2
+    assert packing.pack(odd_docs(spark).limit(0), BYTE_JSON).count() == 0
+    assert packing.pack(odd_docs(spark), BYTE_JSON).where("doc_id is null").count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cutting_stock_meets_demand_near_the_bound(seed):
+    r = np.random.default_rng(seed)
+    sizes, demand = np.unique(r.integers(1, 65, 800), return_counts=True)
+    found = packing.cutting_stock(sizes, demand, 64)
+    assert (sum(n * p for n, p in found) == demand).all() and all((p * sizes).sum() <= 64 for _, p in found)
+    assert sum(n for n, _ in found) <= 1.03 * (sizes * demand).sum() / 64 + 1
+    assert packing.cutting_stock(np.array([], int), np.array([], int), 64) == []
+
+
+def test_inverse_and_knapsack():
+    a = np.random.default_rng(1).random((20, 20))
+    assert np.allclose(packing.inverted(a) @ a, np.eye(20))
+    worth, p = packing.best_pattern(np.array([3, 5]), np.array([3.0, 5.5]), 11)
+    assert worth == pytest.approx(11.5) and p.tolist() == [2, 1]
+
+
+# ---- token counts ----
+def test_edited_counts_equal_counting_again(spark):
+    counter = token_counts.counter(BYTE_RANKS)
+    r = random.Random(4)
+    alphabet = "ab  \n\n'st1é. ,"
+    for text in random_texts(alphabet, 300, 50, 7):
+        doc, plain = token_counts.Document(text, counter), text
+        for _ in range(4):
+            at, delete, insert = r.randint(0, len(plain) + 2), r.choice([0, 0, 1, 3, 12]), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 4])))
+            a = min(at, len(plain))
+            plain = plain[:a] + insert + plain[a + delete :]
+            doc.edit(at, delete, insert)
+            assert doc.text == plain and doc.n_chars == len(plain) and doc.n_tokens == len(counter.encoder.encode_ordinary(plain))
+
+
+def test_edits_touch_little_of_a_long_text(spark):
+    doc = token_counts.Document("word " * 20000, token_counts.counter(BYTE_RANKS))
+    doc.edit(50000, 3, "new")
+    assert doc.encoded < 12
+
+
+def test_token_counts_of_odd_tables(spark):
+    docs = odd_docs(spark).withColumn("edits", token_counts.sample_edits())
+    rows = token_counts.edited_counts(docs, BYTE_RANKS).collect()
+    assert len(rows) == len(ODD) + 1
+    encoder = token_counts.counter(BYTE_RANKS).encoder
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert r["n_tokens"] == len(encoder.encode_ordinary(ODD[r["doc_id"]] or ""))
+    assert token_counts.edited_counts(docs.limit(0), BYTE_RANKS).count() == 0
+    nothing = docs.withColumn("edits", F.when(F.col("doc_id") == 3, F.array(F.lit(None).cast("struct<at:long,delete:long,insert:string>"))))
+    assert all(r["n_tokens"] == r["n_tokens_edited"] for r in token_counts.edited_counts(nothing, BYTE_RANKS).collect())
+
+
+# ---- personal data ----
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+".replace(r"\x20-", " -"), "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum((v := int(c) * (1 + k % 2)) - 9 * (v > 9) for k, c in enumerate(d[::-1])) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(CONTRACT.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(d) <= 19 and luhn(d or "1"), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_contract(spark):
+    texts = [t or "" for t in ODD] + random_texts("a1.@-+ ", 400, 60, 11) + random_texts("0123456789-  .+()", 400, 60, 12) + random_texts("ab.@_%-9é😀 ", 400, 50, 13)
+    texts += ["a@b.c_d@e.f x.y@z", "111.222.333.4 001.2.3.255 1.2.3.256 1.2.3.4.5.6.7.8", "4111-1111-1111-1111 41111111111111112", "+1 (2) 3456789. +49", "1" * 5000, "a" * 5000 + "@", "a@" + "b." * 3000 + "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        joined = ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), (t, got[i]["spans"], joined)
+        assert [got[i][f"n_{k}"] for k in CONTRACT] == [sum(s[3] == k for s in want) for k in CONTRACT]
+        assert set(filter(None, joined.split(","))) <= set(got[i]["spans"].split(","))
+
+
+def test_the_method_adds_spans_by_its_labelers(spark):
+    texts = ["Please call me at 555-234-5678 today. Contact Mr. John Smith, phone +1 555 234 5678, card 4111111111111111."] * 5 + ["version 1.2.3.4 of part 123-45-6789x"] * 3
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kinds = {s.split(":")[0] for s in rows[0]["spans"].split(",")}
+    assert {"phone", "card", "localphone", "name"} <= kinds
+    post = pii.reliabilities([(4, 1, 0, 1, 1, 50.0), (4, -1, 0, -1, 1, 50.0)])
+    assert post[0] > 0.9 > 0.1 > post[1]
+    assert pii.reliabilities([]) == []
+
+
+def test_redaction_and_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "é mail a@b.co, 1.2.3.4!", 23, "x"), (2, None, None, "y"), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, found string")
+    got = {r["doc_id"]: r for r in pii.redact(docs).collect()}
+    assert got[1]["text"] == "é mail [EMAIL], [IP]!" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] is None and got[3]["text"] == "clean" and pii.redact(docs).columns == docs.columns
+    assert pii.personal_data(odd_docs(spark)).count() == len(ODD) + 1 and pii.redact(odd_docs(spark)).count() == len(ODD) + 1
+    assert pii.personal_data(odd_docs(spark).limit(0)).count() == 0
+
+
+# ---- quality ----
+def test_quality_learns_on_other_folds_only(spark):
+    good = random_texts("abcdef    ", 300, 900, 21)
+    bad = [" ".join(w + random.Random(i).choice(["###", "%%%", "!!"]) for w in t.split()) for i, t in enumerate(random_texts("abcdef    ", 300, 900, 22))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    rows = quality_gbdt.quality_scores(docs, labels).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert sum(r["predicted"] == int(r["doc_id"] < 300) for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    flipped = labels.withColumn("quality", F.when(quality_gbdt.fold() == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r["doc_id"]: r["score"] for r in quality_gbdt.quality_scores(docs, flipped).collect()}
+    assert all(again[r["doc_id"]] == r["score"] for r in rows), "labels of the held-out fold change nothing"
+
+
+def test_quality_of_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality_gbdt.quality_scores(odd_docs(spark), labels).collect()
+    assert len(rows) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] in (9, 10)}) == 1
+    assert quality_gbdt.quality_scores(odd_docs(spark).limit(0), labels.limit(0)).count() == 0
+
+
+def test_flat_trees_equal_walking_them():
+    r = np.random.default_rng(3)
+    x, y = r.random((500, 22)), (r.random(500) > 0.5).astype(float)
+    t = quality_gbdt.fit(x, y, trees=5, depth=3)
+
+    def walk(row):
+        z = t.base
+        for f, c, v in zip(t.feature, t.threshold, t.value):
+            node = 0
+            for _ in range(t.depth):
+                node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+            z += v[node - 7]
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(t.score(x), [walk(row) for row in x])
