@@ -7,6 +7,7 @@ are dropped before anything is shuffled.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,6 +147,21 @@ def total_hits(index: Index, terms: DataFrame | list[str]) -> DataFrame:
     return field_scores(index, terms).agg(F.count_distinct("doc_id").alias("total"))
 
 
+def response(docs: DataFrame, query: str | None, boosts: dict[str, float], size: int = 50, key: str = "doc_id") -> dict:
+    """What a search service answers: took (ms), total and at most ``size`` hits; a query of None matches everything."""
+    began = time.monotonic()
+    if query is None:
+        hits, total = match_all(docs, size, key).collect(), docs.count()
+    else:
+        require_query(query)
+        index = index_of(docs, list(boosts), key=key)
+        found = fuzzy_terms(index.vocabulary(), query_tokens(query)).cache()
+        hits = search(docs, query, boosts, size, index=index, key=key).collect()
+        total = total_hits(index, found).first()["total"]
+        found.unpersist()
+    return {"took": int(1000 * (time.monotonic() - began)), "total": total, "hits": [h.asDict(True) for h in hits]}
+
+
 def index_stats(docs: DataFrame, name: str, texts: list[str]) -> DataFrame:
     size = sum((F.coalesce(F.length(t), F.lit(0)) for t in texts), F.lit(0))
     return docs.groupBy().agg(F.lit(name).alias("index"), F.count(F.lit(1)).alias("docs_count"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("store_size"))

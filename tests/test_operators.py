@@ -110,6 +110,12 @@ def test_search_with_typos(spark):
     assert {h["doc_id"] for h in search.uri_search(docs(spark), "home", list(BOOSTS)).collect()} == {1, 2}
 
 
+def test_response(spark):
+    r = search.response(docs(spark), "fox", BOOSTS, 2)
+    assert r["total"] == 3 and len(r["hits"]) == 2 and r["took"] >= 0 and r["hits"][0]["doc_id"] == 1
+    assert search.response(docs(spark), None, BOOSTS, 2)["total"] == 4
+
+
 def test_written_index_gives_the_same(spark, tmp_path):
     search.write_index(docs(spark), list(BOOSTS), str(tmp_path / "i"))
     index = search.Index.read(spark, str(tmp_path / "i"))
