@@ -15,7 +15,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, hinted
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("localphone", "natid", "name")
@@ -183,9 +183,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced together, under the first one's kind.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    plain = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("_key", F.struct(F.xxhash64(plain).alias("a"), F.hash(plain).alias("b"), F.length(plain).alias("c")))
     spans = classified(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.array_sort(F.concat("base", "added")).alias("_spans")).where("size(_spans) > 0")
-    spans = spans.groupBy("_key").agg(F.min("_spans").alias("_spans"))
+    spans = hinted(cut(spans.groupBy("_key").agg(F.min("_spans").alias("_spans"))), 200_000)
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     changed = f"""aggregate(_spans, named_struct('at', 0, 'out', ''),
         (a, s) -> if(s.start >= a.at,
