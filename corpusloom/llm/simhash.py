@@ -153,6 +153,6 @@ def within_radius(prints: DataFrame, radius: int = 3, tile: int = 512) -> DataFr
 def fingerprint_report(docs: DataFrame, radius: int = 3) -> DataFrame:
     """fingerprints(), n_same (other documents with the same fingerprint) and n_near (those with another one within ``radius`` bits)."""
     found = cut(fingerprints(docs))
-    prints = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    prints = cut(found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")))
     near = prints.join(within_radius(prints, radius), "fingerprint", "left").select("fingerprint", (F.col("n") - 1).alias("n_same"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    return found.join(near, "fingerprint").select(*found.columns, "n_same", "n_near")
+    return found.join(cut(near), "fingerprint").select(*found.columns, "n_same", "n_near")
