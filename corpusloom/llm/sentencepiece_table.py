@@ -23,7 +23,7 @@ SPACE = "▁"
 class PrefixTable:
     """Encoder and decoder for one model file; text units are remembered up to ``most_units``."""
 
-    def __init__(self, model_file: str, most_units: int = 250_000):
+    def __init__(self, model_file: str, most_units: int = 800_000):
         import ahocorasick
         import sentencepiece
 
