@@ -82,4 +82,54 @@ def _fixity_sql() -> str:
     """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_warc_fixity": _fixity_sql()}
+def _components_sql(nodes: str, links: str) -> str:
+    """CTEs near, reach and comp (node, component) of the CTEs ``nodes`` (node) and ``links`` (a, b, both ways)."""
+    return f"reach AS (SELECT node, node AS other FROM {nodes} UNION SELECT r.node, l.b AS other FROM reach r JOIN {links} l ON r.other = l.a), comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"
+
+
+JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{url_templates.UPPER}', '{url_templates.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS sh FROM w),
+    e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    nodes AS (SELECT doc_id AS node FROM documents), {_components_sql("nodes", "links")}
+    SELECT s.doc_id, CAST(len(sh) AS INTEGER) AS n_shingles, component AS component_id FROM s JOIN comp ON s.doc_id = comp.node"""
+
+EMBEDDING_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+    nodes AS (SELECT vec_id AS node FROM embeddings), {_components_sql("nodes", "links")}
+    SELECT node AS vec_id, (SELECT count(*) FROM links WHERE a = node) AS n_links, component AS component_id, node = component AS kept FROM comp"""
+
+
+def _templates_sql() -> str:
+    rule, verdict = "NULL", "NULL"
+    for what, text in sorted(RULES, key=lambda r: (len(r[1]), r[1])):
+        h, slash, p = text.partition("/")
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash}{p}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
+    ext = "lower(regexp_extract(s, '(\\.[A-Za-z][A-Za-z0-9]{0,4})$', 1))"
+    stem = "regexp_replace(s, '\\.[A-Za-z][A-Za-z0-9]{0,4}$', '')"
+    kind = f"""CASE WHEN regexp_matches({stem}, '^[0-9]{{4}}-[0-9]{{1,2}}(-[0-9]{{1,2}})?$') THEN '<date>' || {ext} WHEN regexp_matches({stem}, '^[0-9]+$') THEN '<n>' || {ext}
+        WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{16,}}$') THEN '<hex>' || {ext} WHEN regexp_matches({stem}, '[0-9]') AND length({stem}) > 3 OR length({stem}) > 40 THEN '<id>' || {ext} ELSE s END"""
+    return f"""WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_templates.UPPER}', '{url_templates.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    u AS (SELECT page_id, host, path, CAST({rule} AS VARCHAR) AS rule, CAST({verdict} AS VARCHAR) AS what, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {kind}) AS shape FROM p),
+    k AS (SELECT host, array_to_string(shape, '/') AS key, shape, count(*) AS n, count(CASE WHEN what = 'allow' THEN 1 END) AS good, count(CASE WHEN what = 'block' THEN 1 END) AS bad FROM u GROUP BY host, shape),
+    t AS (SELECT host, key, n, good, bad, pos, shape[pos] AS token, array_to_string(shape[1:pos - 1], '/') AS parent, array_to_string(shape[pos + 1:len(shape)], '/') AS tail FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS pos FROM k)),
+    tails AS (SELECT host, parent, token, tail, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM t GROUP BY host, parent, token, tail),
+    whole AS (SELECT host, parent, token, sum(n) AS total, sum(good) AS good, sum(bad) AS bad FROM tails GROUP BY host, parent, token),
+    kids AS (SELECT host, parent, count(*) AS kids, sum(total) AS among FROM whole GROUP BY host, parent),
+    prof AS (SELECT host, parent, token, array_to_string(list_sort(list(tail || '=' || CAST(tenths AS VARCHAR))), ';') AS profile FROM (SELECT a.host, a.parent, a.token, a.tail, round(10.0 * a.n / w.total) AS tenths
+        FROM tails a JOIN whole w ON a.host = w.host AND a.parent = w.parent AND a.token = w.token) WHERE tenths > 0 GROUP BY host, parent, token),
+    named AS (SELECT w.host, w.parent, w.token, CASE WHEN starts_with(w.token, '<') THEN w.token WHEN kids > 24 AND total < 0.05 * among THEN '*' END AS seg, coalesce(profile, '') AS profile, round(5 * (good + 1.0) / (good + bad + 2.0)) AS fifth
+        FROM whole w JOIN kids c ON w.host = c.host AND w.parent = c.parent LEFT JOIN prof f ON w.host = f.host AND w.parent = f.parent AND w.token = f.token),
+    grp AS (SELECT host, parent, profile, fifth, list_sort(list(token)) AS toks FROM named WHERE seg IS NULL GROUP BY host, parent, profile, fifth),
+    segs AS (SELECT host, parent, token, seg FROM named WHERE seg IS NOT NULL UNION ALL SELECT host, parent, unnest(toks) AS token, CASE WHEN len(toks) > 1 THEN '{{' || array_to_string(toks, '|') || '}}' ELSE toks[1] END AS seg FROM grp),
+    tpl AS (SELECT k.host, k.key, k.good, k.bad, '/' || coalesce(template, '') AS template FROM k LEFT JOIN (SELECT host, key, string_agg(seg, '/' ORDER BY pos) AS template FROM t JOIN segs USING (host, parent, token) GROUP BY host, key) x ON k.host = x.host AND k.key = x.key),
+    rated AS (SELECT host, template, (sum(good) + 1.0) / (sum(good) + sum(bad) + 2.0) AS purity FROM tpl GROUP BY host, template)
+    SELECT page_id, u.host, path, rule, coalesce(what, CASE WHEN purity < 0.3 THEN 'block' ELSE 'allow' END) AS verdict, tpl.template, CAST(purity AS DOUBLE) AS purity
+    FROM u JOIN tpl ON u.host = tpl.host AND array_to_string(u.shape, '/') = tpl.key JOIN rated ON tpl.host = rated.host AND tpl.template = rated.template"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_warc_fixity": _fixity_sql(), "op3_url_templates": _templates_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
