@@ -6,17 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import jaccard_join, packing, pii, quality_gbdt
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import bounded_batches, cut
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality. It learns from the labels of the documents that are there."""
+    bounded_batches(spark)
     trees = quality_gbdt.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_gbdt.score(docs, trees).where("predicted = 1").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more, directly or by others."""
+    bounded_batches(spark)
     return jaccard_join.deduplicate(docs, n=5, num=80, den=100)
 
 
@@ -27,6 +29,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most about ``size`` for the session, so that a worker holds few of the long documents at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", None):  # the default; a setting of the user's stays
+        spark.conf.set(key, size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps depend on files every executor can see."""
     spark = df.sparkSession

@@ -142,7 +142,7 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarr
     return docs.where("doc_id is not null").select("text").mapInPandas(run, "node long, signatures array<long>").select("node", F.explode("signatures").alias("signature"))
 
 
-def profile(docs: DataFrame, n: int, most: int = 4_000_000) -> DataFrame:
+def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
     """One pass over all texts: (doc_id, n_shingles, node) of every document, node null for an empty set, and (token, n) of shingles
     that ``n`` > 1 different sets of a run of about ``most`` shingles hold (lossy counting)."""
 
