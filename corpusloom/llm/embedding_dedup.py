@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by cosine, compared in tiles whose dimensions are ordered by PCA.
 
 All vectors are normalised and rotated onto the principal axes, which keeps cosines. Linked vectors are close on the
-first axes, so only equal and adjacent cells of a grid on them are compared, chunk by chunk. A tile adds up products of
+first axes, so only equal and adjacent cells of a grid on them (by default on the first alone) are compared, chunk by chunk. A tile adds up products of
 leading dimensions, bounds the rest by the norms of the remaining ones, and drops the rows that cannot reach the
 threshold any more. It returns sums and a spanning forest of its links, never all pairs.
 """
@@ -71,8 +71,10 @@ def fit_axes(vectors: DataFrame, width: int) -> np.ndarray:
     return principal_axes((moment + moment.T) / 2)
 
 
-def tile_products(a: np.ndarray, b: np.ndarray, at_least: float) -> np.ndarray:
+def tile_products(a: np.ndarray, b: np.ndarray, at_least: float, rows_at_once: int = 512) -> np.ndarray:
     """Which pairs of rows have a product of at least ``at_least``: leading dimensions first, with the residual bounded."""
+    if len(a) > rows_at_once:
+        return np.concatenate([tile_products(a[i : i + rows_at_once], b, at_least, rows_at_once) for i in range(0, len(a), rows_at_once)])
     link = np.zeros((len(a), len(b)), bool)
     rest = lambda x: np.sqrt(np.maximum((x * x)[:, ::-1].cumsum(1)[:, ::-1], 0))
     ra, rb = rest(a), rest(b)
@@ -92,7 +94,7 @@ def tile_products(a: np.ndarray, b: np.ndarray, at_least: float) -> np.ndarray:
     return link
 
 
-def near_duplicates(vectors: DataFrame, at_least: float = 0.93, chunk: int = 1024, axes: int = 2) -> DataFrame:
+def near_duplicates(vectors: DataFrame, at_least: float = 0.93, chunk: int = 2048, axes: int = 1) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links join rows of equal label with a cosine of ``at_least`` or more.
 
     Null, zero and non-finite vectors, null labels and null ids link with nothing; vectors of different lengths don't either.

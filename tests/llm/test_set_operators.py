@@ -112,15 +112,15 @@ def test_components_and_forest(spark):
 
 
 # ---- embeddings ----
-@pytest.mark.parametrize("seed, chunk", [(1, 1024), (2, 7)])
-def test_embedding_links_equal_brute_force(spark, seed, chunk):
+@pytest.mark.parametrize("seed, chunk, axes", [(1, 2048, 1), (2, 7, 1), (3, 7, 2)])
+def test_embedding_links_equal_brute_force(spark, seed, chunk, axes):
     r = np.random.default_rng(seed)
     centres = r.normal(size=(6, 24))
     x = [centres[i % 6] + r.normal(size=24) * (0.02 + 0.3 * r.random()) for i in range(150)] + [centres[0], centres[0]]
     rows = [(i, [float(np.float32(c)) for c in v], i % 2) for i, v in enumerate(x)]
     rows += [(900, None, 0), (901, [0.0] * 24, 0), (902, [float("nan")] + [1.0] * 23, 0), (903, [1.0] * 23 + [None], 0), (904, rows[0][1], None), (905, [float("inf")] * 24, 1), (906, [1.0, 2.0], 0), (907, [1.0, 2.0], 0), (908, [], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n", F.lit(1))
-    got = {g["vec_id"]: tuple(g)[1:] for g in embedding_dedup.near_duplicates(table, chunk=chunk).collect()}
+    got = {g["vec_id"]: tuple(g)[1:] for g in embedding_dedup.near_duplicates(table, chunk=chunk, axes=axes).collect()}
     u = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)}
     label = {i: k for i, _, k in rows}
     ids = list(label)
