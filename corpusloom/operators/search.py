@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import auto_edits, edit_distance, fragments, highlight, query_tokens, tokens, within_edits
 from corpusloom.operators.filters import quick, require_query
+from corpusloom.operators.frontier import cut
 
 K1, B, BUCKETS = 1.2, 0.75, 64
 
@@ -74,12 +75,17 @@ class Index:
 
 
 def index_of(docs: DataFrame, fields: list[str], terms: list[str] | None = None, key: str = "doc_id") -> Index:
-    """An index made on the fly; with ``terms``, of these tokens only."""
+    """An index made on the fly; with ``terms``, of these tokens only.
+
+    The texts are read and split once, into a table that postings, totals and vocabulary come from; with ``terms`` it has a few
+    bytes for each document and field. For repeated queries use write_index().
+    """
     t = field_tokens(docs, fields, key).withColumn("length", F.size("tokens").cast("long"))
     if terms is not None:
         t = t.withColumn("tokens", F.filter("tokens", lambda x: x.isin(terms)))
+    t = cut(t)
     p = t.select("doc_id", "field", "length", F.explode("tokens").alias("token")).groupBy("doc_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    return Index(p, totals(docs, fields, key))
+    return Index(p, t.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")))
 
 
 def fuzzy_terms(vocabulary: DataFrame, terms: list[str], most: int = 50, exact: bool = True) -> DataFrame:
