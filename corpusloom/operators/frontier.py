@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,18 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
 from corpusloom.operators.filters import Filter, accepted
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from files in the folder that driver and executors share, without the lineage of the depths before."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="frontier-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from corpusloom.plans.lineage import cut
 
 
 def breadth_first(starts: DataFrame, edges: DataFrame, most_depth: int, accept: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import auto_edits, edit_distance, fragments, highlight, query_tokens, tokens, within_edits
 from corpusloom.operators.filters import quick, require_query
-from corpusloom.operators.frontier import cut
+from corpusloom.plans.lineage import cut
 
 K1, B, BUCKETS = 1.2, 0.75, 64
 
