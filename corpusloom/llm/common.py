@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from corpusloom.plans.lineage import cut
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
@@ -27,12 +21,22 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps depend on files every executor can see."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tidy(run: Callable) -> Callable:
+    """A partition function that gives freed memory back to the system when a partition ends: workers live on beside the next stage's."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -62,7 +66,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered up to a bound."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, components, cut, forest, hinted, mix, shingles
+from corpusloom.llm.common import WordHashes, components, cut, forest, hinted, mix, release, shingles, tidy
 
 
 def needed(r: int, s: int, num: int, den: int) -> int:
@@ -139,7 +139,7 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarr
                     sigs.append(signatures(h, num, den, sent.value).view(np.int64))
             yield pd.DataFrame({"node": np.array(keys, np.int64), "signatures": pd.Series(sigs, dtype=object)})
 
-    return docs.where("doc_id is not null").select("text").mapInPandas(run, "node long, signatures array<long>").select("node", F.explode("signatures").alias("signature"))
+    return docs.where("doc_id is not null").select("text").mapInPandas(tidy(run), "node long, signatures array<long>").select("node", F.explode("signatures").alias("signature"))
 
 
 def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
@@ -172,7 +172,7 @@ def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
         if kept:
             yield counted()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles int, node long, token long, n long")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n_shingles int, node long, token long, n long")
 
 
 def common_shingles(counts: DataFrame, at_least: int = 16, most: int = 1_000_000) -> np.ndarray:
@@ -231,11 +231,14 @@ def tile_links(blocks: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
         ok |= ok.T
         np.fill_diagonal(ok, False)
         rep, edges = pdf["rep"].to_numpy(), forest(ok)
+        if len(sets) > 200:
+            del both, ok
+            release()
         return pd.DataFrame({"src": [rep[a] for a, _ in edges], "dst": [rep[b] for _, b in edges]}, dtype="int64")
 
     # without a doc_id that is unique, any of its rows would do for another: the set decides
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(hinted(blocks), "rep")
-    dealt = texts.mapInPandas(deal, "block long, i int, j int, second boolean, rep long, raw binary")
+    dealt = texts.mapInPandas(tidy(deal), "block long, i int, j int, second boolean, rep long, raw binary")
     return dealt.groupBy("block", "i", "j").applyInPandas(link, "src long, dst long")
 
 

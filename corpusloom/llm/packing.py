@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, tidy
 
 
 @lru_cache(maxsize=2)
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity: int
                 out += [(doc_id, at, len(x := ids[at : at + capacity]), zlib.crc32(x.tobytes()), len(ids)) for at in range(0, len(ids), capacity)]
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import release, tidy
+
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "punct", "symbol", "space", "non_ascii", "distinct_words", "top_word",
     "repeats", "distinct_pairs", "lines", "line_length", "distinct_lines", "symbol_ends", "lone_symbols", "entropy", "shouts", "stops", "longest_word",
@@ -119,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": pd.Series([statistics(t) for t in b["text"]], index=b.index, dtype=object)})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, y double, x array<double>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(tidy(run), "doc_id long, y double, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["y"].to_numpy(float))
@@ -135,6 +137,7 @@ def score(docs: DataFrame, trees: Trees, at_least: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(trees.score(np.array([statistics(t) for t in b], float).reshape(len(b), len(FEATURES))))
+        release()
 
     return docs.withColumn("score", run("text")).withColumn("predicted", (F.col("score") >= at_least).cast("int"))
 
