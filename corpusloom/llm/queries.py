@@ -37,7 +37,7 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"), simhash.NEAR)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """SimHash document fingerprints and an exact search within a Hamming radius.
 
 Terms are the words and word triples of a text, and in one of few words its runs of four bytes; each votes with its weight for or against every bit. A search within
-radius r cuts the bits into r + 1 blocks: two fingerprints within r agree on one block at least, so one table per
-block, permuted to have that block first as its key, finds all of them.
+radius r cuts the bits into blocks and lets each differ in so many bits that two fingerprints within r keep to that in one
+block at least: one table per block, probed with every such change of the block's bits, finds all of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from corpusloom.llm.common import WordHashes, cut, mix
 BITS = 128
 SIZES = ((1, 1.0), (3, 3.0))
 FEW_WORDS = 24
+NEAR = 20  # texts with five-word Jaccard of 0.8 differ in up to so many bits
+SLICE, PORTION, MOST_KEY = 1 << 14, 1 << 19, 22
 
 
 def fingerprint(text: str | None, hashes: WordHashes, sizes: tuple[tuple[int, float], ...] = SIZES) -> np.ndarray:
@@ -110,44 +114,122 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return in_descending_order(docs).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def within_radius(prints: DataFrame, radius: int = 3, tile: int = 512) -> DataFrame:
+def plan(radius: int, rows: int, cols: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, most differing bits) of the blocks with the least expected work; empty if comparing all pairs is less.
+
+    If the bits allowed in the blocks, each plus one, sum to radius + 1, two fingerprints within ``radius`` keep to them in one block at least.
+    """
+    best, least = [], 4.0 * cols
+    for m in range(1, min(radius + 1, BITS) + 1):
+        blocks = split(radius, m)
+        cost = sum(math.comb(w, k) * (14 + 40 * cols / 2**w + 20_000 / min(rows, SLICE)) for _, w, t in blocks for k in range(t + 1)) + sum(4 * 2**w / rows for _, w, _ in blocks)
+        if cost < least:
+            best, least = blocks, cost
+    return best
+
+
+def split(radius: int, m: int) -> list[tuple[int, int, int]]:
+    widths = [BITS // m + (k < BITS % m) for k in range(m)]
+    starts = np.cumsum([0, *widths]).tolist()
+    # a block's first MOST_KEY bits differ in no more places than the block does, so shorter keys lose nothing
+    return [(at, min(w, MOST_KEY), (radius + 1 - m) // m + (k < (radius + 1 - m) % m)) for k, (at, w) in enumerate(zip(starts, widths))]
+
+
+def bits_of(prints: np.ndarray, at: int, width: int) -> np.ndarray:
+    """Bits ``at`` to ``at + width`` (fewer than 64), from the first, of rows of two 64-bit halves."""
+    end, keep = at + width, np.uint64((1 << width) - 1)
+    if end <= 64:
+        return (prints[:, 0] >> np.uint64(64 - end)) & keep
+    if at >= 64:
+        return (prints[:, 1] >> np.uint64(128 - end)) & keep
+    return ((prints[:, 0] << np.uint64(end - 64)) | (prints[:, 1] >> np.uint64(128 - end))) & keep
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, blocks: list[tuple[int, int, int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and of ``b`` (two 64-bit halves each) within ``radius`` bits, every pair once, in portions of bounded size."""
+    if not len(a) or not len(b):
+        return
+    blocks = plan(radius, len(a), len(b)) if blocks is None else blocks
+    if not blocks:
+        step = max(1, PORTION // len(b))
+        for at in range(0, len(a), step):
+            part = a[at : at + step]
+            apart = np.bitwise_count(part[:, :1] ^ b[None, :, 0]) + np.bitwise_count(part[:, 1:] ^ b[None, :, 1])
+            i, j = np.nonzero(apart <= radius)
+            yield i + at, j
+        return
+    for k, (first, width, most) in enumerate(blocks):
+        key_a, key_b = bits_of(a, first, width).astype(np.int32), bits_of(b, first, width).astype(np.int32)
+        order_a, order_b = np.argsort(key_a), np.argsort(key_b)  # sorted, so that probes with one mask lie side by side
+        key_a, (high, low) = key_a[order_a], np.ascontiguousarray(b[order_b].T)
+        starts = np.zeros(2**width + 1, np.int32)
+        np.cumsum(np.bincount(key_b, minlength=2**width), out=starts[1:])
+        masks = [sum(1 << i for i in c) for n in range(most + 1) for c in itertools.combinations(range(width), n)]
+        for at in range(0, len(a), SLICE):
+            keys, ids = key_a[at : at + SLICE], order_a[at : at + SLICE]
+            my_high, my_low = np.ascontiguousarray(a[ids].T)
+            for mask in masks:
+                probe = keys ^ np.int32(mask)
+                from_ = starts.take(probe)
+                probe += 1
+                times = starts.take(probe) - from_
+                met = np.flatnonzero(times)
+                times = times.take(met)
+                ends = np.cumsum(times, dtype=np.int64)
+                shift = from_.take(met) + times - ends  # place in b less place among the candidates
+                done = i = 0
+                while i < len(met):
+                    to = max(i + 1, int(np.searchsorted(ends, done + PORTION, "right")))
+                    rows = np.repeat(met[i:to], times[i:to])
+                    cols = np.arange(done, int(ends[to - 1])) + np.repeat(shift[i:to], times[i:to])
+                    done, i = int(ends[to - 1]), to
+                    x = my_high.take(rows) ^ high.take(cols)
+                    ok = np.flatnonzero(np.bitwise_count(x) <= radius)
+                    rows, cols = rows.take(ok), cols.take(ok)
+                    x = np.stack([x.take(ok), my_low.take(rows) ^ low.take(cols)], axis=1)
+                    new = np.bitwise_count(x[:, 0]) + np.bitwise_count(x[:, 1]) <= radius
+                    rows, cols, x = rows[new], cols[new], x[new]
+                    for f, w, m in blocks[:k] if len(x) else ():  # found in an earlier table already
+                        new = np.bitwise_count(bits_of(x, f, w)) > m
+                        rows, cols, x = rows[new], cols[new], x[new]
+                    if len(x):
+                        yield ids[rows], order_b[cols]
+
+
+def within_radius(prints: DataFrame, radius: int, tile: int = 1 << 20) -> DataFrame:
     """(fingerprint, n_near): for each distinct fingerprint, how many rows have another fingerprint within ``radius``.
 
     ``prints``: fingerprint (hex string), n (rows that have it), one row each. Fingerprints without such rows are absent.
-    Buckets of a table are dealt out in tiles, so a full bucket is spread over tasks, and a tile returns sums, not pairs.
+    Fingerprints are dealt out by hash in parts of about ``tile``, and each pair of parts is one group, searched by close_pairs();
+    groups are of equal size whatever the fingerprints, and return sums, not pairs.
     """
-    width = BITS // 4 // (radius + 1)
-    blocks = [(i * width, width if i < radius else BITS // 4 - radius * width) for i in range(radius + 1)]
-    keyed = prints.where("fingerprint is not null").select("fingerprint", "n", F.posexplode(F.array(*[F.substring("fingerprint", at + 1, n) for at, n in blocks])).alias("block", "key"))
-    full = keyed.groupBy("block", "key").count().where("count > 1").select("block", "key", F.ceil(F.col("count") / tile).cast("int").alias("q"))
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("q")).cast("int")
-    dealt = keyed.join(full, ["block", "key"]).withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other"))
-    dealt = dealt.select("block", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fingerprint", "n")
+    known = prints.where("fingerprint is not null")
+    total = known.count()
+    q = max(-(-total // tile), min(6, -(-total // 8192)), 1)
+    pairs = q * (q + 1) // 2
+    word = lambda at: F.conv(F.substring("fingerprint", at, 8), 16, 10).cast("long")
+    half = lambda at: F.shiftleft(word(at), 32).bitwiseOR(word(at + 8))
+    dealt = known.select(half(1).alias("high"), half(17).alias("low"), "n", F.pmod(F.xxhash64("fingerprint"), F.lit(q)).cast("int").alias("mine")).select("*", F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("other"))
+    dealt = dealt.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "high", "low", "n")
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        raw = np.frombuffer(bytes.fromhex("".join(pdf["fingerprint"])), np.uint8).reshape(len(pdf), -1)
+        raw = np.stack([pdf["high"].to_numpy(), pdf["low"].to_numpy()], axis=1).view(np.uint64)
         n, side, total = pdf["n"].to_numpy(), pdf["mine"].to_numpy(), np.zeros(len(pdf), np.int64)
-        rows = np.flatnonzero(side == i)
-        cols = np.flatnonzero(side == j)
-        hexes = pdf["fingerprint"].to_numpy()
-        before = [np.array([h[a : a + w] for h in hexes], object) for a, w in blocks[:block]]
-        for at in range(0, len(rows), 256):
-            r = rows[at : at + 256]
-            hit = np.zeros((len(r), len(cols)), np.uint8)
-            for k in range(raw.shape[1]):
-                hit += np.bitwise_count(raw[r, k][:, None] ^ raw[cols, k][None, :])
-            ok = (hit <= radius) & (r[:, None] != cols[None, :])
-            for b in before:  # found in an earlier table already
-                ok &= b[r][:, None] != b[cols][None, :]
-            total[r] += ok @ n[cols]
+        rows, cols = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        for r, c in close_pairs(raw[rows], raw[cols], radius):
+            r, c = rows[r], cols[c]
+            if i == j:
+                r, c = r[r != c], c[r != c]
+            np.add.at(total, r, n[c])
             if i != j:
-                total[cols] += ok.T @ n[r]
-        return pd.DataFrame({"fingerprint": hexes, "n_near": total})
+                np.add.at(total, c, n[r])
+        return pdf.loc[total > 0, ["high", "low"]].assign(n_near=total[total > 0])
 
-    found = dealt.groupBy("block", "key", "i", "j").applyInPandas(near, "fingerprint string, n_near long")
-    return found.groupBy("fingerprint").agg(F.sum("n_near").alias("n_near"))
+    # a number of partitions of its own, so that small groups are not put into one task
+    found = dealt.repartition(max(pairs, min(4 * pairs, 200)), "i", "j").groupBy("i", "j").applyInPandas(near, "high long, low long, n_near long")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return found.groupBy("high", "low").agg(F.sum("n_near").alias("n_near")).select(F.concat(digits("high"), digits("low")).alias("fingerprint"), "n_near")
 
 
 def fingerprint_report(docs: DataFrame, radius: int = 3) -> DataFrame:

@@ -91,6 +91,45 @@ def test_search_within_a_radius_is_exact(spark):
             assert got.get(f"{p:032x}", 0) == sum(1 + i % 3 for i, q in enumerate(prints) if 0 < (p ^ q).bit_count() <= radius)
 
 
+@pytest.mark.parametrize("m", [None, 1, 3, 5, 6, 7, 9, 21])
+def test_close_pairs_are_all_pairs(m):
+    r = np.random.default_rng(3)
+    a, b = (r.integers(0, 2**64, (n, 2), np.uint64) for n in (300, 400))
+    for i in range(0, 300, 2):  # up to 30 bits from a row of a
+        k = r.permutation(128)[: r.integers(0, 31)]
+        flip = np.zeros(128, np.uint8)
+        flip[k] = 1
+        b[i] = a[i] ^ np.packbits(flip).view(np.uint64)
+    b[200:260] = b[200]
+    for radius in (20, 23) if m and m > 4 else (3, 20) if m is None else (m + 1,):
+        blocks = None if m is None else simhash.split(radius, m)
+        got = [p for i, j in simhash.close_pairs(a, b, radius, blocks) for p in zip(i.tolist(), j.tolist())]
+        want = {(i, j) for i in range(300) for j in np.flatnonzero(np.bitwise_count(a[i] ^ b).sum(1) <= radius).tolist()}
+        assert len(got) == len(want) and set(got) == want and len(want) > 10
+
+
+def test_planted_near_copies_are_found(spark, tmp_path):
+    """Copies with one or two of 200 words changed (five-word Jaccard 0.9 and more), by the registered query."""
+    from corpusloom.llm.queries import QUERIES
+
+    r = random.Random(4)
+    texts = []
+    for _ in range(25):
+        words = [f"w{r.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for changes in (1, 2):
+            copy = list(words)
+            for at in r.sample(range(10, 190), changes):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in QUERIES["op4_simhash"](spark, str(tmp_path)).collect()}
+    number = {i: int(x["fingerprint"], 16) for i, x in got.items()}
+    for i, x in got.items():
+        assert x["n_near"] >= (2 if i % 3 == 0 else 1)
+        assert x["n_near"] == sum(0 < (number[i] ^ y).bit_count() <= simhash.NEAR for y in number.values())
+
+
 def test_fingerprints_of_odd_tables(spark):
     assert simhash.fingerprint_report(odd_docs(spark)).count() == len(ODD) + 1
     assert simhash.fingerprint_report(odd_docs(spark).limit(0)).count() == 0
