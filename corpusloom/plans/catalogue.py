@@ -521,8 +521,8 @@ def recent_runs(t, spark):
 
 @query(f"SELECT run_id, CAST(event_id AS VARCHAR) AS id, event_type AS path FROM events JOIN ({STATES_SQL}) ON run_id = CAST(user_id AS VARCHAR) WHERE event_type IN ('click', 'view') AND status IN ('running', 'complete')")
 def job_results(t, spark):
-    s = jobs.job_states(job_events(t), with_results=True)
-    return s.where(F.col("status").isin("running", "complete")).select("run_id", F.explode("results").alias("r")).select("run_id", "r.id", "r.path")
+    e = job_events(t)
+    return jobs.page_results(e, jobs.job_states(e)).select("run_id", "page.id", "page.path")
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 100 // count(*) OVER (PARTITION BY user_id) AS INTEGER) AS progress

@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators.filters import simulated_failure
+from corpusloom.plans.lineage import cut
 from corpusloom.schema import JOB_STATES, READABLE_JOB_STATES
 
 
@@ -22,11 +23,19 @@ def started(requests: DataFrame) -> DataFrame:
 
 
 def progress_events(pages: DataFrame, order: list[str]) -> DataFrame:
-    """Pages (run_id and the order) with the percent done after each; one job's pages are few."""
-    from pyspark.sql import Window
+    """Pages (run_id and the order) with the percent done after each.
 
-    done = F.row_number().over(Window.partitionBy("run_id").orderBy(*order))
-    return pages.withColumn("progress", (done * 100 / F.count(F.lit(1)).over(Window.partitionBy("run_id"))).cast("int"))
+    Pages are counted in two steps, within chunks of a run and over the chunks, so that a large run is not one task's work. The
+    chunks are cut: both steps have to see the same ones.
+    """
+    n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = cut(pages.repartitionByRange(n, "run_id", *order).withColumn("_part", F.spark_partition_id()))
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy("run_id", "_part").orderBy(*order)))
+    run = Window.partitionBy("_run")
+    chunk = d.groupBy(F.col("run_id").alias("_run"), F.col("_part").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = chunk.select("_run", "_at", (F.sum("_n").over(run.orderBy("_at")) - F.col("_n")).alias("_before"), F.sum("_n").over(run).alias("_all"))
+    done = F.col("_before") + F.col("_in")
+    return d.join(before, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_part") == F.col("_at"))).select(*pages.columns, (done * 100 / F.col("_all")).cast("int").alias("progress"))
 
 
 def status_of(target_url: Column, finished: Column, pages: Column) -> Column:
@@ -37,6 +46,7 @@ def job_states(events: DataFrame, total: int = 10, with_results: bool = False) -
     """State of each run from its events: (run_id, target_url, status, progress, num_pages_indexed, started_at, error_message[, results]).
 
     Works on a table and, with an output mode of update or complete, on a stream: it is one aggregation.
+    ``with_results`` gathers a run's pages into one row, as a response for a small run has them; page_results() gives them as rows.
     """
     pages = F.count(F.when(F.col("kind") == "page", 1))
     agg = [F.max(F.when(F.col("kind") == "started", F.col("target_url"))).alias("target_url"), pages.alias("pages"), F.coalesce(F.bool_or(F.col("kind") == "finished"), F.lit(False)).alias("finished"), F.min(F.when(F.col("kind") == "started", F.col("at"))).alias("started_at")]
@@ -79,11 +89,23 @@ def job_status(states: DataFrame, run_id: str) -> DataFrame:
     return found
 
 
-def job_results(states: DataFrame, run_id: str) -> DataFrame:
-    """The page rows of a run that is running or complete; PermissionError in other states, LookupError for an unknown run."""
+def page_results(events: DataFrame, states: DataFrame) -> DataFrame:
+    """(run_id, seq, page) of the runs that are running or complete: rows, whatever the number of a run's pages."""
+    # from a table, so that the join can split the events of a run that has many
+    readable = cut(states.where(F.col("status").isin(*READABLE_JOB_STATES)).select("run_id"))
+    return events.where("kind = 'page'").join(readable, "run_id").select("run_id", "seq", "page")
+
+
+def job_results(states: DataFrame, run_id: str, events: DataFrame | None = None) -> DataFrame:
+    """The page rows of a run that is running or complete; PermissionError in other states, LookupError for an unknown run.
+
+    They come from ``events``, or without these from the results in ``states``.
+    """
     found = job_status(states, run_id)
     if found.where(F.col("status").isin(*READABLE_JOB_STATES)).isEmpty():
         raise PermissionError(f"results of {run_id} can't be read in its state")
+    if events is not None:
+        return events.where((F.col("run_id") == run_id) & (F.col("kind") == "page")).orderBy("seq").select("page.*")
     return found.select(F.explode("results").alias("r")).select("r.*")
 
 

@@ -98,6 +98,37 @@ def test_job_states(spark):
     assert new["status"] == "pending" and len(new["run_id"]) == 36
 
 
+def test_a_run_with_many_pages_is_rows_over_tasks(spark, tmp_path):
+    from corpusloom.plans.catalogue import QUERIES
+
+    rows = [(i, 1 if i < 3000 else 2 + i % 7, "view", i) for i in range(4000)] + [(5000, 1, "signup", 0), (5001, 3, "signup", 0), (5002, 3, "purchase", 9), (5003, 5, "signup", 0), (5004, 5, "purchase", 9)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    e.drop("s").write.parquet(str(tmp_path / "events.parquet"))
+    results = QUERIES["job_results"](spark, str(tmp_path))
+    assert "collect_list" not in results._jdf.queryExecution().toString()
+    assert sorted((r["run_id"], int(r["id"])) for r in results.collect()) == sorted((str(u), i) for i, u, kind, _ in rows if kind == "view" and u != 5)
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = QUERIES["job_progress"](spark, str(tmp_path)).select("*", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    want = []
+    for u in {r[1] for r in rows}:
+        ids = [i for i, v, kind, _ in rows if v == u and kind == "view"]
+        want += [(str(u), i, (k + 1) * 100 // len(ids)) for k, i in enumerate(ids)]
+    assert sorted((r["run_id"], r["seq"], r["progress"]) for r in got) == sorted(want)
+    assert len({r["p"] for r in got if r["run_id"] == "1"}) > 1
+
+
+def test_results_come_from_the_events(spark):
+    e = events(spark)
+    s = jobs.job_states(e)
+    assert jobs.job_results(s, "r1", e).count() == 10 and jobs.job_results(s, "r4", e).first()["path"] == "/a"
+    with pytest.raises(PermissionError):
+        jobs.job_results(s, "r2", e)
+
+
 def test_stream_gives_the_batch_states(spark, tmp_path):
     src = str(tmp_path / "events")
     e = events(spark)
