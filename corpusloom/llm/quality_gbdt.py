@@ -113,7 +113,10 @@ def fold(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 12_000) -> Trees:
-    """Fit on at most ``most_rows`` labelled documents outside fold 0. Their ids are few by that bound, so they are broadcast."""
+    """Fit on at most ``most_rows`` labelled documents outside fold 0. Their ids are few by that bound, so they are broadcast.
+
+    Rows that repeat a doc_id count once, by the least of their statistics, before anything comes to the driver.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold() != 0).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
@@ -121,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": pd.Series([statistics(t) for t in b["text"]], index=b.index, dtype=object)})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(tidy(run), "doc_id long, y double, x array<double>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(tidy(run), "doc_id long, y double, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["y"].to_numpy(float))

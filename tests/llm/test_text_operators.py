@@ -293,6 +293,17 @@ def test_quality_learns_on_other_folds_only(spark):
     assert all(again[r["doc_id"]] == r["score"] for r in rows), "labels of the held-out fold change nothing"
 
 
+def test_repeats_of_a_labelled_document_count_once(spark):
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choice(["good", "words", "and", "more", "x!x", "77"]) for _ in range(r.randint(5, 80)))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(len(t) > 200) ^ (i % 7 == 0), 0) for i, t in texts], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    learnt = next(i for i, _ in texts if zlib.crc32(str(i).encode()) % 5)
+    many = docs.union(docs.where(F.col("doc_id") == learnt).crossJoin(spark.range(500)).select("doc_id", "text"))
+    once, often = (quality_gbdt.train(d, labels) for d in (docs, many))
+    assert all(np.array_equal(getattr(once, k), getattr(often, k)) for k in ("feature", "threshold", "value")) and once.base == often.base
+
+
 def test_quality_of_odd_tables(spark):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality_gbdt.quality_scores(odd_docs(spark), labels).collect()
