@@ -1,4 +1,4 @@
-"""Durable cuts of lineage in the folder that driver and executors share."""
+"""Durable cuts of lineage in the folder that driver and executors share, and dealing of small tables over all cores."""
 
 from __future__ import annotations
 
@@ -9,17 +9,60 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset (tests)."""
+    """This application's folder under ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster, whose machines share no such folder, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return f"{found}/{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, kind: str = "cut") -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps depend on files every executor can see."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that no later step reads."""
+    for c in cuts:
+        delete(c.sparkSession, c.cut_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all cuts of this application; results that are not written yet can't be read after it."""
+    delete(spark, shared_dir(spark))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table ``df`` of fewer files than cores and of few bytes, dealt evenly over the cores: one file with one row group is one task's work otherwise.
+
+    Larger tables, and what is not read from files, stay as they are.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    total = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if total < cores * (128 << 20) else df
