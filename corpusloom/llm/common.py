@@ -1,9 +1,10 @@
-"""Helpers shared by the training-data operators: durable cuts of lineage, connected components, word hashes."""
+"""Helpers shared by the training-data operators: connected components, bounded broadcasts, word hashes."""
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.plans.lineage import cut
+from corpusloom.plans.lineage import cut, discard
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches of at most about ``size`` for the session, so that a worker holds few of the long documents at once."""
+    """Arrow batches of at most about ``size``, so that a worker holds few of the long documents at once.
+
+    Results are lazy, so the setting has to outlive the call: it stays for the session. One that the user has made is kept.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in ("67108864b", None):  # the default; a setting of the user's stays
+    if spark.conf.get(key, None) in ("67108864b", None):  # the default
         spark.conf.set(key, size)
 
 
@@ -39,28 +43,40 @@ def release() -> None:
         pass
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def free_name(wanted: str, *tables: DataFrame) -> str:
+    """``wanted``, with underscores before it until no column of ``tables`` has that name in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Connected components of undirected ``edges`` (src, dst long): rows (node, component), component the least node.
 
     Alternating large-star and small-star rounds; every round is a few partial aggregations and equi-joins, so no
-    neighbour list is ever gathered. Each round is cut, and the loop ends when all edges point at a root.
-    Nodes without an edge are absent; an empty input gives an empty result.
+    neighbour list is ever gathered. Each round is cut, the tables of the one before are deleted, and the loop ends when all edges
+    point at a root. Nodes without an edge are absent; an empty input gives an empty result; null ends are no edges. Rounds grow with the
+    logarithm of the nodes; with ``most_rounds`` a RuntimeError tells that they were not enough, unfinished labels are never returned.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v").distinct()
     e = cut(e)
-    for _ in range(most_rounds):
+    for done in count():
         inner = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         many = inner or e.groupBy("u").count().where("count > 1").limit(1).count()
         if not many:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        if done == most_rounds:
+            raise RuntimeError(f"components are not complete after {most_rounds} rounds")
         both = e.union(e.select("v", "u"))
         # from a table, so that the join can split the rows of a root that many nodes point at
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        new = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(e, low)
+        e = new
 
 
 class WordHashes(dict):
@@ -100,9 +116,12 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def hinted(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """A broadcast hint if ``df`` has at most ``most_rows`` rows (ids and numbers); otherwise ``df``, for a shuffled join. ``df`` should be cut."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def hinted(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """A broadcast hint if ``df``, which should be cut, has at most ``most_rows`` rows and ``most_bytes`` bytes; otherwise ``df``, for a shuffled join."""
+    if df.count() > most_rows:
+        return df
+    size = df.agg(F.sum(32 + F.length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= most_bytes else df
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
