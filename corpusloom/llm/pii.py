@@ -1,33 +1,44 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Patterns give spans of four base kinds, which always stay, and further candidates: matches that fail their check,
-local phone numbers, national ids and names behind a title or a known given name. A regex, a gazetteer and a context
-labeler vote (1 personal, -1 not, 0 abstains) on every span. The votes are counted by combination, a table of bounded
-size; expectation-maximisation on it estimates how reliable each labeler is, and its posteriors train a logistic span
-classifier, which is applied to every candidate as a column expression.
+local phone numbers, national ids, names and secrets. A regex, a gazetteer and a context labeler vote (1 personal, -1
+not, 0 abstains) on every span. The votes are counted by combination, a table of bounded size; expectation-maximisation
+on it estimates how reliable each labeler is, and its posteriors train a logistic span classifier, which is applied to
+every candidate as a column expression. All steps take time in proportion to a text and its spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
 from itertools import product
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, hinted
+from corpusloom.functions.values import let
+from corpusloom.plans.lineage import cut
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("localphone", "natid", "name")
+ADDED = ("localphone", "natid", "name", "secret")
 KINDS = BASE + ADDED
 
-# Titles, given names, cue words.
-TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Señor|Señora"
-NAMES = "James|Mary|John|Maria|Robert|Anna|Michael|Peter|David|Laura|Thomas|Julia|Paul|Sophie|Pierre|Marie|Jean|Hans|Klaus|Carlos|Juan|Carmen|José|Lucía"
-CUES = r"(?i)(?:e-?mail|mail to|contact|call|phone|tel|mobile|fax|reach|card|visa|account|ssn|social security|passport|id number|name|address|ip|kontakt|telefon|karte|courriel|carte|correo|tarjeta|llame)[^\p{L}]{0,12}$"
-COUNTER_CUES = r"(?i)(?:version|release|isbn|issn|order|invoice|part|section|figure|table|page|commit|build|doi|rfc|model|serial)[^\p{L}]{0,6}$"
-
-_LOCAL = "[A-Za-z0-9._%+-]"
+# Titles, given names (the commonest of births in English, German, French and Spanish speaking countries), country
+# code top-level domains and the first ones of general use, prefixes by which services mark their keys, cue words.
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Mme Mlle Señor Señora".split()
+NAMES = """
+James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy
+Matthew Betty Anthony Sandra Mark Margaret Donald Ashley Steven Kimberly Andrew Emily Paul Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah
+Hans Peter Wolfgang Klaus Jürgen Dieter Manfred Uwe Günter Horst Bernd Stefan Andreas Frank Martin Jens Ralf Ursula Karin Helga Sabine Ingrid Renate Monika Petra Gisela Susanne Claudia Birgit Andrea Anna Julia Laura Lena Heike
+Jean Pierre Michel Philippe Alain Nicolas Christophe Bernard Christian François Laurent Julien Frédéric Olivier Éric Marie Nathalie Isabelle Sylvie Catherine Françoise Martine Christine Monique Valérie Sophie Céline Camille Chloé
+José Antonio Juan Manuel Francisco Luis Javier Miguel Carlos Jesús Alejandro Rafael Pedro Pablo Ángel Sergio Fernando Jorge Alberto María Carmen Josefa Isabel Dolores Pilar Teresa Rosa Cristina Ángeles Antonia Lucía Marta Elena Paula
+""".split()
+DOMAINS = "com org net edu gov mil int info biz io ai app dev at au be br ca ch cn cz de dk es eu fi fr gr hu ie in it jp kr mx nl no nz pl pt ro ru se sk tr uk us za".split()
+KEY_PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat|xoxb|xoxp|AIza|eyJ|sk_live_|sk_test_|rk_live_|SG\\."
+CUES = r"(?i)(?:e-?mail|mail to|contact|call|phone|tel|mobile|fax|reach|card|visa|account|ssn|social security|passport|id number|name|address|ip|kontakt|telefon|karte|courriel|carte|correo|tarjeta|llame|token|secret|password|passwd|pwd|api.?key|access.?key|credentials?|bearer)[^\p{L}]{0,12}$"
+COUNTER_CUES = r"(?i)(?:version|release|isbn|issn|order|invoice|part|section|figure|table|page|commit|build|doi|rfc|model|serial|sha-?\d*|md5|checksum|digest|etag|hash)[^\p{L}]{0,6}$"
+
+_LOCAL, _WORD = "[A-Za-z0-9._%+-]", rf"(?:(?:{'|'.join(TITLES)})\.|\p{{Lu}}\p{{L}}{{1,30}})"
 #: The contract's patterns. A match of the first and third can only begin where its run of characters does, or at the end of the match before;
 #: saying so, with possessive repeats, gives the same matches in time linear in the text.
 PATTERNS = {
@@ -37,27 +48,67 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "localphone": r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "natid": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"\b(?:(?:{TITLES})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?|(?:{NAMES}) \p{{Lu}}\p{{L}}{{1,30}})\b",
+    "name": rf"(?<!\p{{L}}){_WORD}(?: {_WORD}){{1,5}}(?!\p{{L}})",
+    "secret": r"(?<![A-Za-z0-9_])(?=[0-9_]*+[A-Za-z])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+",
 }
 SPAN = "struct<start:int,kind:int,end:int,hit:string,before:string,after:string>"
+CHUNK = 128
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], zero: int) -> Column:
+    """What ``step``, an associative function, gives over the ints ``values`` up to each of them.
+
+    Results are appended within chunks and then carried over the chunks: appending to one array would copy it for every value.
+    """
+
+    def over(v: Column) -> Column:
+        return F.aggregate(v, F.array().cast("array<int>"), lambda a, x: F.array_append(a, step(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(zero)), x)))
+
+    def joined(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda j: over(F.slice(v, j * CHUNK + 1, F.lit(CHUNK))))
+        carried = lambda ps, ends: F.flatten(F.transform(ps, lambda p, j: F.transform(p, lambda x: step(F.when(j == 0, F.lit(zero)).otherwise(F.get(ends, j - 1)), x))))
+        return let(parts, lambda ps: let(over(F.transform(ps, lambda p: F.element_at(p, -1))), lambda ends: carried(ps, ends)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, joined(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _spans(kind: Column, h: Column, g: Column) -> Column:
+    """The spans of a kind, from its hits ``h`` and the texts ``g`` around them; positions are code points."""
+    ends = running(F.zip_with(F.slice(g, F.lit(1), F.size(h)), h, lambda a, b: F.length(a) + F.length(b)), lambda a, x: a + x, 0)
+
+    def span(e: Column, x: Column, i: Column) -> Column:
+        end = F.get(e, i)
+        return F.struct((end - F.length(x)).alias("start"), kind.alias("kind"), end.alias("end"), x.alias("hit"), F.right(F.get(g, i), F.lit(40)).alias("before"), F.left(F.get(g, i + 1), F.lit(16)).alias("after"))
+
+    return F.when(F.size(h) > 0, let(ends, lambda e: F.transform(h, lambda x, i: span(e, x, i)))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _named(s: Column, names: Collection[str]) -> Column:
+    """Of a run of capitalised words, those from the first title (with up to two more) or given name (with one more); null if there is none."""
+    title = lambda w: F.rtrim(w, F.lit(".")).isin(TITLES)
 
+    def part(words: Column) -> Column:
+        first = F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: title(F.get(words, i)) | F.get(words, i).isin(list(names))), F.lit(0))
 
-def _spans(kind: str) -> str:
-    """SQL: the spans of a kind, from its hits h_ and the texts g_ around them; positions are code points."""
-    k, h, g = KINDS.index(kind), f"h_{kind}", f"g_{kind}"
-    return f"""if(size({h}) = 0, cast(array() as array<{SPAN}>), aggregate(sequence(0, size({h}) - 1),
-        named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
-        (a, i) -> named_struct('at', a.at + length({g}[i]) + length({h}[i]), 'out', array_append(a.out, named_struct(
-            'start', a.at + length({g}[i]), 'kind', {k}, 'end', a.at + length({g}[i]) + length({h}[i]), 'hit', {h}[i], 'before', right({g}[i], 40), 'after', left({g}[i + 1], 16)))),
-        a -> a.out))"""
+        def cut_out(i: Column) -> Column:
+            size = lambda ws: F.length(F.array_join(ws, " "))
+            skipped = F.when(i > 0, size(F.slice(words, F.lit(1), i)) + 1).otherwise(0)
+            kept = F.array_join(F.slice(words, i + 1, F.when(title(F.get(words, i)), 3).otherwise(2)), " ")
+            start = s["start"] + skipped
+            return F.struct(start.alias("start"), s["kind"].alias("kind"), (start + F.length(kept)).alias("end"), kept.alias("hit"), s["before"].alias("before"), s["after"].alias("after"))
+
+        return let(first, lambda i: F.when(i.isNotNull(), cut_out(i)))
+
+    return let(F.split(s["hit"], " "), part)
 
 
 def _regex_vote(s: Column) -> Column:
     """Structure and checks of the kind; for base kinds 1 exactly where the span stays."""
-    digits = F.regexp_replace(s["hit"], "[^0-9]", "")
+    hit, digits = s["hit"], F.regexp_replace(s["hit"], "[^0-9]", "")
     part = "0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2}|)"
-    ip = s["hit"].rlike(rf"^{part}\.{part}\.{part}\.{part}$")
+    ip = hit.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
     card = F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
+    random = hit.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | hit.rlike("(?:[0-9][A-Za-z_]+){4}") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
     vote = lambda ok: F.when(ok, 1).otherwise(-1)
     return (
         F.when(s["kind"] == 0, 1)
@@ -66,18 +117,20 @@ def _regex_vote(s: Column) -> Column:
         .when(s["kind"] == 3, vote(F.length(digits).between(9, 15)))
         .when(s["kind"] == 4, vote(digits.rlike("^[2-9][0-9]{2}[2-9]")))
         .when(s["kind"] == 5, vote(~digits.rlike("^(?:000|666|9)|^...00|0000$")))
-        .otherwise(F.when(s["hit"].rlike(rf"^(?:{TITLES})\b"), 1).otherwise(0))
+        .when(s["kind"] == 6, F.when(F.rtrim(F.split(hit, " ")[0], F.lit(".")).isin(TITLES), 1).otherwise(0))
+        .otherwise(F.when(random, 1).when(hit.rlike("^[A-Za-z]+_?[0-9]{1,4}$"), -1).otherwise(0))
     )
 
 
-def _gazetteer_vote(s: Column) -> Column:
+def _gazetteer_vote(s: Column, names: Collection[str], domains: Collection[str]) -> Column:
     hit = s["hit"]
     return (
-        F.when((s["kind"] == 0) & F.lower(hit).rlike(r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|nl|uk|eu|ch|at)$"), 1)
+        F.when(s["kind"] == 0, F.when(F.lower(F.element_at(F.split(hit, "\\."), -1)).isin(list(domains)), 1).otherwise(0))
         .when((s["kind"] == 1) & hit.rlike(r"^(?:0|10|127|255)\.|^192\.168\."), -1)
         .when(s["kind"] == 2, F.when(hit.rlike("^[3-6]"), 1).otherwise(-1))
         .when((s["kind"] == 3) & hit.rlike(r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 1)
-        .when((s["kind"] == 6) & hit.rlike(rf"\b(?:{NAMES})\b"), 1)
+        .when((s["kind"] == 6) & F.exists(F.split(hit, " "), lambda w: w.isin(list(names))), 1)
+        .when((s["kind"] == 7) & hit.rlike(f"^(?:{KEY_PREFIXES})"), 1)
         .otherwise(0)
     )
 
@@ -86,18 +139,20 @@ def _context_vote(s: Column) -> Column:
     return F.when(s["before"].rlike(CUES), 1).when(s["before"].rlike(COUNTER_CUES), -1).when((s["kind"] < 6) & s["after"].rlike(r"^[0-9\p{L}_]"), -1).otherwise(0)
 
 
-def voted_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and its spans (array of start, kind, end, votes r, g, c, size class), null texts as empty. One scan of the texts."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def voted_spans(docs: DataFrame, keep: Column, names: Collection[str] = NAMES, domains: Collection[str] = DOMAINS) -> DataFrame:
+    """``keep`` as kept, and the spans found in text (array of start, kind, end, votes r, g, c, size class), null texts as empty. One scan of the texts."""
+    d = docs.select(keep.alias("kept"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"h_{k}") for k, p in PATTERNS.items()])
-    d = d.select("doc_id", *[f"h_{k}" for k in KINDS], *[F.when(F.size(f"h_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p in PATTERNS.items()])
-    d = d.select("doc_id", F.concat(*[F.expr(_spans(k)) for k in KINDS]).alias("found"))
+    d = d.select("kept", *[f"h_{k}" for k in KINDS], *[F.when(F.size(f"h_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p in PATTERNS.items()])
+    of_kind = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"h_{k}").alias("h"), F.col(f"g_{k}").alias("g")) for i, k in enumerate(KINDS)])
+    d = d.select("kept", F.flatten(F.transform(of_kind, lambda x: _spans(x["kind"], x["h"], x["g"]))).alias("found"))
+    d = d.select("kept", F.filter(F.transform("found", lambda s: F.when(s["kind"] == KINDS.index("name"), _named(s, names)).otherwise(s)), lambda s: s.isNotNull()).alias("found"))
 
     def votes(s: Column) -> Column:
         size = s["end"] - s["start"]
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _regex_vote(s).alias("r"), _gazetteer_vote(s).alias("g"), _context_vote(s).alias("c"), F.when(size <= 10, 0).when(size <= 18, 1).otherwise(2).alias("size"))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _regex_vote(s).alias("r"), _gazetteer_vote(s, names, domains).alias("g"), _context_vote(s).alias("c"), F.when(size <= 10, 0).when(size <= 18, 1).otherwise(2).alias("size"))
 
-    return d.select("doc_id", F.array_sort(F.transform("found", votes)).alias("found"))
+    return d.select("kept", F.array_sort(F.transform("found", votes)).alias("found"))
 
 
 def reliabilities(table: list[tuple[int, int, int, int, int, float]], rounds: int = 40) -> list[float]:
@@ -141,11 +196,13 @@ def train(table: list[tuple[int, int, int, int, int, float]], rounds: int = 300,
     return w
 
 
-def classified(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """doc_id, base and added spans (arrays of start, kind, end, ordered)."""
-    voted = cut(voted_spans(docs))
+def classified(voted: DataFrame, at_least: float = 0.5) -> DataFrame:
+    """``voted`` (cut: it is read twice) with its base and added spans (arrays of start, kind, end, ordered) in place of found.
+
+    An added span stays if the classifier gives it ``at_least`` and no base span overlaps it; added spans may overlap one another.
+    """
     s = voted.select(F.explode("found").alias("s")).groupBy("s.kind", "s.r", "s.g", "s.c", "s.size").count()
-    table = sorted((r["kind"], r["r"], r["g"], r["c"], r["size"], float(r["count"])) for r in s.collect())  # 7 * 27 * 3 rows at most
+    table = sorted((r["kind"], r["r"], r["g"], r["c"], r["size"], float(r["count"])) for r in s.collect())  # 8 * 27 * 3 rows at most
     w = train(table)
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), by + 1)
     k = 1 + len(KINDS)
@@ -157,9 +214,13 @@ def classified(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
 
     stays = lambda s: (s["kind"] < len(BASE)) & (s["r"] == 1)
     short = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    out = voted.select("doc_id", "found", F.transform(F.filter("found", stays), short).alias("base"))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.select("doc_id", "base", F.transform(F.filter("found", lambda s: ~stays(s) & (chance(s) >= at_least) & free(s)), short).alias("added"))
+    far = (1 << 31) - 1
+    # spans are ordered by start, then base kinds first: a base span over another one ends late among those before, or starts early among those after
+    reach = running(F.transform("found", lambda s: F.when(stays(s), s["end"]).otherwise(0)), lambda a, x: F.greatest(a, x), 0)
+    ahead = F.reverse(running(F.reverse(F.transform("found", lambda s: F.when(stays(s), s["start"]).otherwise(far))), lambda a, x: F.least(a, x), far))
+    out = voted.select("kept", "found", F.transform(F.filter("found", stays), short).alias("base"), reach.alias("reach"), ahead.alias("ahead"))
+    free = lambda s, i: (F.get("reach", i) <= s["start"]) & (F.get("ahead", i) >= s["end"])
+    return out.select("kept", "base", F.transform(F.filter("found", lambda s, i: ~stays(s) & (chance(s) >= at_least) & free(s, i)), short).alias("added"))
 
 
 def joined(spans: Column) -> Column:
@@ -167,33 +228,55 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, names: Collection[str] = NAMES, domains: Collection[str] = DOMAINS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every document.
 
     Null texts count as empty: no spans, the digest of the empty string. Repeated rows give repeated results; other columns are
-    not read; an empty table gives an empty result.
+    not read, whatever their names; an empty table gives an empty result. A text with many spans takes time in proportion to them.
+    ``names`` and ``domains`` are the gazetteer, as literals of the plan.
     """
-    c = classified(docs)
+    c = classified(cut(voted_spans(docs, F.col("doc_id"), names, domains)))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return c.select("doc_id", *map(number, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return c.select(F.col("kept").alias("doc_id"), *map(number, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def replaced(text: Column, spans: Column, size: int = 4096) -> Column:
+    """``text`` with ``spans`` (ordered) replaced by their kinds in brackets; those that overlap are replaced together, under the first one's kind.
+
+    Pieces are taken from chunks of the text, since a position in a whole text is found by counting characters from its start.
+    """
+    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / size).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, F.floor((b - 1) / size).cast("int") - first + 1), "")
+        return F.when(b > a, F.substr(near, a % size + 1, b - a)).otherwise("")
+
+    def build(chunks: Column, reach: Column, n: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+
+        def parts(f: Column) -> Column:
+            before = lambda i: F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+            each = F.transform(f, lambda i: F.concat(piece(chunks, before(i), F.get(spans, i)["start"]), F.element_at(labels, F.get(spans, i)["kind"] + 1)))
+            return F.concat(F.array_join(each, ""), piece(chunks, F.element_at(reach, -1), n))
+
+        return let(first, parts)
+
+    reach = running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), 0)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return let(chunks, lambda c: let(reach, lambda r: build(c, r, F.length(text))))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, names: Collection[str] = NAMES, domains: Collection[str] = DOMAINS) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, if there, is counted again; all columns and rows stay.
 
-    Overlapping spans are replaced together, under the first one's kind.
+    Rows travel whole, so columns may have any names; null and empty texts and texts without spans stay as they are, repeated rows are
+    redacted alike, an empty table gives an empty one. Rows and their spans are written once: nothing is shuffled but counts of votes.
     """
-    plain = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_key", F.struct(F.xxhash64(plain).alias("a"), F.hash(plain).alias("b"), F.length(plain).alias("c")))
-    spans = classified(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.array_sort(F.concat("base", "added")).alias("_spans")).where("size(_spans) > 0")
-    spans = hinted(cut(spans.groupBy("_key").agg(F.min("_spans").alias("_spans"))), 200_000)
-    names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    changed = f"""aggregate(_spans, named_struct('at', 0, 'out', ''),
-        (a, s) -> if(s.start >= a.at,
-            named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), array({names})[s.kind])),
-            named_struct('at', greatest(a.at, s.end), 'out', a.out)),
-        a -> concat(a.out, substring(text, a.at + 1)))"""
-    out = keyed.join(spans, "_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(changed)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    c = classified(cut(voted_spans(docs, whole, names, domains)))
+    row = F.col("kept")
+    spans = c.select("kept", F.array_sort(F.concat("base", "added")).alias("spans"))
+    out = spans.select("kept", F.when(F.size("spans") > 0, replaced(row["text"], F.col("spans"))).otherwise(row["text"]).alias("text"))
+    number = F.when(out["text"].eqNullSafe(row["text"]), row.getField("n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None
+    return out.select(*[(F.col("text") if n == "text" else number if n == "n_chars" else row.getField(n)).alias(n) for n in docs.columns])
