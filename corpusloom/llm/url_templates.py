@@ -2,15 +2,18 @@
 
 Every url is reduced to its host and the shape of its path, whose segments that vary by form (numbers, ids, dates) are
 wildcards. A tree of these paths per host, far smaller than the urls, then generalises segments that vary by count,
-merges sibling branches with the same distribution of what follows and like labels, and rates each resulting template by the smoothed
+merges sibling branches that a test on the counts of their next segments finds alike, and rates each resulting template by the smoothed
 share of good labels. Templates of low purity are rejected; rules decide before.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.values import let
 from corpusloom.llm.common import cut, hinted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,8 +37,8 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def shape(path: Column) -> Column:
-    """The path's segments, with those that vary by form as wildcards that keep their extension."""
+def shape(path: Column, most_depth: int = 16) -> Column:
+    """The path's segments, with those that vary by form as wildcards that keep their extension; all beyond ``most_depth`` are one ``**``."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def one(s: Column) -> Column:
@@ -49,46 +52,81 @@ def shape(path: Column) -> Column:
         )
         return F.coalesce(F.concat(kind, ext), s)
 
-    return F.transform(segments, one)
+    short = lambda s: F.concat(F.transform(F.slice(s, 1, most_depth), one), F.when(F.size(s) > most_depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    return let(segments, short)
+
+
+def divergence(x: Column, y: Column) -> Column:
+    """Jensen-Shannon divergence in bits of the next segments of two branches, structs of total and p (shares of the same named segments).
+
+    What is not named, the rare next segments, counts as different in both: nothing says that they are the same.
+    """
+    part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
+    both = F.zip_with(x["p"], y["p"], lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    return total(both) + (1 - total(x["p"]) + 1 - total(y["p"])) / 2
+
+
+def alike(x: Column, y: Column) -> Column:
+    """Whether two branches are samples of one distribution, as far as their counts can tell, with like labels.
+
+    The divergence of two samples of one distribution of k segments is (k - 1) (1/n + 1/m) / (8 ln 2) bits on average; three times that, and a
+    fiftieth of a bit, is allowed, but never more than a quarter. The smoothed shares of good labels may differ by a fifth.
+    """
+    k = F.size(F.filter(F.zip_with(x["p"], y["p"], lambda p, q: p + q), lambda v: v > 0))
+    noise = 3 * (k - 1) * (1 / x["total"] + 1 / y["total"]) / (8 * log(2))
+    return (F.round(divergence(x, y), 9) <= F.least(F.lit(0.25), F.round(0.02 + noise, 9))) & (F.round(F.abs(x["purity"] - y["purity"]), 9) <= 0.2)
 
 
 def path_templates(paths: DataFrame, most_children: int = 24, least_share: float = 0.05, smoothing: float = 2.0, prior: float = 0.5) -> DataFrame:
-    """(host, shape, template, purity) for rows (host, shape, n, good, bad), one for each host and shape.
+    """(host, key, template, purity) for rows (host, shape, n, good, bad), one for each host and shape; key is the shape, joined.
 
     A segment becomes ``*`` if its parent has more than ``most_children`` different ones and it less than ``least_share`` of the
-    parent's urls. Siblings are merged if the shares, in tenths, of all that follows and their purities, in fifths, agree.
+    parent's urls. Of the others, at most most_children or 1 / least_share for each parent, every one joins the most frequent sibling
+    that is alike(); those that join the same one are merged. Next segments are named if they have ``least_share`` among all the siblings.
     """
     p = paths.withColumn("key", F.array_join("shape", "/"))
     parts = p.select("host", "key", "n", "good", "bad", "shape", F.posexplode("shape").alias("at", "token"))
-    parts = parts.withColumn("parent", F.array_join(F.slice("shape", F.lit(1), F.col("at")), "/")).withColumn("tail", F.array_join(F.expr("slice(shape, at + 2, greatest(size(shape) - at - 1, 0))"), "/")).drop("shape")
+    parts = parts.withColumn("parent", F.array_join(F.slice("shape", F.lit(1), F.col("at")), "/")).withColumn("next", F.coalesce(F.get("shape", F.col("at") + 1), F.lit(""))).drop("shape")
     parts = cut(parts)
-    tails = parts.groupBy("host", "parent", "token", "tail").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    nexts = parts.groupBy("host", "parent", "token", "next").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     node = ["host", "parent", "token"]
-    whole = tails.groupBy(*node).agg(F.sum("n").alias("total"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    whole = nexts.groupBy(*node).agg(F.sum("n").alias("total"), purity_of("good", "bad", smoothing, prior).alias("purity"))
     kids = whole.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("kids"), F.sum("total").alias("among"))
-    rare = (F.col("kids") > most_children) & (F.col("total") < least_share * F.col("among")) | F.col("token").startswith("<")
-    seg = whole.join(kids, ["host", "parent"]).withColumn("seg", F.when(F.col("token").startswith("<"), F.col("token")).when(rare, "*"))
-    # the profile is a sum of hashes: nothing is gathered per node
-    profile = tails.join(whole.select(*node, "total"), node).withColumn("tenths", F.round(10 * F.col("n") / F.col("total"))).where("tenths > 0")
-    profile = profile.groupBy(*node).agg(F.sum(F.pmod(F.xxhash64("tail", "tenths"), F.lit(1 << 40))).alias("profile"))
-    purity = (F.col("good") + smoothing * prior) / (F.col("good") + F.col("bad") + smoothing)
-    named = seg.join(profile, node, "left").withColumn("fifth", F.round(5 * purity))
-    plain = named.where("seg is null")  # at most most_children + 1 / least_share for each parent
-    merged = plain.groupBy("host", "parent", "profile", "fifth").agg(F.array_sort(F.collect_set("token")).alias("of"))
+    rare = (F.col("kids") > most_children) & (F.col("total") < least_share * F.col("among"))
+    named = cut(whole.join(kids, ["host", "parent"]).withColumn("seg", F.when(F.col("token").startswith("<") | (F.col("token") == "**"), F.col("token")).when(rare, "*")))
+    plain = named.where("seg is null").select(*node, "total", "purity")
+    of_plain = nexts.select(*node, "next", "n").join(plain, node)
+    pooled = of_plain.groupBy("host", "parent", "next").agg(F.sum("n").alias("n")).join(plain.groupBy("host", "parent").agg(F.sum("total").alias("all")), ["host", "parent"])
+    classes = pooled.where(F.col("n") >= least_share * F.col("all")).groupBy("host", "parent").agg(F.array_sort(F.collect_set("next")).alias("classes"))  # 1 / least_share at most
+    counts = of_plain.join(classes, ["host", "parent"]).where(F.array_contains("classes", F.col("next"))).groupBy(*node).agg(F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("counts"))
+    profile = plain.join(classes, ["host", "parent"], "left").join(counts, node, "left")
+    share = F.transform(F.coalesce("classes", F.array().cast("array<string>")), lambda c: F.coalesce(F.try_element_at("counts", c), F.lit(0)) / F.col("total"))
+    # siblings are few by the bound above, so a parent's are one row
+    siblings = profile.groupBy("host", "parent").agg(F.collect_list(F.struct("token", "total", "purity", share.alias("p"))).alias("all"))
+    leader = F.transform("all", lambda x: F.struct(x["token"].alias("token"), F.array_max(F.transform(F.filter("all", lambda y: alike(x, y)), lambda y: F.struct(y["total"].alias("n"), y["token"].alias("token"))))["token"].alias("leader")))
+    led = siblings.select("host", "parent", F.explode(leader).alias("x")).select("host", "parent", "x.token", "x.leader")
+    merged = led.groupBy("host", "parent", "leader").agg(F.array_sort(F.collect_set("token")).alias("of"))
     merged = merged.select("host", "parent", F.explode("of").alias("token"), F.when(F.size("of") > 1, F.concat(F.lit("{"), F.array_join("of", "|"), F.lit("}"))).otherwise(F.col("of")[0]).alias("seg"))
     segs = named.where("seg is not null").select(*node, "seg").union(merged.select(*node, "seg"))
     of_path = parts.select(*node, "key", "at").join(segs, node).groupBy("host", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seg"))), lambda x: x["seg"]), "/").alias("template"))
     with_all = p.select("host", "key", "good", "bad").join(of_path, ["host", "key"], "left").withColumn("template", F.concat(F.lit("/"), F.coalesce("template", F.lit(""))))
     with_all = cut(with_all)
-    rated = with_all.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    return with_all.select("host", "key", "template").join(rated, ["host", "template"]).select("host", "key", "template", purity.alias("purity"))
+    rated = with_all.groupBy("host", "template").agg(purity_of("good", "bad", smoothing, prior).alias("purity"))
+    return with_all.select("host", "key", "template").join(rated, ["host", "template"]).select("host", "key", "template", "purity")
+
+
+def purity_of(good: str, bad: str, smoothing: float, prior: float) -> Column:
+    """The smoothed share of good labels of a group."""
+    return (F.sum(good) + smoothing * prior) / (F.sum(good) + F.sum(bad) + smoothing)
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], reject_below: float = 0.3) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row. Rules label the urls they fit: allow good, block bad.
 
-    Null urls and urls without ``://`` have an empty host and path. Repeated rows give repeated results; other columns are not
-    read; an empty table gives an empty result.
+    Null urls and urls without ``://`` have an empty host and path. Repeated rows give repeated results and count as often; other columns are not
+    read, whatever their names; an empty table gives an empty result. Very long urls are judged by their rules as they are; their template is
+    that of their first 16 segments.
     """
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
