@@ -153,7 +153,7 @@ def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
             token, times = np.unique(np.concatenate(kept), return_counts=True)
             token, times = token[times > 1], times[times > 1]
             none = pd.array([None] * len(token), "Int64")
-            return pd.DataFrame({"doc_id": none, "n_shingles": none.astype("Int32"), "node": none, "token": token.view(np.int64), "n": times})
+            return pd.DataFrame({"doc_id": none, "n_shingles": none, "node": none, "token": token.view(np.int64), "n": times})
 
         for b in batches:
             sets = [shingles(hashes.of(text), n) for text in b["text"]]
@@ -172,7 +172,7 @@ def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
         if kept:
             yield counted()
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n_shingles int, node long, token long, n long")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n_shingles long, node long, token long, n long")
 
 
 def common_shingles(counts: DataFrame, at_least: int = 16, most: int = 1_000_000) -> np.ndarray:
