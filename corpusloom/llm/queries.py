@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import embedding_dedup, jaccard_join, packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts, url_templates, warc_fixity
-from corpusloom.llm.common import bounded_batches
+from corpusloom.llm.common import bounded_batches, free_name
+from corpusloom.plans.lineage import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' records against a replica with a changed byte in every 97th page and every 211th record lost."""
+    """The pages' records against a replica with a changed byte in every 97th page, two bytes more in every 20011th, and every 211th record lost."""
     pages = table(spark, sf_dir, "pages")
-    hit = F.pmod(F.col("page_id"), F.lit(97)) == 13
-    replica = pages.withColumn("html", F.when(hit, F.concat(F.lit("X"), F.substring("html", 2, 2_000_000_000))).otherwise(F.col("html")))
+    html, hit, longer = F.coalesce("html", F.lit("")), F.pmod(F.col("page_id"), F.lit(97)) == 13, F.pmod(F.col("page_id"), F.lit(20011)) == 5
+    replica = pages.withColumn("html", F.when(hit, F.concat(F.lit("X"), F.substring(html, 2, 2_000_000_000))).when(longer, F.concat(html, F.lit("\n\n"))).otherwise(html))
     return warc_fixity.fixity_audit(pages, replica, F.pmod(F.col("page_id"), F.lit(211)) == 7)
 
 
@@ -63,25 +64,22 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after three edits to every document."""
     docs = table(spark, sf_dir, "documents")
-    return token_counts.edited_counts(docs.withColumn("edits", token_counts.sample_edits()), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    edits = free_name("edits", docs)
+    return token_counts.edited_counts(docs.withColumn(edits, token_counts.sample_edits()), public_tokenizers.path("byte_bpe_50k.tiktoken"), edits)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc_fixity, op3_url_templates, op4_simhash, op5_packing, op6_pii, op7_jaccard_join, op8_quality, op9_embedding_dedup, op10_token_counts)}
 
 def _fixity_sql() -> str:
+    """The layout as SQL; what has become of a record is said by how the replica was made, not by comparing layouts."""
     crlf = "chr(13) || chr(10)"
-
-    def layout(html: str) -> str:
-        head = f"'WARC/1.1' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'WARC-Date: {warc_fixity.DATE}' || {crlf} || 'WARC-Payload-Digest: sha256:' || sha256({html}) || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || CAST(strlen({html}) AS VARCHAR) || {crlf} || {crlf} || {html}"
-        return f"""SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length, sha256 FROM (
-            SELECT page_id, length, sha256, row_number() OVER (ORDER BY page_id NULLS FIRST, url, sha256) - 1 AS pos, (row_number() OVER (ORDER BY page_id NULLS FIRST, url, sha256) - 1) // 1024 AS file FROM (
-                SELECT page_id, coalesce(url, '') AS url, CAST(strlen({head}) + 4 AS BIGINT) AS length, sha256({head}) AS sha256 FROM pages))"""
-
-    body = "coalesce(html, '')"
-    changed = f"CASE WHEN page_id % 97 = 13 THEN 'X' || substring({body}, 2) ELSE {body} END"
-    return f"""SELECT a.page_id, a.file, a."offset", a.length, a.sha256, CASE WHEN b.sha256 IS NULL THEN 'missing' WHEN a.sha256 <> b.sha256 THEN 'altered' ELSE 'intact' END AS status
-        FROM ({layout(body)}) a LEFT JOIN (SELECT * FROM ({layout(changed)}) WHERE page_id % 211 <> 7) b ON a.file = b.file AND a."offset" = b."offset"
-    """
+    h, html = "md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, ''))", "coalesce(html, '')"
+    named = f"'urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32]"
+    head = f"'WARC/1.1' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Record-ID: <' || {named} || '>' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'WARC-Date: {warc_fixity.DATE}' || {crlf} || 'WARC-Payload-Digest: sha256:' || sha256({html}) || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || CAST(strlen({html}) AS VARCHAR) || {crlf} || {crlf} || {html}"
+    return f"""SELECT page_id, CAST(file AS VARCHAR) AS file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length, record_id, sha256,
+        CASE WHEN page_id % 211 = 7 THEN 'missing' WHEN page_id % 97 = 13 OR page_id % 20011 = 5 THEN 'altered' ELSE 'intact' END AS status FROM (
+        SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url, sha256) - 1 AS pos, (row_number() OVER (ORDER BY page_id NULLS FIRST, url, sha256) - 1) // 1024 AS file FROM (
+            SELECT page_id, coalesce(url, '') AS url, {named} AS record_id, CAST(strlen({head}) + 4 AS BIGINT) AS length, sha256({head}) AS sha256 FROM pages))"""
 
 
 def _components_sql(nodes: str, links: str) -> str:
@@ -96,7 +94,7 @@ JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_r
     links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
     nodes AS (SELECT doc_id AS node FROM documents), {_components_sql("nodes", "links")}
-    SELECT s.doc_id, CAST(len(sh) AS INTEGER) AS n_shingles, component AS component_id FROM s JOIN comp ON s.doc_id = comp.node"""
+    SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component AS component_id FROM s JOIN comp ON s.doc_id = comp.node"""
 
 EMBEDDING_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
@@ -116,22 +114,28 @@ def _templates_sql() -> str:
         WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{16,}}$') THEN '<hex>' || {ext} WHEN regexp_matches({stem}, '[0-9]') AND length({stem}) > 3 OR length({stem}) > 40 THEN '<id>' || {ext} ELSE s END"""
     return f"""WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_templates.UPPER}', '{url_templates.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-    u AS (SELECT page_id, host, path, CAST({rule} AS VARCHAR) AS rule, CAST({verdict} AS VARCHAR) AS what, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {kind}) AS shape FROM p),
-    k AS (SELECT host, array_to_string(shape, '/') AS key, shape, count(*) AS n, count(CASE WHEN what = 'allow' THEN 1 END) AS good, count(CASE WHEN what = 'block' THEN 1 END) AS bad FROM u GROUP BY host, shape),
-    t AS (SELECT host, key, n, good, bad, pos, shape[pos] AS token, array_to_string(shape[1:pos - 1], '/') AS parent, array_to_string(shape[pos + 1:len(shape)], '/') AS tail FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS pos FROM k)),
-    tails AS (SELECT host, parent, token, tail, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM t GROUP BY host, parent, token, tail),
-    whole AS (SELECT host, parent, token, sum(n) AS total, sum(good) AS good, sum(bad) AS bad FROM tails GROUP BY host, parent, token),
-    kids AS (SELECT host, parent, count(*) AS kids, sum(total) AS among FROM whole GROUP BY host, parent),
-    prof AS (SELECT host, parent, token, array_to_string(list_sort(list(tail || '=' || CAST(tenths AS VARCHAR))), ';') AS profile FROM (SELECT a.host, a.parent, a.token, a.tail, round(10.0 * a.n / w.total) AS tenths
-        FROM tails a JOIN whole w ON a.host = w.host AND a.parent = w.parent AND a.token = w.token) WHERE tenths > 0 GROUP BY host, parent, token),
-    named AS (SELECT w.host, w.parent, w.token, CASE WHEN starts_with(w.token, '<') THEN w.token WHEN kids > 24 AND total < 0.05 * among THEN '*' END AS seg, coalesce(profile, '') AS profile, round(5 * (good + 1.0) / (good + bad + 2.0)) AS fifth
-        FROM whole w JOIN kids c ON w.host = c.host AND w.parent = c.parent LEFT JOIN prof f ON w.host = f.host AND w.parent = f.parent AND w.token = f.token),
-    grp AS (SELECT host, parent, profile, fifth, list_sort(list(token)) AS toks FROM named WHERE seg IS NULL GROUP BY host, parent, profile, fifth),
-    segs AS (SELECT host, parent, token, seg FROM named WHERE seg IS NOT NULL UNION ALL SELECT host, parent, unnest(toks) AS token, CASE WHEN len(toks) > 1 THEN '{{' || array_to_string(toks, '|') || '}}' ELSE toks[1] END AS seg FROM grp),
+    u AS (SELECT page_id, host, path, CAST({rule} AS VARCHAR) AS rule, CAST({verdict} AS VARCHAR) AS what, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM p),
+    v AS (SELECT * EXCLUDE segs, list_concat(list_transform(segs[1:16], lambda s: {kind}), CASE WHEN len(segs) > 16 THEN ['**'] ELSE CAST([] AS VARCHAR[]) END) AS shape FROM u),
+    k AS (SELECT host, array_to_string(shape, '/') AS key, shape, count(*) AS n, count(CASE WHEN what = 'allow' THEN 1 END) AS good, count(CASE WHEN what = 'block' THEN 1 END) AS bad FROM v GROUP BY host, shape),
+    t AS (SELECT host, key, n, good, bad, pos, shape[pos] AS token, array_to_string(shape[1:pos - 1], '/') AS parent, coalesce(shape[pos + 1], '') AS next FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS pos FROM k)),
+    nodes AS (SELECT host, parent, token, sum(n) AS total, (sum(good) + 1.0) / (sum(good) + sum(bad) + 2.0) AS purity FROM t GROUP BY host, parent, token),
+    parents AS (SELECT host, parent, count(*) AS kids, sum(total) AS among FROM nodes GROUP BY host, parent),
+    named AS (SELECT host, parent, token, total, purity, CASE WHEN starts_with(token, '<') OR token = '**' THEN token WHEN kids > 24 AND total < 0.05 * among THEN '*' END AS seg FROM nodes JOIN parents USING (host, parent)),
+    plain AS (SELECT host, parent, token, total, purity FROM named WHERE seg IS NULL),
+    nexts AS (SELECT host, parent, token, next, sum(n) AS n FROM t JOIN plain USING (host, parent, token) GROUP BY host, parent, token, next),
+    classes AS (SELECT host, parent, next FROM (SELECT host, parent, next, sum(n) AS n FROM nexts GROUP BY host, parent, next) JOIN (SELECT host, parent, sum(total) AS pool FROM plain GROUP BY host, parent) USING (host, parent) WHERE n >= 0.05 * pool),
+    pairs AS (SELECT a.host, a.parent, a.token, b.token AS other, a.total AS n, b.total AS m, abs(a.purity - b.purity) AS apart FROM plain a JOIN plain b ON a.host = b.host AND a.parent = b.parent),
+    shares AS (SELECT q.*, c.next, coalesce(x.n, 0) / CAST(q.n AS DOUBLE) AS p, coalesce(y.n, 0) / CAST(q.m AS DOUBLE) AS q FROM pairs q LEFT JOIN classes c ON q.host = c.host AND q.parent = c.parent
+        LEFT JOIN nexts x ON x.host = q.host AND x.parent = q.parent AND x.token = q.token AND x.next = c.next LEFT JOIN nexts y ON y.host = q.host AND y.parent = q.parent AND y.token = q.other AND y.next = c.next),
+    tests AS (SELECT host, parent, token, other, m, apart, count(CASE WHEN p + q > 0 THEN 1 END) AS k, 1.0 / n + 1.0 / m AS noise,
+        coalesce(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0) + (2 - coalesce(sum(p), 0) - coalesce(sum(q), 0)) / 2 AS bits FROM shares GROUP BY ALL),
+    leaders AS (SELECT host, parent, token, arg_max(other, (m, other)) AS leader FROM tests WHERE round(bits, 9) <= least(0.25, round(0.02 + 3 * (k - 1) * noise / (8 * ln(2)), 9)) AND round(apart, 9) <= 0.2 GROUP BY host, parent, token),
+    merged AS (SELECT host, parent, leader, list_sort(list(token)) AS toks FROM leaders GROUP BY host, parent, leader),
+    segs AS (SELECT host, parent, token, seg FROM named WHERE seg IS NOT NULL UNION ALL SELECT host, parent, unnest(toks) AS token, CASE WHEN len(toks) > 1 THEN '{{' || array_to_string(toks, '|') || '}}' ELSE toks[1] END AS seg FROM merged),
     tpl AS (SELECT k.host, k.key, k.good, k.bad, '/' || coalesce(template, '') AS template FROM k LEFT JOIN (SELECT host, key, string_agg(seg, '/' ORDER BY pos) AS template FROM t JOIN segs USING (host, parent, token) GROUP BY host, key) x ON k.host = x.host AND k.key = x.key),
     rated AS (SELECT host, template, (sum(good) + 1.0) / (sum(good) + sum(bad) + 2.0) AS purity FROM tpl GROUP BY host, template)
-    SELECT page_id, u.host, path, rule, coalesce(what, CASE WHEN purity < 0.3 THEN 'block' ELSE 'allow' END) AS verdict, tpl.template, CAST(purity AS DOUBLE) AS purity
-    FROM u JOIN tpl ON u.host = tpl.host AND array_to_string(u.shape, '/') = tpl.key JOIN rated ON tpl.host = rated.host AND tpl.template = rated.template"""
+    SELECT page_id, v.host, path, rule, coalesce(what, CASE WHEN purity < 0.3 THEN 'block' ELSE 'allow' END) AS verdict, tpl.template, CAST(purity AS DOUBLE) AS purity
+    FROM v JOIN tpl ON v.host = tpl.host AND array_to_string(v.shape, '/') = tpl.key JOIN rated ON tpl.host = rated.host AND tpl.template = rated.template"""
 
 
 ORACLE_SQL: dict[str, str] = {"op2_warc_fixity": _fixity_sql(), "op3_url_templates": _templates_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
