@@ -3,7 +3,8 @@
 All vectors are normalised and rotated onto the principal axes, which keeps cosines. Linked vectors are close on the
 first axes, so only equal and adjacent cells of a grid on them (by default on the first alone) are compared, chunk by chunk. A tile adds up products of
 leading dimensions, bounds the rest by the norms of the remaining ones, and drops the rows that cannot reach the
-threshold any more. It returns sums and a spanning forest of its links, never all pairs.
+threshold any more; pairs too near the threshold for that are decided by the cosine of the vectors as they are. It returns sums and a spanning
+forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, cut, forest
+from corpusloom.llm.common import components, forest
+from corpusloom.plans.lineage import cut
 
 STEP = 16
+CLOSE = 1e-9  # products of turned vectors are this exact and more
 
 
 def principal_axes(moment: np.ndarray, sweeps: int = 12) -> np.ndarray:
@@ -40,15 +43,16 @@ def principal_axes(moment: np.ndarray, sweeps: int = 12) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding of doubles): rows that can link."""
+    """(vec_id, label, embedding): rows that can link."""
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(e, lambda x: x != 0)
-    return vectors.select("vec_id", "label", e.alias("embedding")).where("vec_id is not null and label is not null and embedding is not null").where(finite & some)
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # floats stay floats: half the bytes to move
+    return vectors.where("vec_id is not null and label is not null and embedding is not null").where(finite & some).select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
 
 
-def unit(batch: pd.Series, width: int) -> np.ndarray:
-    x = np.stack(batch.to_numpy()).astype(float).reshape(-1, width)
+def unit(rows: np.ndarray, width: int) -> np.ndarray:
+    x = np.asarray(rows, float).reshape(-1, width)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -60,7 +64,7 @@ def fit_axes(vectors: DataFrame, width: int) -> np.ndarray:
         total = np.zeros((width, width))
         for b in batches:
             if len(b):
-                x = unit(b["embedding"], width)
+                x = unit(np.stack(b["embedding"].to_numpy()), width)
                 total += x.T @ x
         yield pd.DataFrame({"at": np.arange(width * width), "value": total.ravel()})
 
@@ -71,10 +75,13 @@ def fit_axes(vectors: DataFrame, width: int) -> np.ndarray:
     return principal_axes((moment + moment.T) / 2)
 
 
-def tile_products(a: np.ndarray, b: np.ndarray, at_least: float, rows_at_once: int = 512) -> np.ndarray:
-    """Which pairs of rows have a product of at least ``at_least``: leading dimensions first, with the residual bounded."""
+def tile_products(a: np.ndarray, b: np.ndarray, at_least: float, rows_at_once: int = 512, exact: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which pairs of rows have a product of at least ``at_least``: leading dimensions first, with the residual bounded.
+
+    ``exact``: the vectors of the rows before they were turned; their cosines decide where the products lie within CLOSE of the bound.
+    """
     if len(a) > rows_at_once:
-        return np.concatenate([tile_products(a[i : i + rows_at_once], b, at_least, rows_at_once) for i in range(0, len(a), rows_at_once)])
+        return np.concatenate([tile_products(a[i : i + rows_at_once], b, at_least, rows_at_once, exact and (exact[0][i : i + rows_at_once], exact[1])) for i in range(0, len(a), rows_at_once)])
     link = np.zeros((len(a), len(b)), bool)
     rest = lambda x: np.sqrt(np.maximum((x * x)[:, ::-1].cumsum(1)[:, ::-1], 0))
     ra, rb = rest(a), rest(b)
@@ -91,6 +98,12 @@ def tile_products(a: np.ndarray, b: np.ndarray, at_least: float, rows_at_once: i
         if not (r.all() and c.all()):
             rows, cols, s = rows[r], cols[c], s[np.ix_(r, c)]
     link[np.ix_(rows, cols)] = s >= at_least
+    if exact is not None:
+        i, j = np.nonzero(np.abs(s - at_least) <= CLOSE)
+        i, j = rows[i], cols[j]
+        for at in range(0, len(i), 4096):
+            x, y = exact[0][i[at : at + 4096]].astype(float), exact[1][j[at : at + 4096]].astype(float)
+            link[i[at : at + 4096], j[at : at + 4096]] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)) >= at_least
     return link
 
 
@@ -99,10 +112,12 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.93, chunk: int = 204
 
     Null, zero and non-finite vectors, null labels and null ids link with nothing; vectors of different lengths don't either.
     Equal vectors are compared once, with their number. Rows are counted, so repeated rows link with each other. An empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; other columns are not read, whatever their names. Very wide vectors cost a matrix of width * width in the driver and
+    in every task; vectors are read and compared in tiles, so a label of m vectors in a cell costs m * m / chunk² tiles.
     """
     good = usable(vectors).withColumn("width", F.size("embedding"))
-    keyed = good.withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.hash("label", "embedding"))
+    as_double = F.col("embedding").cast("array<double>")
+    keyed = good.withColumn("k1", F.xxhash64(F.col("label"), as_double)).withColumn("k2", F.hash(F.col("label"), as_double))
     classes = cut(keyed.groupBy("label", "width", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("embedding").alias("embedding")))
     found = None
     for width in sorted(r["width"] for r in classes.select("width").distinct().collect()):  # lengths, usually one
@@ -131,11 +146,11 @@ def tile_sums(classes: DataFrame, width: int, at_least: float, chunk: int, axes:
     def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = unit(b["embedding"], width) @ turn
+                x = unit(np.stack(b["embedding"].to_numpy()), width) @ turn
                 cells = np.floor(x[:, :axes] / side).astype(int)
-                yield pd.DataFrame({"label": b["label"], "cx": cells[:, 0], "cy": cells[:, axes - 1], "rep": b["rep"], "n": b["n"], "x": [r.tobytes() for r in x]})
+                yield pd.DataFrame({"label": b["label"], "cx": cells[:, 0], "cy": cells[:, axes - 1], "rep": b["rep"], "n": b["n"], "x": [np.asarray(r, of).tobytes() for r in b["embedding"]]})
 
-    kind = dict(classes.dtypes)["label"]
+    kind, of = dict(classes.dtypes)["label"], np.float32 if dict(classes.dtypes)["embedding"] == "array<float>" else float
     rows = cut(classes.select("label", "rep", "n", "embedding").mapInPandas(rotate, f"label {kind}, cx int, cy int, rep long, n long, x binary"))
     cells = rows.groupBy("label", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("q"))
     near = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
@@ -151,15 +166,16 @@ def tile_sums(classes: DataFrame, width: int, at_least: float, chunk: int, axes:
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "rep"], kind="stable")
-        x = np.frombuffer(b"".join(pdf["x"]), float).reshape(len(pdf), width)
+        raw = np.frombuffer(b"".join(pdf["x"]), of).reshape(len(pdf), width)
+        x = unit(raw, width) @ turn
         rep, n, m = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), int((pdf["side"] == 0).sum())
         full = np.zeros((len(pdf), len(pdf)), bool)
         if pdf["alone"].iloc[0]:
-            full = tile_products(x, x, at_least)
+            full = tile_products(x, x, at_least, exact=(raw, raw))
             np.fill_diagonal(full, False)
             full |= full.T
         else:
-            full[:m, m:] = tile_products(x[:m], x[m:], at_least)
+            full[:m, m:] = tile_products(x[:m], x[m:], at_least, exact=(raw[:m], raw[m:]))
             full[m:, :m] = full[:m, m:].T
         total, edges = full @ n, forest(full)
         has = total > 0

@@ -3,8 +3,9 @@
 Light sets (small) enumerate all their subsets of the fixed sizes that a similar partner must share and meet in equal
 subsets. Heavy sets (large) cut the hash space into more ranges than a similar partner can differ in and meet in an
 equal range; shingles that many documents share are left out of it. The boundary is the size up to which enumeration costs less than the ranges. Sets that meet,
-directly or by others, form a block; inside blocks the inverted lists of all shingles are scanned, in tiles of bounded
-size, and exact overlaps decide. A tile returns a spanning forest of its links, never all pairs.
+directly or by others, form a block. In a large block all sets are compared with one pivot first: those linked to it need not be compared with one
+another. Then the inverted lists of all shingles are scanned, in tiles of bounded size, and exact overlaps decide. A tile returns a spanning
+forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, components, cut, forest, hinted, mix, release, shingles, tidy
+from corpusloom.llm.common import WordHashes, components, forest, hinted, mix, release, shingles, tidy
+from corpusloom.plans.lineage import cut
 
 
 def needed(r: int, s: int, num: int, den: int) -> int:
@@ -132,7 +134,7 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarr
             for text in b["text"]:
                 h = shingles(hashes.of(text), n)
                 if len(h) and (k := set_key(h)) not in seen:
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= 300_000:
                         seen.clear()
                     seen.add(k)
                     keys.append(k)
@@ -202,24 +204,60 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def pivot_links(large: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(rep, block, pivot) of the sets linked to their block's pivot, itself included. ``large``: (rep, block, copies); the pivot is the rep with most copies, then the least."""
+    pivots = cut(large.groupBy("block").agg(F.max_by("rep", F.struct("copies", -F.col("rep"))).alias("pivot")))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            yield pd.DataFrame({"block": b["block"], "pivot": b["pivot"], "raw": [shingles(hashes.of(t), n).tobytes() for t in b["text"]]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            ok = []
+            for text, raw in zip(b["text"], b["raw"]):
+                x, y = shingles(hashes.of(text), n), np.frombuffer(raw, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
+            yield b.loc[ok, ["rep", "block", "pivot"]]
+
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    of_pivots = texts.withColumnRenamed("rep", "pivot").join(hinted(pivots), "pivot").mapInPandas(tidy(sets), "block long, pivot long, raw binary")
+    of_pivots = cut(of_pivots.groupBy("block").agg(F.first("pivot").alias("pivot"), F.first("raw").alias("raw")))
+    members = texts.join(hinted(cut(large.select("rep", "block"))), "rep").join(hinted(of_pivots), "block")
+    return members.mapInPandas(tidy(compare), "rep long, block long, pivot long").distinct()
+
+
 def tile_links(blocks: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Forest edges (src, dst) of the links in every block. ``blocks``: (rep, block, q), q chunks to deal the block into."""
+    """Forest edges (src, dst) of the links in every block. ``blocks``: (rep, block, linked, q, r): whether the set is linked to the block's pivot;
+    q chunks to deal the others into, r for the linked ones. Chunks of linked sets are compared with those of the others only."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
+        columns = ["block", "i", "j", "second", "rep", "raw"]
         for b in batches:
             out = []
-            for rep, block, q, text in zip(b["rep"], b["block"], b["q"], b["text"]):
-                raw, mine = shingles(hashes.of(text), n).tobytes(), int(mix(np.array([rep], np.int64).view(np.uint64))[0]) % q
-                out += [(block, min(mine, j), max(mine, j), mine > j, rep, raw) for j in range(q)]
+            for rep, block, linked, q, r, text in zip(b["rep"], b["block"], b["linked"], b["q"], b["r"], b["text"]):
+                h = shingles(hashes.of(text), n)
+                one = hash((rep, set_key(h)))  # rows that repeat a document go on once
+                if not len(h) or one in seen:
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(one)
+                raw, by = h.tobytes(), int(mix(np.array([rep], np.int64).view(np.uint64))[0])
+                mine = q + by % r if linked else by % q
+                out += [(block, min(mine, j), max(mine, j), mine > j, rep, raw) for j in range(q if linked else q + r)]
                 if len(out) >= 256:
-                    yield pd.DataFrame(out, columns=["block", "i", "j", "second", "rep", "raw"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["block", "i", "j", "second", "rep", "raw"])
+                yield pd.DataFrame(out, columns=columns)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["second", "rep"], kind="stable")
+        pdf = pdf.drop_duplicates(["rep", "raw"]).sort_values(["second", "rep"], kind="stable")
         sets = [np.frombuffer(x, np.uint64) for x in pdf["raw"]]
         sizes, alone = np.array([len(s) for s in sets], np.float32), pdf["i"].iloc[0] == pdf["j"].iloc[0]
         n = len(sets) if alone else int((~pdf["second"]).sum())
@@ -237,7 +275,7 @@ def tile_links(blocks: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
         return pd.DataFrame({"src": [rep[a] for a, _ in edges], "dst": [rep[b] for _, b in edges]}, dtype="int64")
 
     # without a doc_id that is unique, any of its rows would do for another: the set decides
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(hinted(blocks), "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(hinted(blocks.where("not linked or q > 0")), "rep")
     dealt = texts.mapInPandas(tidy(deal), "block long, i int, j int, second boolean, rep long, raw binary")
     return dealt.groupBy("block", "i", "j").applyInPandas(link, "src long, dst long")
 
@@ -247,7 +285,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     Words are A-Z lower-cased runs without ASCII white space; with fewer than ``n`` words the whole sequence is one shingle.
     Null texts and texts without words have an empty set and are linked with nothing; so are rows with a null doc_id.
-    Equal texts are linked. component_id is the smallest doc_id reachable. An empty table gives an empty result.
+    Equal texts are linked. component_id is the smallest doc_id reachable. An empty table gives an empty result; other columns are not
+    read, whatever their names. Very long texts are one set each; a tile that holds them has fewer sets.
     """
     seen = cut(profile(docs, n))
     named = seen.where("token is null").select("doc_id", "n_shingles", "node")
@@ -256,10 +295,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     met = signed.select("node", first.alias("first")).where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
     block = cut(components(met))
     reps = cut(named.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")))
-    placed = cut(reps.join(hinted(block), "node").select("rep", "size", F.col("component").alias("block")))
-    chunks = placed.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_rows), F.ceil(F.sum("size") / most_shingles)).cast("int").alias("q"))
-    blocks = cut(placed.join(chunks, "block").select("rep", "block", "q"))
-    linked = components(tile_links(blocks, docs, n, num, den))
+    placed = cut(reps.join(hinted(block), "node").select("rep", "size", "copies", F.col("component").alias("block")))
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / most_rows), F.ceil(F.sum("size") / most_shingles)).cast("int")
+    large = hinted(cut(placed.groupBy("block").agg(chunks.alias("q")).where("q > 1").select("block")))
+    to_pivot = cut(pivot_links(cut(placed.join(large, "block", "left_semi").select("rep", "block", "copies")), docs, n, num, den))
+    of_block = placed.join(hinted(to_pivot.select("rep", F.lit(True).alias("linked"))), "rep", "left").select("rep", "block", "size", F.coalesce("linked", F.lit(False)).alias("linked"))
+    count = of_block.groupBy("block", "linked").agg(chunks.alias("n"))
+    deals = cut(count.groupBy("block").agg(F.coalesce(F.max(F.when(~F.col("linked"), F.col("n"))), F.lit(0)).alias("q"), F.coalesce(F.max(F.when(F.col("linked"), F.col("n"))), F.lit(0)).alias("r")))
+    blocks = cut(of_block.join(hinted(deals), "block").select("rep", "block", "linked", "q", "r"))
+    edges = tile_links(blocks, docs, n, num, den).union(to_pivot.select(F.col("rep").alias("src"), F.col("pivot").alias("dst")))
+    linked = components(edges)
     known = reps.join(linked, reps["rep"] == linked["node"], "left").where("component is not null or copies > 1")
     known = cut(known.select(reps["node"], F.coalesce("component", "rep").alias("component_id")))
     out = named.join(known, "node", "left")

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, tidy
+from corpusloom.llm.common import tidy
+from corpusloom.plans.lineage import cut
 
 
 @lru_cache(maxsize=2)
@@ -157,6 +158,7 @@ def assign(found: DataFrame, capacity: int = 2048, grid: int = 8) -> DataFrame:
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     full = -(-capacity // grid) + 1
     cls = F.when(F.col("length") == capacity, full).otherwise(F.ceil(F.col("length") / grid)).cast("int")
+    ties = [c for c in ("ids_crc32", "doc_tokens") if c in found.columns]  # repeated ids of different texts have one order, too
     rows = found.withColumn("cls", cls).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
     counts = rows.groupBy("cls", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["cls"]: r["n"] for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect()}  # capacity / grid + 1 rows at most
@@ -172,16 +174,18 @@ def assign(found: DataFrame, capacity: int = 2048, grid: int = 8) -> DataFrame:
     places.append((full, 0, histogram.get(full, 0), 1, first))
     places = spark.createDataFrame(places, "cls int, low long, high long, each long, first long")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("cls").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("cls", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cls", "salt").orderBy("doc_id", "start")) - 1).join(before, ["cls", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cls", "salt").orderBy("doc_id", "start", *ties)) - 1).join(before, ["cls", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     # the places are bounded by classes times patterns, both at most capacity / grid
     placed = ranked.join(F.broadcast(places), "cls").where("rank >= low and rank < high").withColumn("sequence_id", F.expr("first + (rank - low) div each"))
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", *ties, "rank").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(*found.columns, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, grid: int = 8) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Sequences hold at most ``capacity`` tokens. Null texts count as empty; an empty table gives an empty result; other columns are not read.
+    Sequences hold at most ``capacity`` tokens. Null texts count as empty; an empty table gives an empty result; other columns are not read,
+    whatever their names. Repeated rows are packed each; pieces that are equal in all columns are interchangeable. A very long text gives
+    as many whole sequences as it fills, and one remainder.
     """
     return assign(cut(pieces(docs, tokenizer_json, capacity=capacity)), capacity, grid)

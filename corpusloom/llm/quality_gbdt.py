@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 
 
 def score(docs: DataFrame, trees: Trees, at_least: float = 0.3) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= at_least). Columns of these names are replaced.
+    """``docs`` with score (0 to 1) and predicted (1 if score >= at_least). Columns of these names are replaced; keep() leaves them alone.
 
     Null and empty texts get the score of all-zero statistics. Equal texts have equal scores.
     """
@@ -146,7 +146,18 @@ def score(docs: DataFrame, trees: Trees, at_least: float = 0.3) -> DataFrame:
     return docs.withColumn("score", run("text")).withColumn("predicted", (F.col("score") >= at_least).cast("int"))
 
 
+def keep(docs: DataFrame, trees: Trees, at_least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text has a score of ``at_least``, with all columns as they are, whatever their names."""
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = score(whole, trees, at_least).where("predicted = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document. Repeated rows give repeated results; empty tables an empty one."""
+    """doc_id, held_out, score, predicted for every document.
+
+    Null and empty texts have the score of all-zero statistics; repeated rows give repeated results, equal texts equal scores; empty tables give
+    an empty result; other columns are not read, whatever their names. A text's statistics are those of all of it, however long.
+    """
     trees = train(docs, labels, most_rows=most_rows)
     return score(docs.select("doc_id", "text"), trees).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")

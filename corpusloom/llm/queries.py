@@ -129,7 +129,7 @@ def _templates_sql() -> str:
         LEFT JOIN nexts x ON x.host = q.host AND x.parent = q.parent AND x.token = q.token AND x.next = c.next LEFT JOIN nexts y ON y.host = q.host AND y.parent = q.parent AND y.token = q.other AND y.next = c.next),
     tests AS (SELECT host, parent, token, other, m, apart, count(CASE WHEN p + q > 0 THEN 1 END) AS k, 1.0 / n + 1.0 / m AS noise,
         coalesce(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0) + (2 - coalesce(sum(p), 0) - coalesce(sum(q), 0)) / 2 AS bits FROM shares GROUP BY ALL),
-    leaders AS (SELECT host, parent, token, arg_max(other, (m, other)) AS leader FROM tests WHERE round(bits, 9) <= least(0.25, round(0.02 + 3 * (k - 1) * noise / (8 * ln(2)), 9)) AND round(apart, 9) <= 0.2 GROUP BY host, parent, token),
+    leaders AS (SELECT host, parent, token, arg_max(other, (m, other)) AS leader FROM tests WHERE token = other OR round(bits, 9) <= least(0.25, round(0.02 + 3 * (k - 1) * noise / (8 * ln(2)), 9)) AND round(apart, 9) <= 0.2 GROUP BY host, parent, token),
     merged AS (SELECT host, parent, leader, list_sort(list(token)) AS toks FROM leaders GROUP BY host, parent, leader),
     segs AS (SELECT host, parent, token, seg FROM named WHERE seg IS NOT NULL UNION ALL SELECT host, parent, unnest(toks) AS token, CASE WHEN len(toks) > 1 THEN '{{' || array_to_string(toks, '|') || '}}' ELSE toks[1] END AS seg FROM merged),
     tpl AS (SELECT k.host, k.key, k.good, k.bad, '/' || coalesce(template, '') AS template FROM k LEFT JOIN (SELECT host, key, string_agg(seg, '/' ORDER BY pos) AS template FROM t JOIN segs USING (host, parent, token) GROUP BY host, key) x ON k.host = x.host AND k.key = x.key),

@@ -1,6 +1,6 @@
 """SimHash document fingerprints and an exact search within a Hamming radius.
 
-Terms are the words and word triples of a text, and in one of few words its runs of four bytes; each votes with its weight for or against every bit. A search within
+Terms are the words and word triples of a text and, the fewer its words the heavier, its runs of four bytes; each votes with its weight for or against every bit. A search within
 radius r cuts the bits into blocks and lets each differ in so many bits that two fingerprints within r keep to that in one
 block at least: one table per block, probed with every such change of the block's bits, finds all of them.
 """
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, cut, mix
+from corpusloom.llm.common import WordHashes, hinted, mix
+from corpusloom.plans.lineage import cut
 
 BITS = 128
 SIZES = ((1, 1.0), (3, 3.0))
@@ -38,10 +39,11 @@ def fingerprint(text: str | None, hashes: WordHashes, sizes: tuple[tuple[int, fl
             u, times = np.unique(h, return_counts=True)
             terms.append(u)
             weights.append((weight * (1 + np.log(times))).astype(np.float32))
-    if len(words) < FEW_WORDS and len(raw := (text or "").encode("utf-8", "surrogatepass")) >= 4:
+    few = max(0.0, 1 - len(words) / FEW_WORDS)  # fades out: a word more or less doesn't change the terms at once
+    if few and len(raw := (text or "").encode("utf-8", "surrogatepass")) >= 4:
         u, times = np.unique(np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), 4) @ (256 ** np.arange(4, dtype=np.uint64)), return_counts=True)
         terms.append(mix(u))
-        weights.append((1 + np.log(times)).astype(np.float32))
+        weights.append((few * (1 + np.log(times))).astype(np.float32))
     if not terms:
         return np.zeros(BITS // 8, np.uint8)
     h, w = np.concatenate(terms), np.concatenate(weights)
@@ -62,27 +64,30 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def in_descending_order(docs: DataFrame) -> DataFrame:
+def in_descending_order(docs: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:
     """(part, copied, doc_id, text): rows dealt into ranges of doc_id, each sorted downwards, with a copy of the next range's first row at its end.
 
-    The range after the last is the first, so the last row is followed by the first one. Null ids come last.
+    Ranges hold about ``range_bytes`` of text, whatever the table's size. The range after the last is the first, so the last row is followed
+    by the first one. Null ids come last.
     """
+    from pyspark.ml.feature import Bucketizer
+
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = sorted({int(x) for x in d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.001)}) if parts > 1 else []
-    part = F.lit(len(ends)) - F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("doc_id"))) if ends else F.lit(0)
-    d = d.withColumn("part", F.when(F.col("doc_id").isNull(), len(ends)).otherwise(part).cast("int"))
-    heads = {r["part"]: r["head"] for r in d.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # one row a range
-    order = sorted(heads)
-    before = {heads[p]: order[i - 1] for i, p in enumerate(order) if heads[p] is not None}
-    if before:
-        lookup = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-        d = d.withColumn("to", F.when(F.col("doc_id").isin(list(before)), F.array(F.struct("part", F.lit(0).alias("copied")), F.struct(lookup[F.col("doc_id")].cast("int").alias("part"), F.lit(1).alias("copied")))).otherwise(F.array(F.struct("part", F.lit(0).alias("copied")))))
-    else:
-        d = d.withColumn("to", F.array(F.struct("part", F.lit(0).alias("copied"))))
-    d = d.select(F.explode("to").alias("to"), "doc_id", "text").select("to.part", "to.copied", "doc_id", "text")
-    return d.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "copied", F.desc_nulls_last("doc_id"))
+    total = d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    ends = sorted({float(x) for x in d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], max(1 / (4 * parts), 1e-5))})
+    # the number of ends up to an id, by binary search; as doubles ids keep their order, equal ones share a range
+    key = d.withColumn("key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
+    ranged = Bucketizer(splits=[float("-inf"), *ends, float("inf")], inputCol="key", outputCol="range").transform(key)
+    d = ranged.select(F.lit(len(ends)).cast("int").alias("last"), "doc_id", "text", "range").select((F.col("last") - F.col("range")).cast("int").alias("part"), "doc_id", "text")
+    heads = cut(d.groupBy("part").agg(F.max("doc_id").alias("head")).where("head is not null"))  # one row a range
+    order = Window.orderBy("part")
+    turn = F.coalesce(F.lag("part").over(order), F.last("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    before = hinted(cut(heads.select(F.col("head").alias("doc_id"), turn.alias("before"))))
+    to = F.concat(F.array(F.struct("part", F.lit(0).alias("copied"))), F.when(F.col("before").isNotNull(), F.array(F.struct(F.col("before").alias("part"), F.lit(1).alias("copied")))).otherwise(F.array().cast("array<struct<part:int,copied:int>>")))
+    d = d.join(before, "doc_id", "left").select(F.explode(to).alias("to"), "doc_id", "text").select("to.part", "to.copied", "doc_id", "text")
+    return d.repartition(len(ends) + 1, "part").sortWithinPartitions("part", "copied", F.desc_nulls_last("doc_id"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -90,7 +95,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by the beginning of the next document's, by descending doc_id. Null texts
     count as empty (likeness of two texts without words is 1); a single document follows itself. Repeated ids give
-    repeated results; other columns are not read.
+    repeated results, in any order among themselves; other columns are not read, whatever their names; an empty table gives an empty
+    result. A very long text's votes are added up in runs of terms.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -161,7 +161,9 @@ def edited_counts(docs: DataFrame, rank_file: str, edits: str = "edits") -> Data
     """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_pretokens, n_reencoded of documents with a column of edits.
 
     ``edits``: array of struct(at, delete, insert), applied in order to the text as it is then. Null texts count as empty,
-    null edits as none, nulls within an edit as 0 or ''. A map over partitions; nothing is shuffled.
+    null edits as none, nulls within an edit as 0 or ''. Repeated rows give repeated results; an empty table gives an empty one; columns besides
+    doc_id, text and the one named by ``edits`` are not read. A very long text costs one encoding, whatever the number of its edits.
+    A map over partitions; nothing is shuffled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

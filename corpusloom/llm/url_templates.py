@@ -83,7 +83,7 @@ def path_templates(paths: DataFrame, most_children: int = 24, least_share: float
 
     A segment becomes ``*`` if its parent has more than ``most_children`` different ones and it less than ``least_share`` of the
     parent's urls. Of the others, at most most_children or 1 / least_share for each parent, every one joins the most frequent sibling
-    that is alike(); those that join the same one are merged. Next segments are named if they have ``least_share`` among all the siblings.
+    that is alike(), itself included; those that join the same one are merged. Next segments are named if they have ``least_share`` among all the siblings.
     """
     p = paths.withColumn("key", F.array_join("shape", "/"))
     parts = p.select("host", "key", "n", "good", "bad", "shape", F.posexplode("shape").alias("at", "token"))
@@ -104,7 +104,7 @@ def path_templates(paths: DataFrame, most_children: int = 24, least_share: float
     share = F.transform(F.coalesce("classes", F.array().cast("array<string>")), lambda c: F.coalesce(F.try_element_at("counts", c), F.lit(0)) / F.col("total"))
     # siblings are few by the bound above, so a parent's are one row
     siblings = profile.groupBy("host", "parent").agg(F.collect_list(F.struct("token", "total", "purity", share.alias("p"))).alias("all"))
-    leader = F.transform("all", lambda x: F.struct(x["token"].alias("token"), F.array_max(F.transform(F.filter("all", lambda y: alike(x, y)), lambda y: F.struct(y["total"].alias("n"), y["token"].alias("token"))))["token"].alias("leader")))
+    leader = F.transform("all", lambda x: F.struct(x["token"].alias("token"), F.array_max(F.transform(F.filter("all", lambda y: (y["token"] == x["token"]) | alike(x, y)), lambda y: F.struct(y["total"].alias("n"), y["token"].alias("token"))))["token"].alias("leader")))
     led = siblings.select("host", "parent", F.explode(leader).alias("x")).select("host", "parent", "x.token", "x.leader")
     merged = led.groupBy("host", "parent", "leader").agg(F.array_sort(F.collect_set("token")).alias("of"))
     merged = merged.select("host", "parent", F.explode("of").alias("token"), F.when(F.size("of") > 1, F.concat(F.lit("{"), F.array_join("of", "|"), F.lit("}"))).otherwise(F.col("of")[0]).alias("seg"))
