@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-import re
+import time
 
 import numpy as np
 import pytest
@@ -12,36 +12,8 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 from corpusloom.llm import embedding_dedup, jaccard_join, url_templates, warc_fixity  # noqa: E402
-from corpusloom.llm.common import components, forest  # noqa: E402
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def leaders(nodes, links):
-    up = {n: n for n in nodes}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        up[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
-
-
-def shingle_set(text, n):
-    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
-
-
-def joined(texts, n, num, den):
-    sets = {i: shingle_set(t, n) for i, t in texts.items()}
-    ids = list(texts)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and den * (o := len(sets[a] & sets[b])) >= num * (len(sets[a]) + len(sets[b]) - o)]
-    return {i: len(s) for i, s in sets.items()}, leaders(ids, links), links
-
+from corpusloom.llm.common import components, forest, free_name, hinted  # noqa: E402
+from plain import joined, leaders  # noqa: E402
 
 def near_copies(seed, groups=8, each=9, sizes=(1, 90)):
     r = random.Random(seed)
@@ -98,6 +70,44 @@ def test_jaccard_of_odd_tables(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and kept.columns == ["doc_id", "text", "n_chars"]
 
 
+def test_a_large_group_meets_its_pivot_first(spark):
+    """Blocks far larger than a tile: most sets are linked to the pivot, some only to others, some to nothing; rows that repeat an id with one text or several."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 3
+    for i in range(60):
+        w = list(base)
+        w[i % 60] = f"y{i}"
+        texts.append(" ".join(w))
+    for i in range(12):  # a chain that leaves the pivot step by step
+        w = [f"z{k}" if k < 3 * i else x for k, x in enumerate(base)]
+        texts.append(" ".join(w))
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(3)
+    sizes, component, links = joined(dict(enumerate(texts)), 4, 85, 100)
+    assert len(set(component.values())) > 1
+    got = jaccard_join.jaccard_components(docs, most_rows=6).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], component[i]) for i in sizes}
+    many = docs.union(docs.where("doc_id = 0").crossJoin(spark.range(200)).select("doc_id", "text", "block")).union(spark.createDataFrame([(0, "quite another text", "x"), (0, None, "x")], docs.schema))
+    again = jaccard_join.jaccard_components(many, most_rows=6).where("doc_id <> 0").collect()
+    assert {r["doc_id"]: r["component_id"] for r in again} == {i: component[i] for i in sizes if i}
+    assert dict(jaccard_join.jaccard_components(docs).dtypes)["n_shingles"] == "bigint"
+
+
+def test_components_end_or_raise(spark):
+    path = spark.range(2000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    with pytest.raises(RuntimeError):
+        components(path, most_rounds=2)
+    assert components(path).where("component <> 0").count() == 0
+    nulls = spark.createDataFrame([(1, None), (None, 2), (3, 4)], "src long, dst long")
+    assert sorted(map(tuple, components(nulls).collect())) == [(3, 3), (4, 3)]
+
+
+def test_small_helpers(spark):
+    d = spark.createDataFrame([(1, "x" * 500)], "a long, _A string")
+    assert free_name("a", d) == "__a" and free_name("b", d) == "b"
+    assert "broadcast" in hinted(d)._jdf.queryExecution().logical().toString() and "broadcast" not in hinted(d, most_bytes=300)._jdf.queryExecution().logical().toString()
+
+
 def test_components_and_forest(spark):
     r = random.Random(1)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(5, 5)]
@@ -132,6 +142,25 @@ def test_embedding_links_equal_brute_force(spark, seed, chunk, axes):
     assert embedding_dedup.near_duplicates(table.where("vec_id >= 900 and vec_id < 905")).count() == 5
 
 
+def test_pairs_at_the_bound_are_decided_by_the_vectors_as_they_are(spark):
+    """Cosines of exactly the bound and of the next number below it, and vectors of many dimensions."""
+    x = np.zeros(64)
+    x[0] = 1
+    pairs = []
+    for c in (0.93, np.nextafter(0.93, 0), np.nextafter(0.93, 1)):
+        y = np.zeros(64)
+        y[0], y[1] = c, np.sqrt(1 - c * c)
+        pairs.append(y)
+    rows = [(0, x.tolist(), 0), *((i, y.tolist(), 0) for i, y in enumerate(pairs, 1))]
+    cosine = lambda y: float((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum()))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[0] == sum(cosine(y) >= 0.93 for y in pairs)
+    wide = np.random.default_rng(5).normal(size=(12, 300))
+    wide[7] = wide[3] * 2
+    table = spark.createDataFrame([(i, v.tolist(), 1, "cell") for i, v in enumerate(wide)], "vec_id long, embedding array<double>, label int, cx string")
+    assert {r["vec_id"] for r in embedding_dedup.near_duplicates(table).where("n_links = 1").collect()} == {3, 7}
+
+
 def test_principal_axes_and_tiles():
     r = np.random.default_rng(4)
     m = r.normal(size=(30, 12))
@@ -170,6 +199,24 @@ def test_templates_carry_labels_to_other_urls(spark):
     assert by["/uaa/home"]["template"] == "/*/home", "many rare siblings become a wildcard"
 
 
+def test_branches_that_share_nothing_stay_apart(spark):
+    urls = [f"http://h.com/news/sport/{w}{i}x" for i in range(40) for w in ("a", "b")] + [f"http://h.com/shop/cart/{i}" for i in range(80)]
+    urls += [f"http://k.com/a/{s}/{chr(97 + i % 26)}{chr(97 + i // 26)}" for s in "xy" for i in range(50)]
+    urls += [f"http://m.com/{s}/list/{i}" for s in ("red", "blue", "green") for i in range(30)] + ["http://m.com/odd/thing"]
+    urls += ["http://long.com/" + "s/" * 30000 + "end", "http://long.com/" + "q" * 100000]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] * 2, "page_id long, url string, template string")
+    rules = [("block", f"m.com/red/list/{i}") for i in range(10, 20)] + [("block", f"m.com/blue/list/{i}") for i in range(10, 20)]
+    rows = url_templates.judge_urls(pages, rules).collect()
+    assert len(rows) == 2 * len(urls), "repeated rows are judged each"
+    by = {r["path"]: r for r in rows}
+    assert by["/news/sport/a3x"]["template"] == "/news/sport/<id>" or by["/news/sport/a3x"]["template"].startswith("/news/sport/")
+    assert by["/shop/cart/3"]["template"] == "/shop/cart/<n>"
+    assert {r["template"].split("/")[2] for r in rows if r["host"] == "k.com"} == {"x", "y"}, "rare segments say nothing of likeness"
+    assert by["/red/list/25"]["template"] == "/{blue|red}/list/<n>" and by["/red/list/25"]["verdict"] == "block" and by["/red/list/25"]["rule"] is None
+    assert by["/green/list/5"]["verdict"] == "allow" and by["/green/list/5"]["template"] == "/green/list/<n>", "no labels, so unlike those that are all bad"
+    assert by["/" + "s/" * 30000 + "end"]["template"] == "/" + "/".join(["s"] * 16) + "/**" and by["/" + "q" * 100000]["template"] == "/<id>"
+
+
 # ---- fixity ----
 def test_audit_finds_exactly_the_damage(spark, tmp_path):
     pages = spark.createDataFrame([(i // 2, f"http://h/{i}", f"<p>{'é' * (i % 50)}\r\n\r\n{i}") for i in range(600)] + [(None, None, None), (7, "http://h/14", "<p>" + "é" * 14 + "\r\n\r\n14")], "page_id long, url string, html string")
@@ -185,7 +232,32 @@ def test_audit_finds_exactly_the_damage(spark, tmp_path):
     assert warc_fixity.audit(a, a).where("status <> 'intact'").count() == 0
     empty = pages.limit(0)
     assert warc_fixity.fixity_audit(empty, empty, F.lit(False)).count() == 0
-    warc_fixity.write_warc(pages, str(tmp_path / "w"))
-    read = warc_fixity.read_warc(spark, str(tmp_path / "w"))
-    assert sorted(r["sha256"] for r in read.collect()) == sorted(r["sha256"] for r in a.collect())
-    assert read.where("url = 'http://h/14'").first()["body"] == "<p>" + "é" * 14 + "\r\n\r\n14"
+
+
+def test_files_are_read_in_splits_and_audited(spark, tmp_path):
+    """Bodies that hold records, files cut into many splits, a body made longer, a record that is gone, one that came."""
+    quoted = "WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nfoo"
+    rows = [(i // 2, f"http://h/{i}", f"<p>{'é' * (i % 50)}\r\n\r\n{i}" + (f"\r\n\r\n{quoted}" if i % 100 == 3 else ""), "x") for i in range(300)] + [(None, None, None, "y"), (7, "http://h/14", "again", "z"), (500, "http://long", "long " * 60000, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha256 string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        warc_fixity.write_warc(pages, str(tmp_path / "a"), 50)
+        columns = ["file", "offset", "length", "record_id", "sha256"]
+        read = warc_fixity.read_warc(spark, str(tmp_path / "a")).cache()
+        assert sorted(map(tuple, read.select(columns).collect())) == sorted(map(tuple, warc_fixity.laid_out(pages, 50).select(columns).collect()))
+        bodies = {r["url"]: bytes(r["body"]).decode() for r in read.collect()}
+        assert bodies["http://h/103"] == rows[103][2] and bodies["http://long"] == rows[-1][2] and bodies[""] == ""
+        longer = pages.withColumn("html", F.when(F.col("url") == "http://h/10", F.concat("html", F.lit("zz"))).otherwise(F.col("html")))
+        warc_fixity.write_warc(longer, str(tmp_path / "b"), 50)
+        a, b = (warc_fixity.read_warc(spark, str(tmp_path / n), bodies=False) for n in "ab")
+        got = warc_fixity.audit(a, b).cache()
+        assert {r["status"]: r["count"] for r in got.groupBy("status").count().collect()} == {"intact": len(rows) - 1, "altered": 1}
+        assert got.where("status = 'altered'").first()["url"] == "http://h/10"
+        other = warc_fixity.audit(a.where("url <> 'http://h/20'"), b.where("url <> 'http://h/200'"))
+        assert {(r["status"], r["url"]) for r in other.where("status <> 'intact'").collect()} == {("altered", "http://h/10"), ("missing", "http://h/200"), ("extra", "http://h/20")}
+        (tmp_path / "c").mkdir()
+        (tmp_path / "c" / "broken.warc").write_bytes(b"no head at all\r\n\r\nWARC/1.1\r\nContent-Length: x\r\n\r\n")
+        assert warc_fixity.read_warc(spark, str(tmp_path / "c")).where("record_id is null").count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
