@@ -1,4 +1,8 @@
-"""A corpus pipeline of four stages over ``documents``; every stage works on what the one before it kept."""
+"""A corpus pipeline of four stages over ``documents``; every stage works on what the one before it kept.
+
+All stages take tables with any further columns, whatever their names; the first three return the columns they were given, with repeated rows
+treated alike. Null and empty texts are scored, linked with nothing, redacted and packed (as one end id) like others; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import jaccard_join, packing, pii, quality_gbdt
-from corpusloom.llm.common import bounded_batches, cut
+from corpusloom.llm.common import bounded_batches
+from corpusloom.plans.lineage import cut, spread
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality. It learns from the labels of the documents that are there."""
     bounded_batches(spark)
     trees = quality_gbdt.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_gbdt.score(docs, trees).where("predicted = 1").select(*docs.columns)
+    return quality_gbdt.keep(docs, trees)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +39,12 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", keep_one_of_each_group), ("personal_data", redact_personal_data), ("packing", pack_sequences)]
-#: No stage can be said in SQL: trees, connected components, fitted weights and a linear program decide. Tests use brute force.
+#: Fitted trees, fitted weights and a linear program decide in three stages, which SQL can't say; tests hold run()'s rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
