@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+
+from corpusloom.functions.values import let
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -26,29 +26,28 @@ def auto_edits(term: str) -> int:
     return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
 
 
-def alignment_distance(a: str, b: str) -> int:
-    """Edits with adjacent transpositions as one (optimal string alignment)."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        before, last = last, row
-    return last[-1]
+def swaps(word: str) -> list[str]:
+    """``word`` with two adjacent characters exchanged, in every way."""
+    return [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)]
+
 
+def swapped(word: Column) -> Column:
+    """What swaps() gives, of a column."""
+    at = F.sequence(F.lit(1), F.length(word) - 1)
+    one = lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.lit(1)), F.substr(word, i, F.lit(1)), F.substr(word, i + 2, F.length(word)))
+    return F.when(F.length(word) > 1, F.transform(at, one)).otherwise(F.array().cast("array<string>"))
 
-@F.pandas_udf(IntegerType())
-def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else alignment_distance(a, b) for a, b in zip(left, right)], dtype="Int32")
 
+def near_edits(token: Column, term: Column, term_swaps: Column) -> Column:
+    """Edits between a token and a term up to 2, else 3; the exchange of adjacent characters is one edit. ``term_swaps``: swaps() of the term.
 
-def within_edits(left: Column, right: Column, most: Column) -> Column:
-    """A cheap test that every pair within ``most`` alignment edits passes: a transposition is two plain edits."""
-    far = F.abs(F.length(left) - F.length(right)) > most
-    return F.when(far, False).otherwise(F.levenshtein(left, right) <= 2 * most)
+    With an exchange among two edits, one of the words or both are exchanged once, and at most one plain edit is left.
+    """
+    plain = F.levenshtein(token, term, 2)  # -1 beyond 2
+    one = F.array_contains(term_swaps, token)
+    far = F.abs(F.length(token) - F.length(term)) > 1  # two edits with an exchange change the length by one at most
+    two = F.exists(term_swaps, lambda s: F.levenshtein(token, s, 1) >= 0) | let(swapped(token), lambda ts: F.exists(ts, lambda t: (F.levenshtein(t, term, 1) >= 0) | F.array_contains(term_swaps, t)))
+    return F.when((plain == 0) | (plain == 1), plain).when(one, 1).when(plain == 2, 2).when(far, 3).when(F.levenshtein(token, term, 4) < 0, 3).when(two, 2).otherwise(3)
 
 
 def highlight(text: Column, terms: list[str], before: str = "<em>", after: str = "</em>") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,15 @@ from corpusloom.plans.lineage import cut
 def breadth_first(starts: DataFrame, edges: DataFrame, most_depth: int, accept: Callable[[Column], Column] | None = None) -> DataFrame:
     """(url, depth, referrer): every url once, at its least depth, with the least referrer of that depth.
 
-    ``starts``: url. ``edges``: src, dst. ``accept`` decides on a target, before it is joined with anything. Ends early when a depth is empty.
+    ``starts``: url. ``edges``: src, dst; they are cut, so that links are extracted once and not at every depth. ``accept`` decides on a target,
+    before it is joined with anything. Ends when a depth is empty; a negative ``most_depth`` means no limit.
     """
     e = edges.select("src", "dst")
     if accept is not None:
         e = e.where(accept(F.col("dst")))
+    e = cut(e.distinct())
     seen = front = cut(starts.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer")))
-    for depth in range(1, most_depth + 1):
+    for depth in count(1) if most_depth < 0 else range(1, most_depth + 1):
         new = front.join(e, front["url"] == e["src"]).groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("referrer"))
         front = cut(new.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth"), "referrer"))
         if front.isEmpty():
@@ -42,19 +45,20 @@ def depth_state(depth: Column, most_depth: int) -> Column:
 
 
 def redirect_trails(redirects: DataFrame, most_hops: int = 10) -> DataFrame:
-    """(url, target, trail): where a chain of redirects ends and what it passes, loops cut at the url that comes again.
+    """(url, target, trail, complete): where a chain of redirects ends and what it passes, loops cut at the url that comes again.
 
-    ``redirects``: url, target, one for each url.
+    ``redirects``: url, target, one for each url. A chain of more than ``most_hops`` is not ``complete``: its target redirects further.
     """
-    step = redirects.select(F.col("url").alias("_from"), F.col("target").alias("_to"))
+    step = cut(redirects.select(F.col("url").alias("_from"), F.col("target").alias("_to")))
     out = cut(redirects.select("url", "target", F.array("url").alias("trail"), F.lit(True).alias("open")))
+    on = F.col("_to").isNotNull() & ~F.array_contains("trail", F.col("target"))
     for _ in range(most_hops):
         far = out.join(step, (out["target"] == step["_from"]) & out["open"], "left")
-        on = F.col("_to").isNotNull() & ~F.array_contains("trail", F.col("target"))
         out = cut(far.select("url", F.when(on, F.col("_to")).otherwise(F.col("target")).alias("target"), F.when(on, F.array_append("trail", F.col("target"))).otherwise(F.col("trail")).alias("trail"), F.coalesce(on, F.lit(False)).alias("open")))
         if out.where("open").isEmpty():
             break
-    return out.select("url", "target", "trail")
+    more = out.join(step, (out["target"] == step["_from"]) & out["open"], "left")
+    return more.select("url", "target", "trail", (~F.coalesce(on, F.lit(False))).alias("complete"))
 
 
 def orphans(previous: DataFrame, current: DataFrame, key: str = "url") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
+from corpusloom.plans.lineage import cut
 from corpusloom.schema import CHANGE_SECONDS
 
 
@@ -83,7 +84,8 @@ def fetch_schedule(docs: DataFrame, delay: Column, order: list[str], scope: str
     by = F.lit("") if scope == "crawler" else urls.host(F.col(url)) if scope == "site" else F.pmod(F.xxhash64(url), F.lit(threads)).cast("string")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = docs.withColumn("_by", by).withColumn("delay_ms", delay)
-    d = d.repartitionByRange(n, "_by", *order).sortWithinPartitions("_by", *order).withColumn("_part", F.spark_partition_id())
+    # cut: the sums within chunks and over them have to see the same chunks
+    d = cut(d.repartitionByRange(n, "_by", *order).sortWithinPartitions("_by", *order).withColumn("_part", F.spark_partition_id()))
     inside = F.sum("delay_ms").over(Window.partitionBy("_by", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("_in", F.coalesce(inside, F.lit(0)))
     chunk = d.groupBy("_by", "_part").agg(F.sum("delay_ms").alias("_sum"))

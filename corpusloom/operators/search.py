@@ -1,8 +1,9 @@
 """Full-text search: index tables and ranked queries on them.
 
-The index is a table of postings (doc_id, field, token, tf, length). Written with write_index() it is partitioned by a
-bucket of the token, so that a query reads the buckets of its terms only; made on the fly, all but the query's terms
-are dropped before anything is shuffled.
+The index is a table of postings (doc_id, field, token, tf, length), a vocabulary (field, token, df) and totals of each field. Written with
+write_index() postings are partitioned by a bucket of the token and the vocabulary by the token's length, so that a query reads the
+buckets of its terms and the lengths within reach of their typos; made on the fly, all but the query's terms are dropped before anything is
+shuffled.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import auto_edits, edit_distance, fragments, highlight, query_tokens, tokens, within_edits
+from corpusloom.functions.text import auto_edits, fragments, highlight, near_edits, query_tokens, swaps, tokens
+from corpusloom.functions.values import let
 from corpusloom.operators.filters import quick, require_query
 from corpusloom.plans.lineage import cut
 
-K1, B, BUCKETS = 1.2, 0.75, 64
+K1, B, LONGEST = 1.2, 0.75, 32
 
 
 def field_tokens(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
@@ -26,10 +28,26 @@ def field_tokens(docs: DataFrame, fields: list[str], key: str = "doc_id") -> Dat
     return docs.select(F.col(key).alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.field", "x.tokens")
 
 
+def counted(words: Column) -> Column:
+    """Array of struct(token, tf) of an array of words: sorted, so that equal ones are runs."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        size = lambda s, i: F.coalesce(F.get(s, i + 1), F.size(w)) - F.get(s, i)
+        return let(starts, lambda s: F.transform(s, lambda at, i: F.struct(F.get(w, at).alias("token"), size(s, i).cast("long").alias("tf"))))
+
+    return let(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>")))
+
+
+def postings_of(field_words: DataFrame) -> DataFrame:
+    """(doc_id, field, token, tf, length) of field_tokens(): counted in each row, nothing is shuffled. Rows that repeat a key stay apart."""
+    t = field_words.select("doc_id", "field", F.size("tokens").cast("long").alias("length"), F.explode(counted(F.col("tokens"))).alias("x"))
+    return t.select("doc_id", "field", "x.token", "x.tf", "length")
+
+
 def postings(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
-    """(doc_id, field, token, tf, length). A document's tokens are counted in place when its row is alone under its key."""
-    t = field_tokens(docs, fields, key).withColumn("length", F.size("tokens").cast("long"))
-    return t.select("doc_id", "field", "length", F.explode("tokens").alias("token")).groupBy("doc_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    """(doc_id, field, token, tf, length), one row for each document, field and distinct token."""
+    return postings_of(field_tokens(docs, fields, key))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -40,11 +58,14 @@ def document_lengths(docs: DataFrame, fields: list[str], key: str = "doc_id") ->
     return field_tokens(docs, fields, key).select("doc_id", "field", F.size("tokens").cast("long").alias("length"))
 
 
-def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id") -> None:
-    """Postings by bucket of the token, and the totals of each field."""
-    p = postings(docs, fields, key).withColumn("bucket", F.pmod(F.hash("token"), F.lit(BUCKETS)))
-    p.repartition(BUCKETS, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "field", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    totals(docs, fields, key).write.mode("overwrite").parquet(f"{path}/totals")
+def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id", buckets: int = 64, tasks_a_bucket: int = 8) -> None:
+    """Postings by bucket of the token, the vocabulary by length (up to LONGEST) and the totals of each field. Buckets should grow with the corpus: one holds a
+    part of the postings that a query reads as a whole."""
+    p = postings(docs, fields, key).withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets)))
+    p.repartition(buckets * tasks_a_bucket, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket))).sortWithinPartitions("bucket", "field", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    written = docs.sparkSession.read.parquet(f"{path}/postings")
+    document_frequency(written).withColumn("size", F.least(F.length("token"), F.lit(LONGEST))).repartition("size").write.mode("overwrite").partitionBy("size").parquet(f"{path}/vocabulary")
+    totals(docs, fields, key).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def totals(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
@@ -53,25 +74,38 @@ def totals(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame
 
 @dataclass
 class Index:
-    """Postings and the totals of each field (docs, mean length)."""
+    """Postings, totals of each field (docs, mean length) and, if written, the vocabulary (field, token, df, size) and number of buckets."""
 
     postings: DataFrame
     totals: DataFrame
+    words: DataFrame | None = None
+    buckets: int | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
+        totals = spark.read.parquet(f"{path}/totals")
+        first = totals.select("buckets").first()
+        return cls(spark.read.parquet(f"{path}/postings"), totals.drop("buckets"), spark.read.parquet(f"{path}/vocabulary"), first["buckets"] if first else 1)
 
     def of_terms(self, terms: list[str]) -> DataFrame:
         rows = self.postings
-        if "bucket" in rows.columns:
+        if self.buckets:
             spark = rows.sparkSession
-            buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.hash("token"), F.lit(BUCKETS))).distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(buckets))
+            found = spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.hash("token"), F.lit(self.buckets)).alias("b")).distinct().collect()
+            rows = rows.where(F.col("bucket").isin([r["b"] for r in found]))
         return rows.where(F.col("token").isin(terms))
 
-    def vocabulary(self) -> DataFrame:
-        return self.postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+    def vocabulary(self, terms: list[str] | None = None) -> DataFrame:
+        """(field, token, df); with ``terms`` at least the tokens within their typos."""
+        if self.words is None:
+            rows = self.postings.withColumn("size", F.length("token"))
+            return document_frequency(_within_reach(rows, terms) if terms else rows)
+        return _within_reach(self.words, terms) if terms else self.words
+
+
+def _within_reach(words: DataFrame, terms: list[str]) -> DataFrame:
+    sizes = {min(n, LONGEST) for t in terms for n in range(len(t) - auto_edits(t), len(t) + auto_edits(t) + 1)}
+    return words.where(F.least("size", F.lit(LONGEST)).isin(sorted(sizes)))
 
 
 def index_of(docs: DataFrame, fields: list[str], terms: list[str] | None = None, key: str = "doc_id") -> Index:
@@ -83,30 +117,42 @@ def index_of(docs: DataFrame, fields: list[str], terms: list[str] | None = None,
     t = field_tokens(docs, fields, key).withColumn("length", F.size("tokens").cast("long"))
     if terms is not None:
         t = t.withColumn("tokens", F.filter("tokens", lambda x: x.isin(terms)))
-    t = cut(t)
-    p = t.select("doc_id", "field", "length", F.explode("tokens").alias("token")).groupBy("doc_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    t = cut(t.select("doc_id", "field", "length", counted(F.col("tokens")).alias("words")))
+    p = t.select("doc_id", "field", "length", F.explode("words").alias("x")).select("doc_id", "field", "x.token", "x.tf", "length")
     return Index(p, t.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")))
 
 
-def fuzzy_terms(vocabulary: DataFrame, terms: list[str], most: int = 50, exact: bool = True) -> DataFrame:
+def fuzzy_terms(vocabulary: DataFrame, terms: list[str], most: int = 50) -> DataFrame:
     """(term, field, token, edits) of the vocabulary within the edits that a term's length allows, ``most`` for each term and field.
 
-    A term's candidates are first cut by length and plain edit distance in the JVM; with ``exact`` the alignment distance decides.
+    Terms are constants of the plan: their swaps are made once, and a token is looked at only where its length is within reach.
     Nearer tokens come first, then by name.
     """
-    from pyspark.sql import Window
-
     spark = vocabulary.sparkSession
-    q = F.broadcast(spark.createDataFrame([(t, auto_edits(t)) for t in dict.fromkeys(terms)], "term string, allowed int"))  # a query's terms
-    near = vocabulary.select("field", "token").distinct().join(q, within_edits(F.col("token"), F.col("term"), F.col("allowed")) if exact else F.levenshtein("token", "term") <= F.col("allowed"))
-    near = near.withColumn("edits", edit_distance("token", "term") if exact else F.levenshtein("token", "term")).where("edits <= allowed")
+    rows = [(t, auto_edits(t), swaps(t)) for t in dict.fromkeys(terms)]
+    q = F.broadcast(spark.createDataFrame(rows, "term string, allowed int, swaps array<string>"))  # a query's terms
+    reach = F.abs(F.length("token") - F.length("term")) <= F.col("allowed")
+    near = vocabulary.select("field", "token").distinct().join(q, reach)
+    edits = F.when(F.col("allowed") == 0, F.when(F.col("token") == F.col("term"), 0).otherwise(3)).otherwise(near_edits(F.col("token"), F.col("term"), F.col("swaps")))
+    near = near.withColumn("edits", edits).where("edits <= allowed")
     rank = F.row_number().over(Window.partitionBy("term", "field").orderBy("edits", "token"))
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select("term", "field", "token", "edits")
 
 
 def field_scores(index: Index, terms: DataFrame | list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, field, score): BM25 summed over the tokens that stand for the query's terms, each by its own document frequency."""
-    p = index.of_terms(terms) if isinstance(terms, list) else index.postings.join(F.broadcast(terms.select("field", "token").distinct()), ["field", "token"])
+    """(doc_id, field, score): BM25 summed over the tokens that stand for the query's terms, each by its own document frequency.
+
+    ``terms``: tokens, or a bounded table (field, token), of which a written index reads the buckets.
+    """
+    if isinstance(terms, list):
+        p = index.of_terms(terms)
+    else:
+        pairs = terms.select("field", "token").distinct()
+        p = index.postings
+        if index.buckets:
+            pairs = cut(pairs)
+            p = index.of_terms([r["token"] for r in pairs.select("token").distinct().collect()])  # a query's terms with their typos
+        p = p.join(F.broadcast(pairs), ["field", "token"])
     df = p.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))  # at most a few for each term
     p = p.join(F.broadcast(df), ["field", "token"]).join(F.broadcast(index.totals), "field")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -130,17 +176,18 @@ def match_all(docs: DataFrame, size: int = 50, key: str = "doc_id") -> DataFrame
 
 
 def search(docs: DataFrame, query: str, boosts: dict[str, float], size: int = 50, fuzzy: bool = True, index: Index | None = None, key: str = "doc_id", marked: bool = True) -> DataFrame:
-    """Hits with _score, the documents' columns and, if ``marked``, highlights of every field."""
+    """Hits with _score, the documents' columns and, if ``marked``, highlights of every field, of tokens reached by typos, too."""
     require_query(query)
     terms = query_tokens(query)
     if index is None:
         index = index_of(docs, list(boosts), None if fuzzy else terms, key)
-    found: DataFrame | list[str] = fuzzy_terms(index.vocabulary(), terms) if fuzzy else terms
+    found: DataFrame | list[str] = cut(fuzzy_terms(index.vocabulary(terms), terms)) if fuzzy else terms
     hits = top(best_fields(field_scores(index, found), boosts), size)
     out = docs.join(F.broadcast(hits.withColumnRenamed("doc_id", key)), key)  # hits are at most ``size``
     if marked:
+        shown = sorted({*terms, *(r["token"] for r in found.select("token").distinct().collect())}) if fuzzy else terms  # 50 for each term and field at most
         for f in boosts:
-            out = out.withColumn(f"{f}_highlight", fragments(F.col(f), terms) if f == "content" else highlight(F.col(f), terms))
+            out = out.withColumn(f"{f}_highlight", fragments(F.col(f), shown) if f == "content" else highlight(F.col(f), shown))
     return out.orderBy(F.desc("_score"), key)
 
 
@@ -161,16 +208,19 @@ def response(docs: DataFrame, query: str | None, boosts: dict[str, float], size:
     else:
         require_query(query)
         index = index_of(docs, list(boosts), key=key)
-        found = fuzzy_terms(index.vocabulary(), query_tokens(query)).cache()
+        found = fuzzy_terms(index.vocabulary(query_tokens(query)), query_tokens(query)).cache()
         hits = search(docs, query, boosts, size, index=index, key=key).collect()
         total = total_hits(index, found).first()["total"]
         found.unpersist()
     return {"took": int(1000 * (time.monotonic() - began)), "total": total, "hits": [h.asDict(True) for h in hits]}
 
 
-def index_stats(docs: DataFrame, name: str, texts: list[str]) -> DataFrame:
+def index_stats(docs: DataFrame, name: str, texts: list[str], deleted: Column | None = None) -> DataFrame:
+    """One row: health (green if anything can be read, else yellow), index, docs_count and docs_deleted (rows marked ``deleted``), store_size."""
     size = sum((F.coalesce(F.length(t), F.lit(0)) for t in texts), F.lit(0))
-    return docs.groupBy().agg(F.lit(name).alias("index"), F.count(F.lit(1)).alias("docs_count"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("store_size"))
+    gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
+    n = F.count(F.when(~gone, 1))
+    return docs.groupBy().agg(F.when(n > 0, "green").otherwise("yellow").alias("health"), F.lit(name).alias("index"), n.alias("docs_count"), F.count(F.when(gone, 1)).alias("docs_deleted"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("store_size"))
 
 
 def toggled(state: tuple[str, str], key: str) -> tuple[str, str]:

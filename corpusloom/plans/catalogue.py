@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import html, text, urls, values
 from corpusloom.operators import fields, filters, frontier, links, recrawl, search
 from corpusloom.plans import config
+from corpusloom.plans.lineage import fresh_path, spread
 from corpusloom.sources import exports, files
 from corpusloom.streaming import jobs
 
@@ -19,7 +20,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(t) if name in ("documents", "pages") else t  # those with texts to work on
 
 
 def query(sql: str | None = None):
@@ -70,6 +72,20 @@ def table_sort_topk(t, spark):
     return search.table_view(page_rows_of(t("pages")), "", ("title", "desc"), "id", collation=None).limit(25)
 
 
+@query(f"SELECT id, title FROM (SELECT CAST(page_id AS VARCHAR) AS id, regexp_replace({TITLE}, '[^A-Za-z]', '', 'g') AS title FROM pages) ORDER BY lower(title), id LIMIT 30")
+def table_sort_collated(t, spark):
+    """The default collation; the titles keep their English letters, which both engines order alike."""
+    rows = t("pages").select(F.col("page_id").cast("string").alias("id"), F.lit("/").alias("path"), F.regexp_replace(html.title(F.col("html")), "[^A-Za-z]", "").alias("title"), F.lit("html").alias("type"))
+    return search.table_view(rows, "", ("title", "asc"), "id").limit(30).select("id", "title")
+
+
+@query(f"SELECT * FROM ({ROWS_SQL}) ORDER BY lower(path) DESC, id LIMIT 20")
+def table_sort_toggled(t, spark):
+    """The sort after two clicks: on another column and back gives path ascending, once more descending."""
+    state = search.toggled(search.toggled(search.toggled(("path", "asc"), "size"), "path"), "path")
+    return search.table_view(page_rows_of(t("pages")), "", state, "id", collation=None).limit(20)
+
+
 @query(f"SELECT page_id, {TITLE} AS title FROM pages")
 def title_extract(t, spark):
     return t("pages").select("page_id", html.title(F.col("html")).alias("title"))
@@ -80,10 +96,27 @@ def html_to_text(t, spark):
     return t("pages").select("page_id", html.plain_text(F.col("html")).alias("content"))
 
 
-@query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<meta\s[^>]*>')) AS BIGINT) AS metas, contains(lower(html), 'name=\"robots\"') AND contains(lower(html), 'noindex') AS noindex FROM pages".replace('\\"', '"'))
+@query("SELECT page_id, 'description' AS name, 'd' || page_id || CASE WHEN page_id % 3 = 0 THEN '|second' ELSE '' END AS contents FROM pages UNION ALL SELECT page_id, 'og:title' AS name, 'T & ' || page_id % 7 AS contents FROM pages")
 def meta_fields(t, spark):
-    tags = F.size(F.regexp_extract_all("html", F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))).cast("long")
-    return t("pages").select("page_id", tags.alias("metas"), html.robots_meta(F.col("html"))["noindex"].alias("noindex"))
+    """All named meta tags of the pages. The given pages have none, so some are put before them: quoted in both ways, by name and property, one twice."""
+    tags = F.concat(F.lit('<meta name="Description" content="d'), "page_id", F.lit("\">\n<META property='og:title' content='T & "), F.col("page_id") % 7, F.lit("'>"), F.when(F.col("page_id") % 3 == 0, "<meta content=second name=description>").otherwise(""))
+    m = t("pages").select("page_id", F.explode(html.meta_fields(F.concat(tags, "html"))).alias("name", "values"))
+    return m.select("page_id", "name", F.array_join("values", "|").alias("contents"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/og/' || page_id WHEN 1 THEN '/i/' || page_id END AS image FROM pages")
+def featured_images(t, spark):
+    """og:image before the first img; the given pages have neither, so they get one, the other or none."""
+    tag = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<img src='/x'><meta property='og:image' content='/og/"), "page_id", F.lit("'>"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("<p><img alt='a' src='/i/"), "page_id", F.lit("'><img src='/late'>"))).otherwise("")
+    return t("pages").select("page_id", html.featured_image(F.concat(tag, "html")).alias("image"))
+
+
+@query(f"SELECT * REPLACE (CASE WHEN ct LIKE '%pdf%' OR lower(url) LIKE '%.pdf' THEN 'pdf' WHEN ct LIKE '%html%' OR ct LIKE '%text/%' THEN 'html' ELSE 'doc' END AS type) FROM (SELECT page_id, '' AS type, CASE WHEN page_id % 4 = 3 THEN url || '.PDF' ELSE url END AS url, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/xml' ELSE '' END AS ct FROM pages)")
+def page_types(t, spark):
+    """Types by content type or the url's end."""
+    k = F.col("page_id") % 4
+    p = t("pages").select("page_id", F.when(k == 3, F.concat("url", F.lit(".PDF"))).otherwise(F.col("url")).alias("url"), F.when(k == 0, "application/pdf").when(k == 1, "text/plain").when(k == 2, "application/xml").otherwise("").alias("ct"))
+    return p.select("page_id", "url", "ct", values.page_type(F.upper("ct"), F.col("url")).alias("type"))
 
 
 @query(f"SELECT page_id, CASE WHEN length({PLAIN}) // 1024 >= 0 THEN CAST(greatest(1, CAST(floor(length({PLAIN}) / 1024.0 + 0.5) AS BIGINT)) AS VARCHAR) || ' KB' END AS label FROM pages")
@@ -267,19 +300,17 @@ def most_documents(t, spark):
     return filters.most_documents(t("pages").select("page_id", "url"), 40, "url", "page_id")
 
 
-@query(f"""SELECT page_id, url, robots_rule, coalesce(kind <> 'disallow', true) AS allowed FROM (
-    SELECT page_id, url, CASE WHEN starts_with(p, '/en/7') THEN '/en/7' WHEN starts_with(p, '/en/') THEN '/en/' WHEN regexp_matches(p, '^.*\\?page=.*') THEN '*?page=' END AS robots_rule,
-        CASE WHEN starts_with(p, '/en/7') THEN 'allow' WHEN starts_with(p, '/en/') OR regexp_matches(p, '^.*\\?page=.*') THEN 'disallow' END AS kind
-    FROM (SELECT page_id, url, CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || {QUERY} AS p FROM pages WHERE {HOST} LIKE '%example.net'))
-    UNION ALL SELECT page_id, url, NULL AS robots_rule, true AS allowed FROM pages WHERE {HOST} NOT LIKE '%example.net'""")
+ROBOTS = [("disallow", "/en/"), ("allow", "/en/7"), ("disallow", "*?page="), ("disallow", "/de/*8$"), ("allow", "/")]
+
+
+@query(f"""SELECT page_id, url, r.pattern AS robots_rule, coalesce(r.kind = 'allow', true) AS allowed FROM (SELECT page_id, url, {HOST} AS host, CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || {QUERY} AS p FROM pages) u
+    LEFT JOIN LATERAL (SELECT kind, pattern FROM (VALUES {', '.join(str(x) for x in [(k, p, '^' + p.replace('?', '[?]').replace('*', '.*')) for k, p in ROBOTS])}) AS v(kind, pattern, regex)
+        WHERE u.host LIKE '%example.net' AND regexp_matches(u.p, regex) ORDER BY length(pattern) DESC, kind LIMIT 1) r ON true""")
 def robots_rules(t, spark):
+    """The rules of one robots.txt on all hosts of a domain: of those that match, with wildcards and end marks, the longest decides."""
     hosts = t("pages").select(urls.host(F.col("url")).alias("host")).where("endswith(host, 'example.net')").distinct()
-    rules = hosts.select("host", F.lit("*").alias("agent"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern")) for k, p in (("disallow", "/en/"), ("allow", "/en/7"), ("disallow", "*?page="))])).alias("r")).select("host", "agent", "r.kind", "r.pattern")
-    # the longest pattern wins; "*?page=" is longer than "/en/"
-    found = filters.robots_allowed(t("pages"), rules.where("pattern <> '*?page='"), "loom")
-    late = filters.robots_allowed(found.drop("robots_rule", "allowed"), rules.where("pattern = '*?page='"), "loom").select("page_id", F.col("robots_rule").alias("r2"), F.col("allowed").alias("a2"))
-    out = found.join(late, "page_id")
-    return out.select("page_id", "url", F.coalesce("robots_rule", "r2").alias("robots_rule"), F.when(F.col("robots_rule").isNotNull(), F.col("allowed")).otherwise(F.col("a2")).alias("allowed"))
+    rules = hosts.select("host", F.lit("*").alias("agent"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern")) for k, p in ROBOTS])).alias("r")).select("host", "agent", "r.kind", "r.pattern")
+    return filters.robots_allowed(t("pages"), rules, "loom").select("page_id", "url", "robots_rule", "allowed")
 
 
 @query("SELECT page_id, url, page_id % 7 <> 0 AS is_canonical, page_id % 11 = 0 AS noindex, page_id % 13 = 0 AS nofollow FROM pages")
@@ -349,21 +380,45 @@ def search_best_fields(t, spark):
     return hits.select("page_id", "url", "title", F.round("_score", 6).alias("_score"))
 
 
-@query(f"""SELECT term, 'text' AS field, token, CAST(levenshtein(token, term) AS INTEGER) AS edits FROM (SELECT DISTINCT unnest({TOKENS.format('text')}) AS token FROM documents), (SELECT unnest(['licence', 'thats', 'or']) AS term)
-    WHERE levenshtein(token, term) <= CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END""")
+def _near_sql(tokens_of: str, terms: list[str]) -> str:
+    """(term, field, token, edits) of SQL that gives field and the list toks: nearest tokens of each term and field, 50 at most.
+
+    The function counts bytes and the terms are ASCII, so other characters are made one byte first.
+    """
+    return f"""SELECT term, field, token, edits FROM (SELECT term, field, token, edits, row_number() OVER (PARTITION BY term, field ORDER BY edits, token) AS place FROM (
+            SELECT term, field, token, CAST(damerau_levenshtein(regexp_replace(token, '[^ -~]', '?', 'g'), term) AS INTEGER) AS edits FROM (SELECT DISTINCT field, unnest(toks) AS token FROM ({tokens_of})), (SELECT unnest({terms}) AS term))
+        WHERE edits <= CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END) WHERE place <= 50"""
+
+
+def _fuzzy_bm25_sql(tokens_of: str, terms: list[str]) -> str:
+    """(doc_id, field, score): BM25 over the tokens near the terms, each by its own frequency."""
+    return f"""SELECT p.doc_id, p.field, sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf / (p.tf + 1.2 * (1 - 0.75 + 0.75 * p.len / s.mean))) AS score
+        FROM (SELECT doc_id, field, token, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, field, len(toks) AS len, unnest(toks) AS token FROM ({tokens_of})) WHERE (field, token) IN (SELECT (field, token) FROM ({_near_sql(tokens_of, terms)})) GROUP BY doc_id, field, token) p
+        JOIN (SELECT field, token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, field, unnest(toks) AS token FROM ({tokens_of})) GROUP BY field, token) d ON p.field = d.field AND p.token = d.token
+        JOIN (SELECT field, count(*) AS n, avg(len(toks)) AS mean FROM ({tokens_of}) GROUP BY field) s ON p.field = s.field GROUP BY p.doc_id, p.field"""
+
+
+@query(_near_sql(DOC_TOKENS, ["licence", "thats", "or", "verison", "htat", "ilcensde"]))
 def fuzzy_terms(t, spark):
+    """Tokens within the edits that a search allows; an exchange of neighbours is one edit."""
     vocabulary = search.field_tokens(t("documents"), ["text"]).select("field", F.explode(F.array_distinct("tokens")).alias("token"))
-    return search.fuzzy_terms(vocabulary, ["licence", "thats", "or"], most=1_000_000, exact=False)
+    return search.fuzzy_terms(vocabulary, ["licence", "thats", "or", "verison", "htat", "ilcensde"])
+
+
+_BOOST = "CASE field WHEN 'title' THEN 3 WHEN 'description' THEN 2 ELSE 1 END"
 
 
-@query()
+@query(f"""SELECT page_id, title, _score FROM (SELECT doc_id, round(max(score * {_BOOST}), 6) AS _score FROM ({_fuzzy_bm25_sql(PAGE_TOKENS, ['htat', 'wiht'])}) GROUP BY doc_id) JOIN ({PAGE_TEXTS}) ON doc_id = page_id ORDER BY _score DESC, page_id LIMIT 100""")
 def search_fuzzy(t, spark):
-    """Typo-tolerant search with highlights; the alignment distance has no SQL here."""
-    hits = search.search(page_texts(t), "hoem about", BOOSTS, 100, fuzzy=True, key="page_id")
-    return hits.select("page_id", "title_highlight", "content_highlight", F.round("_score", 6).alias("_score"))
+    """Typo-tolerant search over an index that is written first: both words are misspelt."""
+    pages, path = page_texts(t), fresh_path(spark, "index")
+    search.write_index(pages, list(BOOSTS), path, "page_id", buckets=8, tasks_a_bucket=1)
+    hits = search.search(pages, "htat wiht", BOOSTS, 100, key="page_id", index=search.Index.read(spark, path), marked=False)
+    return hits.select("page_id", "title", F.round("_score", 6).alias("_score"))
 
 
-@query()
+@query(f"""SELECT id, path, title, type, size FROM (SELECT doc_id, max(score * {_BOOST}) AS _score FROM ({_bm25_sql(PAGE_TOKENS, ['of'])}) GROUP BY doc_id ORDER BY _score DESC, doc_id LIMIT 100)
+    JOIN ({ROWS_SQL}) ON id = CAST(doc_id AS VARCHAR) WHERE contains(lower(path), 'of') OR contains(lower(title), 'of') OR contains(type, 'of')""")
 def search_then_filter(t, spark):
     """Page rows of the hits that hold the query text itself: the quick filter over the ranked search."""
     hits = search.search(page_texts(t), "of", BOOSTS, 100, fuzzy=True, key="page_id", marked=False)
@@ -371,6 +426,30 @@ def search_then_filter(t, spark):
     return search.table_view(rows, "of", ("title", "asc"), "_score").select("id", "path", "title", "type", "size")
 
 
+@query(f"""SELECT page_id, _score FROM (SELECT doc_id AS page_id, round(max(score), 6) AS _score FROM ({_bm25_sql(PAGE_TOKENS, ['home', 'with'])}) GROUP BY doc_id) ORDER BY _score DESC, page_id LIMIT 30""")
+def uri_search(t, spark):
+    """``?q=home with&size=30``: all fields alike, no typos."""
+    return search.uri_search(page_texts(t), "home with", list(BOOSTS), 30, "page_id").select("page_id", F.round("_score", 6).alias("_score"))
+
+
+@query(f"SELECT count(DISTINCT doc_id) AS total, least(count(DISTINCT doc_id), 25) AS hits, true AS timed FROM ({_fuzzy_bm25_sql(PAGE_TOKENS, ['abuot', 'that'])})")
+def search_response(t, spark):
+    """The parts of a service's answer: all hits' number, how many came back, and that it tells its time."""
+    r = search.response(page_texts(t), "abuot that", BOOSTS, 25, "page_id")
+    return spark.createDataFrame([(r["total"], len(r["hits"]), r["took"] >= 0)], "total long, hits long, timed boolean")
+
+
+_PIECES = r"list_transform(list_zip(regexp_extract_all(text, '(?s)(\S.{0,149})(?:\s|$)|(\S{1,150})', 1), regexp_extract_all(text, '(?s)(\S.{0,149})(?:\s|$)|(\S{1,150})', 2)), lambda z: coalesce(nullif(z[1], ''), z[2]))"
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_transform(list_sort(list_filter(list_transform(range(1, len(ps) + 1), lambda i: {{'n': -len(regexp_extract_all(ps[i], '(?i)\b(licensed|under|version)\b')), 'i': i}}), lambda r: r.n < 0))[1:2],
+    lambda r: regexp_replace(ps[r.i], '(?i)\b(licensed|under|version)\b', '<em>\1</em>', 'g')), ' ... ') AS fragments FROM (SELECT doc_id, {_PIECES} AS ps FROM documents WHERE contains(lower(text), 'licensed'))""")
+def content_fragments(t, spark):
+    """The two best pieces of 150 characters of each text that holds the word."""
+    d = t("documents").where(F.contains(F.lower("text"), F.lit("licensed")))
+    return d.select("doc_id", F.array_join(text.fragments(F.col("text"), ["licensed", "under", "version"]), " ... ").alias("fragments"))
+
+
 @query("SELECT doc_id, 1.0::DOUBLE AS _score FROM documents ORDER BY doc_id LIMIT 50")
 def match_all(t, spark):
     return search.match_all(t("documents"), 50).select("doc_id", "_score")
@@ -381,9 +460,10 @@ def hit_count(t, spark):
     return search.total_hits(search.index_of(t("documents"), ["text"], ["licensed", "version"]), ["licensed", "version"])
 
 
-@query("SELECT 'documents' AS index, count(*) AS docs_count, CAST(sum(length(text)) AS BIGINT) AS store_size FROM documents")
+@query("SELECT 'green' AS health, 'documents' AS index, count(CASE WHEN doc_id % 10 <> 0 THEN 1 END) AS docs_count, count(CASE WHEN doc_id % 10 = 0 THEN 1 END) AS docs_deleted, CAST(sum(length(text)) AS BIGINT) AS store_size FROM documents")
 def index_stats(t, spark):
-    return search.index_stats(t("documents"), "documents", ["text"])
+    """Every tenth document is marked as deleted."""
+    return search.index_stats(t("documents"), "documents", ["text"], F.col("doc_id") % 10 == 0)
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(licensed|under|the)\b', '<em>\1</em>', 'g') AS text FROM documents WHERE regexp_matches(text, '(?i)\blicensed\b')")
@@ -425,16 +505,19 @@ def first_referrers(t, spark):
     return links.referrers(page_edges(t), depths).select("url", "referrer")
 
 
-@query(f"""WITH e AS (SELECT src, regexp_replace(dst, '^(https?://[^/]*/[^/]*).*$', '\\1') AS dst FROM ({EDGES}) UNION ALL SELECT regexp_replace(url, '^(https?://[^/]*/[^/]*).*$', '\\1') AS src, url AS dst FROM pages),
-    s AS (SELECT DISTINCT url FROM pages WHERE page_id % 50 = 0),
-    d1 AS (SELECT DISTINCT dst AS url FROM e WHERE src IN (SELECT url FROM s) AND dst NOT IN (SELECT url FROM s)),
-    d2 AS (SELECT DISTINCT dst AS url FROM e WHERE src IN (SELECT url FROM d1) AND dst NOT IN (SELECT url FROM s) AND dst NOT IN (SELECT url FROM d1))
-    SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 AS depth FROM d1 UNION ALL SELECT url, 2 AS depth FROM d2""")
+_SECTION = "regexp_replace({0}, '^(https?://[^/]*/[^/?#]*).*$', '\\1')"
+_ROOT = "regexp_replace({0}, '^(https?://[^/?#]*).*$', '\\1/')"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, {_SECTION.format('dst')} AS dst FROM ({EDGES}) UNION SELECT {_SECTION.format('url')} AS src, url AS dst FROM pages UNION SELECT {_ROOT.format('url')} AS src, {_SECTION.format('url')} AS dst FROM pages),
+    d AS (SELECT DISTINCT {_ROOT.format('url')} AS url, 0 AS depth FROM pages UNION SELECT e.dst AS url, depth + 1 AS depth FROM d JOIN e ON d.url = e.src WHERE depth < 8) SELECT url, min(depth) AS depth FROM d GROUP BY url""")
 def frontier_bfs(t, spark):
-    """Two depths from every fiftieth page. Links point at pages that are not stored, so sections, which link to their pages, stand between."""
-    section = lambda c: F.regexp_replace(c, "^(https?://[^/]*/[^/]*).*$", "$1")
-    e = page_edges(t).select("src", section("dst").alias("dst")).union(t("pages").select(section("url").alias("src"), F.col("url").alias("dst")))
-    return frontier.breadth_first(t("pages").where("page_id % 50 = 0"), e, 2).select("url", "depth")
+    """From every host's root until a depth is empty. Links point at pages that are not stored, so sections, which link to their pages, stand between."""
+    section = lambda c: F.regexp_replace(c, "^(https?://[^/]*/[^/?#]*).*$", "$1")
+    root = F.regexp_replace("url", "^(https?://[^/?#]*).*$", "$1/")
+    p = t("pages")
+    e = page_edges(t).select("src", section("dst").alias("dst")).union(p.select(section("url").alias("src"), F.col("url").alias("dst"))).union(p.select(root.alias("src"), section("url").alias("dst")))
+    return frontier.breadth_first(p.select(root.alias("url")), e, -1).select("url", "depth")
 
 
 @query(f"SELECT url, min(depth) AS depth FROM (SELECT regexp_replace({CHAIN_SQL}, '$', '') AS url, CAST(page_id % 4 AS INTEGER) AS depth FROM pages) WHERE starts_with(url, 'https://') AND contains(url, '/en/') AND depth <= 2 GROUP BY url")
@@ -443,11 +526,11 @@ def queue_pipeline(t, spark):
     return frontier.queue_pipeline(c, CHAIN, F.col("url").startswith("https://"), [filters.Filter(F.col("url").contains("/en/"))], 2)
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS url, CAST(page_id - page_id % 4 AS VARCHAR) AS target, CAST(page_id % 4 AS BIGINT) AS hops FROM pages WHERE page_id % 4 <> 0")
+@query("SELECT CAST(page_id AS VARCHAR) AS url, CAST(page_id - page_id % 4 AS VARCHAR) AS target, CAST(page_id % 4 AS BIGINT) AS hops, true AS complete FROM pages WHERE page_id % 4 <> 0")
 def redirect_trails(t, spark):
     """Chains of up to three redirects, each page to the one before it."""
     r = t("pages").where("page_id % 4 <> 0").select(F.col("page_id").cast("string").alias("url"), (F.col("page_id") - 1).cast("string").alias("target"))
-    return frontier.redirect_trails(r).select("url", "target", F.size("trail").cast("long").alias("hops"))
+    return frontier.redirect_trails(r).select("url", "target", F.size("trail").cast("long").alias("hops"), "complete")
 
 
 @query("SELECT page_id, url FROM pages WHERE page_id % 3 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 <> 0)")
@@ -550,13 +633,12 @@ def url_status(t, spark):
 
 
 # ---- whole pipelines ----
-@query(f"""SELECT min(u) AS url, count(*) AS copies FROM (SELECT url AS u, {PLAIN} AS content FROM pages WHERE page_id % 11 <> 0) GROUP BY sha256(content)""")
+@query(f"""SELECT min(u) AS url, any_value(title) AS title, sha256(content) AS checksum FROM (SELECT url AS u, {TITLE} AS title, {PLAIN} AS content FROM pages WHERE page_id % 11 <> 0 AND page_id % 7 <> 0) GROUP BY content""")
 def import_pipeline(t, spark):
-    """Robots tag, canonical, text, duplicates, as configured steps; with the number of pages of each text."""
-    p = t("pages").withColumn("html", F.concat(F.when(F.col("page_id") % 11 == 0, '<meta name="robots" content="noindex">').otherwise(""), "html"))
-    kept = config.import_pages(p.select("url", "html"), config.IMPORT_STEPS[:3])
-    kept = kept.withColumn("checksum", recrawl.content_checksum(F.col("content")))
-    return recrawl.without_duplicates(kept.select("url", "checksum"), F.col("checksum"), "url").join(kept.groupBy("checksum").agg(F.count(F.lit(1)).alias("copies")), "checksum").select("url", "copies")
+    """The configured steps as they are: robots tag, canonical, text, duplicates. Some pages get a tag that one of the first two refuses."""
+    tag = F.when(F.col("page_id") % 11 == 0, '<meta name="robots" content="noindex">').when(F.col("page_id") % 7 == 0, "<link rel=canonical href='https://other.example.org/x'>").otherwise("")
+    kept = config.import_pages(t("pages").select("url", F.concat(tag, "html").alias("html")))
+    return kept.select("url", "title", recrawl.content_checksum(F.col("content")).alias("checksum"))
 
 
 @query("SELECT page_id, url, 'loom' AS \"SITE\" FROM pages WHERE regexp_matches(url, '/(en|de)/')")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from base64 import b64encode
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -60,6 +61,13 @@ def inherited(defaults: dict, crawler: dict) -> dict:
     return out
 
 
+def search_source(settings: dict[str, str], base: str, index: str) -> tuple[str, dict[str, str]]:
+    """Path and headers of a search source: SEARCH_BASE and SEARCH_INDEX of ``settings`` or the defaults given; an Authorization only if user and password are both set."""
+    path = f"{settings.get('SEARCH_BASE') or base}/{settings.get('SEARCH_INDEX') or index}"
+    user, password = settings.get("SEARCH_USER"), settings.get("SEARCH_PASSWORD")
+    return path, {"Authorization": "Basic " + b64encode(f"{user}:{password}".encode()).decode()} if user and password else {}
+
+
 class Registry:
     """Steps by name, short or with a dotted prefix."""
 

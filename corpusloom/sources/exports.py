@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import values
+from corpusloom.plans.lineage import cut
 from corpusloom.schema import CLEAN_DOC, RAW_HIT
 
 
@@ -73,25 +74,42 @@ def load_report(docs: DataFrame, valid: Column, batch: Column) -> DataFrame:
 
 
 def create_index(spark: SparkSession, path: str, schema: T.StructType = CLEAN_DOC) -> bool:
-    """An empty table with the declared schema; False, and nothing changed, if there is one."""
-    if exists(spark, path):
+    """An empty table with the declared schema, as version 0 under ``path``; False, and nothing changed, if there is one."""
+    if exists(spark, f"{path}/current-*"):
         return False
-    spark.createDataFrame([], schema).write.parquet(path)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/version-0")
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current-0"), False).close()
     return True
 
 
-def commit_upserts(docs: DataFrame, path: str, key: str = "_id", order: str = "load_seq") -> DataFrame:
-    """Write a new version of the table at ``path`` beside the old one, switch to it, and return it, read anew."""
+def current_version(spark: SparkSession, path: str) -> int:
+    """The number in the greatest pointer file ``path``/current-N."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current-*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return max(int(f.getPath().getName().rpartition("-")[2]) for f in found)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/version-{current_version(spark, path)}")
+
+
+def commit_upserts(docs: DataFrame, path: str, key: str = "_id", order: str = "load_seq", versions: int = 2) -> DataFrame:
+    """Write the table's next version, publish it by one new pointer file, and return it. The last ``versions`` versions stay for readers that have begun.
+
+    Until the pointer is there, everyone reads the version before; a commit that fails on the way leaves only files that the next one overwrites. Of
+    two commits at once, the later one fails on its pointer.
+    """
     spark = docs.sparkSession
-    old = spark.read.parquet(path)
-    upsert(old, docs, key, order).select(*old.columns).write.mode("overwrite").parquet(f"{path}.new")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = current_version(spark, path)
+    old = spark.read.parquet(f"{path}/version-{at}")
+    upsert(old, docs, key, order).select(*old.columns).write.mode("overwrite").parquet(f"{path}/version-{at + 1}")
     hp = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs.rename(hp(path), hp(f"{path}.old"))
-    fs.rename(hp(f"{path}.new"), hp(path))
-    fs.delete(hp(f"{path}.old"), True)
-    spark.catalog.refreshByPath(path)
-    return spark.read.parquet(path)
+    fs = hp(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.create(hp(f"{path}/current-{at + 1}"), False).close()
+    for n in range(max(0, at + 2 - 2 * versions), at + 2 - versions):
+        fs.delete(hp(f"{path}/current-{n}"), False)
+        fs.delete(hp(f"{path}/version-{n}"), True)
+    return read_index(spark, path)
 
 
 def bulk_lines(docs: DataFrame, index: str, key: str = "_id") -> DataFrame:
@@ -102,5 +120,14 @@ def bulk_lines(docs: DataFrame, index: str, key: str = "_id") -> DataFrame:
 
 
 def numbered(docs: DataFrame, *order: str) -> DataFrame:
-    """``docs`` with load_seq from 0, for sources without an order of their own; a total order of few rows."""
-    return docs.withColumn("load_seq", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """``docs`` with load_seq from 0 in a total order, for sources without one of their own: places in sorted ranges and the counts of the ranges before."""
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = cut(docs.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row")))
+    before = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
+    return d.join(F.broadcast(before), "_part").select(*docs.columns, (F.col("_row") + F.col("_before")).alias("load_seq"))
+
+
+def health(spark: SparkSession, path: str) -> dict:
+    """What answers at ``path``: name of the application, whether there is an index, its version."""
+    there = exists(spark, f"{path}/current-*")
+    return {"name": spark.sparkContext.appName, "found": there, "version": current_version(spark, path) if there else None}

@@ -76,7 +76,8 @@ def streamed_states(events: DataFrame, total: int = 10) -> DataFrame:
                 target, at = str(first["target_url"].iloc[0]), float(first["at"].iloc[0])
         state.update((target, pages, finished, at))
         status = ("failed" if "error" in (target or "") else "complete") if finished else "running" if pages else "pending"
-        yield pd.DataFrame({"run_id": [key[0]], "target_url": [target], "status": [status], "progress": [min(100, pages * 100 // total)], "num_pages_indexed": [pages], "started_at": [at]})
+        # typed columns: a run without a start has nulls in all its rows
+        yield pd.DataFrame({"run_id": pd.Series([key[0]], dtype="string"), "target_url": pd.Series([target], dtype="string"), "status": pd.Series([status], dtype="string"), "progress": [min(100, pages * 100 // total)], "num_pages_indexed": [pages], "started_at": pd.Series([at], dtype="Float64")})
 
     return events.groupBy("run_id").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,7 +143,22 @@ def test_html(spark):
 def test_text(spark):
     assert one(spark, text.tokens(F.col("t")), t="Don't STOP, é1!") == ["don", "t", "stop", "é1"]
     assert [text.auto_edits(t) for t in ("ab", "abcde", "abcdef")] == [0, 1, 2]
-    assert text.alignment_distance("ab", "ba") == 1 and text.alignment_distance("kitten", "sitting") == 3
+    assert text.swaps("abc") == ["bac", "acb"] and text.swaps("a") == []
     assert one(spark, text.highlight(F.col("t"), ["a", "ab"]), t="Ab a abc") == "<em>Ab</em> <em>a</em> abc"
     found = one(spark, text.fragments(F.col("t"), ["fox"], 20, 2), t="one two three four five fox six seven fox fox eight nine ten")
     assert len(found) == 2 and "<em>fox</em>" in found[0]
+
+
+def test_near_edits_count_exchanges_of_neighbours(spark):
+    """Against an independent engine, on all pairs of short words."""
+    duckdb = pytest.importorskip("duckdb")
+    words = ["".join(w) for n in range(1, 5) for w in itertools.product("abc", repeat=n)] + ["licence", "ilcence", "licnece", "liecnec", "lciecne", "licenes"]
+    pairs = [(a, b) for a in words[::2] + words[-8:] for b in words]
+    rows = spark.createDataFrame([(a, b, text.swaps(b)) for a, b in pairs], "a string, b string, s array<string>")
+    got = {(r["a"], r["b"]): r["n"] for r in rows.select("a", "b", text.near_edits(F.col("a"), F.col("b"), F.col("s")).alias("n")).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE p (a VARCHAR, b VARCHAR)")
+    c.executemany("INSERT INTO p VALUES (?, ?)", pairs[::37] + pairs[-8:])
+    assert one(spark, text.near_edits(F.col("a"), F.lit("éa"), F.array(F.lit("aé"))), a="aé") == 1
+    for a, b, n in c.sql("SELECT a, b, damerau_levenshtein(a, b) FROM p").fetchall():
+        assert got[a, b] == min(n, 3), (a, b)
