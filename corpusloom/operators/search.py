@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import auto_edits, fragments, highlight, near_edits, query_tokens, swaps, tokens
 from corpusloom.functions.values import let
 from corpusloom.operators.filters import quick, require_query
-from corpusloom.plans.lineage import cut
+from corpusloom.plans.lineage import cut, exists
 
 K1, B, LONGEST = 1.2, 0.75, 32
+POSTINGS = "doc_id long, field string, token string, tf long, length long, bucket int"
 
 
 def field_tokens(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
@@ -60,14 +61,20 @@ def document_lengths(docs: DataFrame, fields: list[str], key: str = "doc_id") ->
 
 def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id", buckets: int = 64, tasks_a_bucket: int = 8) -> None:
     """Postings by bucket of the token, the vocabulary by length (up to LONGEST) and the totals of each field. Buckets should grow with the corpus: one holds a
-    part of the postings that a query reads as a whole."""
+    part of the postings that a query reads as a whole, written by up to ``tasks_a_bucket`` tasks."""
     p = postings(docs, fields, key).withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets)))
-    p.repartition(buckets * tasks_a_bucket, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket))).sortWithinPartitions("bucket", "field", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    written = docs.sparkSession.read.parquet(f"{path}/postings")
-    document_frequency(written).withColumn("size", F.least(F.length("token"), F.lit(LONGEST))).repartition("size").write.mode("overwrite").partitionBy("size").parquet(f"{path}/vocabulary")
+    p = p.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket)))
+    p.sortWithinPartitions("bucket", "field", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    words = document_frequency(_read_parts(docs.sparkSession, f"{path}/postings", "bucket", POSTINGS))
+    words.withColumn("size", F.least(F.length("token"), F.lit(LONGEST))).repartition("size").write.mode("overwrite").partitionBy("size").parquet(f"{path}/vocabulary")
     totals(docs, fields, key).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
 
 
+def _read_parts(spark: SparkSession, path: str, by: str, schema: str) -> DataFrame:
+    """A table written in parts; one of no rows has none."""
+    return spark.read.parquet(path) if exists(spark, f"{path}/{by}=*") else spark.createDataFrame([], schema)
+
+
 def totals(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
     return field_tokens(docs, fields, key).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("mean"))
 
@@ -85,7 +92,8 @@ class Index:
     def read(cls, spark: SparkSession, path: str) -> Index:
         totals = spark.read.parquet(f"{path}/totals")
         first = totals.select("buckets").first()
-        return cls(spark.read.parquet(f"{path}/postings"), totals.drop("buckets"), spark.read.parquet(f"{path}/vocabulary"), first["buckets"] if first else 1)
+        words = _read_parts(spark, f"{path}/vocabulary", "size", "field string, token string, df long, size int")
+        return cls(_read_parts(spark, f"{path}/postings", "bucket", POSTINGS), totals.drop("buckets"), words, first["buckets"] if first else 1)
 
     def of_terms(self, terms: list[str]) -> DataFrame:
         rows = self.postings

@@ -205,25 +205,15 @@ RULE_SQL = {
     "lower_case_query": f"{SCHEME} || {AUTH} || {PATH} || lower({QUERY}) || {FRAG}",
     "lower_case_query_parameter_names": _param_sql("list_transform({ps}, lambda p: lower(regexp_extract(p, '(?s)^([^=]*)(.*)$', 1)) || regexp_extract(p, '(?s)^([^=]*)(.*)$', 2))"),
     "lower_case_query_parameter_values": _param_sql("list_transform({ps}, lambda p: regexp_extract(p, '(?s)^([^=]*)(.*)$', 1) || lower(regexp_extract(p, '(?s)^([^=]*)(.*)$', 2)))"),
-    "upper_case_escape_sequence": "url",
-    "decode_unreserved_characters": "url",
-    "encode_non_uri_characters": "url",
-    "remove_dot_segments": "url",
-    "remove_session_ids": "url",
 }
 #: What the given urls lack is put in before a rule is applied, so that it has something to do; and its SQL after the rule.
 RULE_INPUT = {
     "lower_case_scheme_host": (lambda u: F.upper(u), "upper(url)"),
-    "upper_case_escape_sequence": (lambda u: F.concat(u, F.lit("%3a%2Fx%e9")), None),
-    "decode_unreserved_characters": (lambda u: F.concat(u, F.lit("%41%2e%2F%7e%30")), None),
-    "encode_non_uri_characters": (lambda u: F.concat(u, F.lit("/ä b")), None),
     "encode_spaces": (lambda u: F.concat(u, F.lit("a b c")), "url || 'a b c'"),
     "remove_default_port": (lambda u: F.regexp_replace(u, "^(https?)(://[^/]*)", "$1$2:443"), r"regexp_replace(url, '^(https?)(://[^/]*)', '\1\2:443')"),
     "remove_trailing_hash": (lambda u: F.concat(u, F.lit("#")), "url || '#'"),
     "remove_trailing_question_mark": (lambda u: F.concat(u, F.lit("?")), "url || '?'"),
     "remove_empty_parameters": (lambda u: F.concat(urls.remove_fragment(urls.remove_query_string(u)), F.lit("?a=&b=1&c&d=")), r"regexp_replace(regexp_replace(url, '\?.*$', ''), '#.*$', '') || '?a=&b=1&c&d='"),
-    "remove_session_ids": (lambda u: F.concat(urls.remove_fragment(urls.remove_query_string(u)), F.lit(";jsessionid=AB12?x=1&PHPSESSID=99&y=2")), None),
-    "remove_dot_segments": (lambda u: F.concat(urls.remove_fragment(urls.remove_query_string(u)), F.lit("/a/../b/./c/..")), None),
     "remove_duplicate_slashes": (lambda u: F.concat(urls.remove_fragment(urls.remove_query_string(u)), F.lit("//a///b")), r"regexp_replace(regexp_replace(url, '\?.*$', ''), '#.*$', '') || '//a///b'"),
     "remove_directory_index": (lambda u: F.concat(urls.remove_fragment(urls.remove_query_string(u)), F.lit("/index.html")), r"regexp_replace(regexp_replace(url, '\?.*$', ''), '#.*$', '') || '/index.html'"),
     "add_domain_trailing_slash": (lambda u: F.regexp_replace(u, "^(https?://[^/]*).*$", "$1?q"), r"regexp_replace(url, '^(https?://[^/]*).*$', '\1?q')"),
@@ -233,26 +223,36 @@ RULE_INPUT = {
     "lower_case_query_parameter_names": (lambda u: F.upper(u), "upper(url)"),
     "lower_case_query_parameter_values": (lambda u: F.upper(u), "upper(url)"),
 }
-#: SQL of the whole for rules that the other engine says in another way.
 _BARE = r"regexp_replace(regexp_replace(url, '\?.*$', ''), '#.*$', '')"
-RULE_WHOLE = {
-    "upper_case_escape_sequence": "url || '%3A%2Fx%E9'",
-    "decode_unreserved_characters": "url || 'A.%2F~0'",
-    "encode_non_uri_characters": "url || '/%C3%A4%20b'",
-    "remove_session_ids": f"{_BARE} || '?x=1&y=2'",
-    "remove_dot_segments": f"{_BARE} || '/b/'",
+#: What is put behind a url without query and fragment, by the url's length, and what the rule makes of it, for rules that the other engine can't say.
+RULE_FORMS = {
+    "upper_case_escape_sequence": [("%3a%2Fx%e9", "%3A%2Fx%E9"), ("/%zz%1%aa", "/%zz%1%AA"), ("?q=%c3%a9&%b", "?q=%C3%A9&%b"), ("#%ff", "#%FF")],
+    "decode_unreserved_characters": [("%41%2e%2F%7e%30", "A.%2F~0"), ("/%5f%2D%25", "/_-%25"), ("?a=%61b%C3%A9", "?a=ab%C3%A9"), ("%2541", "%2541")],
+    "encode_non_uri_characters": [("/ä b", "/%C3%A4%20b"), ("/<x>|y", "/%3Cx%3E%7Cy"), ("?q=日", "?q=%E6%97%A5"), ("/a-b_~c!", "/a-b_~c!")],
+    "remove_session_ids": [(";jsessionid=AB12?x=1&PHPSESSID=99&y=2", "?x=1&y=2"), ("?sid=9", ""), ("?aspsessionidabc=1&z=2#f", "?z=2#f"), (";JSESSIONID=0/next", "/next")],
+    "remove_dot_segments": [("/a/../b/./c/..", "/b/"), ("/./x", "/x"), ("/q/r/../../s?t=/../u", "/s?t=/../u"), ("/..a/b.", "/..a/b.")],
 }
 
 
 def _register_rule(name: str) -> None:
     change, before = RULE_INPUT.get(name, (lambda u: u, "url"))
+    forms = RULE_FORMS.get(name)
+    if forms:
+        change = lambda u: F.concat(urls.remove_fragment(urls.remove_query_string(u)), F.get(F.array(*[F.lit(a) for a, _ in forms]), F.length(u) % len(forms)))
+        sql = f"regexp_replace({_BARE}, '/$', '/') || {[b for _, b in forms]}[length(url) % {len(forms)} + 1]"
+        if name == "remove_dot_segments":  # two slashes are a segment, so none may be at the end
+            bare = change
+            change = lambda u: bare(F.regexp_replace(u, "/(?=$|[?#])", "x"))
+            sql = sql.replace("'/$', '/'", "'/$', 'x'")
+        before, rule = "url", sql
+    else:
+        rule = RULE_SQL[name]
 
     def run(t, spark):
         return t("pages").where("url is not null").select("page_id", urls.RULES[name](change(F.col("url"))).alias("url"))
 
     run.__name__ = f"url_{name}"
-    whole = RULE_WHOLE.get(name)
-    query(f"SELECT page_id, {whole or RULE_SQL[name]} AS url FROM (SELECT page_id, {before if not whole else 'url'} AS url FROM pages WHERE url IS NOT NULL)")(run)
+    query(f"SELECT page_id, {rule} AS url FROM (SELECT page_id, {before} AS url FROM pages WHERE url IS NOT NULL)")(run)
 
 
 for _name in urls.RULES:
@@ -284,6 +284,14 @@ def segment_filter(t, spark):
     return t("pages").where(filters.segment_count(F.col("url"), 2)).select("page_id", "url")
 
 
+@query(f"SELECT page_id FROM (SELECT page_id, string_split(regexp_replace({PATH}, '/$', '') || '/' || substring({PATH}, 2, 2) || '/x', '/') AS segs FROM pages) WHERE len(list_filter(segs, lambda s: s <> '' AND len(list_filter(segs, lambda y: y = s)) >= 2)) > 0 AND page_id % 2 = 0 OR len(list_filter(segs, lambda s: s <> '')) >= 5")
+def segment_duplicates(t, spark):
+    """Paths with their first two letters put behind them: every second page is asked for segments that come twice, all for five segments."""
+    _, _, path, _, _ = urls.parts(F.col("url"))
+    u = F.concat(F.lit("http://h"), F.regexp_replace(path, "/$", ""), F.lit("/"), F.substring(path, 2, 2), F.lit("/x"))
+    return t("pages").where(filters.segment_count(u, 2, duplicates=True) & (F.col("page_id") % 2 == 0) | filters.segment_count(u, 5)).select("page_id")
+
+
 @query(f"SELECT page_id, url FROM pages WHERE ({HOST} = 'example.com' OR {HOST} LIKE '%.example.com') AND {SCHEME} = 'https://'")
 def scope_filter(t, spark):
     return t("pages").where(filters.in_scope(F.lit("https://example.com/"), F.col("url"), protocol=True, port=True, subdomains=True)).select("page_id", "url")
@@ -499,9 +507,10 @@ def links_scope_class(t, spark):
     return links.classified(page_edges(t), F.col("dst").startswith("https://"), depths, 2).select("src", "dst", "class")
 
 
-@query(f"SELECT dst AS url, min(src) AS referrer FROM ({EDGES}) GROUP BY dst")
+@query(f"SELECT dst AS url, arg_min(src, (page_id % 3, src)) AS referrer FROM ({EDGES}) JOIN pages ON url = src GROUP BY dst")
 def first_referrers(t, spark):
-    depths = t("pages").select("url", F.lit(0).alias("depth")).distinct()
+    """Of pages at three depths the shallowest refers."""
+    depths = t("pages").select("url", (F.col("page_id") % 3).alias("depth"))
     return links.referrers(page_edges(t), depths).select("url", "referrer")
 
 
@@ -539,11 +548,14 @@ def orphans(t, spark):
     return frontier.orphans(p.where("page_id % 3 = 0"), p.where("page_id % 3 <> 0"))
 
 
-@query("SELECT page_id, url AS loc, CASE page_id % 3 WHEN 0 THEN 'DAILY' WHEN 1 THEN 'NEVER' ELSE 'WEEKLY' END AS changefreq, CAST(page_id % 10 / 10.0 AS FLOAT) AS priority FROM pages")
+@query("""SELECT page_id, url AS loc, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS lastmod, CASE page_id % 3 WHEN 0 THEN 'DAILY' WHEN 1 THEN 'NEVER' ELSE 'WEEKLY' END AS changefreq, CAST(page_id % 10 / 10.0 AS FLOAT) AS priority FROM pages
+    UNION ALL SELECT page_id, url || '/sitemap.xml' AS loc, NULL AS lastmod, NULL AS changefreq, NULL AS priority FROM pages WHERE page_id % 4 = 3""")
 def sitemap_entries(t, spark):
-    """Pages as sitemaps of one entry each, read back."""
-    xml = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc><changefreq>"), F.element_at(F.array(*map(F.lit, ("daily", "never", "weekly"))), (F.col("page_id") % 3 + 1).cast("int")), F.lit("</changefreq><priority>"), (F.col("page_id") % 10 / 10).cast("string"), F.lit("</priority></url></urlset>"))
-    return t("pages").select("page_id", F.explode(frontier.sitemap_entries(xml)).alias("e")).select("page_id", "e.loc", "e.changefreq", "e.priority")
+    """Pages as sitemaps of one entry each, and some as index files, read back; an entry without a place is left out."""
+    i = F.col("page_id")
+    xml = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc><lastmod>2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod><changefreq>"), F.element_at(F.array(*map(F.lit, ("daily", "never", "weekly"))), (i % 3 + 1).cast("int")), F.lit("</changefreq><priority>"), (i % 10 / 10).cast("string"), F.lit("</priority></url><url><loc> </loc></url></urlset>"))
+    xml = F.concat(xml, F.when(i % 4 == 3, F.concat(F.lit("<sitemapindex>\n<sitemap><loc> "), "url", F.lit("/sitemap.xml</loc></sitemap></sitemapindex>"))).otherwise(""))
+    return t("pages").select("page_id", F.explode(frontier.sitemap_entries(xml)).alias("e")).select("page_id", "e.loc", "e.lastmod", "e.changefreq", "e.priority")
 
 
 @query("SELECT crawler_id, count(*) AS docs FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS crawler_id FROM pages) GROUP BY crawler_id")

@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import values
-from corpusloom.plans.lineage import cut
+from corpusloom.plans.lineage import cut, exists
 from corpusloom.schema import CLEAN_DOC, RAW_HIT
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
-
-
 def read_exports(spark: SparkSession, paths: list[str], encoding: str = "UTF-16LE") -> tuple[DataFrame, DataFrame]:
     """Hits (_id, _source map, load_seq) of export files, and (path, error) of those that could not be parsed.
 

@@ -123,9 +123,23 @@ def test_written_index_gives_the_same(spark, tmp_path):
     b = search.search(docs(spark), "fox home", BOOSTS, fuzzy=False, marked=False, index=index).collect()
     assert [(r["doc_id"], round(r["_score"], 9)) for r in a] == [(r["doc_id"], round(r["_score"], 9)) for r in b]
     assert search.total_hits(index, ["fox"]).first()["total"] == 2
+    c, d = (search.search(docs(spark), "fxo hmoe", BOOSTS, index=i).collect() for i in (None, index))
+    assert [(r["doc_id"], round(r["_score"], 9), r["title_highlight"]) for r in c] == [(r["doc_id"], round(r["_score"], 9), r["title_highlight"]) for r in d] and len(c) == 3
+    assert c[0]["title_highlight"] in ("red <em>fox</em>", "<em>home</em>", "<em>fxo</em> den"), "tokens reached by typos are marked"
+    few = search.Index.read(spark, str(tmp_path / "i")).vocabulary(["fox"])
+    assert {len(r["token"]) for r in few.collect()} <= {2, 3, 4}
+    search.write_index(docs(spark).limit(0), list(BOOSTS), str(tmp_path / "none"), buckets=3)
+    assert search.search(docs(spark), "fox", BOOSTS, index=search.Index.read(spark, str(tmp_path / "none"))).count() == 0
     assert search.index_stats(docs(spark), "n", ["title"]).first()["docs_count"] == 4
 
 
+def test_words_are_counted_in_their_row(spark):
+    rows = [(1, "a b a c a"), (2, ""), (3, None), (4, "x " * 5000 + "y")]
+    got = {(r["doc_id"], r["token"]): (r["tf"], r["length"]) for r in search.postings(spark.createDataFrame(rows, "doc_id long, t string"), ["t"]).collect()}
+    assert got == {(1, "a"): (3, 5), (1, "b"): (1, 5), (1, "c"): (1, 5), (4, "x"): (5000, 5001), (4, "y"): (1, 5001)}
+    assert "Exchange" not in search.postings(spark.range(1).selectExpr("id AS doc_id", "'a' AS t"), ["t"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_is_a_prefix_of_the_sort(spark):
     scores = spark.createDataFrame([(i, float(i % 3)) for i in range(20)], "doc_id long, _score double")
     full = [r["doc_id"] for r in scores.orderBy(F.desc("_score"), "doc_id").collect()]
@@ -163,6 +177,9 @@ def test_redirects(spark):
     r = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "url string, target string")
     got = {x["url"]: (x["target"], x["trail"]) for x in frontier.redirect_trails(r).collect()}
     assert got["a"] == ("c", ["a", "b"]) and got["b"] == ("c", ["b"]) and got["x"][1] == ["x", "y"]
+    long = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "url string, target string")
+    cut_off = {x["url"]: (x["target"], x["complete"]) for x in frontier.redirect_trails(long, most_hops=2).collect()}
+    assert cut_off["0"] == ("3", False) and cut_off["2"] == ("5", False) and cut_off["3"] == ("6", True) and cut_off["5"] == ("6", True)
 
 
 def test_sitemap_and_crawlers(spark):
@@ -203,6 +220,23 @@ def test_config(spark, tmp_path):
     assert config.inherited({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}}) == {"a": {"x": 1, "y": 3}, "b": 1}
     with pytest.raises(LookupError):
         config.STEPS.make("Nothing")
+    assert config.search_source({}, "/base", "docs") == ("/base/docs", {})
+    assert config.search_source({"SEARCH_BASE": "/b", "SEARCH_INDEX": "i", "SEARCH_USER": "u", "SEARCH_PASSWORD": "p"}, "/base", "docs") == ("/b/i", {"Authorization": "Basic dTpw"})
     assert '"seed_url": "http://a"' in config.CrawlConfig("http://a").to_json()
     p = spark.createDataFrame([("http://a/1", "<title>t</title>x"), ("http://a/2", "<title>t</title>x"), ("http://a/3", "<meta name=robots content=noindex>")], "url string, html string")
     assert [r["url"] for r in config.import_pages(p, before=[lambda df: df], after=[lambda df: df]).collect()] == ["http://a/1"]
+
+
+def test_cuts_are_deleted_and_small_tables_are_dealt_out(spark, tmp_path):
+    import os
+
+    from corpusloom.plans import lineage
+
+    a, b = lineage.cut(spark.range(5)), lineage.cut(spark.range(7))
+    lineage.discard(a)
+    assert not os.path.exists(a.cut_path) and b.count() == 7
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert lineage.spread(t).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    d = spark.range(3)
+    assert lineage.spread(d) is d

@@ -35,6 +35,22 @@ def test_exports_are_read_cleaned_and_merged(spark, tmp_path):
     assert len(once) == 2
     assert sorted(map(str, exports.commit_upserts(clean, path).collect())) == once, "an upsert repeated changes nothing"
     assert exports.read_exports(spark, [str(tmp_path / "none")])[0].count() == 0
+    assert exports.health(spark, path) == {"name": spark.sparkContext.appName, "found": True, "version": 2} and not exports.health(spark, str(tmp_path / "none"))["found"]
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    path = str(tmp_path / "index")
+    exports.create_index(spark, path)
+    schema = exports.read_index(spark, path).schema
+    load = lambda i: spark.createDataFrame([{"_id": i, "title": i}], schema).withColumn("load_seq", F.lit(1))
+    exports.commit_upserts(load("a"), path)
+    reader = exports.read_index(spark, path)
+    for n, i in enumerate("bc", 2):
+        assert exports.commit_upserts(load(i), path).count() == n
+        if n == 2:
+            assert [r["_id"] for r in reader.collect()] == ["a"], "a commit changes nothing under a reader"
+    (tmp_path / "index" / "version-9").mkdir()
+    assert exports.read_index(spark, path).count() == 3, "files of a commit that failed are not read"
 
 
 def test_reports_and_lines(spark):
