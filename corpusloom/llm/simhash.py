@@ -76,7 +76,7 @@ def in_descending_order(docs: DataFrame, range_bytes: int = 64 << 20) -> DataFra
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
-    ends = sorted({float(x) for x in d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], max(1 / (4 * parts), 1e-5))})
+    ends = sorted({float(x) for x in d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], max(1 / (4 * parts), 1e-5))}) or [0.0]
     # the number of ends up to an id, by binary search; as doubles ids keep their order, equal ones share a range
     key = d.withColumn("key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     ranged = Bucketizer(splits=[float("-inf"), *ends, float("inf")], inputCol="key", outputCol="range").transform(key)
