@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, components, forest, hinted, mix, release, shingles, tidy
+from corpusloom.llm.common import WordHashes, components, forest, free_name, hinted, mix, release, shingles, tidy
 from corpusloom.plans.lineage import cut
 
 
@@ -316,5 +316,6 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     Rows that repeat a doc_id are one document and stay together.
     """
-    gone = cut(jaccard_components(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(hinted(gone), "doc_id", "left_anti").select(*docs.columns)
+    one = free_name("one", docs)
+    gone = cut(jaccard_components(docs, n, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(one)).distinct())
+    return docs.join(hinted(gone), F.col("doc_id") == F.col(one), "left_anti")
