@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import embedding_dedup, jaccard_join, packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts, url_templates, warc_fixity
+from corpusloom.llm import bin_completion, conversation_trie, embedding_dedup, filter_audit, jaccard_join, packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts, url_templates, warc_fixity
 from corpusloom.llm.common import bounded_batches, free_name
 from corpusloom.plans.lineage import spread
 
@@ -68,7 +68,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited_counts(docs.withColumn(edits, token_counts.sample_edits()), public_tokenizers.path("byte_bpe_50k.tiktoken"), edits)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc_fixity, op3_url_templates, op4_simhash, op5_packing, op6_pii, op7_jaccard_join, op8_quality, op9_embedding_dedup, op10_token_counts)}
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc_fixity, op3_url_templates, op4_simhash, op5_packing, op6_pii, op7_jaccard_join, op8_quality, op9_embedding_dedup, op10_token_counts, op11_bin_completion, op12_filter_audit, op13_conversation_trie)}
+
 
 def _fixity_sql() -> str:
     """The layout as SQL; what has become of a record is said by how the replica was made, not by comparing layouts."""
@@ -138,4 +151,38 @@ def _templates_sql() -> str:
     FROM v JOIN tpl ON v.host = tpl.host AND array_to_string(v.shape, '/') = tpl.key JOIN rated ON tpl.host = rated.host AND tpl.template = rated.template"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_warc_fixity": _fixity_sql(), "op3_url_templates": _templates_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
+AUDIT_SQL = """WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    f AS (SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM w),
+    m AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    c AS (SELECT part, fails, count(*) AS n, count(CASE WHEN good THEN 1 END) AS good, count(CASE WHEN toxic THEN 1 END) AS toxic FROM f LEFT JOIN m ON f.doc_id = m.doc_id GROUP BY part, fails),
+    one AS (SELECT unnest(range(1, 6)) AS f),
+    orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM one a, one b, one c, one d, one e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    steps AS (SELECT o, list_aggregate(list_transform(o, lambda i: 'ABCDE'[i]), 'string_agg', '') AS filter_order, unnest(range(1, 6)) AS step FROM orders),
+    x AS (SELECT part, filter_order, step, o[step] AS filter, n, good, toxic, fails[o[step]] AS now, list_bool_or(list_transform(o[1:step - 1], lambda i: fails[i])) AS before, len(list_filter(fails, lambda b: b)) AS many FROM c CROSS JOIN steps),
+    r AS (SELECT part, filter_order, step, filter, CAST(sum(CASE WHEN NOT now AND NOT coalesce(before, false) THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN now AND NOT coalesce(before, false) THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN now AND before THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN now AND many = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN now AND NOT coalesce(before, false) THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN now AND NOT coalesce(before, false) THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM x GROUP BY part, filter_order, step, filter)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+
+def _trie_sql() -> str:
+    """Nodes as joined digests of their turns; subtrees are nodes whose digests begin with the node's."""
+    return """WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+    bytes AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 1 AS pos, CAST(4294967295 AS BIGINT) AS crc FROM ids UNION ALL
+        SELECT conv_id, s, pos + 1, list_reduce(list_prepend(xor(crc, CAST(ascii(s[pos]) AS BIGINT)), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END) FROM bytes WHERE pos <= length(s)),
+    h AS (SELECT conv_id, xor(crc, CAST(4294967295 AS BIGINT)) % 4 AS h FROM bytes WHERE pos = length(s) + 1),
+    t AS (SELECT conv_id, role, text, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS nr
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+    r AS (SELECT h.conv_id, t.nr AS place, t.key, t.text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND t.nr <= h.h UNION ALL SELECT h.conv_id, t.nr + 1000000 AS place, t.key, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.nr > h.h),
+    paths AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(key, '') OVER w AS path, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+        UNION ALL SELECT conv_id, 0 AS depth, '' AS path, 0 AS words FROM ids),
+    ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM paths),
+    nodes AS (SELECT path, depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends FROM ended GROUP BY path, depth),
+    kids AS (SELECT path[1:64 * (depth - 1)] AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+    under AS (SELECT a.path, a.depth, sum((b.n_convs - 1) * b.words) AS saved, count(CASE WHEN k.n IS NULL THEN 1 END) AS leaves FROM nodes a JOIN nodes b ON b.depth >= a.depth AND starts_with(b.path, a.path) LEFT JOIN kids k ON k.path = b.path AND k.depth = b.depth GROUP BY a.path, a.depth)
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM nodes n JOIN under u ON n.path = u.path AND n.depth = u.depth LEFT JOIN kids k ON k.path = n.path AND k.depth = n.depth LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:64 * p.depth]"""
+
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL, "op13_conversation_trie": _trie_sql(), "op2_warc_fixity": _fixity_sql(), "op3_url_templates": _templates_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
