@@ -23,25 +23,6 @@ STEP = 16
 CLOSE = 1e-9  # products of turned vectors are this exact and more
 
 
-def principal_axes(moment: np.ndarray, sweeps: int = 12) -> np.ndarray:
-    """Eigenvectors of a symmetric matrix as columns, largest eigenvalue first, by Jacobi rotations."""
-    a, v, d = moment.copy(), np.eye(len(moment)), len(moment)
-    for _ in range(sweeps):
-        if np.abs(a - np.diag(a.diagonal())).max(initial=0) <= 1e-13 * max(1e-300, np.abs(a).max(initial=0)):
-            break
-        for p in range(d - 1):
-            for q in range(p + 1, d):
-                if abs(a[p, q]) > 1e-300:
-                    t = (a[q, q] - a[p, p]) / (2 * a[p, q])
-                    t = (1 if t >= 0 else -1) / (abs(t) + np.hypot(t, 1))
-                    c = 1 / np.hypot(t, 1)
-                    turn = np.array([[c, t * c], [-t * c, c]])
-                    a[:, [p, q]] = np.einsum("ij,jk->ik", a[:, [p, q]], turn)
-                    a[[p, q]] = np.einsum("ji,jk->ik", turn, a[[p, q]])
-                    v[:, [p, q]] = np.einsum("ij,jk->ik", v[:, [p, q]], turn)
-    return v[:, np.argsort(-a.diagonal(), kind="stable")]
-
-
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, embedding): rows that can link."""
     e = F.col("embedding").cast("array<double>")
@@ -58,7 +39,7 @@ def unit(rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def fit_axes(vectors: DataFrame, width: int) -> np.ndarray:
-    """Principal axes of all unit vectors: every partition adds up its moments, width * width sums come back."""
+    """Principal axes of all unit vectors as columns: every partition adds up its moments, one task finds the eigenvectors of their sum, which come back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
@@ -68,11 +49,17 @@ def fit_axes(vectors: DataFrame, width: int) -> np.ndarray:
                 total += x.T @ x
         yield pd.DataFrame({"at": np.arange(width * width), "value": total.ravel()})
 
-    rows = vectors.select("embedding").mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-    moment = np.zeros(width * width)
-    moment[rows["at"].to_numpy(int)] = rows["value"].to_numpy()
-    moment = moment.reshape(width, width)
-    return principal_axes((moment + moment.T) / 2)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moment = np.zeros(width * width)
+        for b in batches:
+            moment[b["at"].to_numpy(int)] = b["value"].to_numpy()
+        moment = moment.reshape(width, width)
+        axes = np.linalg.eigh((moment + moment.T) / 2)[1][:, ::-1]  # the largest eigenvalue first
+        yield pd.DataFrame({"at": np.arange(width), "row": [r.tobytes() for r in np.ascontiguousarray(axes)]})
+
+    sums = vectors.select("embedding").mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    found = sums.repartition(1).mapInPandas(solve, "at int, row binary").toPandas().sort_values("at")  # one task of width * width numbers; a threaded solver in the driver's process can stall after forks
+    return np.frombuffer(b"".join(found["row"]), float).reshape(width, width)
 
 
 def tile_products(a: np.ndarray, b: np.ndarray, at_least: float, rows_at_once: int = 512, exact: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:

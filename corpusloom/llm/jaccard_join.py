@@ -17,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WordHashes, components, forest, free_name, hinted, mix, release, shingles, tidy
@@ -290,9 +290,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     """
     seen = cut(profile(docs, n))
     named = seen.where("token is null").select("doc_id", "n_shingles", "node")
-    signed = signature_rows(docs, n, num, den, common_shingles(seen.where("token is not null")))
-    first = F.first("node").over(Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = signed.select("node", first.alias("first")).where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    signed = cut(signature_rows(docs, n, num, den, common_shingles(seen.where("token is not null"))).select("node", "signature"))
+    # the least set of a signature by a partial aggregation; from a table, so that the join can split the sets of a signature that many have
+    least = signed.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("signature", "first")
+    met = signed.join(least, "signature").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
     block = cut(components(met))
     reps = cut(named.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")))
     placed = cut(reps.join(hinted(block), "node").select("rep", "size", "copies", F.col("component").alias("block")))

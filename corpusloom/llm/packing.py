@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ from corpusloom.plans.lineage import cut
 def byte_level_encoder(tokenizer_json: str):
     """The byte-level BPE of a tokenizer file, as an encoder of ordinary text, and its special tokens' ids."""
     import public_tokenizers
-    import tiktoken
 
     spec = json.load(open(tokenizer_json, encoding="utf-8"))
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,6 +37,23 @@ def byte_level_encoder(tokenizer_json: str):
     return tiktoken.Encoding("byte level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: White space so long that the encoder's own pattern would run out of stack on it.
+LONG_SPACE = regex.compile(r"\p{White_Space}{2000,}+")
+
+
+def encode(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a whole text. Very long white space is one pre-token, but for its last character where more text follows: it goes to the encoder by itself."""
+    ids, done = [], 0
+    for gap in LONG_SPACE.finditer(text):
+        end = gap.end()
+        if end < len(text) and not any(text.startswith(s, end) for s in encoder.special_tokens_set):
+            end -= 1
+        ids += encoder.encode(text[done : gap.start()], allowed_special="all")
+        ids += encoder._encode_single_piece(text[gap.start() : end])
+        done = end
+    return ids + encoder.encode(text[done:], allowed_special="all")
+
+
 def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
     """Token pieces of every document: doc_id, start, length, ids_crc32, doc_tokens. Null texts count as empty; a document has at least its end id."""
 
@@ -44,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity: int
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*encoder.encode(text or "", allowed_special="all"), end_id], "<u4")
+                ids = np.array([*encode(encoder, text or ""), end_id], "<u4")
                 out += [(doc_id, at, len(x := ids[at : at + capacity]), zlib.crc32(x.tobytes()), len(ids)) for at in range(0, len(ids), capacity)]
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 

@@ -125,30 +125,42 @@ def _templates_sql() -> str:
     stem = "regexp_replace(s, '\\.[A-Za-z][A-Za-z0-9]{0,4}$', '')"
     kind = f"""CASE WHEN regexp_matches({stem}, '^[0-9]{{4}}-[0-9]{{1,2}}(-[0-9]{{1,2}})?$') THEN '<date>' || {ext} WHEN regexp_matches({stem}, '^[0-9]+$') THEN '<n>' || {ext}
         WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{16,}}$') THEN '<hex>' || {ext} WHEN regexp_matches({stem}, '[0-9]') AND length({stem}) > 3 OR length({stem}) > 40 THEN '<id>' || {ext} ELSE s END"""
+    def level(d: int) -> str:
+        """CTEs of one level: rows_d are the shapes with more than d segments, done_d those that end with it."""
+        n = d + 1
+        bits = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END"
+        return f"""tok_{n} AS MATERIALIZED (SELECT *, shape[{n}] AS token, coalesce(shape[{n + 1}], '') AS nx, coalesce(shape[{n + 2}], '') AS af FROM rows_{d}),
+        node_{n} AS MATERIALIZED (SELECT host, prefix, token, total, good, bad, CASE WHEN starts_with(token, '<') OR token = '**' THEN token WHEN kids > 24 AND total < 0.05 * among THEN '*' END AS seg FROM (
+            SELECT *, count(*) OVER (PARTITION BY host, prefix) AS kids, sum(total) OVER (PARTITION BY host, prefix) AS among FROM (SELECT host, prefix, token, sum(n) AS total, sum(good) AS good, sum(bad) AS bad FROM tok_{n} GROUP BY host, prefix, token))),
+        plain_{n} AS MATERIALIZED (SELECT host, prefix, token, total, good, bad FROM node_{n} WHERE seg IS NULL),
+        next_{n} AS MATERIALIZED (SELECT host, prefix, token, total, CASE WHEN kinds > 24 AND m < 0.05 * total THEN '*' ELSE nx END AS nx, af, n FROM (
+            SELECT t.host, t.prefix, t.token, total, nx, af, n, sum(n) OVER (PARTITION BY t.host, t.prefix, t.token, nx) AS m, len(list_distinct(list(nx) OVER (PARTITION BY t.host, t.prefix, t.token))) AS kinds FROM tok_{n} t JOIN plain_{n} USING (host, prefix, token))),
+        follow_{n} AS MATERIALIZED (SELECT host, prefix, token, nx || '/' || CASE WHEN n < 0.05 * total THEN '*' ELSE af END AS f, sum(n) / CAST(total AS DOUBLE) AS share FROM (SELECT host, prefix, token, total, nx, af, sum(n) AS n FROM next_{n} GROUP BY ALL) GROUP BY host, prefix, token, f, total),
+        known_{n} AS MATERIALIZED (SELECT * FROM plain_{n} JOIN (SELECT host, prefix, token, round(sum(CASE WHEN len(list_filter(string_split(f, '/'), lambda s: s NOT IN ('', '*', '**') AND NOT starts_with(s, '<'))) > 0 THEN share ELSE 0 END), 9) >= 0.5 AS known FROM follow_{n} GROUP BY host, prefix, token) USING (host, prefix, token)),
+        pair_{n} AS MATERIALIZED (SELECT a.host, a.prefix, a.token, b.token AS other, a.total AS n, b.total AS m FROM known_{n} a JOIN known_{n} b ON a.host = b.host AND a.prefix = b.prefix AND a.token <> b.token AND a.known AND b.known
+            AND (a.good + a.bad = 0 OR b.good + b.bad = 0 OR round(abs(a.good / (a.good + a.bad) - b.good / (b.good + b.bad)), 9) <= 0.2)),
+        both_{n} AS MATERIALIZED (SELECT host, prefix, token, other, n, m, f, sum(p) AS p, sum(q) AS q FROM (SELECT q.*, x.f, x.share AS p, 0 AS q FROM pair_{n} q JOIN follow_{n} x USING (host, prefix, token) UNION ALL
+            SELECT q.*, y.f, 0 AS p, y.share AS q FROM pair_{n} q JOIN follow_{n} y ON y.host = q.host AND y.prefix = q.prefix AND y.token = q.other) GROUP BY host, prefix, token, other, n, m, f),
+        alike_{n} AS MATERIALIZED (SELECT host, prefix, token, other, m FROM both_{n} GROUP BY host, prefix, token, other, n, m HAVING round(sum({bits}), 9) <= least(0.25, round(0.02 + 3 * (count(*) - 1) * (1.0 / n + 1.0 / m) / (8 * ln(2)), 9)) UNION ALL SELECT host, prefix, token, token, total FROM plain_{n}),
+        lead_{n} AS MATERIALIZED (SELECT host, prefix, token, arg_max(other, (m, other)) AS leader FROM alike_{n} GROUP BY host, prefix, token),
+        seg_{n} AS MATERIALIZED (SELECT host, prefix, token, seg FROM node_{n} WHERE seg IS NOT NULL UNION ALL SELECT host, prefix, unnest(toks) AS token, CASE WHEN len(toks) > 1 THEN '{{' || array_to_string(toks, '|') || '}}' ELSE toks[1] END AS seg FROM (SELECT host, prefix, list_sort(list(token)) AS toks FROM lead_{n} GROUP BY host, prefix, leader)),
+        put_{n} AS MATERIALIZED (SELECT host, key, shape, n, good, bad, prefix, seg, mean FROM tok_{n} JOIN seg_{n} USING (host, prefix, token)),
+        mean_{n} AS MATERIALIZED (SELECT host, prefix, (coalesce(sum(CASE WHEN good + bad > 0 THEN good / (good + bad) END), 0) + 2 * any_value(mean)) / (count(CASE WHEN good + bad > 0 THEN 1 END) + 2) AS mean FROM (SELECT host, prefix, seg, sum(good) AS good, sum(bad) AS bad, any_value(mean) AS mean FROM put_{n} GROUP BY host, prefix, seg) GROUP BY host, prefix),
+        new_{n} AS MATERIALIZED (SELECT p.host, key, shape, n, good, bad, p.prefix || '/' || seg AS prefix, q.mean FROM put_{n} p JOIN mean_{n} q ON p.host = q.host AND p.prefix = q.prefix),
+        rows_{n} AS MATERIALIZED (SELECT * FROM new_{n} WHERE len(shape) > {n}), done_{n} AS MATERIALIZED (SELECT host, key, good, bad, prefix, mean FROM new_{n} WHERE len(shape) = {n})"""
+
+    deepest = 17  # 16 segments and what is beyond them
     return f"""WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_templates.UPPER}', '{url_templates.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
     u AS (SELECT page_id, host, path, CAST({rule} AS VARCHAR) AS rule, CAST({verdict} AS VARCHAR) AS what, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM p),
-    v AS (SELECT * EXCLUDE segs, list_concat(list_transform(segs[1:16], lambda s: {kind}), CASE WHEN len(segs) > 16 THEN ['**'] ELSE CAST([] AS VARCHAR[]) END) AS shape FROM u),
-    k AS (SELECT host, array_to_string(shape, '/') AS key, shape, count(*) AS n, count(CASE WHEN what = 'allow' THEN 1 END) AS good, count(CASE WHEN what = 'block' THEN 1 END) AS bad FROM v GROUP BY host, shape),
-    t AS (SELECT host, key, n, good, bad, pos, shape[pos] AS token, array_to_string(shape[1:pos - 1], '/') AS parent, coalesce(shape[pos + 1], '') AS next FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS pos FROM k)),
-    nodes AS (SELECT host, parent, token, sum(n) AS total, (sum(good) + 1.0) / (sum(good) + sum(bad) + 2.0) AS purity FROM t GROUP BY host, parent, token),
-    parents AS (SELECT host, parent, count(*) AS kids, sum(total) AS among FROM nodes GROUP BY host, parent),
-    named AS (SELECT host, parent, token, total, purity, CASE WHEN starts_with(token, '<') OR token = '**' THEN token WHEN kids > 24 AND total < 0.05 * among THEN '*' END AS seg FROM nodes JOIN parents USING (host, parent)),
-    plain AS (SELECT host, parent, token, total, purity FROM named WHERE seg IS NULL),
-    nexts AS (SELECT host, parent, token, next, sum(n) AS n FROM t JOIN plain USING (host, parent, token) GROUP BY host, parent, token, next),
-    classes AS (SELECT host, parent, next FROM (SELECT host, parent, next, sum(n) AS n FROM nexts GROUP BY host, parent, next) JOIN (SELECT host, parent, sum(total) AS pool FROM plain GROUP BY host, parent) USING (host, parent) WHERE n >= 0.05 * pool),
-    pairs AS (SELECT a.host, a.parent, a.token, b.token AS other, a.total AS n, b.total AS m, abs(a.purity - b.purity) AS apart FROM plain a JOIN plain b ON a.host = b.host AND a.parent = b.parent),
-    shares AS (SELECT q.*, c.next, coalesce(x.n, 0) / CAST(q.n AS DOUBLE) AS p, coalesce(y.n, 0) / CAST(q.m AS DOUBLE) AS q FROM pairs q LEFT JOIN classes c ON q.host = c.host AND q.parent = c.parent
-        LEFT JOIN nexts x ON x.host = q.host AND x.parent = q.parent AND x.token = q.token AND x.next = c.next LEFT JOIN nexts y ON y.host = q.host AND y.parent = q.parent AND y.token = q.other AND y.next = c.next),
-    tests AS (SELECT host, parent, token, other, m, apart, count(CASE WHEN p + q > 0 THEN 1 END) AS k, 1.0 / n + 1.0 / m AS noise,
-        coalesce(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0) + (2 - coalesce(sum(p), 0) - coalesce(sum(q), 0)) / 2 AS bits FROM shares GROUP BY ALL),
-    leaders AS (SELECT host, parent, token, arg_max(other, (m, other)) AS leader FROM tests WHERE token = other OR round(bits, 9) <= least(0.25, round(0.02 + 3 * (k - 1) * noise / (8 * ln(2)), 9)) AND round(apart, 9) <= 0.2 GROUP BY host, parent, token),
-    merged AS (SELECT host, parent, leader, list_sort(list(token)) AS toks FROM leaders GROUP BY host, parent, leader),
-    segs AS (SELECT host, parent, token, seg FROM named WHERE seg IS NOT NULL UNION ALL SELECT host, parent, unnest(toks) AS token, CASE WHEN len(toks) > 1 THEN '{{' || array_to_string(toks, '|') || '}}' ELSE toks[1] END AS seg FROM merged),
-    tpl AS (SELECT k.host, k.key, k.good, k.bad, '/' || coalesce(template, '') AS template FROM k LEFT JOIN (SELECT host, key, string_agg(seg, '/' ORDER BY pos) AS template FROM t JOIN segs USING (host, parent, token) GROUP BY host, key) x ON k.host = x.host AND k.key = x.key),
-    rated AS (SELECT host, template, (sum(good) + 1.0) / (sum(good) + sum(bad) + 2.0) AS purity FROM tpl GROUP BY host, template)
-    SELECT page_id, v.host, path, rule, coalesce(what, CASE WHEN purity < 0.3 THEN 'block' ELSE 'allow' END) AS verdict, tpl.template, CAST(purity AS DOUBLE) AS purity
-    FROM v JOIN tpl ON v.host = tpl.host AND array_to_string(v.shape, '/') = tpl.key JOIN rated ON tpl.host = rated.host AND tpl.template = rated.template"""
+    v AS MATERIALIZED (SELECT * EXCLUDE segs, list_concat(list_transform(segs[1:16], lambda s: {kind}), CASE WHEN len(segs) > 16 THEN ['**'] ELSE CAST([] AS VARCHAR[]) END) AS shape FROM u),
+    k AS MATERIALIZED (SELECT host, array_to_string(shape, '/') AS key, shape, count(*) AS n, CAST(count(CASE WHEN what = 'allow' THEN 1 END) AS DOUBLE) AS good, CAST(count(CASE WHEN what = 'block' THEN 1 END) AS DOUBLE) AS bad, '' AS prefix, CAST(0.5 AS DOUBLE) AS mean FROM v GROUP BY host, shape),
+    rows_0 AS MATERIALIZED (SELECT * FROM k WHERE len(shape) > 0),
+    {", ".join(level(d) for d in range(deepest))},
+    found AS (SELECT host, key, good, bad, '/' AS prefix, mean FROM k WHERE len(shape) = 0 {" ".join(f"UNION ALL SELECT * FROM done_{d + 1}" for d in range(deepest))}),
+    rated AS (SELECT host, prefix, (sum(good) + 2 * any_value(mean)) / (sum(good) + sum(bad) + 2) AS purity FROM found GROUP BY host, prefix)
+    SELECT page_id, v.host, path, rule, coalesce(what, CASE WHEN purity < 0.3 THEN 'block' ELSE 'allow' END) AS verdict, rated.prefix AS template, CAST(purity AS DOUBLE) AS purity
+    FROM v JOIN found ON v.host = found.host AND array_to_string(v.shape, '/') = found.key JOIN rated ON found.host = rated.host AND found.prefix = rated.prefix"""
 
 
 AUDIT_SQL = """WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -1,9 +1,9 @@
 """URL filtering by path templates per host, with DataFrame functions only.
 
 Every url is reduced to its host and the shape of its path, whose segments that vary by form (numbers, ids, dates) are
-wildcards. A tree of these paths per host, far smaller than the urls, then generalises segments that vary by count,
-merges sibling branches that a test on the counts of their next segments finds alike, and rates each resulting template by the smoothed
-share of good labels. Templates of low purity are rejected; rules decide before.
+wildcards. A tree of these paths per host, far smaller than the urls, is then generalised level by level: segments that vary by count become
+wildcards, and sibling branches that a test on the counts of what follows them finds alike are merged, each into one branch, before the next level is looked at. A
+template is rated by its share of good labels, smoothed towards its parent branch. Templates of low purity are rejected; rules decide before.
 """
 
 from __future__ import annotations
@@ -56,69 +56,84 @@ def shape(path: Column, most_depth: int = 16) -> Column:
     return let(segments, short)
 
 
-def divergence(x: Column, y: Column) -> Column:
-    """Jensen-Shannon divergence in bits of the next segments of two branches, structs of total and p (shares of the same named segments).
+def named(follow: Column) -> Column:
+    """Whether one of two following segments, joined by a slash, is a word of its own: neither a wildcard nor an end."""
+    return F.exists(F.split(follow, "/"), lambda s: (s != "") & (s != "*") & (s != "**") & ~s.startswith("<"))
 
-    What is not named, the rare next segments, counts as different in both: nothing says that they are the same.
+
+def alike(x: Column, y: Column) -> Column:
+    """Whether two branches, structs of total, good, bad and follows (map of what follows to its share), are samples of one distribution, as far as their counts can tell.
+
+    The Jensen-Shannon divergence of two samples of one distribution of k outcomes is (k - 1) (1/n + 1/m) / (8 ln 2) bits on average; three times that, and a
+    fiftieth of a bit, is allowed, but never more than a quarter. At least half of what follows has to be named, in both: that both go on with something variable
+    says nothing. Where both have labels, their shares of good ones may differ by a fifth.
     """
+    keys = F.array_union(F.map_keys(x["follows"]), F.map_keys(y["follows"]))
+    share = lambda b, k: F.coalesce(F.try_element_at(b["follows"], k), F.lit(0.0))
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    both = F.zip_with(x["p"], y["p"], lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
-    return total(both) + (1 - total(x["p"]) + 1 - total(y["p"])) / 2
+    bits = total(F.transform(keys, lambda k: (part(share(x, k), (share(x, k) + share(y, k)) / 2) + part(share(y, k), (share(x, k) + share(y, k)) / 2)) / 2))
+    noise = 3 * (F.size(keys) - 1) * (1 / x["total"] + 1 / y["total"]) / (8 * log(2))
+    known = lambda b: F.round(total(F.transform(F.map_keys(b["follows"]), lambda k: F.when(named(k), share(b, k)).otherwise(0.0))), 9) >= 0.5
+    labels = (x["good"] + x["bad"] == 0) | (y["good"] + y["bad"] == 0) | (F.round(F.abs(F.try_divide(x["good"], x["good"] + x["bad"]) - F.try_divide(y["good"], y["good"] + y["bad"])), 9) <= 0.2)
+    return (F.round(bits, 9) <= F.least(F.lit(0.25), F.round(0.02 + noise, 9))) & known(x) & known(y) & labels
 
 
-def alike(x: Column, y: Column) -> Column:
-    """Whether two branches are samples of one distribution, as far as their counts can tell, with like labels.
+def branch_segments(rows: DataFrame, most_children: int, least_share: float) -> DataFrame:
+    """(host, prefix, token, seg): what each segment of a level becomes. ``rows``: (host, prefix, token, next, after, n, good, bad).
 
-    The divergence of two samples of one distribution of k segments is (k - 1) (1/n + 1/m) / (8 ln 2) bits on average; three times that, and a
-    fiftieth of a bit, is allowed, but never more than a quarter. The smoothed shares of good labels may differ by a fifth.
+    A segment becomes ``*`` if its branch has more than ``most_children`` different ones and it less than ``least_share`` of the branch's urls. Of the others, at most
+    most_children or 1 / least_share for each branch, every one joins the most frequent sibling that is alike(), itself included; those that join the same one
+    are merged. What follows a segment is two segments; those that would be wildcards, or are too rare to be named, are ``*``.
     """
-    k = F.size(F.filter(F.zip_with(x["p"], y["p"], lambda p, q: p + q), lambda v: v > 0))
-    noise = 3 * (k - 1) * (1 / x["total"] + 1 / y["total"]) / (8 * log(2))
-    return (F.round(divergence(x, y), 9) <= F.least(F.lit(0.25), F.round(0.02 + noise, 9))) & (F.round(F.abs(x["purity"] - y["purity"]), 9) <= 0.2)
+    node = ["host", "prefix", "token"]
+    whole = rows.groupBy(*node).agg(F.sum("n").alias("total"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    kids = whole.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("kids"), F.sum("total").alias("among"))
+    by_form = F.col("token").startswith("<") | (F.col("token") == "**")
+    rare = (F.col("kids") > most_children) & (F.col("total") < least_share * F.col("among"))
+    judged = cut(whole.join(kids, ["host", "prefix"]).withColumn("seg", F.when(by_form, F.col("token")).when(rare, "*")))
+    plain = judged.where("seg is null").select(*node, "total", "good", "bad")
+    nexts = rows.join(plain.select(*node, "total"), node).groupBy(*node, "next", "after").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
+    of_next = nexts.groupBy(*node, "next").agg(F.sum("n").alias("m"))
+    many = of_next.groupBy(*node).agg(F.count(F.lit(1)).alias("kinds"))
+    of_next = of_next.join(many, node)
+    nexts = nexts.join(of_next, [*node, "next"]).withColumn("next", F.when((F.col("kinds") > most_children) & (F.col("m") < least_share * F.col("total")), "*").otherwise(F.col("next")))
+    nexts = nexts.groupBy(*node, "next", "after").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
+    after = F.when(F.col("n") < least_share * F.col("total"), "*").otherwise(F.col("after"))
+    follows = nexts.groupBy(*node, F.concat("next", F.lit("/"), after).alias("follow")).agg((F.sum("n") / F.first("total")).alias("share"))
+    profile = plain.join(follows.groupBy(*node).agg(F.map_from_entries(F.collect_list(F.struct("follow", "share"))).alias("follows")), node)
+    # siblings are few by the bound above, so a branch's are one row
+    siblings = profile.groupBy("host", "prefix").agg(F.collect_list(F.struct("token", "total", "good", "bad", "follows")).alias("all"))
+    leader = F.transform("all", lambda x: F.struct(x["token"].alias("token"), F.array_max(F.transform(F.filter("all", lambda y: (y["token"] == x["token"]) | alike(x, y)), lambda y: F.struct(y["total"].alias("n"), y["token"].alias("token"))))["token"].alias("leader")))
+    led = siblings.select("host", "prefix", F.explode(leader).alias("x")).select("host", "prefix", "x.token", "x.leader")
+    merged = led.groupBy("host", "prefix", "leader").agg(F.array_sort(F.collect_set("token")).alias("of"))
+    merged = merged.select("host", "prefix", F.explode("of").alias("token"), F.when(F.size("of") > 1, F.concat(F.lit("{"), F.array_join("of", "|"), F.lit("}"))).otherwise(F.col("of")[0]).alias("seg"))
+    return judged.where("seg is not null").select(*node, "seg").union(merged.select(*node, "seg"))
 
 
-def path_templates(paths: DataFrame, most_children: int = 24, least_share: float = 0.05, smoothing: float = 2.0, prior: float = 0.5) -> DataFrame:
+def path_templates(paths: DataFrame, most_children: int = 24, least_share: float = 0.05, strength: float = 2.0, prior: float = 0.5) -> DataFrame:
     """(host, key, template, purity) for rows (host, shape, n, good, bad), one for each host and shape; key is the shape, joined.
 
-    A segment becomes ``*`` if its parent has more than ``most_children`` different ones and it less than ``least_share`` of the
-    parent's urls. Of the others, at most most_children or 1 / least_share for each parent, every one joins the most frequent sibling
-    that is alike(), itself included; those that join the same one are merged. Next segments are named if they have ``least_share`` among all the siblings.
+    Every level's segments are replaced, by branch_segments(), before the next level is grouped under the new branches. A branch's own mean is that of its
+    labelled children, each counting once and ``strength`` times the mean of the branch above it, ``prior`` above the host; a template's purity is its share of good labels with
+    ``strength`` times its branch's mean. So one bad sibling doesn't condemn a template without labels, several do.
     """
-    p = paths.withColumn("key", F.array_join("shape", "/"))
-    parts = p.select("host", "key", "n", "good", "bad", "shape", F.posexplode("shape").alias("at", "token"))
-    parts = parts.withColumn("parent", F.array_join(F.slice("shape", F.lit(1), F.col("at")), "/")).withColumn("next", F.coalesce(F.get("shape", F.col("at") + 1), F.lit(""))).drop("shape")
-    parts = cut(parts)
-    nexts = parts.groupBy("host", "parent", "token", "next").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    node = ["host", "parent", "token"]
-    whole = nexts.groupBy(*node).agg(F.sum("n").alias("total"), purity_of("good", "bad", smoothing, prior).alias("purity"))
-    kids = whole.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("kids"), F.sum("total").alias("among"))
-    rare = (F.col("kids") > most_children) & (F.col("total") < least_share * F.col("among"))
-    named = cut(whole.join(kids, ["host", "parent"]).withColumn("seg", F.when(F.col("token").startswith("<") | (F.col("token") == "**"), F.col("token")).when(rare, "*")))
-    plain = named.where("seg is null").select(*node, "total", "purity")
-    of_plain = nexts.select(*node, "next", "n").join(plain, node)
-    pooled = of_plain.groupBy("host", "parent", "next").agg(F.sum("n").alias("n")).join(plain.groupBy("host", "parent").agg(F.sum("total").alias("all")), ["host", "parent"])
-    classes = pooled.where(F.col("n") >= least_share * F.col("all")).groupBy("host", "parent").agg(F.array_sort(F.collect_set("next")).alias("classes"))  # 1 / least_share at most
-    counts = of_plain.join(classes, ["host", "parent"]).where(F.array_contains("classes", F.col("next"))).groupBy(*node).agg(F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("counts"))
-    profile = plain.join(classes, ["host", "parent"], "left").join(counts, node, "left")
-    share = F.transform(F.coalesce("classes", F.array().cast("array<string>")), lambda c: F.coalesce(F.try_element_at("counts", c), F.lit(0)) / F.col("total"))
-    # siblings are few by the bound above, so a parent's are one row
-    siblings = profile.groupBy("host", "parent").agg(F.collect_list(F.struct("token", "total", "purity", share.alias("p"))).alias("all"))
-    leader = F.transform("all", lambda x: F.struct(x["token"].alias("token"), F.array_max(F.transform(F.filter("all", lambda y: (y["token"] == x["token"]) | alike(x, y)), lambda y: F.struct(y["total"].alias("n"), y["token"].alias("token"))))["token"].alias("leader")))
-    led = siblings.select("host", "parent", F.explode(leader).alias("x")).select("host", "parent", "x.token", "x.leader")
-    merged = led.groupBy("host", "parent", "leader").agg(F.array_sort(F.collect_set("token")).alias("of"))
-    merged = merged.select("host", "parent", F.explode("of").alias("token"), F.when(F.size("of") > 1, F.concat(F.lit("{"), F.array_join("of", "|"), F.lit("}"))).otherwise(F.col("of")[0]).alias("seg"))
-    segs = named.where("seg is not null").select(*node, "seg").union(merged.select(*node, "seg"))
-    of_path = parts.select(*node, "key", "at").join(segs, node).groupBy("host", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seg"))), lambda x: x["seg"]), "/").alias("template"))
-    with_all = p.select("host", "key", "good", "bad").join(of_path, ["host", "key"], "left").withColumn("template", F.concat(F.lit("/"), F.coalesce("template", F.lit(""))))
-    with_all = cut(with_all)
-    rated = with_all.groupBy("host", "template").agg(purity_of("good", "bad", smoothing, prior).alias("purity"))
-    return with_all.select("host", "key", "template").join(rated, ["host", "template"]).select("host", "key", "template", "purity")
-
-
-def purity_of(good: str, bad: str, smoothing: float, prior: float) -> Column:
-    """The smoothed share of good labels of a group."""
-    return (F.sum(good) + smoothing * prior) / (F.sum(good) + F.sum(bad) + smoothing)
+    start = paths.select("host", F.array_join("shape", "/").alias("key"), "shape", "n", "good", "bad", F.lit("").alias("prefix"), F.lit(prior).alias("mean"))
+    found, todo, depth = start.where(F.size("shape") == 0).withColumn("prefix", F.lit("/")), cut(start.where(F.size("shape") > 0)), 0
+    while not todo.isEmpty():  # as often as the longest shape has segments
+        at = lambda k, depth=depth: F.coalesce(F.get("shape", F.lit(depth + k)), F.lit(""))
+        rows = todo.select("host", "prefix", at(0).alias("token"), at(1).alias("next"), at(2).alias("after"), "n", "good", "bad")
+        segs = cut(branch_segments(rows, most_children, least_share))
+        placed = todo.withColumn("token", at(0)).join(segs, ["host", "prefix", "token"])
+        child = placed.groupBy("host", "prefix", "seg").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.first("mean").alias("mean"))
+        labelled = F.col("good") + F.col("bad") > 0
+        means = child.groupBy("host", "prefix").agg(((F.coalesce(F.sum(F.when(labelled, F.try_divide("good", F.col("good") + F.col("bad")))), F.lit(0.0)) + strength * F.first("mean")) / (F.count(F.when(labelled, 1)) + strength)).alias("mean"))
+        placed = placed.drop("mean").join(means, ["host", "prefix"])
+        depth += 1
+        placed = cut(placed.select("host", "key", "shape", "n", "good", "bad", F.concat("prefix", F.lit("/"), "seg").alias("prefix"), "mean"))
+        found, todo = found.union(placed.where(F.size("shape") == depth)), placed.where(F.size("shape") > depth)
+    rated = found.groupBy("host", "prefix").agg(((F.sum("good") + strength * F.first("mean")) / (F.sum("good") + F.sum("bad") + strength)).alias("purity"))
+    return found.select("host", "key", "prefix").join(rated, ["host", "prefix"]).select("host", "key", F.col("prefix").alias("template"), "purity")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], reject_below: float = 0.3) -> DataFrame:

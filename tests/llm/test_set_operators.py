@@ -161,12 +161,13 @@ def test_pairs_at_the_bound_are_decided_by_the_vectors_as_they_are(spark):
     assert {r["vec_id"] for r in embedding_dedup.near_duplicates(table).where("n_links = 1").collect()} == {3, 7}
 
 
-def test_principal_axes_and_tiles():
+def test_principal_axes_and_tiles(spark):
     r = np.random.default_rng(4)
-    m = r.normal(size=(30, 12))
-    m = m.T @ m
-    v = embedding_dedup.principal_axes(m)
-    assert np.allclose(v.T @ v, np.eye(12)) and np.all(np.diff(np.diag(v.T @ m @ v)) <= 1e-9)
+    for width, rows in ((12, 300), (1, 5), (256, 40)):
+        x = r.normal(size=(rows, width))
+        v = embedding_dedup.fit_axes(spark.createDataFrame([(y.tolist(),) for y in x], "embedding array<double>"), width)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert np.allclose(v.T @ v, np.eye(width)) and np.all(np.diff(np.diag(v.T @ (u.T @ u) @ v)) <= 1e-9)
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.normal(size=(40, 40)), r.normal(size=(50, 40))))
     b[:5] = a[:5]
     assert (embedding_dedup.tile_products(a, b, 0.93) == (a @ b.T >= 0.93)).all()
@@ -212,7 +213,7 @@ def test_branches_that_share_nothing_stay_apart(spark):
     assert by["/news/sport/a3x"]["template"] == "/news/sport/<id>" or by["/news/sport/a3x"]["template"].startswith("/news/sport/")
     assert by["/shop/cart/3"]["template"] == "/shop/cart/<n>"
     assert {r["template"].split("/")[2] for r in rows if r["host"] == "k.com"} == {"x", "y"}, "rare segments say nothing of likeness"
-    assert by["/red/list/25"]["template"] == "/{blue|red}/list/<n>" and by["/red/list/25"]["verdict"] == "block" and by["/red/list/25"]["rule"] is None
+    assert by["/red/list/25"]["template"] == "/{blue|green|red}/list/<n>" and by["/red/list/25"]["verdict"] == "block" and by["/red/list/25"]["rule"] is None
     assert by["/green/list/5"]["verdict"] == "allow" and by["/green/list/5"]["template"] == "/green/list/<n>", "no labels, so unlike those that are all bad"
     assert by["/" + "s/" * 30000 + "end"]["template"] == "/" + "/".join(["s"] * 16) + "/**" and by["/" + "q" * 100000]["template"] == "/<id>"
 
@@ -261,3 +262,45 @@ def test_files_are_read_in_splits_and_audited(spark, tmp_path):
         assert warc_fixity.read_warc(spark, str(tmp_path / "c")).where("record_id is null").count() == 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def random_words(seed):
+    r = random.Random(seed)
+    return lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+
+
+def verdicts(spark, urls, rules):
+    rows = url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    return {r["path"]: r for r in rows}
+
+
+def test_a_tree_goes_on_below_wildcards(spark):
+    w = random_words(1)
+    by = verdicts(spark, [f"http://h.com/user/{w()}/post/{w()}" for _ in range(300)], [])
+    assert {r["template"] for r in by.values()} == {"/user/*/post/*"}
+
+
+def test_merged_branches_are_one_below(spark):
+    w = random_words(2)
+    urls = [f"http://h.com/ads/{w()}/track/{w()}" for _ in range(200)] + [f"http://h.com/adz/{w()}/track/{w()}" for _ in range(50)] + [f"http://h.com/news/{w()}" for _ in range(50)] + [f"http://h.com/shop/{w()}/item/{w()}" for _ in range(50)]
+    by = verdicts(spark, urls, [("block", "h.com/ads/")])
+    assert {r["template"] for r in by.values()} == {"/{ads|adz}/*/track/*", "/news/*", "/shop/*/item/*"}
+    assert all(r["verdict"] == ("block" if p.startswith("/ad") else "allow") for p, r in by.items())
+    assert all(r["rule"] is None for p, r in by.items() if p.startswith("/adz"))
+
+
+def test_labels_that_contradict_keep_branches_apart(spark):
+    w = random_words(3)
+    urls = [f"http://h.com/{x}/{w()}/track/{w()}" for x in ("good", "bad") for _ in range(60)]
+    by = verdicts(spark, urls, [("block", "h.com/bad/"), ("allow", "h.com/good/")])
+    assert {r["template"] for r in by.values()} == {"/good/*/track/*", "/bad/*/track/*"}
+
+
+def test_purity_leans_on_the_branch_above(spark):
+    rules = [("block", f"h.com/{x}/") for x in "ab"]
+    two, one = [f"http://h.com/{x}/{i}" for x in "abc" for i in range(30)], [f"http://h.com/{x}/{i}" for x in "ac" for i in range(30)]
+    # of labelled siblings each counts once, with 2 of 0.5: (0 + 0 + 1) / (2 + 2) and (0 + 1) / (1 + 2)
+    by = verdicts(spark, two, rules)
+    assert round(by["/c/1"]["purity"], 9) == 0.25 and by["/c/1"]["verdict"] == "block", "two bad siblings"
+    by = verdicts(spark, one, rules)
+    assert round(by["/c/1"]["purity"], 6) == 0.333333 and by["/c/1"]["verdict"] == "allow", "one bad sibling says little"

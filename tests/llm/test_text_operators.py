@@ -10,10 +10,11 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from corpusloom.llm import packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts  # noqa: E402
+from corpusloom.llm import bin_completion, jaccard_join, packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts  # noqa: E402
 from plain import CONTRACT, all_spans, base_spans, redacted, simhash_votes  # noqa: E402
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -245,6 +246,30 @@ def test_edits_touch_little_of_a_long_text(spark):
     assert doc.encoded < 12
 
 
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", " \t\u3000"])
+def test_counts_of_very_long_white_space(gap):
+    count = token_counts.counter(BYTE_RANKS)
+    doc = token_counts.Document("a" + gap * (5_000_000 // len(gap)) + "x", count)
+    for at, delete, insert in ((2_000_000, 3, "hello"), (4_000_000, 10, "")):
+        doc.edit(at, delete, insert)
+        assert doc.n_tokens == token_counts.Document(doc.text, count).n_tokens
+
+
+def test_trees_are_kept_over_batches_of_edits(spark):
+    texts = ["word " * 3000, "", "don't  stop\n\n" * 400, "tail"]
+    trees = token_counts.build(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "doc_id long, text string"), BYTE_RANKS)
+    batches = [{0: [(7000, 4, "new things"), (0, 0, "At first ")], 1: [(0, 0, "some text")], 3: [(2, 50, " ")]}, {0: [(9000, 0, " and a long insertion" * 50), (9100, 3, "")], 2: [(100, 2000, "")], 9: [(0, 0, "x")]}, {0: [(9050, 2, "again")]}]
+    kind = "doc_id long, edits array<struct<at:long,delete:long,insert:string>>"
+    for k, edits in enumerate(batches):
+        done = token_counts.apply(trees, spark.createDataFrame(list(edits.items()), kind), BYTE_RANKS).toPandas()
+        for r in done.itertuples():
+            plain = token_counts.Document(r.text, token_counts.counter(BYTE_RANKS))
+            assert r.tokens[1] == plain.n_tokens and r.chars[1] == len(r.text) and sum(r.tokens[len(r.tokens) // 2 :]) == r.tokens[1]
+            assert (r.n_reencoded > 0) == (r.doc_id in edits) and r.n_reencoded < 20 + 5 * 50 * (k == 1), "only what is touched"
+        trees = spark.createDataFrame(done.drop(columns="n_reencoded"), token_counts.TREES)
+    assert done.set_index("doc_id").loc[0, "n_reencoded"] < 12, "a long insertion is many leaves"
+
+
 def test_token_counts_of_odd_tables(spark):
     docs = odd_docs(spark).withColumn("edits", token_counts.sample_edits())
     rows = token_counts.edited_counts(docs, BYTE_RANKS).collect()
@@ -386,3 +411,28 @@ def test_flat_trees_equal_walking_them():
         return 1 / (1 + np.exp(-z))
 
     assert np.allclose(t.score(x), [walk(row) for row in x])
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", " \t\u3000"])
+def test_packing_of_very_long_white_space(spark, gap):
+    texts = ["a" + gap * (5_000_000 // len(gap)) + end for end in ("x", "", "<|endoftext|>")]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE_JSON).groupBy("doc_id").agg(F.max("doc_tokens").alias("n"), F.sum("length").alias("m")).collect()
+    known = Tokenizer.from_file(BYTE_JSON)
+    for r in rows:
+        assert r["n"] == r["m"] == 1 + len(known.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("at", range(7))
+def test_operators_live_with_very_long_white_space(spark, at):
+    docs = spark.createDataFrame([(i, "some words here" + g * 1_000_000 + "and there", "en") for i, g in enumerate((" ", "\n", "\t"))], "doc_id long, text string, lang string")
+    no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    run = (
+        lambda: sentencepiece_table.encoding_digests(docs, public_tokenizers.path("piece_bpe_32k.model")),
+        lambda: simhash.fingerprint_report(docs, simhash.NEAR),
+        lambda: pii.personal_data(docs),
+        lambda: jaccard_join.jaccard_components(docs),
+        lambda: quality_gbdt.quality_scores(docs, no_labels),
+        lambda: token_counts.edited_counts(docs.withColumn("edits", token_counts.sample_edits()), BYTE_RANKS),
+        lambda: bin_completion.pack(docs, public_tokenizers.path("word_bpe_49k.json")),
+    )[at]
+    assert run().select("doc_id").distinct().count() == 3
