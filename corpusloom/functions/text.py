@@ -38,6 +38,30 @@ def swapped(word: Column) -> Column:
     return F.when(F.length(word) > 1, F.transform(at, one)).otherwise(F.array().cast("array<string>"))
 
 
+SHORTENED, MOST_EDITS = 10, 2
+
+
+def shortened(word: str) -> list[str]:
+    """``word`` without up to MOST_EDITS of its first SHORTENED characters, each cut to SHORTENED - MOST_EDITS.
+
+    Words within that many edits have one of these in common: what both keep in common loses at most so many characters of either.
+    """
+    found = last = {word[:SHORTENED]}
+    for _ in range(MOST_EDITS):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return sorted({w[: SHORTENED - MOST_EDITS] for w in found})
+
+
+def shortenings(word: Column) -> Column:
+    """What shortened() gives, of a column, in any order."""
+    without = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    words = F.array(F.left(word, F.lit(SHORTENED)))
+    once = let(words, lambda w: F.array_distinct(F.flatten(F.transform(w, without))))
+    all_ = let(once, lambda a: F.concat(words, a, F.flatten(F.transform(a, without))))
+    return F.array_distinct(F.transform(all_, lambda w: F.left(w, F.lit(SHORTENED - MOST_EDITS))))
+
+
 def near_edits(token: Column, term: Column, term_swaps: Column) -> Column:
     """Edits between a token and a term up to 2, else 3; the exchange of adjacent characters is one edit. ``term_swaps``: swaps() of the term.
 

@@ -91,3 +91,27 @@ def fetch_schedule(docs: DataFrame, delay: Column, order: list[str], scope: str
     chunk = d.groupBy("_by", "_part").agg(F.sum("delay_ms").alias("_sum"))
     before = chunk.select("_by", "_part", F.coalesce(F.sum("_sum").over(Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return d.join(before, ["_by", "_part"]).withColumn("start_ms", F.col("_before") + F.col("_in")).select(*docs.columns, "delay_ms", "start_ms")
+
+
+def as_of(left: DataFrame, versions: DataFrame, key: str, at: str, value: list[str]) -> DataFrame:
+    """``left`` with the columns ``value`` of the last row of ``versions`` with the same key and a time ``at`` not after its own; nulls where there is none.
+
+    Both tables go into one, sorted by key and time in ranges; the last version so far is a running value within a range, and what ranges before leave to a key is one row for each range that
+    the key is in. So the rows of one key are over many tasks, and no row meets more than one version. Of versions of one time the greatest values count; rows without key or
+    time have no version.
+    """
+    spark = left.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = [c for c in left.columns if c != key]
+    own = left.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.struct(*names).alias("_row"), F.lit(None).cast(versions.select(F.struct(*value)).schema[0].dataType).alias("_version"))
+    held = versions.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), F.struct(*value).alias("_version"))
+    timed = own.where("_key is not null and _at is not null").union(held).withColumn("_own", F.col("_row").isNotNull())
+    d = cut(timed.repartitionByRange(n, "_key", "_at", "_own", "_version").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_key", "_part").orderBy("_at", "_own", "_version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_last", F.last("_version", ignorenulls=True).over(inside))
+    of_part = d.groupBy("_key", "_part").agg(F.max_by("_version", F.when(~F.col("_own"), F.struct("_at", "_version"))).alias("_left"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = of_part.select("_key", "_part", F.last("_left", ignorenulls=True).over(before).alias("_before"))
+    out = d.where("_own").join(of_part, ["_key", "_part"]).select(F.col("_key").alias(key), "_row.*", F.coalesce("_last", "_before").alias("_found"))
+    none = left.where(F.col(key).isNull() | F.col(at).isNull()).select(key, *names, *[F.lit(None).cast(dict(versions.dtypes)[v]).alias(v) for v in value])
+    return out.select(key, *names, *[F.col("_found")[v].alias(v) for v in value]).union(none)

@@ -1,9 +1,9 @@
 """Full-text search: index tables and ranked queries on them.
 
 The index is a table of postings (doc_id, field, token, tf, length), a vocabulary (field, token, df) and totals of each field. Written with
-write_index() postings are partitioned by a bucket of the token and the vocabulary by the token's length, so that a query reads the
-buckets of its terms and the lengths within reach of their typos; made on the fly, all but the query's terms are dropped before anything is
-shuffled.
+write_index() postings are partitioned by a bucket of the token and the vocabulary by a bucket of the token's shortened forms, so that a query reads the
+buckets of its terms, and by the words' shortened forms, by which a misspelling meets them in an equi-join. Made on the fly, all but the query's terms are dropped
+before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import auto_edits, fragments, highlight, near_edits, query_tokens, swaps, tokens
+from corpusloom.functions.text import auto_edits, fragments, highlight, near_edits, query_tokens, shortened, shortenings, swaps, tokens
 from corpusloom.functions.values import let
 from corpusloom.operators.filters import quick, require_query
 from corpusloom.plans.lineage import cut, exists
@@ -60,13 +60,14 @@ def document_lengths(docs: DataFrame, fields: list[str], key: str = "doc_id") ->
 
 
 def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id", buckets: int = 64, tasks_a_bucket: int = 8) -> None:
-    """Postings by bucket of the token, the vocabulary by length (up to LONGEST) and the totals of each field. Buckets should grow with the corpus: one holds a
+    """Postings by bucket of the token, the vocabulary by bucket of its words' shortened forms (56 a word at most) and the totals of each field. Buckets should grow with the corpus: one holds a
     part of the postings that a query reads as a whole, written by up to ``tasks_a_bucket`` tasks."""
     p = postings(docs, fields, key).withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets)))
     p = p.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket)))
     p.sortWithinPartitions("bucket", "field", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     words = document_frequency(_read_parts(docs.sparkSession, f"{path}/postings", "bucket", POSTINGS))
-    words.withColumn("size", F.least(F.length("token"), F.lit(LONGEST))).repartition("size").write.mode("overwrite").partitionBy("size").parquet(f"{path}/vocabulary")
+    forms = words.select("field", "token", "df", F.explode(shortenings(F.col("token"))).alias("form")).withColumn("bucket", F.pmod(F.hash("form"), F.lit(buckets)))
+    forms.repartition("bucket").sortWithinPartitions("form").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
     totals(docs, fields, key).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
 
 
@@ -81,7 +82,7 @@ def totals(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame
 
 @dataclass
 class Index:
-    """Postings, totals of each field (docs, mean length) and, if written, the vocabulary (field, token, df, size) and number of buckets."""
+    """Postings, totals of each field (docs, mean length) and, if written, the vocabulary (field, token, df, form) and number of buckets."""
 
     postings: DataFrame
     totals: DataFrame
@@ -92,7 +93,7 @@ class Index:
     def read(cls, spark: SparkSession, path: str) -> Index:
         totals = spark.read.parquet(f"{path}/totals")
         first = totals.select("buckets").first()
-        words = _read_parts(spark, f"{path}/vocabulary", "size", "field string, token string, df long, size int")
+        words = _read_parts(spark, f"{path}/vocabulary", "bucket", "field string, token string, df long, form string, bucket int")
         return cls(_read_parts(spark, f"{path}/postings", "bucket", POSTINGS), totals.drop("buckets"), words, first["buckets"] if first else 1)
 
     def of_terms(self, terms: list[str]) -> DataFrame:
@@ -104,11 +105,15 @@ class Index:
         return rows.where(F.col("token").isin(terms))
 
     def vocabulary(self, terms: list[str] | None = None) -> DataFrame:
-        """(field, token, df); with ``terms`` at least the tokens within their typos."""
+        """(field, token, df[, form]); with ``terms`` at least the tokens within their typos. A written one has a row for each form, and only those of ``terms`` are read."""
         if self.words is None:
             rows = self.postings.withColumn("size", F.length("token"))
             return document_frequency(_within_reach(rows, terms) if terms else rows)
-        return _within_reach(self.words, terms) if terms else self.words
+        if not terms:
+            return self.words.select("field", "token", "df").distinct()
+        forms = sorted({f for t in terms for f in shortened(t)})
+        found = self.words.sparkSession.createDataFrame([(f,) for f in forms], "form string").select(F.pmod(F.hash("form"), F.lit(self.buckets)).alias("b")).distinct().collect()
+        return self.words.where(F.col("bucket").isin([r["b"] for r in found]) & F.col("form").isin(forms))
 
 
 def _within_reach(words: DataFrame, terms: list[str]) -> DataFrame:
@@ -133,14 +138,15 @@ def index_of(docs: DataFrame, fields: list[str], terms: list[str] | None = None,
 def fuzzy_terms(vocabulary: DataFrame, terms: list[str], most: int = 50) -> DataFrame:
     """(term, field, token, edits) of the vocabulary within the edits that a term's length allows, ``most`` for each term and field.
 
-    Terms are constants of the plan: their swaps are made once, and a token is looked at only where its length is within reach.
-    Nearer tokens come first, then by name.
+    A term and a token meet by a shortened form that both have, in an equi-join; how many edits they are apart is looked at only then. Terms are constants of the
+    plan: their swaps and forms are made once. A vocabulary with a column form has a row for each. Nearer tokens come first, then by name.
     """
     spark = vocabulary.sparkSession
-    rows = [(t, auto_edits(t), swaps(t)) for t in dict.fromkeys(terms)]
-    q = F.broadcast(spark.createDataFrame(rows, "term string, allowed int, swaps array<string>"))  # a query's terms
+    rows = [(t, auto_edits(t), swaps(t), f) for t in dict.fromkeys(terms) for f in shortened(t)]
+    q = F.broadcast(spark.createDataFrame(rows, "term string, allowed int, swaps array<string>, form string"))  # a query's terms, 56 forms each at most
+    forms = vocabulary if "form" in vocabulary.columns else vocabulary.select("field", "token", F.explode(shortenings(F.col("token"))).alias("form"))
     reach = F.abs(F.length("token") - F.length("term")) <= F.col("allowed")
-    near = vocabulary.select("field", "token").distinct().join(q, reach)
+    near = forms.join(q, "form").where(reach).groupBy("term", "field", "token").agg(F.first("allowed").alias("allowed"), F.first("swaps").alias("swaps"))
     edits = F.when(F.col("allowed") == 0, F.when(F.col("token") == F.col("term"), 0).otherwise(3)).otherwise(near_edits(F.col("token"), F.col("term"), F.col("swaps")))
     near = near.withColumn("edits", edits).where("edits <= allowed")
     rank = F.row_number().over(Window.partitionBy("term", "field").orderBy("edits", "token"))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, text, urls, values
-from corpusloom.operators import fields, filters, frontier, links, recrawl, search
+from corpusloom.operators import crawl_store, fields, filters, frontier, links, recrawl, search, segments
 from corpusloom.plans import config
-from corpusloom.plans.lineage import fresh_path, spread
+from corpusloom.plans.lineage import cut, fresh_path, spread
 from corpusloom.sources import exports, files
 from corpusloom.streaming import jobs
 
@@ -388,6 +388,30 @@ def search_best_fields(t, spark):
     return hits.select("page_id", "url", "title", F.round("_score", 6).alias("_score"))
 
 
+def three_commits(t, spark) -> segments.SegmentedIndex:
+    """The pages in three commits: those of even ids, with some that are deleted afterwards; all odd ids and other texts for every tenth; the first texts of these again."""
+    p = cut(page_texts(t))
+    fields = list(BOOSTS)
+    index = segments.SegmentedIndex(spark, fresh_path(spark, "segments"), 8, 8)
+    index = index.commit(p.where("page_id % 2 = 0").unionByName(p.where("page_id % 4 = 1").withColumn("content", F.lit("gone about home"))), fields, "page_id")
+    index = index.commit(p.where("page_id % 4 = 3 or page_id % 10 = 0").withColumn("title", F.when(F.col("page_id") % 10 == 0, "home of an other text").otherwise(F.col("title"))), fields, "page_id", deletes=p.where("page_id % 4 = 1").select(F.col("page_id").alias("doc_id")))
+    return index.commit(p.where("page_id % 4 = 1 or page_id % 10 = 0"), fields, "page_id")
+
+
+@query(f"""SELECT page_id, _score FROM (SELECT doc_id AS page_id, round(max(score * CASE field WHEN 'title' THEN 3 WHEN 'description' THEN 2 ELSE 1 END), 6) AS _score FROM ({_bm25_sql(PAGE_TOKENS, ['of', 'home', 'about'])}) GROUP BY doc_id) ORDER BY _score DESC, page_id LIMIT 20""")
+def search_pruned(t, spark):
+    """The best hits of a segmented index after replacements and deletions, by blocks that can hold one of them: those of an index made anew."""
+    found = three_commits(t, spark).search(["of", "home", "about"], BOOSTS, 20)
+    return found.select(F.col("doc_id").alias("page_id"), F.round("_score", 6).alias("_score"))
+
+
+@query(f"""SELECT field, token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, field, token, count(*) AS tf FROM (SELECT doc_id, field, unnest(toks) AS token FROM ({PAGE_TOKENS})) GROUP BY ALL) GROUP BY field, token""")
+def index_segments(t, spark):
+    """Words of a segmented index after three commits and a merge."""
+    words = three_commits(t, spark).merge(into_one=True).live_words().select("doc_id", "field", F.explode("words").alias("w"))
+    return words.groupBy("field", "w.token").agg(F.count(F.lit(1)).alias("df"), F.sum("w.tf").alias("tf"))
+
+
 def _near_sql(tokens_of: str, terms: list[str]) -> str:
     """(term, field, token, edits) of SQL that gives field and the list toks: nearest tokens of each term and field, 50 at most.
 
@@ -587,6 +611,65 @@ def delay_schedule(t, spark):
 
 
 # ---- jobs and events ----
+def _crawl_sql() -> str:
+    """Three crawls of the pages and what becomes of their urls, crawl by crawl."""
+    crawls = {
+        1: "SELECT url, md5(html) AS c FROM pages WHERE page_id % 3 <> 0",
+        2: "SELECT CASE WHEN page_id % 7 = 0 THEN url || '?moved' ELSE url END AS url, CASE WHEN page_id % 5 = 0 THEN md5(html || 'x') ELSE md5(html) END AS c FROM pages WHERE page_id % 3 <> 1",
+        3: "SELECT url, md5(html) AS c FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url || '?copy' AS url, md5(html) AS c FROM pages WHERE page_id % 6 = 0",
+    }
+    parts = ["s0 AS (SELECT NULL AS url, NULL AS c WHERE false)"]
+    for k, sql in crawls.items():
+        parts.append(f"s{k} AS (SELECT url, min(c) AS c FROM ({sql}) WHERE url IS NOT NULL GROUP BY url)")
+        old, new = f"s{k - 1}", f"s{k}"
+        parts.append(f"""left{k} AS (SELECT c, min(url) AS url FROM {old} WHERE url NOT IN (SELECT url FROM {new}) GROUP BY c), copy{k} AS (SELECT {old}.c, min({old}.url) AS url FROM {old} JOIN {new} ON {old}.url = {new}.url AND {old}.c = {new}.c GROUP BY {old}.c),
+            r{k} AS (SELECT n.url, CASE WHEN o.url IS NOT NULL THEN CASE WHEN o.c = n.c THEN 'unchanged' ELSE 'changed' END WHEN l.url IS NOT NULL THEN 'moved' WHEN d.url IS NOT NULL THEN 'duplicate' ELSE 'new' END AS status, CASE WHEN o.url IS NULL THEN coalesce(l.url, d.url) END AS other
+                FROM {new} n LEFT JOIN {old} o ON n.url = o.url LEFT JOIN left{k} l ON n.c = l.c LEFT JOIN copy{k} d ON n.c = d.c UNION ALL SELECT url, 'gone' AS status, NULL AS other FROM {old} WHERE url NOT IN (SELECT url FROM {new}))""")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS crawl, url, status, CAST(other AS VARCHAR) AS other FROM r{k}" for k in crawls)
+
+
+@query(_crawl_sql())
+def crawl_changes(t, spark):
+    """Three crawls merged into a store one after the other: what is new, changed, moved, a duplicate or gone each time."""
+    p = t("pages").select("page_id", "url", "html")
+    one = p.where("page_id % 3 <> 0").select("url", F.md5("html").alias("checksum"))
+    moved, new = F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("?moved"))).otherwise(F.col("url")), F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html"))
+    two = p.where("page_id % 3 <> 1").select(moved.alias("url"), F.md5(new).alias("checksum"))
+    three = p.where("page_id % 2 = 0").select("url", F.md5("html").alias("checksum")).union(p.where("page_id % 6 = 0").select(F.concat("url", F.lit("?copy")), F.md5("html")))
+    store, out = crawl_store.CrawlStore(spark, buckets=8), None
+    for k, crawl in enumerate((one, two, three), 1):
+        part = cut(store.merge(crawl, k))
+        out = part if out is None else out.union(part)
+    store.drop()
+    return out
+
+
+_LINKS = "SELECT url || '#' || page_id AS url, (CASE WHEN page_id % 64 <> 0 THEN lag(url || '#' || page_id) OVER (ORDER BY page_id) WHEN page_id % 128 = 64 THEN max(CASE WHEN page_id % 64 = 63 THEN url || '#' || page_id END) OVER (PARTITION BY page_id // 64) END) AS target FROM pages"
+
+
+@query(f"""WITH RECURSIVE l AS ({_LINKS}), step AS (SELECT url, target FROM l WHERE target IS NOT NULL), walk AS (SELECT url, url AS place, CAST(0 AS BIGINT) AS hops FROM l UNION ALL SELECT w.url, s.target AS place, w.hops + 1 AS hops FROM walk w JOIN step s ON w.place = s.url WHERE w.hops < 200),
+    ended AS (SELECT url, place AS canonical, hops, false AS loop FROM walk WHERE place NOT IN (SELECT url FROM step)),
+    looped AS (SELECT url, min(place) AS canonical, CAST(NULL AS BIGINT) AS hops, true AS loop FROM walk WHERE hops >= 100 AND url NOT IN (SELECT url FROM ended) GROUP BY url)
+    SELECT * FROM ended UNION ALL SELECT * FROM looped""")
+def canonical_groups(t, spark):
+    """Redirects and canonical links of the pages in chains of up to 63 hops, every second of them a loop."""
+    p = t("pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
+    before = p.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("previous"))
+    last = p.where("page_id % 64 = 63").select((F.col("page_id") - 63).alias("page_id"), F.col("url").alias("closing"))
+    linked = p.join(before, "page_id", "left").join(last, "page_id", "left")
+    target = F.when(F.col("page_id") % 64 != 0, F.col("previous")).when(F.col("page_id") % 128 == 64, F.col("closing"))
+    return frontier.canonical_groups(linked.select("url", target.alias("target")))
+
+
+@query("""WITH v AS (SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id, ts)
+    SELECT e.event_id, e.user_id, v.version FROM (SELECT * FROM events WHERE event_type IN ('purchase', 'signup')) e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts""")
+def version_held(t, spark):
+    """The version that held when something happened: of each user's purchases and sign-ups, the last page event not after it."""
+    e = t("events").select("event_id", "user_id", "ts", "event_type")
+    versions = e.where("event_type in ('click', 'view')").select("user_id", "ts", F.col("event_id").alias("version"))
+    return recrawl.as_of(e.where("event_type in ('purchase', 'signup')").drop("event_type"), versions, "user_id", "ts", ["version"]).select("event_id", "user_id", "version")
+
+
 def job_events(t) -> DataFrame:
     """The event table as jobs of users: their first event starts a job, clicks and views are pages, a purchase finishes it."""
     kind = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type").isin("click", "view"), "page").when(F.col("event_type") == "purchase", "finished")

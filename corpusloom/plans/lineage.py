@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern matches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [f.getPath().toString() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or ()]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that was not there; an error if it was, so of two writers one fails. Written aside and renamed, so that no one reads a part of it."""
+    hp = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hp(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = hp(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(hp(path)) or not fs.rename(aside, hp(path)):
+        fs.delete(aside, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = hp.getFileSystem(spark._jsc.hadoopConfiguration()).open(hp)
+    try:
+        return bytes(at.readAllBytes()).decode()
+    finally:
+        at.close()
+
+
+def bounded(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """A broadcast hint for a table that is known to have ``rows`` rows, if that is at most ``most``."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

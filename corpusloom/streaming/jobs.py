@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators.filters import simulated_failure
-from corpusloom.plans.lineage import cut
+from corpusloom.plans.lineage import cut, exists, list_paths, read_text, write_text
 from corpusloom.schema import JOB_STATES, READABLE_JOB_STATES
 
 
@@ -72,8 +72,11 @@ def streamed_states(events: DataFrame, total: int = 10) -> DataFrame:
             pages += int((b["kind"] == "page").sum())
             finished = finished or bool((b["kind"] == "finished").any())
             first = b[b["kind"] == "started"]
-            if len(first):
-                target, at = str(first["target_url"].iloc[0]), float(first["at"].iloc[0])
+            named, timed = first["target_url"].dropna(), first["at"].dropna()
+            if len(named):  # of several starts the greatest target and the least time, as of a table
+                target = max([str(t) for t in named] + ([target] if target is not None else []))
+            if len(timed):
+                at = min([float(timed.min())] + ([at] if at is not None else []))
         state.update((target, pages, finished, at))
         status = ("failed" if "error" in (target or "") else "complete") if finished else "running" if pages else "pending"
         # typed columns: a run without a start has nulls in all its rows
@@ -129,15 +132,33 @@ def event_counts(events: DataFrame, kind: str = "event") -> DataFrame:
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_commits(writer, report: str):
-    """A foreachBatch function that commits a batch by ``writer`` and appends (batch_id, sent) to a table."""
+def commit_once(out: str, ledger: str):
+    """A foreachBatch function that commits a batch's rows and its line (batch_id, sent) in the ledger, each once, however often the batch is replayed.
+
+    A batch is a partition of ``out`` that is written as a whole, over what a failed attempt has left; its line is a file named after it, written last. What has no line isn't committed:
+    read_committed() reads the batches of the ledger only, so a reader sees all rows of a batch or none.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            writer(batch)
-            batch.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count(F.lit(1)).alias("sent")).write.mode("append").parquet(report)
-        finally:
-            batch.unpersist()
+        spark, line = batch.sparkSession, f"{ledger}/batch-{batch_id}"
+        if exists(spark, line):
+            return
+        at = f"{out}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(at)
+        write_text(spark, line, str(spark.read.schema(batch.schema).parquet(at).count()))
 
     return run
+
+
+def committed(spark: SparkSession, ledger: str) -> DataFrame:
+    """(batch_id, sent) of the ledger."""
+    rows = [(int(p.rpartition("-")[2]), int(read_text(spark, p))) for p in list_paths(spark, f"{ledger}/batch-*")]
+    return spark.createDataFrame(rows, "batch_id long, sent long")
+
+
+def read_committed(spark: SparkSession, out: str, ledger: str, schema: str) -> DataFrame:
+    """Rows of the committed batches, with batch_id."""
+    found = [int(p.rpartition("-")[2]) for p in list_paths(spark, f"{ledger}/batch-*")]
+    if not found:
+        return spark.createDataFrame([], f"{schema}, batch_id long")
+    return spark.read.schema(f"{schema}, batch_id long").option("basePath", out).parquet(*[f"{out}/batch_id={i}" for i in found])

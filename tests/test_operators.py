@@ -127,7 +127,7 @@ def test_written_index_gives_the_same(spark, tmp_path):
     assert [(r["doc_id"], round(r["_score"], 9), r["title_highlight"]) for r in c] == [(r["doc_id"], round(r["_score"], 9), r["title_highlight"]) for r in d] and len(c) == 3
     assert c[0]["title_highlight"] in ("red <em>fox</em>", "<em>home</em>", "<em>fxo</em> den"), "tokens reached by typos are marked"
     few = search.Index.read(spark, str(tmp_path / "i")).vocabulary(["fox"])
-    assert {len(r["token"]) for r in few.collect()} <= {2, 3, 4}
+    assert "fox" in {r["token"] for r in few.collect()} and few.count() < index.words.count() / 2
     search.write_index(docs(spark).limit(0), list(BOOSTS), str(tmp_path / "none"), buckets=3)
     assert search.search(docs(spark), "fox", BOOSTS, index=search.Index.read(spark, str(tmp_path / "none"))).count() == 0
     assert search.index_stats(docs(spark), "n", ["title"]).first()["docs_count"] == 4

@@ -168,13 +168,6 @@ def test_stream_gives_the_batch_states(spark, tmp_path):
         assert {(r["run_id"], *r["s"]) for r in last.collect()} == want
 
 
-def test_commits_are_counted(spark, tmp_path):
-    run = jobs.count_commits(lambda b: b.write.mode("append").parquet(str(tmp_path / "t")), str(tmp_path / "n"))
-    run(spark.range(3).toDF("id"), 0)
-    run(spark.range(2).toDF("id"), 1)
-    assert sorted((r["batch_id"], r["sent"]) for r in spark.read.parquet(str(tmp_path / "n")).collect()) == [(0, 3), (1, 2)]
-
-
 def test_logs(spark):
     lines = ["12:00:01 [FETCH] status=200 method=GET path=/a bytes=18322", "12:00:02 [INFO] depth=2", "nonsense"]
     got = spark.createDataFrame([(x,) for x in lines], "l string").select(*jobs.parse_log(F.col("l"))).collect()
