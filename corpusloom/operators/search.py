@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import auto_edits, fragments, highlight, near_edits, query_tokens, shortened, shortenings, swaps, tokens
 from corpusloom.functions.values import let
@@ -196,12 +197,18 @@ def search(docs: DataFrame, query: str, boosts: dict[str, float], size: int = 50
     if index is None:
         index = index_of(docs, list(boosts), None if fuzzy else terms, key)
     found: DataFrame | list[str] = cut(fuzzy_terms(index.vocabulary(terms), terms)) if fuzzy else terms
-    hits = top(best_fields(field_scores(index, found), boosts), size)
-    out = docs.join(F.broadcast(hits.withColumnRenamed("doc_id", key)), key)  # hits are at most ``size``
-    if marked:
-        shown = sorted({*terms, *(r["token"] for r in found.select("token").distinct().collect())}) if fuzzy else terms  # 50 for each term and field at most
-        for f in boosts:
-            out = out.withColumn(f"{f}_highlight", fragments(F.col(f), shown) if f == "content" else highlight(F.col(f), shown))
+    return shown(docs, top(best_fields(field_scores(index, found), boosts), size), found, list(boosts) if marked else [], key)
+
+
+def shown(docs: DataFrame, hits: DataFrame, found: DataFrame | list[str], fields: list[str], key: str = "doc_id") -> DataFrame:
+    """Documents of bounded ``hits`` (doc_id, _score) in their order, with highlights of ``fields``. Their ids go to the scan of ``docs``, so what is computed of a document is computed for hits alone."""
+    rows = hits.collect()  # a page of hits
+    scored = docs.sparkSession.createDataFrame([(r["doc_id"], r["_score"]) for r in rows], T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("_score", T.DoubleType())]))
+    out = docs.where(F.col(key).isin([r["doc_id"] for r in rows])).join(F.broadcast(scored), key)
+    if fields:
+        words = found if isinstance(found, list) else sorted(r["token"] for r in found.select("token").distinct().collect())  # 50 for each term and field at most
+        for f in fields:
+            out = out.withColumn(f"{f}_highlight", fragments(F.col(f), words) if f == "content" else highlight(F.col(f), words))
     return out.orderBy(F.desc("_score"), key)
 
 
@@ -221,11 +228,10 @@ def response(docs: DataFrame, query: str | None, boosts: dict[str, float], size:
         hits, total = match_all(docs, size, key).collect(), docs.count()
     else:
         require_query(query)
-        index = index_of(docs, list(boosts), key=key)
-        found = fuzzy_terms(index.vocabulary(query_tokens(query)), query_tokens(query)).cache()
-        hits = search(docs, query, boosts, size, index=index, key=key).collect()
-        total = total_hits(index, found).first()["total"]
-        found.unpersist()
+        index, terms = index_of(docs, list(boosts), key=key), query_tokens(query)
+        found = cut(fuzzy_terms(index.vocabulary(terms), terms))
+        scores = cut(best_fields(field_scores(index, found), boosts))
+        hits, total = shown(docs, top(scores, size), found, list(boosts), key).collect(), scores.count()
     return {"took": int(1000 * (time.monotonic() - began)), "total": total, "hits": [h.asDict(True) for h in hits]}
 
 

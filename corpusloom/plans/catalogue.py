@@ -72,11 +72,12 @@ def table_sort_topk(t, spark):
     return search.table_view(page_rows_of(t("pages")), "", ("title", "desc"), "id", collation=None).limit(25)
 
 
-@query(f"SELECT id, title FROM (SELECT CAST(page_id AS VARCHAR) AS id, regexp_replace({TITLE}, '[^A-Za-z]', '', 'g') AS title FROM pages) ORDER BY lower(title), id LIMIT 30")
+@query(f"SELECT id, title, row_number() OVER (ORDER BY lower(title) COLLATE en, id) - 1 AS place FROM (SELECT CAST(page_id AS VARCHAR) AS id, {TITLE} AS title FROM pages) ORDER BY lower(title) COLLATE en, id LIMIT 120")
 def table_sort_collated(t, spark):
-    """The default collation; the titles keep their English letters, which both engines order alike."""
-    rows = t("pages").select(F.col("page_id").cast("string").alias("id"), F.lit("/").alias("path"), F.regexp_replace(html.title(F.col("html")), "[^A-Za-z]", "").alias("title"), F.lit("html").alias("type"))
-    return search.table_view(rows, "", ("title", "asc"), "id").limit(30).select("id", "title")
+    """The default collation: titles in their order as words, letters with accents among those without."""
+    rows = t("pages").select(F.col("page_id").cast("string").alias("id"), F.lit("/").alias("path"), html.title(F.col("html")).alias("title"), F.lit("html").alias("type"))
+    first = search.table_view(rows, "", ("title", "asc"), "id").limit(120).select("id", "title")
+    return first.select("*", F.monotonically_increasing_id().alias("place"))  # of one sorted page of rows
 
 
 @query(f"SELECT * FROM ({ROWS_SQL}) ORDER BY lower(path) DESC, id LIMIT 20")

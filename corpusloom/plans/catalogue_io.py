@@ -100,10 +100,11 @@ def kept_downloads(t, spark):
     return spark.read.parquet(path).groupBy(F.col("host").cast("string").alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("html")).alias("size"))
 
 
-@query("SELECT page_id, 'http:/www.h' || page_id % 5 || '.example/a b/' || page_id AS url FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'http://www.h' ELSE 'https://www.h' END || page_id % 5 || '.example/a b/' || page_id AS url FROM pages")
 def saved_urls(t, spark):
     """Urls of saved pages, from paths that stand for them in files."""
-    path = F.concat(F.lit("/crawl/d.http_58_/d.www.h"), F.col("page_id") % 5, F.lit(".example/d.a_32_b/f."), F.col("page_id"))
+    host = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("d.http_58_/d.www.h"), F.col("page_id") % 5, F.lit(".example"))).otherwise(F.concat(F.lit("d.https_www_h"), F.col("page_id") % 5, F.lit("_example")))
+    path = F.concat(F.lit("/crawl/"), host, F.lit("/d.a_32_b/f."), F.col("page_id"))
     return t("pages").select("page_id", files.saved_url(path).alias("url"))
 
 

@@ -30,7 +30,11 @@ def saved_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved_url(path: Column) -> Column:
-    """The url of a saved page from its path ``.../d.<scheme and host>/d.<folder>/f.<leaf>`` where ``_NN_`` stands for character NN."""
+    """The url of a saved page from its path ``.../d.<scheme and host>/d.<folder>/f.<leaf>``.
+
+    ``_NN_`` stands for character NN. A first name like ``https_www_example_org``, with no such character, is a scheme and a host whose dots are underscores; a scheme by itself
+    (``https_58_``) is followed by two slashes.
+    """
     parts = F.filter(F.split(path, "/"), lambda p: p.rlike("^[df]\\."))
     names = F.transform(parts, lambda p: F.substring(p, 3, 1 << 30))
 
@@ -38,7 +42,11 @@ def saved_url(path: Column) -> Column:
         found = F.regexp_extract_all(p, F.lit("_([0-9]{1,3})_"), F.lit(1))
         return F.array_join(F.transform(F.split(p, "_[0-9]{1,3}_", -1), lambda g, i: F.concat(g, F.coalesce(F.char(F.get(found, i).cast("int")), F.lit("")))), "")
 
-    return F.array_join(F.transform(names, plain), "/")
+    def host(p: Column) -> Column:
+        flat = p.rlike("^https?_[^_]") & ~p.rlike("_[0-9]{1,3}_")
+        return F.when(flat, F.concat(F.regexp_extract(p, "^(https?)_", 1), F.lit("://"), F.translate(F.regexp_replace(p, "^https?_", ""), "_", "."))).otherwise(F.regexp_replace(plain(p), "^(https?:)$", "$1/"))
+
+    return F.array_join(F.transform(names, lambda p, i: F.when(i == 0, host(p)).otherwise(plain(p))), "/")
 
 
 def keep_downloads(pages: DataFrame, path: str, url: str = "url") -> None:
