@@ -81,7 +81,9 @@ def test_files(spark, tmp_path):
     page.parent.mkdir(parents=True)
     page.write_text("<p>é")
     got = files.saved_pages(spark, str(tmp_path / "pages")).select("html", files.saved_url(F.col("path")).alias("u")).first()
-    assert (got["html"], got["u"]) == ("<p>é", "https:/www.h/x")
+    assert (got["html"], got["u"]) == ("<p>é", "https://www.h/x")
+    named = spark.createDataFrame([("/c/d.https_www_example_org/f.about-us",), ("/c/d.http_a_b/d.intl/f.de_95_ALL",)], "p string").select(files.saved_url(F.col("p")).alias("u")).collect()
+    assert [r["u"] for r in named] == ["https://www.example.org/about-us", "http://a.b/intl/de_ALL"]
     lines = spark.createDataFrame([("HEADER:Server=x",), ("STATUS:200",), ("other",)], "l string").select(files.rendered_header(F.col("l")).alias("h"))
     assert [r["h"] and tuple(r["h"]) for r in lines.collect()] == [("HEADER", "Server", "x"), ("STATUS", None, "200"), None]
     assert spark.range(1).select(files.as_json(F.struct(F.lit(1).alias("a"))).alias("j")).first()["j"] == '{"a":1}'
