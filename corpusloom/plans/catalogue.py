@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, text, urls, values
-from corpusloom.operators import crawl_store, fields, filters, frontier, links, recrawl, search, segments
+from corpusloom.operators import crawl_store, fields, filters, frontier, links, positions, recrawl, rollups, search, segments
 from corpusloom.plans import config
 from corpusloom.plans.lineage import cut, fresh_path, spread
 from corpusloom.sources import exports, files
-from corpusloom.streaming import jobs
+from corpusloom.streaming import jobs, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -483,6 +483,43 @@ def content_fragments(t, spark):
     return d.select("doc_id", F.array_join(text.fragments(F.col("text"), ["licensed", "under", "version"]), " ... ").alias("fragments"))
 
 
+def _fragments_sql(terms: list[str], size: int, number: int) -> str:
+    """Windows of the occurrences' offsets, best first; the next one is chosen from what doesn't overlap those before it. Words are marked by a pattern."""
+    w = r"[\p{L}\p{N}]"
+    steps = ""
+    for k in range(number):
+        of = f"c{k}"
+        steps += f""",
+    p{k} AS (SELECT doc_id, {k} AS k, f, l FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d, n, f, l) AS r FROM {of}) WHERE r = 1),
+    c{k + 1} AS (SELECT c.* FROM {of} c JOIN p{k} p USING (doc_id) WHERE c.l <= p.f OR c.f >= p.l)"""
+    picked = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(number))
+    words = "|".join(terms)
+    return rf"""WITH pieces AS (SELECT doc_id, lead, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, length(regexp_extract(text, '^[^\p{{L}}\p{{N}}]*')) AS lead, regexp_extract_all(text, '{w}+[^\p{{L}}\p{{N}}]*') AS ps FROM documents)),
+    placed AS (SELECT doc_id, regexp_extract(p, '^{w}+') AS word, CAST(lead + sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(p) AS BIGINT) AS a FROM pieces),
+    occ AS (SELECT doc_id, lower(word) AS token, a, a + length(word) AS z FROM placed WHERE lower(word) IN ('{"', '".join(terms)}')),
+    own AS (SELECT x.doc_id, x.a, -count(DISTINCT y.token) AS d, -count(*) AS n, max(y.z) AS e FROM occ x JOIN occ y ON x.doc_id = y.doc_id AND y.a >= x.a AND y.z <= greatest(x.a + {size}, x.z) GROUP BY x.doc_id, x.a, x.z),
+    c0 AS (SELECT doc_id, d, n, f, greatest(f + {size}, e) AS l FROM (SELECT *, greatest(0, a - greatest(0, {size} - (e - a)) // 2) AS f FROM own)){steps},
+    ends AS (SELECT doc_id, k, text, f + CASE WHEN f > 0 AND regexp_matches(substr(text, f, 1), '{w}') THEN length(regexp_extract(substr(text, f + 1, l - f), '^{w}*')) ELSE 0 END AS lo,
+        CASE WHEN length(text) > l AND regexp_matches(substr(text, l + 1, 1), '{w}') THEN l - length(regexp_extract(substr(text, f + 1, l - f), '{w}*$')) ELSE least(l, length(text)) END AS hi FROM ({picked}) JOIN documents USING (doc_id))
+    SELECT doc_id, string_agg(trim(regexp_replace(substr(text, lo + 1, hi - lo), '(?i)\b({words})\b', '<em>\1</em>', 'g'), E' \t\r\n'), ' ... ' ORDER BY k) AS fragments FROM ends GROUP BY doc_id"""
+
+
+@query(_fragments_sql(["licensed", "under", "version"], 100, 5))
+def field_fragments(t, spark):
+    """Up to five fragments of 100 characters of each text that holds a term, chosen by the terms' stored places."""
+    d, terms, path = t("documents").select("doc_id", "text"), ["licensed", "under", "version"], fresh_path(spark, "places")
+    positions.write_places(d, ["text"], path, buckets=8, tasks_a_bucket=2)
+    found = positions.field_fragments(d, positions.read_places(spark, path, terms), ["text"])
+    return found.select("doc_id", F.array_join("fragments", " ... ").alias("fragments"))
+
+
+@query(f"SELECT doc_id, CAST(place AS BIGINT) AS place, row_number() OVER (PARTITION BY doc_id, token ORDER BY place) AS nth FROM (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS place FROM (SELECT doc_id, {TOKENS.format('text')} AS toks FROM documents)) WHERE token = 'the'")
+def word_places(t, spark):
+    """Every place of a word, and which of the document's it is."""
+    found = positions.places(t("documents"), ["text"]).where("token = 'the'")
+    return found.select("doc_id", F.col("at").cast("long").alias("place"), F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("at")).cast("long").alias("nth"))
+
+
 @query("SELECT doc_id, 1.0::DOUBLE AS _score FROM documents ORDER BY doc_id LIMIT 50")
 def match_all(t, spark):
     return search.match_all(t("documents"), 50).select("doc_id", "_score")
@@ -722,6 +759,30 @@ def event_counts(t, spark):
     return jobs.event_counts(t("events").withColumnRenamed("event_type", "event"))
 
 
+@query("""WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events WHERE event_type IN ('signup', 'click', 'view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+    g AS (SELECT CAST(user_id AS VARCHAR) AS run_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, max(CASE WHEN event_type = 'signup' THEN CASE WHEN user_id % 5 = 0 THEN 'http://error/' ELSE 'http://site/' END || user_id END) AS target_url,
+        count(CASE WHEN event_type IN ('click', 'view') THEN 1 END) AS pages, bool_or(event_type = 'purchase') AS finished FROM s GROUP BY user_id, k)
+    SELECT run_id, session_start, session_end, target_url, pages, CAST(least(100, pages * 100 // 10) AS INTEGER) AS progress, CASE WHEN finished AND NOT contains(coalesce(target_url, ''), 'error') THEN 'complete' ELSE 'failed' END AS status,
+    CASE WHEN NOT finished THEN 'silent for 21600 seconds' WHEN contains(coalesce(target_url, ''), 'error') THEN 'crawl failed: ' || target_url END AS error_message
+    FROM g WHERE session_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('signup', 'click', 'view', 'purchase'))""")
+def run_sessions(t, spark):
+    """Runs by silence of six hours, as far as they have ended when events may come an hour late."""
+    e = job_events(t).join(t("events").select(F.col("event_id").alias("seq"), F.col("ts").alias("at_time")), "seq")
+    return sessions.ended(sessions.run_sessions(e, 6 * 3600), e, "1 hour")
+
+
+@query("""SELECT event_type, crawler, CAST(grouping(event_type, crawler) AS BIGINT) AS level, count(*) AS events, count(DISTINCT user_id) AS "distinct"
+    FROM (SELECT event_type, 'c' || user_id % 3 AS crawler, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21') GROUP BY GROUPING SETS ((event_type, crawler), (event_type), (crawler), ())""")
+def event_cube(t, spark):
+    """Events and distinct users of 16 days by type and crawler, from kept days, of which two are counted twice."""
+    e = t("events").select("ts", "user_id", "event_type", F.concat(F.lit("c"), F.col("user_id") % 3).alias("crawler"))
+    path = fresh_path(spark, "days")
+    rollups.keep(rollups.by_day(e, ["event_type", "crawler"], "user_id"), path)
+    rollups.keep(rollups.by_day(e.where("ts >= '2024-01-10' and ts < '2024-01-12'"), ["event_type", "crawler"], "user_id"), path)
+    return rollups.cube(rollups.kept(spark, path, "2024-01-05", "2024-01-20"), [["event_type", "crawler"], ["event_type"], ["crawler"], []])
+
+
 @query("SELECT event_id, url, status, crawler_id FROM (SELECT event_id, 'u/' || user_id AS url, CASE event_type WHEN 'error' THEN 500 + CAST(event_id % 4 AS INTEGER) ELSE 200 END AS status, 'c' || user_id % 3 AS crawler_id FROM events) WHERE (status = 404 OR status BETWEEN 500 AND 502) AND crawler_id IN ('c0', 'c2')")
 def url_status(t, spark):
     e = t("events").select("event_id", F.concat(F.lit("u/"), "user_id").alias("url"), F.when(F.col("event_type") == "error", 500 + (F.col("event_id") % 4).cast("int")).otherwise(200).alias("status"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("crawler_id"))
