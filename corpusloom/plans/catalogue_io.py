@@ -13,6 +13,7 @@ from corpusloom.plans import config
 from corpusloom.plans.catalogue import CHAIN, CHAIN_SQL, HOST, ORACLE_SQL, STATES_SQL, TITLE, job_events, page_rows_of, query, raw_hits
 from corpusloom.plans.lineage import cut, fresh_path
 from corpusloom.sources import exports, files
+from corpusloom.streaming import exports as stream_exports
 from corpusloom.streaming import jobs
 
 CHUNK = 100  # documents of an export file
@@ -31,6 +32,30 @@ def export_load(t, spark):
     return c.select("_id", "url", "title", "description", F.md5("content").alias("content"), F.col("metadata.depth").alias("depth"), F.col("metadata.contentType").alias("content_type"))
 
 
+@query("""SELECT 'doc/' || doc_id AS _id, md5(text) AS text, '{"_id":"no","hits":[{"_id":' || doc_id || '}]}' AS inner_json FROM documents""")
+def export_ranges(t, spark):
+    """Export files in UTF-16 whose hits hold objects and arrays with the envelope's own names, read in ranges of 64 KB that begin anywhere."""
+    path = fresh_path(spark, "export")
+    inner = F.struct(F.lit("no").alias("_id"), F.array(F.struct(F.col("doc_id").alias("_id"))).alias("hits"))
+    hit = F.struct(F.struct("text", inner.alias("inner")).alias("_source"), F.concat(F.lit("doc/"), "doc_id").alias("_id"))
+    rows = t("documents").groupBy(F.floor(F.col("doc_id") / CHUNK).alias("chunk")).agg(F.struct(F.lit(1).alias("total"), F.collect_list(hit).alias("hits")).alias("hits"))
+    rows.write.partitionBy("chunk").option("encoding", "UTF-16LE").json(path)
+    hits, _ = exports.read_exports(spark, [f"{path}/*/*.json"], size=1 << 16)
+    return hits.select("_id", F.md5(F.try_element_at("_source", F.lit("text"))).alias("text"), F.try_element_at("_source", F.lit("inner")).alias("inner_json"))
+
+
+@query("SELECT 'doc/' || doc_id AS _id, md5(text) AS text FROM documents")
+def export_stream(t, spark):
+    """Export files as they come in, committed once each: the stream runs, more files come, and it runs again."""
+    path, out, ledger, mark = (fresh_path(spark, k) for k in ("export", "committed", "ledger", "mark"))
+    hit = F.struct(F.concat(F.lit("doc/"), "doc_id").alias("_id"), F.struct("text").alias("_source"))
+    for part in (0, 1):
+        rows = t("documents").groupBy(F.floor(F.col("doc_id") / CHUNK).alias("chunk")).agg(F.struct(F.collect_list(hit).alias("hits")).alias("hits"))
+        rows.where(F.col("chunk") % 2 == part).write.mode("append").partitionBy("chunk").json(path)
+        stream_exports.commit_exports(spark, path, out, ledger, mark, "UTF-8").awaitTermination()
+    return jobs.read_committed(spark, out, ledger, stream_exports.HITS).select("_id", F.md5(F.try_element_at("_source", F.lit("text"))).alias("text"))
+
+
 @query(f"""SELECT chunk, loaded, error FROM (SELECT CAST(doc_id // {CHUNK} AS VARCHAR) AS chunk, CASE WHEN doc_id // {CHUNK} % 3 = 1 THEN 0 ELSE count(*) END AS loaded, CASE WHEN doc_id // {CHUNK} % 3 = 1 THEN 'not a search export' END AS error FROM documents GROUP BY doc_id // {CHUNK})""")
 def export_errors(t, spark):
     """Every third export file is broken off in the middle: it is reported, and the others are read."""

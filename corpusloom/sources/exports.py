@@ -9,28 +9,53 @@ from pyspark.sql import types as T
 from corpusloom.functions import values
 from corpusloom.plans.lineage import cut, exists
 from corpusloom.schema import CLEAN_DOC, RAW_HIT
+from corpusloom.sources import ranges
 
 
-def read_exports(spark: SparkSession, paths: list[str], encoding: str = "UTF-16LE") -> tuple[DataFrame, DataFrame]:
+def read_exports(spark: SparkSession, paths: list[str], encoding: str = "UTF-16LE", size: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """Hits (_id, _source map, load_seq) of export files, and (path, error) of those that could not be parsed.
 
-    Missing files are passed over. A byte-order mark is dropped. A file that is no JSON envelope is reported and the others are read.
-    load_seq orders hits by file and place.
+    Missing files are passed over. A byte-order mark is dropped. A file that is no JSON envelope is reported and the others are read; a hit that is no JSON
+    is reported with its offset and its file's other hits are read. load_seq orders hits by path as given, file and place. Files are read by ranges of ``size``
+    bytes (see ranges.py); in encodings and stores that it doesn't know, a file is read whole, by one task.
     """
     there = [p for p in paths if exists(spark, p)]
-    envelope = T.StructType([T.StructField("hits", T.StructType([T.StructField("hits", T.ArrayType(RAW_HIT))]))])
     if not there:
         empty = spark.createDataFrame([], T.StructType([*RAW_HIT.fields, T.StructField("load_seq", T.LongType())]))
         return empty, spark.createDataFrame([], "path string, error string")
     files = None
     for i, p in enumerate(there):
-        one = spark.read.format("binaryFile").load(p).select("path", F.lit(i).alias("nr"), "content")
+        one = spark.read.format("binaryFile").load(p).select(F.lit(i).alias("i"), "path", "length")
         files = one if files is None else files.union(one)
+    return hits_of(files, encoding, size)
+
+
+def hits_of(files: DataFrame, encoding: str = "UTF-16LE", size: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """As read_exports(), of a table of files: path, length and, to order them, i."""
+    named = cut(files)
+    if named.isEmpty():
+        return read_exports(files.sparkSession, [])
+    files = numbered(named, "i", "path").withColumnRenamed("load_seq", "nr")
+    if encoding not in ranges.UNITS or not ranges.known(named.first()["path"]):
+        return _whole_files(files, encoding)
+    places = ranges.located(files.select("path", "nr", "length"), encoding, size)
+    with_rest = T.StructType([*RAW_HIT.fields, T.StructField("_rest", T.StringType())])
+    hits = ranges.hit_texts(places, encoding).select("path", "nr", "at", F.from_json("json", with_rest, {"columnNameOfCorruptRecord": "_rest"}).alias("hit"))
+    good = hits.where("hit._rest is null").select("hit._id", "hit._source", (F.col("nr") * (1 << 40) + F.col("at")).alias("load_seq"))
+    broken = hits.where("hit._rest is not null").select("path", F.concat(F.lit("no hit at "), "at").alias("error"))
+    return good, places.where("error is not null").select("path", "error").union(broken)
+
+
+def _whole_files(files: DataFrame, encoding: str) -> tuple[DataFrame, DataFrame]:
+    """As hits_of(), a file being one row of at most 2 GB."""
+    spark = files.sparkSession
+    envelope = T.StructType([T.StructField("hits", T.StructType([T.StructField("hits", T.ArrayType(RAW_HIT))]))])
+    content = spark.read.format("binaryFile").load([r["path"] for r in files.select("path").collect()]).select("path", "content")
     text = F.regexp_replace(F.decode("content", encoding), "^\ufeff", "")
-    parsed = files.select("path", "nr", F.from_json(text, envelope).alias("e"))
+    parsed = content.join(files.select("path", "nr"), "path").select("path", "nr", F.from_json(text, envelope).alias("e"))
     bad = parsed.where("e.hits.hits is null").select("path", F.lit("not a search export").alias("error"))
     hits = parsed.where("e.hits.hits is not null").select("nr", F.posexplode("e.hits.hits").alias("pos", "hit"))
-    return hits.select("hit._id", "hit._source", (F.col("nr").cast("long") * (1 << 32) + F.col("pos")).alias("load_seq")), bad
+    return hits.select("hit._id", "hit._source", (F.col("nr") * (1 << 40) + F.col("pos")).alias("load_seq")), bad
 
 
 def clean(hits: DataFrame) -> DataFrame:
