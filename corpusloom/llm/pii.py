@@ -3,8 +3,9 @@
 Patterns give spans of four base kinds, which always stay, and further candidates: matches that fail their check,
 local phone numbers, national ids, names and secrets. A regex, a gazetteer and a context labeler vote (1 personal, -1
 not, 0 abstains) on every span. The votes are counted by combination, a table of bounded size; expectation-maximisation
-on it estimates how reliable each labeler is, and its posteriors train a logistic span classifier, which is applied to
-every candidate as a column expression. All steps take time in proportion to a text and its spans.
+on it estimates how reliable each labeler is for each kind, and its posteriors train the span classifier: a logistic model of the votes, and log-odds
+of what a span looks like and of the words beside it, which also speak where all labelers abstain. It is applied to every candidate as a column
+expression. All steps take time in proportion to a text and its spans.
 """
 
 from __future__ import annotations
@@ -53,6 +54,10 @@ PATTERNS = {
 }
 SPAN = "struct<start:int,kind:int,end:int,hit:string,before:string,after:string>"
 CHUNK = 128
+# What the classifier sees of a span: hashed words before and behind it, kinds of its characters, its length in fours.
+WORDS, SHAPES, LENGTHS = 256, 16, 16
+LOOKS = 2 * WORDS + SHAPES + LENGTHS
+UNIT = 1 << 20  # posteriors are summed as whole numbers, so that sums don't depend on their order
 
 
 def running(values: Column, step: Callable[[Column, Column], Column], zero: int) -> Column:
@@ -139,8 +144,18 @@ def _context_vote(s: Column) -> Column:
     return F.when(s["before"].rlike(CUES), 1).when(s["before"].rlike(COUNTER_CUES), -1).when((s["kind"] < 6) & s["after"].rlike(r"^[0-9\p{L}_]"), -1).otherwise(0)
 
 
+def _looks(s: Column) -> Column:
+    """The four features of a span, numbers below LOOKS, each 12 bits of a long."""
+    word = lambda text, pattern: F.pmod(F.crc32(F.lower(F.regexp_extract(text, pattern, 1)).cast("binary")), F.lit(WORDS))
+    before, after = word(s["before"], r"(\p{L}+)[^\p{L}]{0,8}$"), word(s["after"], r"^[^\p{L}]{0,8}(\p{L}+)")
+    shape = sum((s["hit"].rlike(p).cast("long") * (1 << i) for i, p in enumerate((r"\p{Lu}", r"\p{Ll}", "[0-9]", r"[^\p{L}0-9]"))), F.lit(0))
+    length = F.least(F.floor((s["end"] - s["start"]) / 4), F.lit(LENGTHS - 1))
+    numbers = (before, after + WORDS, shape + 2 * WORDS, length + 2 * WORDS + SHAPES)
+    return sum((n * (1 << 12 * i) for i, n in enumerate(numbers)), F.lit(0)).cast("long")
+
+
 def voted_spans(docs: DataFrame, keep: Column, names: Collection[str] = NAMES, domains: Collection[str] = DOMAINS) -> DataFrame:
-    """``keep`` as kept, and the spans found in text (array of start, kind, end, votes r, g, c, size class), null texts as empty. One scan of the texts."""
+    """``keep`` as kept, and the spans found in text (array of start, kind, end, votes r, g, c, size class, looks), null texts as empty. One scan of the texts."""
     d = docs.select(keep.alias("kept"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"h_{k}") for k, p in PATTERNS.items()])
     d = d.select("kept", *[f"h_{k}" for k in KINDS], *[F.when(F.size(f"h_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p in PATTERNS.items()])
@@ -150,25 +165,34 @@ def voted_spans(docs: DataFrame, keep: Column, names: Collection[str] = NAMES, d
 
     def votes(s: Column) -> Column:
         size = s["end"] - s["start"]
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _regex_vote(s).alias("r"), _gazetteer_vote(s, names, domains).alias("g"), _context_vote(s).alias("c"), F.when(size <= 10, 0).when(size <= 18, 1).otherwise(2).alias("size"))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _regex_vote(s).alias("r"), _gazetteer_vote(s, names, domains).alias("g"), _context_vote(s).alias("c"), F.when(size <= 10, 0).when(size <= 18, 1).otherwise(2).alias("size"), _looks(s).alias("looks"))
 
     return d.select("kept", F.array_sort(F.transform("found", votes)).alias("found"))
 
 
-def reliabilities(table: list[tuple[int, int, int, int, int, float]], rounds: int = 40) -> list[float]:
-    """Posterior of being personal for each (kind, r, g, c, size, count), by expectation-maximisation over labelers' confusion rates."""
+def reliabilities(table: list[tuple[int, int, int, int, int, float]], rounds: int = 40, pooled: float = 50.0) -> list[float]:
+    """Posterior of being personal for each (kind, r, g, c, size, count), by expectation-maximisation over labelers' confusion rates.
+
+    A labeler has rates for each kind, which lean on those over all kinds with the weight of ``pooled`` spans.
+    """
     post = [0.9 if r + g + c > 0 else 0.1 if r + g + c < 0 else 0.5 for _, r, g, c, _, _ in table]
+    seen = sorted({row[0] for row in table})
     for _ in range(rounds):
-        rate = {(j, y, v): 1.0 for j, y, v in product(range(3), (0, 1), (-1, 0, 1))}
-        prior = {(k, y): 1.0 for k in range(len(KINDS)) for y in (0, 1)}
+        rate = {(k, j, y, v): float(k is None) for k, j, y, v in product((None, *seen), range(3), (0, 1), (-1, 0, 1))}
+        prior = {(k, y): 1.0 for k in seen for y in (0, 1)}
         for (k, *votes, _, n), p in zip(table, post):
             for y, w in ((1, p * n), (0, (1 - p) * n)):
                 prior[k, y] += w
                 for j, v in enumerate(votes):
-                    rate[j, y, v] += w
-        total = {(j, y): sum(rate[j, y, v] for v in (-1, 0, 1)) for j, y in product(range(3), (0, 1))}
+                    rate[k, j, y, v] += w
+                    rate[None, j, y, v] += w
+        total = {(k, j, y): sum(rate[k, j, y, v] for v in (-1, 0, 1)) for k, j, y in product((None, *seen), range(3), (0, 1))}
+
+        def chance(k: int, j: int, y: int, v: int) -> float:
+            return (rate[k, j, y, v] + pooled * rate[None, j, y, v] / total[None, j, y]) / (total[k, j, y] + pooled)
+
         for i, (k, *votes, _, _) in enumerate(table):
-            z = log(prior[k, 1] / prior[k, 0]) + sum(log(rate[j, 1, v] / total[j, 1]) - log(rate[j, 0, v] / total[j, 0]) for j, v in enumerate(votes))
+            z = log(prior[k, 1] / prior[k, 0]) + sum(log(chance(k, j, 1, v)) - log(chance(k, j, 0, v)) for j, v in enumerate(votes))
             post[i] = 1 / (1 + exp(-max(-30.0, min(30.0, z))))
     return post
 
@@ -177,9 +201,9 @@ def features(kind: int, r: int, g: int, c: int, size: int) -> list[float]:
     return [1.0, *(float(kind == k) for k in range(len(KINDS))), *(float(v == x) for v in (r, g, c) for x in (-1, 1)), *(float(size == x) for x in (0, 2))]
 
 
-def train(table: list[tuple[int, int, int, int, int, float]], rounds: int = 300, l2: float = 0.01, prior: float = 0.5) -> list[float]:
-    """Weights of the span classifier, fitted to the posteriors. Without spans all candidates get the score of the votes' signs."""
-    x, post = [features(*row[:5]) for row in table], reliabilities(table)
+def train(table: list[tuple[int, int, int, int, int, float]], post: list[float], rounds: int = 300, l2: float = 0.01, prior: float = 0.5) -> list[float]:
+    """Weights of the votes in the span classifier, fitted to the posteriors ``post``. Without spans all candidates get the score of the votes' signs."""
+    x = [features(*row[:5]) for row in table]
     w = [0.0] * len(features(0, 0, 0, 0, 0))
     start = [0.0, *[0.0] * len(KINDS), *[-prior, prior] * 3, 0.0, 0.0]
     w = [a + b for a, b in zip(w, start)]
@@ -196,20 +220,55 @@ def train(table: list[tuple[int, int, int, int, int, float]], rounds: int = 300,
     return w
 
 
+def look_weights(sums: list[tuple[int, int, int, int]], few: float = 20.0, most: float = 2.0) -> list[float]:
+    """Weight of each (kind, look) from sums (kind, look, posteriors in UNITs, spans): the log-odds of being personal with that look against all of the kind.
+
+    Rates lean on the kind's with the weight of ``few`` spans, log-odds are at most ``most``: votes and looks are not independent, so looks shift a score, they don't settle it.
+    """
+    logit = lambda p: log(p) - log(1 - p)
+    out, kinds = [0.0] * (len(KINDS) * LOOKS), {}
+    for k, look, p, n in sums:
+        if look >= 2 * WORDS + SHAPES:  # every span has one length
+            a, b = kinds.get(k, (0, 0))
+            kinds[k] = a + p, b + n
+    for k, look, p, n in sums:
+        all_p, all_n = kinds[k]
+        base = (all_p / UNIT + 1) / (all_n + 2)
+        out[k * LOOKS + look] = max(-most, min(most, logit((p / UNIT + few * base) / (n + few)) - logit(base)))
+    return out
+
+
+def literal(values: list[float]) -> Column:
+    """A constant array of doubles, one expression whatever its size."""
+    return F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), "array<double>")
+
+
 def classified(voted: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """``voted`` (cut: it is read twice) with its base and added spans (arrays of start, kind, end, ordered) in place of found.
+    """``voted`` (cut: it is read three times) with its base and added spans (arrays of start, kind, end, ordered) in place of found.
 
     An added span stays if the classifier gives it ``at_least`` and no base span overlaps it; added spans may overlap one another.
     """
     s = voted.select(F.explode("found").alias("s")).groupBy("s.kind", "s.r", "s.g", "s.c", "s.size").count()
     table = sorted((r["kind"], r["r"], r["g"], r["c"], r["size"], float(r["count"])) for r in s.collect())  # 8 * 27 * 3 rows at most
-    w = train(table)
+    post = reliabilities(table)
+    w = train(table, post)
+    place = lambda k, r, g, c, size: (((k * 3 + r + 1) * 3 + g + 1) * 3 + c + 1) * 3 + size
+    # labels of the looks: posteriors of the spans on which a labeler votes
+    labels = [0.0] * place(len(KINDS), -1, -1, -1, 0)
+    for row, p in zip(table, post):
+        labels[place(*row[:5])] = float(round(p * UNIT))
+    s = voted.select(F.explode("found").alias("s")).where("s.r <> 0 or s.g <> 0 or s.c <> 0")
+    each = F.explode(F.array(*[F.shiftright("s.looks", 12 * i).bitwiseAND(4095).cast("int") for i in range(4)]))
+    s = s.select("s.kind", F.get(literal(labels), place(*(F.col(f"s.{v}") for v in ("kind", "r", "g", "c", "size")))).cast("long").alias("p"), each.alias("look"))
+    sums = s.groupBy("kind", "look").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n")).collect()  # 8 * LOOKS rows at most
+    looks = literal(look_weights(sorted(map(tuple, sums))))
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), by + 1)
     k = 1 + len(KINDS)
 
     def chance(s: Column) -> Column:
         votes = sum((pick([w[k + 2 * j], 0.0, w[k + 2 * j + 1]], s[v] + 1) for j, v in enumerate("rgc")), F.lit(0.0))
-        z = w[0] + pick(w[1:k], s["kind"]) + votes + pick([w[k + 6], 0.0, w[k + 7]], s["size"])
+        seen = sum((F.get(looks, s["kind"] * LOOKS + F.shiftright(s["looks"], 12 * i).bitwiseAND(4095).cast("int")) for i in range(4)), F.lit(0.0))
+        z = w[0] + pick(w[1:k], s["kind"]) + votes + pick([w[k + 6], 0.0, w[k + 7]], s["size"]) + seen
         return 1 / (1 + F.exp(-z))
 
     stays = lambda s: (s["kind"] < len(BASE)) & (s["r"] == 1)
@@ -271,7 +330,7 @@ def redact(docs: DataFrame, names: Collection[str] = NAMES, domains: Collection[
     """``docs`` with every span replaced by its kind in brackets; n_chars, if there, is counted again; all columns and rows stay.
 
     Rows travel whole, so columns may have any names; null and empty texts and texts without spans stay as they are, repeated rows are
-    redacted alike, an empty table gives an empty one. Rows and their spans are written once: nothing is shuffled but counts of votes.
+    redacted alike, an empty table gives an empty one. Rows and their spans are written once: nothing is shuffled but counts of votes and looks.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     c = classified(cut(voted_spans(docs, whole, names, domains)))

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from corpusloom.llm import bin_completion, jaccard_join, packing, pii, quality_gbdt, sentencepiece_table, simhash, token_counts  # noqa: E402
-from plain import CONTRACT, all_spans, base_spans, redacted, simhash_votes  # noqa: E402
+from plain import CONTRACT, all_spans, base_spans, redacted, simhash_votes, votes  # noqa: E402
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_JSON, BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -308,6 +308,20 @@ def test_the_method_adds_spans_by_its_labelers(spark):
     assert pii.reliabilities([]) == []
 
 
+def test_the_classifier_speaks_where_all_labelers_abstain(spark):
+    r = random.Random(3)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    texts = [f"token: {h} Kennwort" for h in hexes] + [f"commit: {'lieblingsrezept' * 2}nachtisch{i % 10} Rezept" for i in range(60)]
+    silent = "qwertzui12asdfghjk" + "xyz" * 7 + "x"  # as long as the others, of the same kinds of characters
+    texts += [f"Das {silent} Kennwort", f"Das {silent} Rezept"]
+    assert votes(7, silent, "Das ", " Kennwort")[:3] == votes(7, silent, "Das ", " Rezept")[:3] == (0, 0, 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in pii.personal_data(docs).collect()}
+    assert got[120] == "secret:4:44" and got[121] == "", "only the word beside it tells"
+    want = all_spans(texts)
+    assert all(got[i] == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(b + a)) for i, (b, a) in enumerate(want))
+
+
 def test_added_spans_and_redaction_equal_a_plain_version(spark):
     r = random.Random(17)
     parts = ["Call 555-234-5678 now", "ssn 123-45-6789", "part 000-45-6789x", "Dear Mr. John A Smith", "Anna Lee Doe", "Contact Maria Garcia", "The Big House", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "commit 1eb9c654e721b4f812088970e66a6345cee33dd6",
