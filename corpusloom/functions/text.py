@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.values import let
 
+WORD = r"[\p{L}\p{N}]"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -74,12 +75,15 @@ def near_edits(token: Column, term: Column, term_swaps: Column) -> Column:
     return F.when((plain == 0) | (plain == 1), plain).when(one, 1).when(plain == 2, 2).when(far, 3).when(F.levenshtein(token, term, 4) < 0, 3).when(two, 2).otherwise(3)
 
 
+def whole_words(terms: list[str]) -> str:
+    """A pattern of whole words out of ``terms``, in any case (A-Z). A word ends where tokens() ends it, not at Java's or another engine's ``\\b``, of which some know ASCII alone."""
+    words = "|".join(sorted(map(re.escape, set(terms)), key=lambda t: (-len(t), t)))
+    return rf"(?i)(?<!{WORD})({words})(?!{WORD})"
+
+
 def highlight(text: Column, terms: list[str], before: str = "<em>", after: str = "</em>") -> Column:
     """``text`` with whole words out of ``terms`` marked, in any case."""
-    if not terms:
-        return text
-    words = "|".join(sorted(map(re.escape, set(terms)), key=lambda t: (-len(t), t)))
-    return F.regexp_replace(text, rf"(?i)\b({words})\b", f"{before}$1{after}")
+    return F.regexp_replace(text, whole_words(terms), f"{before}$1{after}") if terms else text
 
 
 def fragments(text: Column, terms: list[str], size: int = 150, number: int = 2) -> Column:
@@ -89,8 +93,7 @@ def fragments(text: Column, terms: list[str], size: int = 150, number: int = 2)
     """
     if not terms:
         return F.array().cast("array<string>")
-    words = "|".join(sorted(map(re.escape, set(terms)), key=lambda t: (-len(t), t)))
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\S.{{0,{size - 1}}}(?=\s|$)|\S{{1,{size}}}"), F.lit(0))
-    rated = F.transform(pieces, lambda p, i: F.struct((-F.regexp_count(p, F.lit(rf"(?i)\b({words})\b"))).alias("n"), i.alias("i"), p.alias("p")))
+    rated = F.transform(pieces, lambda p, i: F.struct((-F.regexp_count(p, F.lit(whole_words(terms)))).alias("n"), i.alias("i"), p.alias("p")))
     best = F.slice(F.array_sort(F.filter(rated, lambda r: r["n"] < 0)), 1, number)
     return F.transform(best, lambda r: highlight(r["p"], terms))

@@ -475,8 +475,20 @@ def search_response(t, spark):
 _PIECES = r"list_transform(list_zip(regexp_extract_all(text, '(?s)(\S.{0,149})(?:\s|$)|(\S{1,150})', 1), regexp_extract_all(text, '(?s)(\S.{0,149})(?:\s|$)|(\S{1,150})', 2)), lambda z: coalesce(nullif(z[1], ''), z[2]))"
 
 
-@query(rf"""SELECT doc_id, array_to_string(list_transform(list_sort(list_filter(list_transform(range(1, len(ps) + 1), lambda i: {{'n': -len(regexp_extract_all(ps[i], '(?i)\b(licensed|under|version)\b')), 'i': i}}), lambda r: r.n < 0))[1:2],
-    lambda r: regexp_replace(ps[r.i], '(?i)\b(licensed|under|version)\b', '<em>\1</em>', 'g')), ' ... ') AS fragments FROM (SELECT doc_id, {_PIECES} AS ps FROM documents WHERE contains(lower(text), 'licensed'))""")
+def _is_term(word: str, terms: list[str]) -> str:
+    return f"translate({word}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ('{"', '".join(terms)}')"
+
+
+def _marked_sql(of: str, terms: list[str]) -> str:
+    """SQL of a text with its words out of ``terms`` marked. The engine's \\b knows ASCII alone and would find one before a letter with an accent, so the text is dealt into words and what is between them."""
+    return rf"array_to_string(list_transform(regexp_extract_all({of}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), lambda w: CASE WHEN {_is_term('w', terms)} THEN '<em>' || w || '</em>' ELSE w END), '')"
+
+
+_TERMS = ["licensed", "under", "version"]
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_transform(list_sort(list_filter(list_transform(range(1, len(ps) + 1), lambda i: {{'n': -len(list_filter(regexp_extract_all(ps[i], '[\p{{L}}\p{{N}}]+'), lambda w: {_is_term('w', _TERMS)})), 'i': i}}), lambda r: r.n < 0))[1:2],
+    lambda r: {_marked_sql('ps[r.i]', _TERMS)}), ' ... ') AS fragments FROM (SELECT doc_id, {_PIECES} AS ps FROM documents WHERE contains(lower(text), 'licensed'))""")
 def content_fragments(t, spark):
     """The two best pieces of 150 characters of each text that holds the word."""
     d = t("documents").where(F.contains(F.lower("text"), F.lit("licensed")))
