@@ -548,9 +548,9 @@ def index_stats(t, spark):
     return search.index_stats(t("documents"), "documents", ["text"], F.col("doc_id") % 10 == 0)
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(licensed|under|the)\b', '<em>\1</em>', 'g') AS text FROM documents WHERE regexp_matches(text, '(?i)\blicensed\b')")
+@query(rf"SELECT doc_id, {_marked_sql('text', ['licensed', 'under', 'the'])} AS text FROM documents WHERE len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda w: {_is_term('w', ['licensed'])})) > 0")
 def highlighted(t, spark):
-    d = t("documents").where(F.col("text").rlike(r"(?i)\blicensed\b"))
+    d = t("documents").where(F.col("text").rlike(text.whole_words(["licensed"])))
     return d.select("doc_id", text.highlight(F.col("text"), ["licensed", "under", "the"]).alias("text"))
 
 
