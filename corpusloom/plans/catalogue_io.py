@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from html.entities import html5
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -304,7 +305,28 @@ def tagged_maps(t, spark):
     return d.select("page_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"))
 
 
-@query(f"SELECT page_id, replace({TITLE}, '&amp;', '&') || ' <&é' AS title FROM pages")
+def _unescaped_sql(of: str) -> str:
+    """SQL (doc, text) of SQL (doc, text) with HTML 5's references decoded: by number with the standard's replacements, by name, by the longest name that begins what has no semicolon; others stay.
+
+    The names are the standard's table. A reference is what follows an ampersand up to white space, ``<``, ``&``, ``#`` or 32 characters.
+    """
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    coded = lambda x: "||".join(f"chr({ord(c)})" for c in x)
+    names = ", ".join(f"({quoted(k)}, {coded(v)})" for k, v in sorted(html5.items()))
+    # what the standard replaces among the numbers, and those that stand for nothing
+    moved = ", ".join(f"({0x80 + i}, {c})" for i, c in enumerate((0x20AC, 0x81, 0x201A, 0x192, 0x201E, 0x2026, 0x2020, 0x2021, 0x2C6, 0x2030, 0x160, 0x2039, 0x152, 0x8D, 0x17D, 0x8F, 0x90, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x2DC, 0x2122, 0x161, 0x203A, 0x153, 0x9D, 0x17E, 0x178)))
+    void = "n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n BETWEEN 127 AND 159 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534"
+    return rf"""WITH names(name, value) AS (VALUES {names}), moved(number, code) AS (VALUES {moved}), texts AS ({of}),
+        pieces AS (SELECT doc, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc, regexp_extract_all(text, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)|[^&]+|&') AS ps FROM texts)),
+        refs AS (SELECT DISTINCT p FROM pieces WHERE starts_with(p, '&') AND p <> '&'),
+        numbers AS (SELECT p, coalesce(CASE WHEN lower(p[3]) = 'x' THEN TRY_CAST('0x' || rtrim(p[4:], ';') AS BIGINT) ELSE TRY_CAST(rtrim(p[3:], ';') AS BIGINT) END, 1114112) AS n FROM refs WHERE starts_with(p, '&#')),
+        numbered AS (SELECT p, CASE WHEN code IS NOT NULL THEN chr(CAST(code AS INTEGER)) WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN {void} THEN '' ELSE chr(CAST(n AS INTEGER)) END AS value FROM numbers LEFT JOIN moved ON n = number),
+        named AS (SELECT p, arg_max(value || substr(p, length(name) + 2), length(name)) AS value FROM refs JOIN names ON starts_with(p[2:], name) WHERE NOT starts_with(p, '&#') GROUP BY p),
+        decoded AS (SELECT * FROM numbered UNION ALL SELECT * FROM named)
+        SELECT doc, CASE WHEN text IS NOT NULL THEN coalesce(joined, '') END AS text FROM texts LEFT JOIN (SELECT doc, string_agg(coalesce(value, p), '' ORDER BY i) AS joined FROM pieces LEFT JOIN decoded USING (p) GROUP BY doc) USING (doc)"""
+
+
+@query(f"""SELECT doc AS page_id, text AS title FROM ({_unescaped_sql(f"SELECT page_id AS doc, {TITLE} || ' &lt;&amp;&#233;' AS text FROM pages")})""")
 def decoded_entities(t, spark):
     """Titles with entities put behind them, decoded."""
     return t("pages").select("page_id", html.decode_entities(F.concat(html.title(F.col("html")), F.lit(" &lt;&amp;&#233;"))).alias("title"))
