@@ -63,6 +63,32 @@ def shortenings(word: Column) -> Column:
     return F.array_distinct(F.transform(all_, lambda w: F.left(w, F.lit(SHORTENED - MOST_EDITS))))
 
 
+HALF = 5
+
+
+def halves(word: str, edits: int = MOST_EDITS) -> list[str]:
+    """Forms of ``word`` of which halved() gives one, too, for every word within ``edits`` (at most 2; an exchange of neighbours is one).
+
+    Of two edits one lies in either half, or they lie in the same, so a half has one at most; an exchange across the cut changes one character of each. Halves with one edit
+    between them are equal without one character of each. The cut is where the other word has it, and may be moved by one.
+    """
+    found = set()
+    for size in range(max(0, len(word) - edits), len(word) + edits + 1):
+        cut = min(HALF, size // 2)
+        for at in range(max(0, cut - 1), min(len(word), cut + 1) + 1):
+            one = lambda w: [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]
+            found |= {f"{cut}<{f}" for f in one(word[:at])} | {f"{cut}>{f[: HALF - 1]}" for f in one(word[at : at + HALF])}
+    return sorted(found)
+
+
+def halved(word: Column) -> Column:
+    """Forms of a column's words, 11 each at most: the first half, or HALF characters, and as many after it, whole and without each character."""
+    one = lambda w: F.concat(F.array(w), F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array().cast("array<string>")))
+    first = lambda h: F.transform(one(F.left(word, h)), lambda f: F.concat(h.cast("string"), F.lit("<"), f))
+    last = lambda h: F.transform(one(F.substr(word, h + 1, F.lit(HALF))), lambda f: F.concat(h.cast("string"), F.lit(">"), F.left(f, F.lit(HALF - 1))))
+    return let(F.least(F.lit(HALF), F.floor(F.length(word) / 2).cast("int")), lambda h: F.array_distinct(F.concat(first(h), last(h))))
+
+
 def near_edits(token: Column, term: Column, term_swaps: Column) -> Column:
     """Edits between a token and a term up to 2, else 3; the exchange of adjacent characters is one edit. ``term_swaps``: swaps() of the term.
 

@@ -1,8 +1,8 @@
 """Full-text search: index tables and ranked queries on them.
 
 The index is a table of postings (doc_id, field, token, tf, length), a vocabulary (field, token, df) and totals of each field. Written with
-write_index() postings are partitioned by a bucket of the token and the vocabulary by a bucket of the token's shortened forms, so that a query reads the
-buckets of its terms, and by the words' shortened forms, by which a misspelling meets them in an equi-join. Made on the fly, all but the query's terms are dropped
+write_index() postings are partitioned by a bucket of the token and the vocabulary by a bucket of the forms of the token's halves, so that a query reads the
+buckets of its terms, and by these forms, by which a misspelling meets them in an equi-join. Made on the fly, all but the query's terms are dropped
 before anything is shuffled.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import auto_edits, fragments, highlight, near_edits, query_tokens, shortened, shortenings, swaps, tokens
+from corpusloom.functions.text import auto_edits, fragments, halved, halves, highlight, near_edits, query_tokens, swaps, tokens
 from corpusloom.functions.values import let
 from corpusloom.operators.filters import quick, require_query
 from corpusloom.plans.lineage import cut, exists
@@ -61,14 +61,14 @@ def document_lengths(docs: DataFrame, fields: list[str], key: str = "doc_id") ->
 
 
 def write_index(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id", buckets: int = 64, tasks_a_bucket: int = 8) -> None:
-    """Postings by bucket of the token, the vocabulary by bucket of its words' shortened forms (56 a word at most) and the totals of each field. Buckets should grow with the corpus: one holds a
-    part of the postings that a query reads as a whole, written by up to ``tasks_a_bucket`` tasks."""
+    """Postings by bucket of the token, the vocabulary by bucket of the forms of its words' halves (11 a word at most) and the totals of each field. Buckets should grow with the corpus: one holds a
+    part of the postings that a query reads as a whole, written by ``tasks_a_bucket`` tasks at least, and by as many as its bytes need."""
     p = postings(docs, fields, key).withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets)))
-    p = p.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket)))
+    p = p.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket))).hint("rebalance", F.col("bucket"), F.col("deal")).drop("deal")
     p.sortWithinPartitions("bucket", "field", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     words = document_frequency(_read_parts(docs.sparkSession, f"{path}/postings", "bucket", POSTINGS))
-    forms = words.select("field", "token", "df", F.explode(shortenings(F.col("token"))).alias("form")).withColumn("bucket", F.pmod(F.hash("form"), F.lit(buckets)))
-    forms.repartition("bucket").sortWithinPartitions("form").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
+    forms = words.select("field", "token", "df", F.explode(halved(F.col("token"))).alias("form")).withColumn("bucket", F.pmod(F.hash("form"), F.lit(buckets)))
+    forms.hint("rebalance", F.col("bucket")).sortWithinPartitions("form").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
     totals(docs, fields, key).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
 
 
@@ -112,7 +112,7 @@ class Index:
             return document_frequency(_within_reach(rows, terms) if terms else rows)
         if not terms:
             return self.words.select("field", "token", "df").distinct()
-        forms = sorted({f for t in terms for f in shortened(t)})
+        forms = sorted({f for t in terms for f in halves(t, auto_edits(t))})
         found = self.words.sparkSession.createDataFrame([(f,) for f in forms], "form string").select(F.pmod(F.hash("form"), F.lit(self.buckets)).alias("b")).distinct().collect()
         return self.words.where(F.col("bucket").isin([r["b"] for r in found]) & F.col("form").isin(forms))
 
@@ -139,13 +139,18 @@ def index_of(docs: DataFrame, fields: list[str], terms: list[str] | None = None,
 def fuzzy_terms(vocabulary: DataFrame, terms: list[str], most: int = 50) -> DataFrame:
     """(term, field, token, edits) of the vocabulary within the edits that a term's length allows, ``most`` for each term and field.
 
-    A term and a token meet by a shortened form that both have, in an equi-join; how many edits they are apart is looked at only then. Terms are constants of the
-    plan: their swaps and forms are made once. A vocabulary with a column form has a row for each. Nearer tokens come first, then by name.
+    A term and a token meet by a form of a half that both have, in an equi-join; how many edits they are apart is looked at only then. Terms are constants of the
+    plan: their swaps and forms are made once. A vocabulary with a column form has a row for each; without it a token may come many times, its forms are made once.
+    Nearer tokens come first, then by name.
     """
     spark = vocabulary.sparkSession
-    rows = [(t, auto_edits(t), swaps(t), f) for t in dict.fromkeys(terms) for f in shortened(t)]
-    q = F.broadcast(spark.createDataFrame(rows, "term string, allowed int, swaps array<string>, form string"))  # a query's terms, 56 forms each at most
-    forms = vocabulary if "form" in vocabulary.columns else vocabulary.select("field", "token", F.explode(shortenings(F.col("token"))).alias("form"))
+    rows = [(t, auto_edits(t), swaps(t), f) for t in dict.fromkeys(terms) for f in halves(t, auto_edits(t))]
+    q = F.broadcast(spark.createDataFrame(rows, "term string, allowed int, swaps array<string>, form string"))  # a query's terms, about 100 forms each at most
+    forms = vocabulary
+    if "form" not in vocabulary.columns:
+        sizes = [n for t in terms for n in (len(t) - auto_edits(t), len(t) + auto_edits(t))]
+        words = vocabulary.select("field", "token").where(F.length("token").between(min(sizes, default=0), max(sizes, default=-1))).distinct()
+        forms = words.select("field", "token", F.explode(halved(F.col("token"))).alias("form"))
     reach = F.abs(F.length("token") - F.length("term")) <= F.col("allowed")
     near = forms.join(q, "form").where(reach).groupBy("term", "field", "token").agg(F.first("allowed").alias("allowed"), F.first("swaps").alias("swaps"))
     edits = F.when(F.col("allowed") == 0, F.when(F.col("token") == F.col("term"), 0).otherwise(3)).otherwise(near_edits(F.col("token"), F.col("term"), F.col("swaps")))
