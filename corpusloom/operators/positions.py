@@ -35,9 +35,9 @@ def places(docs: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame
 
 
 def write_places(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id", buckets: int = 64, tasks_a_bucket: int = 8) -> None:
-    """Places by bucket of the token; buckets should grow with the corpus. A frequent word's are written by up to ``tasks_a_bucket`` tasks."""
+    """Places by bucket of the token; buckets should grow with the corpus. A frequent word's are written by ``tasks_a_bucket`` tasks at least, and by as many as their bytes need."""
     rows = places(docs, fields, key).withColumn("bucket", F.pmod(F.hash("token"), F.lit(buckets)))
-    rows = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket))).sortWithinPartitions("bucket", "field", "token", "doc_id", "at")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(tasks_a_bucket))).hint("rebalance", F.col("bucket"), F.col("deal")).drop("deal").sortWithinPartitions("bucket", "field", "token", "doc_id", "at")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/places")
     docs.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/shape")
 
