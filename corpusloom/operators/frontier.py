@@ -65,23 +65,25 @@ def canonical_groups(links: DataFrame) -> DataFrame:
     """(url, canonical, hops, loop) of every url in ``links`` (url, target), redirects and canonical links alike: where following them ends.
 
     Pointer doubling: each round a url's pointer becomes that of what it points at, so a chain of n hops takes log2(n) rounds, each one join of the urls that have not
-    arrived. What is left when pointers reach further than urls are left goes round in a loop, whose canonical is its least url, without a number of hops. A url
+    arrived. What is left when pointers reach further than urls are left, and none has arrived in the last round, goes round in a loop, whose canonical is its least url, without a number of hops. A url
     with several targets has the least; null ends and links to oneself are none. Urls that are only targets are their own canonical, with 0 hops.
+    Both sides of every join grow with the links, so they are shuffled: sent to all tasks, each round would pass them through the driver.
     """
     step = cut(links.where("url is not null and target is not null and url <> target").groupBy("url").agg(F.min("target").alias("to")))
-    ends = step.select(F.col("to").alias("url")).union(links.where("url is not null and (target is null or target = url)").select("url")).distinct().join(step.select("url"), "url", "left_anti")
+    ends = step.select(F.col("to").alias("url")).union(links.where("url is not null and (target is null or target = url)").select("url")).distinct().join(step.select("url").hint("merge"), "url", "left_anti")
     done = cut(ends.select("url", F.col("url").alias("canonical"), F.lit(0).cast("long").alias("hops"), F.lit(False).alias("loop")))
     todo = cut(step.select("url", "to", F.lit(1).cast("long").alias("hops"), F.col("url").alias("least")))  # least: of the url and those its pointer has passed
-    reach = 1
-    while (left := todo.count()) and reach <= 2 * left:
+    reach, before = 1, None
+    while (left := todo.count()) and (reach <= 2 * left or left != before):  # after a round in which none arrived, none will
+        before = left
         ahead = todo.select(F.col("url").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"), F.col("least").alias("low"), F.lit(False).alias("ended"))
         ahead = ahead.union(done.select("url", "canonical", "hops", "url", F.lit(True)))
-        moved = cut(todo.join(ahead, "to").select("url", "next", (F.col("hops") + F.col("more")).alias("hops"), F.least("least", "low").alias("least"), "ended"))
+        moved = cut(todo.join(ahead.hint("merge"), "to").select("url", "next", (F.col("hops") + F.col("more")).alias("hops"), F.least("least", "low").alias("least"), "ended"))
         done = done.union(moved.where("ended").select("url", F.col("next").alias("canonical"), "hops", F.lit(False).alias("loop")))
         todo = moved.where("not ended").select("url", F.col("next").alias("to"), "hops", "least")
         reach *= 2
     # pointers have gone further than there are urls: they are in their loop, and what they pass from there is all of it
-    round_ = todo.join(todo.select(F.col("url").alias("to"), F.col("least").alias("canonical")), "to")
+    round_ = todo.join(todo.select(F.col("url").alias("to"), F.col("least").alias("canonical")).hint("merge"), "to")
     return done.union(round_.select("url", "canonical", F.lit(None).cast("long").alias("hops"), F.lit(True).alias("loop")))
 
 

@@ -706,7 +706,7 @@ def canonical_groups(t, spark):
     p = t("pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
     before = p.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("previous"))
     last = p.where("page_id % 64 = 63").select((F.col("page_id") - 63).alias("page_id"), F.col("url").alias("closing"))
-    linked = p.join(before, "page_id", "left").join(last, "page_id", "left")
+    linked = p.join(before.hint("merge"), "page_id", "left").join(last.hint("merge"), "page_id", "left")  # as large as the pages
     target = F.when(F.col("page_id") % 64 != 0, F.col("previous")).when(F.col("page_id") % 128 == 64, F.col("closing"))
     return frontier.canonical_groups(linked.select("url", target.alias("target")))
 
