@@ -33,10 +33,11 @@ def read_exports(spark: SparkSession, paths: list[str], encoding: str = "UTF-16L
 def hits_of(files: DataFrame, encoding: str = "UTF-16LE", size: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """As read_exports(), of a table of files: path, length and, to order them, i."""
     named = cut(files)
-    if named.isEmpty():
+    one = named.first()
+    if one is None:
         return read_exports(files.sparkSession, [])
     files = numbered(named, "i", "path").withColumnRenamed("load_seq", "nr")
-    if encoding not in ranges.UNITS or not ranges.known(named.first()["path"]):
+    if encoding not in ranges.UNITS or not ranges.known(one["path"]):
         return _whole_files(files, encoding)
     places = ranges.located(files.select("path", "nr", "length"), encoding, size)
     with_rest = T.StructType([*RAW_HIT.fields, T.StructField("_rest", T.StringType())])

@@ -175,13 +175,33 @@ def located(files: DataFrame, encoding: str, size: int) -> DataFrame:
 
     def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, nr, start, end in b.itertuples(index=False):
+            texts = []
+            for path, _, start, end in b.itertuples(index=False):
                 with open_path(path) as f:
-                    yield pd.DataFrame({"path": [path], "nr": [nr], "start": [start], "end": [end], "shape": [json.dumps(shape(f, start, end, encoding))]})
+                    texts.append(json.dumps(shape(f, start, end, encoding)))
+            yield b.assign(shape=pd.Series(texts, b.index, dtype=object))
 
-    dealt = ranges.repartition(dealings(ranges, "start"), "path", "start")
-    shapes = dealt.mapInPandas(shaped, "path string, nr long, start long, end long, shape string")
-    return cut(shapes.groupBy("path").applyInPandas(walk, "path string, nr long, from long, in_string boolean, depth int, end long, error string"))
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # ranges of the file that goes on in the next batch
+        for b in batches:
+            files = [f for _, f in b.groupby("path", sort=False)]
+            if held and files and files[0]["path"].iloc[0] == held[0]["path"].iloc[0]:
+                held.append(files.pop(0))
+                if not files:
+                    continue
+            done = [pd.concat(held)] if held else []
+            held = files[-1:]
+            done = [w for w in map(walk, [*done, *files[:-1]]) if len(w)]
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield walk(pd.concat(held))
+
+    n = dealings(ranges, "start")
+    shapes = ranges.repartition(n, "path", "start").mapInPandas(shaped, "path string, nr long, start long, end long, shape string")
+    # the number is given here, too: shapes are a few bytes each, but walking those of many files is work for all cores
+    in_order = shapes.repartition(n, "path").sortWithinPartitions("path", "start")
+    return cut(in_order.mapInPandas(walked, "path string, nr long, from long, in_string boolean, depth int, end long, error string"))
 
 
 def dealings(ranges: DataFrame, start: str) -> int:
@@ -195,18 +215,18 @@ def hit_texts(places: DataFrame, encoding: str) -> DataFrame:
     todo = places.where("error is null")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0  # of many small files in one batch
         for b in batches:
             for path, nr, start, in_string, depth, end in b.itertuples(index=False):
                 with open_path(path) as f:
-                    rows, held = [], 0
                     for at, text in elements(f, start, end, in_string, depth, encoding):
                         rows.append((path, nr, at, text))
                         held += len(text)
                         if held > 4 << 20:
                             yield pd.DataFrame(rows, columns=["path", "nr", "at", "json"])
                             rows, held = [], 0
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["path", "nr", "at", "json"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "nr", "at", "json"])
 
     columns = todo.select("path", "nr", "from", "in_string", "depth", "end")
     return columns.repartition(dealings(todo, "from"), "path", "from").mapInPandas(read, "path string, nr long, at long, json string")
