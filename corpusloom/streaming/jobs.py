@@ -65,24 +65,28 @@ def streamed_states(events: DataFrame, total: int = 10) -> DataFrame:
     """
     out = "run_id string, target_url string, status string, progress int, num_pages_indexed long, started_at double"
     kept = "target_url string, pages long, finished boolean, started_at double"
+    names = ["run_id", "target_url", "status", "progress", "num_pages_indexed", "started_at"]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         target, pages, finished, at = state.get if state.exists else (None, 0, False, None)
         for b in batches:
-            pages += int((b["kind"] == "page").sum())
-            finished = finished or bool((b["kind"] == "finished").any())
-            first = b[b["kind"] == "started"]
-            named, timed = first["target_url"].dropna(), first["at"].dropna()
-            if len(named):  # of several starts the greatest target and the least time, as of a table
-                target = max([str(t) for t in named] + ([target] if target is not None else []))
-            if len(timed):
-                at = min([float(timed.min())] + ([at] if at is not None else []))
+            # plain loops: a run has few events in a batch, for which a column's operations would cost more than they do
+            for kind, named, timed in zip(b["kind"].tolist(), b["target_url"].tolist(), b["at"].tolist()):
+                if kind == "page":
+                    pages += 1
+                elif kind == "finished":
+                    finished = True
+                elif kind == "started":  # of several starts the greatest target and the least time, as of a table
+                    if isinstance(named, str) and (target is None or named > target):
+                        target = named
+                    if timed is not None and timed == timed and (at is None or timed < at):
+                        at = timed
         state.update((target, pages, finished, at))
         status = ("failed" if "error" in (target or "") else "complete") if finished else "running" if pages else "pending"
-        # typed columns: a run without a start has nulls in all its rows
-        yield pd.DataFrame({"run_id": pd.Series([key[0]], dtype="string"), "target_url": pd.Series([target], dtype="string"), "status": pd.Series([status], dtype="string"), "progress": [min(100, pages * 100 // total)], "num_pages_indexed": [pages], "started_at": pd.Series([at], dtype="Float64")})
+        yield pd.DataFrame([(key[0], target, status, min(100, pages * 100 // total), pages, at)], columns=names, dtype=object)
 
-    return events.groupBy("run_id").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
+    # page rows aren't looked at: they'd be shuffled and made Python objects
+    return events.select("run_id", "kind", "target_url", "at").groupBy("run_id").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def job_status(states: DataFrame, run_id: str) -> DataFrame:

@@ -7,8 +7,11 @@ from glob import glob
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import frontier, positions, search
 from corpusloom.sources import ranges
+from corpusloom.streaming import jobs
 
 
 @pytest.fixture
@@ -51,3 +54,17 @@ def test_many_files_shapes_are_walked_by_many_tasks(spark, tmp_path):
     assert {r["path"].rpartition("/")[2] for r in places.where("error is not null").collect()} == {f"{i}.json" for i in range(0, 60, 7)}
     found = ranges.hit_texts(places, "UTF-8").collect()
     assert sorted(json.loads(r["json"])["_id"] for r in found) == sorted(f"{i}/{k}" for i in range(60) if i % 7 for k in range(5))
+
+
+def test_streamed_states_move_what_they_look_at(spark, tmp_path):
+    schema = "run_id string, seq long, at double, kind string, target_url string, page struct<id:string>"
+    rows = [("a", 1, 5.0, "started", "http://b", None), ("a", 2, 4.0, "started", "http://a/error", None), ("a", 3, 6.0, "page", None, ("p",)), ("b", 4, 7.0, "finished", None, None), ("c", 5, None, "started", None, None)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "e"))
+    states = jobs.streamed_states(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e")))
+    plan = states._jdf.queryExecution().analyzed().toString()
+    assert plan.index("FlatMapGroupsInPandasWithState") < plan.index("Project [run_id") < plan.index("page#"), "pages stay behind"
+    out, table = str(tmp_path / "o"), jobs.job_states(spark.read.schema(schema).parquet(str(tmp_path / "e"))).drop("error_message")
+    keep = lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)
+    states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("run_id").agg(F.max_by(F.struct("target_url", "status", "progress", "num_pages_indexed", "started_at"), "batch").alias("s")).select("run_id", "s.*")
+    assert sorted(map(repr, last.collect())) == sorted(map(repr, table.collect()))
