@@ -38,7 +38,7 @@ def counted(words: Column) -> Column:
         size = lambda s, i: F.coalesce(F.get(s, i + 1), F.size(w)) - F.get(s, i)
         return let(starts, lambda s: F.transform(s, lambda at, i: F.struct(F.get(w, at).alias("token"), size(s, i).cast("long").alias("tf"))))
 
-    return let(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>")))
+    return let(F.sort_array(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>")))
 
 
 def postings_of(field_words: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """A search index of immutable segments, with deletions, merging by size, and pruned queries.
 
 A commit writes one segment and, for rows that it replaces or deletes, marks in those before; a manifest file publishes it. A segment has the documents' words
-(``forward``, by bucket of the id) and their postings in blocks (``blocks``, by bucket of the token): those of one token in one cell, a run of CELL documents by id. A block's head has its
-greatest frequency and its least length, which bound what it can add to a score; heads are columns of their own, so a query reads them without the postings.
+(``forward``, by ranges of the id) and their postings in blocks (``blocks``, by bucket of the token): those of one token in one cell, a run of CELL documents by id, or fewer if they have more
+than LONG words. A block's head has its greatest frequency and its least length, which bound what it can add to a score; heads are columns of their own, so a query reads them without the postings.
+
+Texts are dealt into ranges of the id before they are split into words, so they are split once. A task inverts the words of the ranges that it reads cell by cell, and so holds those of a few cells; neither words nor postings are shuffled.
 
 The blocks of a query's terms meet by cell, so the sum of their bounds bounds the scores of the cell. A query scores the cells of the greatest bounds first, and so knows a score that
 the last hit has at least. Blocks of cells whose bound stays below it are not read. Hits are the same as without pruning.
@@ -14,22 +16,81 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.search import B, K1, best_fields, counted, field_tokens, top
-from corpusloom.plans.lineage import bounded, cut, delete, exists, list_paths, read_text, write_text
+from corpusloom.plans.lineage import bounded, cut, delete, exists, list_paths, read_text, setting, write_text
 
-CELL = 128
+CELL, LONG = 128, 1 << 20
 WORDS = "array<struct<token:string,tf:bigint>>"
-FORWARD = f"doc_id long, field string, length long, words {WORDS}, cell long, slot int"
+FORWARD = f"doc_id long, field string, length long, words {WORDS}, slot int"
 BLOCKS = "field string, token string, cell long, n int, most_tf long, least_length long, ids array<bigint>, tfs array<bigint>, lengths array<bigint>, bucket int"
 MARKS = "segment string, doc_id long"
 MINUS = "segment string, field string, token string, df long, bucket int"
 
 
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """A hint for the ``n`` keys of a join: sent to all tasks if they are few; else hashed in their partition, so that the other side's words are not sorted."""
+    return bounded(rows, n, 200_000) if n <= 200_000 else rows.hint("shuffle_hash")
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's rows (doc_id, field, length, words); a cell is a run of rows of one field as they come, with ``most`` words if they are several. Cells of differing tasks have differing numbers."""
+    number, waiting = TaskContext.get().partitionId() << 33, {}
+
+    def cells(rows: pa.Table, last: bool) -> Iterator[pa.Table]:
+        """Full cells, and with ``last`` the rest; the rest is left waiting."""
+        at, words = 0, 0
+        for i, n in enumerate(rows["length"].to_pylist()):
+            if i > at and (i - at == CELL or words + n > most):
+                yield rows.slice(at, i - at)
+                at, words = i, 0
+            words += n
+        waiting[rows["field"][0].as_py()] = rows.slice(at)
+        if last:
+            yield rows.slice(at)
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        for f in pc.unique(rows["field"]).to_pylist():
+            own = rows.filter(pc.equal(rows["field"], f))
+            for cell in cells(pa.concat_tables([waiting.pop(f), own]) if f in waiting else own, False):
+                yield from inverted(cell, number)
+                number += 1
+    for rows in list(waiting.values()):
+        for cell in cells(rows, True):
+            yield from inverted(cell, number)
+            number += 1
+
+
+def inverted(rows: pa.Table, cell: int) -> list[pa.RecordBatch]:
+    """Blocks of a cell's rows, one for each token; postings by id."""
+    rows = rows.sort_by("doc_id")
+    words = rows["words"].combine_chunks()
+    each, sizes = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    tokens = pc.struct_field(each, "token").dictionary_encode()
+    codes = tokens.indices.to_numpy(zero_copy_only=False)
+    if not len(codes):
+        return []
+    at = np.argsort(codes, kind="stable")  # by token, and of one token by id
+    n = np.bincount(codes)
+    starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    ids, lengths = (np.repeat(rows[c].to_numpy(), sizes)[at] for c in ("doc_id", "length"))
+    tfs = pc.struct_field(each, "tf").to_numpy(zero_copy_only=False)[at]
+    heads = [pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(tfs, starts[:-1])), pa.array(np.minimum.reduceat(lengths, starts[:-1]))]
+    lists = [pa.ListArray.from_arrays(starts, pa.array(v)) for v in (ids, tfs, lengths)]
+    columns = [pa.repeat(rows["field"][0], len(n)), tokens.dictionary, pa.repeat(pa.scalar(cell), len(n)), *heads, *lists]
+    return pa.table(columns, [c.split()[0] for c in BLOCKS.split(", ")[:-1]]).to_batches()
+
+
 @dataclass
 class Segment:
     """What the manifest knows of a segment: numbers by field, of all its documents and of the deleted ones, and the tables of its deletions."""
@@ -84,9 +145,9 @@ class SegmentedIndex:
         if docs is not None:
             if order is not None:
                 docs = docs.groupBy(key).agg(F.max_by(F.struct(*[c for c in docs.columns if c != key]), order).alias("_row")).select(key, "_row.*")
-            words = field_tokens(docs.where(F.col(key).isNotNull()), list(fields), key)
-            rows = words.select(F.col("doc_id").cast("long").alias("doc_id"), "field", F.size("tokens").cast("long").alias("length"), counted(F.col("tokens")).alias("words"))
-            new = self._write(name, rows)
+            texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), *fields)
+            words = field_tokens(self._ranges(texts), list(fields))
+            new = self._write(name, words.select("doc_id", "field", F.size("tokens").cast("long").alias("length"), counted(F.col("tokens")).alias("words")))
         else:
             new = None
         keys = None
@@ -110,7 +171,7 @@ class SegmentedIndex:
         kept = [s for c in classes.values() if len(c) < least for s in c]
         made = []
         for group in (c for c in classes.values() if len(c) >= least):
-            new = self._write(f"segment-{uuid.uuid4().hex}", self.live_words(group).drop("segment"))
+            new = self._write(f"segment-{uuid.uuid4().hex}", self._ranges(self.live_words(group).drop("segment")))
             made += [new] if new.docs else []
         return self._publish([*kept, *made]) if made or len(kept) < len(self.segments) else self
 
@@ -122,21 +183,22 @@ class SegmentedIndex:
             if name not in keep and name != f"commit-{self.version}":
                 delete(self.spark, p)
 
+    def _ranges(self, rows: DataFrame) -> DataFrame:
+        """Rows in ranges of doc_id, each by doc_id."""
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+
     def _write(self, name: str, rows: DataFrame) -> Segment:
-        """A segment of ``rows`` (doc_id, field, length, words): forward first, and postings from what was written."""
+        """A segment of ``rows`` (doc_id, field, length, words) of _ranges(): forward first, each range in one slot, and postings from what was written."""
         at = f"{self.path}/{name}"
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        place = F.monotonically_increasing_id()  # the range's number in the upper bits, the row's in the lower
-        rows = rows.drop("cell").repartitionByRange(n, "field", "doc_id").sortWithinPartitions("field", "doc_id").withColumn("cell", F.shiftright(place, 33) * (1 << 33) + F.expr(f"({(1 << 33) - 1} & monotonically_increasing_id()) div {CELL}"))
-        rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(self.slots)).cast("int")).repartition("slot").write.partitionBy("slot").parquet(f"{at}/forward")
+        rows.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(self.slots))).write.partitionBy("slot").parquet(f"{at}/forward")
         found = self._table(f"{name}/forward", "slot", FORWARD)
         totals = found.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("length")).collect()  # a row for each field
-        p = found.select("doc_id", "field", "length", "cell", F.explode("words").alias("w")).select("field", "w.token", "cell", "doc_id", "w.tf", "length")
-        x = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "length")))  # a cell's documents
-        b = p.groupBy("field", "token", "cell").agg(x.alias("x"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
-        b = b.select("field", "token", "cell", F.size("x").alias("n"), "most_tf", "least_length", F.col("x.doc_id").alias("ids"), F.col("x.tf").alias("tfs"), F.col("x.length").alias("lengths"))
-        b = b.withColumn("bucket", self._bucket()).repartition(F.col("bucket"), F.pmod("cell", F.lit(8))).sortWithinPartitions("bucket", "field", "token", "cell")
-        b.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
+        most = LONG
+        b = found.select("doc_id", "field", "length", "words").mapInArrow(lambda batches: blocks_of(batches, most), BLOCKS.rpartition(",")[0])
+        b = b.withColumn("bucket", self._bucket()).sortWithinPartitions("bucket", "field", "token", "cell")
+        with setting(self.spark, "spark.sql.files.maxPartitionBytes", "16m"):  # of compressed words, so that a task sorts its blocks in memory
+            b.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
         return Segment(name, max([r["docs"] for r in totals], default=0), {r["field"]: [r["docs"], r["length"]] for r in totals})
 
     def _bucket(self) -> Column:
@@ -147,11 +209,13 @@ class SegmentedIndex:
         if not self.segments:
             return []
         name = f"marks-{uuid.uuid4().hex}"
-        hit = cut(self.live_words(self.segments).join(keys.distinct(), "doc_id", "left_semi"))
+        ids = self._live(self._forward(self.segments).select("segment", "doc_id")).distinct()
+        found = cut(ids.join(keys.distinct(), "doc_id", "left_semi").select("segment", "doc_id"))
+        hit = cut(self.live_words(self.segments).join(few(found, found.count()), ["segment", "doc_id"], "left_semi"))
         totals = hit.groupBy("segment", "field").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("length")).collect()  # a row for each segment and field
         if not totals:
             return self.segments
-        hit.select("segment", "doc_id").distinct().write.parquet(f"{self.path}/{name}/docs")
+        found.write.parquet(f"{self.path}/{name}/docs")
         minus = hit.select("segment", "field", F.explode("words.token").alias("token")).groupBy("segment", "field", "token").agg(F.count(F.lit(1)).alias("df"))
         minus.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/minus")
         out = []
@@ -188,12 +252,17 @@ class SegmentedIndex:
         """(segment, doc_id) of deleted documents, as a hint to send them to all tasks where they are few."""
         names = sorted({m for s in segments for m in s.marks})
         found = self.spark.read.schema(MARKS).parquet(*[f"{self.path}/{m}/docs" for m in names]) if names else self.spark.createDataFrame([], MARKS)
-        return bounded(found.where(F.col("segment").isin([s.name for s in segments])), sum(s.deleted for s in segments), 200_000)
+        return few(found.where(F.col("segment").isin([s.name for s in segments])), sum(s.deleted for s in segments))
 
     def live_words(self, segments: list[Segment] | None = None) -> DataFrame:
         """(doc_id, field, length, words, segment) of the documents that are not deleted."""
         segments = self.segments if segments is None else segments
-        return self._forward(segments).join(self._marks(segments), ["segment", "doc_id"], "left_anti").select("doc_id", "field", "length", "words", "segment")
+        return self._live(self._forward(segments), segments).select("doc_id", "field", "length", "words", "segment")
+
+    def _live(self, rows: DataFrame, segments: list[Segment] | None = None) -> DataFrame:
+        """Rows (segment, doc_id, ...) of documents that are not deleted; nothing is joined where no segment has a deletion."""
+        segments = self.segments if segments is None else segments
+        return rows.join(self._marks(segments), ["segment", "doc_id"], "left_anti") if any(s.marks for s in segments) else rows
 
     def stats(self) -> dict[str, int]:
         return {"version": self.version, "segments": len(self.segments), "docs": sum(s.live for s in self.segments), "deleted": sum(s.deleted for s in self.segments)}
@@ -250,7 +319,7 @@ class SegmentedIndex:
         wanted = bounded(heads.select(*on, "weight", "mean"), heads.count(), 200_000)
         rows = rows.select(*on, "ids", "tfs", "lengths").join(wanted, on)
         p = rows.select("segment", "field", "weight", "mean", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("x")).select("segment", "field", "weight", "mean", F.col("x.ids").alias("doc_id"), F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length"))
-        p = p.join(self._marks(self.segments), ["segment", "doc_id"], "left_anti")
+        p = self._live(p)
         part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
         return p.groupBy("doc_id", "field").agg(F.sum(part).alias("score"))
 

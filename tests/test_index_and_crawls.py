@@ -79,6 +79,44 @@ def test_odd_indexes(spark, tmp_path):
     assert segments.SegmentedIndex(spark, str(tmp_path / "i")).stats()["docs"] == 0
 
 
+def blocks_and_words(spark, path):
+    """A segment's blocks, and its postings by (field, token, doc_id) from the words."""
+    (at,) = [str(p) for p in path.glob("segment-*")]
+    words = {(r["field"], w["token"], r["doc_id"]): (w["tf"], r["length"]) for r in spark.read.parquet(f"{at}/forward").collect() for w in r["words"]}
+    return spark.read.parquet(f"{at}/blocks").collect(), words
+
+
+@pytest.mark.parametrize("most", [1 << 20, 500])
+def test_blocks_hold_all_postings_once(spark, tmp_path, monkeypatch, most):
+    """Cells are cut in the tasks that read the words: at 128 documents, or at their words."""
+    monkeypatch.setattr(segments, "LONG", most)
+    docs = documents(5, range(-3000, 3000, 2))
+    segments.SegmentedIndex(spark, str(tmp_path), 2, 3).commit(spark.createDataFrame(list(docs.values()), DOC), list(FIELDS))
+    blocks, words = blocks_and_words(spark, tmp_path)
+    assert len({(b["field"], b["token"], b["cell"]) for b in blocks}) == len(blocks)
+    assert all(b["n"] == len(b["ids"]) and b["most_tf"] == max(b["tfs"]) and b["least_length"] == min(b["lengths"]) and b["ids"] == sorted(b["ids"]) for b in blocks)
+    found = [(b["field"], b["token"], i, tf, n) for b in blocks for i, tf, n in zip(b["ids"], b["tfs"], b["lengths"])]
+    assert sorted(found) == sorted((*k, *v) for k, v in words.items())
+    cells = {}
+    for b in blocks:
+        cells.setdefault((b["field"], b["cell"]), {}).update(zip(b["ids"], b["lengths"]))
+    assert max(map(len, cells.values())) <= 128 and all(len(c) == 1 or sum(c.values()) <= most for c in cells.values())
+
+
+def test_words_are_written_by_as_many_tasks_as_ranges(spark, tmp_path):
+    index = segments.SegmentedIndex(spark, str(tmp_path), 1, 1).commit(spark.createDataFrame(list(documents(6, range(2000)).values()), DOC), list(FIELDS))
+    index = index.merge(into_one=True)
+    for s in tmp_path.glob("segment-*"):
+        spans = sorted((r["a"], r["b"]) for r in spark.read.parquet(f"{s}/forward").groupBy(F.input_file_name()).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect())
+        assert len(spans) == 4 and all(x[1] < y[0] for x, y in zip(spans, spans[1:])), "one slot bounds neither tasks nor files"
+
+
+def test_many_keys_are_hashed_and_not_sorted(spark, tmp_path):
+    rows = spark.range(10).select(F.lit("s").alias("segment"), F.col("id").alias("doc_id"))
+    assert "shuffle_hash" in segments.few(rows, 200_001)._jdf.queryExecution().toString().lower()
+    assert "broadcast" in segments.few(rows, 200_000)._jdf.queryExecution().toString().lower()
+
+
 # ---- typos ----
 def distance(a, b):
     """Unrestricted Damerau-Levenshtein."""
