@@ -4,7 +4,7 @@ A commit writes one segment and, for rows that it replaces or deletes, marks in
 (``forward``, by ranges of the id) and their postings in blocks (``blocks``, by bucket of the token): those of one token in one cell, a run of CELL documents by id, or fewer if they have more
 than LONG words. A block's head has its greatest frequency and its least length, which bound what it can add to a score; heads are columns of their own, so a query reads them without the postings.
 
-Texts are dealt into ranges of the id before they are split into words, so they are split once. A task inverts the words of the ranges that it reads cell by cell, and so holds those of a few cells; neither words nor postings are shuffled.
+Texts are dealt into ranges of the id before they are split into words, so they are split once. Words of a batch are counted together. A task inverts the words of the ranges that it reads by AT_ONCE bytes, many cells together, and so holds no more of them; neither words nor postings are shuffled.
 
 The blocks of a query's terms meet by cell, so the sum of their bounds bounds the scores of the cell. A query scores the cells of the greatest bounds first, and so knows a score that
 the last hit has at least. Blocks of cells whose bound stays below it are not read. Hits are the same as without pruning.
@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.search import B, K1, best_fields, counted, field_tokens, top
+from corpusloom.operators.search import B, K1, best_fields, field_tokens, top
 from corpusloom.plans.lineage import bounded, cut, delete, exists, list_paths, read_text, setting, write_text
 
-CELL, LONG = 128, 1 << 20
+CELL, LONG, AT_ONCE = 128, 1 << 20, 32 << 20
 WORDS = "array<struct<token:string,tf:bigint>>"
 FORWARD = f"doc_id long, field string, length long, words {WORDS}, slot int"
 BLOCKS = "field string, token string, cell long, n int, most_tf long, least_length long, ids array<bigint>, tfs array<bigint>, lengths array<bigint>, bucket int"
@@ -42,53 +42,88 @@ def few(rows: DataFrame, n: int) -> DataFrame:
     return bounded(rows, n, 200_000) if n <= 200_000 else rows.hint("shuffle_hash")
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of a task's rows (doc_id, field, length, words); a cell is a run of rows of one field as they come, with ``most`` words if they are several. Cells of differing tasks have differing numbers."""
-    number, waiting = TaskContext.get().partitionId() << 33, {}
-
-    def cells(rows: pa.Table, last: bool) -> Iterator[pa.Table]:
-        """Full cells, and with ``last`` the rest; the rest is left waiting."""
-        at, words = 0, 0
-        for i, n in enumerate(rows["length"].to_pylist()):
-            if i > at and (i - at == CELL or words + n > most):
-                yield rows.slice(at, i - at)
-                at, words = i, 0
-            words += n
-        waiting[rows["field"][0].as_py()] = rows.slice(at)
-        if last:
-            yield rows.slice(at)
+def ranks(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words in order, and the place there of each word."""
+    found = words.dictionary_encode()
+    order = pc.sort_indices(found.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return found.dictionary.take(order), rank[found.indices.to_numpy(zero_copy_only=False)]
+
 
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, field, length, words) of rows (doc_id, field, tokens): what search.counted() gives, for all rows of a batch at once."""
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        for f in pc.unique(rows["field"]).to_pylist():
+        sizes = pc.list_value_length(batch["tokens"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens, codes = ranks(batch["tokens"].flatten())
+        n = max(1, len(tokens))
+        found, tfs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + codes, return_counts=True)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(found // n, minlength=len(sizes)))]).astype(np.int32)
+        words = pa.StructArray.from_arrays([tokens.take(pa.array(found % n)), pa.array(tfs.astype(np.int64))], ["token", "tf"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["field"], pa.array(sizes), pa.ListArray.from_arrays(ends, words)], ["doc_id", "field", "length", "words"])
+
+
+def cell_ends(lengths: list[int], most: int, last: bool) -> list[int]:
+    """Where the full cells of a field's rows end, and with ``last`` that of the rest, too."""
+    ends, at, words = [], 0, 0
+    for i, n in enumerate(lengths):
+        if i > at and (i - at == CELL or words + n > most):
+            ends.append(i)
+            at, words = i, 0
+        words += n
+    return [*ends, len(lengths)] if last and at < len(lengths) else ends
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's rows (doc_id, field, length, words); a cell is a run of rows of one field as they come, with ``most`` words if they are several. Cells of differing tasks have differing numbers.
+
+    Blocks come by field, token and cell for every AT_ONCE bytes of words; rows that fill no cell wait for the next ones.
+    """
+    number, waiting, size = TaskContext.get().partitionId() << 33, [], 0
+
+    def full(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal number, waiting
+        rows, waiting = pa.concat_tables(waiting), []
+        for f in sorted(pc.unique(rows["field"]).to_pylist()):
             own = rows.filter(pc.equal(rows["field"], f))
-            for cell in cells(pa.concat_tables([waiting.pop(f), own]) if f in waiting else own, False):
-                yield from inverted(cell, number)
-                number += 1
-    for rows in list(waiting.values()):
-        for cell in cells(rows, True):
-            yield from inverted(cell, number)
-            number += 1
-
-
-def inverted(rows: pa.Table, cell: int) -> list[pa.RecordBatch]:
-    """Blocks of a cell's rows, one for each token; postings by id."""
-    rows = rows.sort_by("doc_id")
+            ends = cell_ends(own["length"].to_pylist(), most, last)
+            end = ends[-1] if ends else 0
+            waiting += [own.slice(end)] if end < len(own) else []
+            if ends:
+                yield from inverted(own.slice(0, end), ends, number)
+                number += len(ends)
+
+    for batch in batches:
+        waiting.append(pa.Table.from_batches([batch]))
+        size += batch.nbytes
+        if size >= AT_ONCE:
+            yield from full(False)
+            size = 0
+    if waiting:
+        yield from full(True)
+
+
+def inverted(rows: pa.Table, ends: list[int], first: int) -> list[pa.RecordBatch]:
+    """Blocks of the cells of one field's rows, which end at ``ends`` and are numbered from ``first``: one for each token and cell, in this order; postings by id."""
     words = rows["words"].combine_chunks()
     each, sizes = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    tokens = pc.struct_field(each, "token").dictionary_encode()
-    codes = tokens.indices.to_numpy(zero_copy_only=False)
-    if not len(codes):
+    if not len(each):
         return []
-    at = np.argsort(codes, kind="stable")  # by token, and of one token by id
-    n = np.bincount(codes)
-    starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-    ids, lengths = (np.repeat(rows[c].to_numpy(), sizes)[at] for c in ("doc_id", "length"))
-    tfs = pc.struct_field(each, "tf").to_numpy(zero_copy_only=False)[at]
-    heads = [pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(tfs, starts[:-1])), pa.array(np.minimum.reduceat(lengths, starts[:-1]))]
-    lists = [pa.ListArray.from_arrays(starts, pa.array(v)) for v in (ids, tfs, lengths)]
-    columns = [pa.repeat(rows["field"][0], len(n)), tokens.dictionary, pa.repeat(pa.scalar(cell), len(n)), *heads, *lists]
-    return pa.table(columns, [c.split()[0] for c in BLOCKS.split(", ")[:-1]]).to_batches()
+    ids, lengths, cell = rows["doc_id"].to_numpy(), rows["length"].to_numpy(), np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+    place = np.empty(len(ids), np.int64)
+    place[np.lexsort((ids, cell))] = np.arange(len(ids))
+    tokens, codes = ranks(pc.struct_field(each, "token"))
+    row = np.repeat(np.arange(len(ids)), sizes)
+    at = np.argsort(codes * len(ids) + place[row])  # by token, cell and id
+    codes, row = codes[at], row[at]
+    of = cell[row]
+    starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])]))
+    bounds = np.append(starts, len(at)).astype(np.int32)
+    tfs, ids, lengths = pc.struct_field(each, "tf").to_numpy(zero_copy_only=False)[at], ids[row], lengths[row]
+    heads = [pa.array(np.diff(bounds)), pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(lengths, starts))]
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (ids, tfs, lengths)]
+    columns = [pa.repeat(rows["field"][0], len(starts)), tokens.take(pa.array(codes[starts])), pa.array(first + of[starts]), *heads, *lists]
+    return pa.table(columns, [c.split()[0] for c in BLOCKS.split(", ")[:-1]]).to_batches(1 << 16)
 
 
 @dataclass
@@ -147,7 +182,7 @@ class SegmentedIndex:
                 docs = docs.groupBy(key).agg(F.max_by(F.struct(*[c for c in docs.columns if c != key]), order).alias("_row")).select(key, "_row.*")
             texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), *fields)
             words = field_tokens(self._ranges(texts), list(fields))
-            new = self._write(name, words.select("doc_id", "field", F.size("tokens").cast("long").alias("length"), counted(F.col("tokens")).alias("words")))
+            new = self._write(name, words.mapInArrow(counted_words, FORWARD.rpartition(",")[0]))
         else:
             new = None
         keys = None
@@ -196,7 +231,7 @@ class SegmentedIndex:
         totals = found.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("length")).collect()  # a row for each field
         most = LONG
         b = found.select("doc_id", "field", "length", "words").mapInArrow(lambda batches: blocks_of(batches, most), BLOCKS.rpartition(",")[0])
-        b = b.withColumn("bucket", self._bucket()).sortWithinPartitions("bucket", "field", "token", "cell")
+        b = b.withColumn("bucket", self._bucket()).sortWithinPartitions("bucket")  # which leaves blocks of a bucket in their order
         with setting(self.spark, "spark.sql.files.maxPartitionBytes", "16m"):  # of compressed words, so that a task sorts its blocks in memory
             b.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
         return Segment(name, max([r["docs"] for r in totals], default=0), {r["field"]: [r["docs"], r["length"]] for r in totals})
