@@ -23,8 +23,10 @@ def sizes_and_heads(spark, rows, at_once):
     """Rows of each batch of blocks, and their (field, token, cell) as they come, of one task."""
 
     def run(batches):
-        segments.AT_ONCE = at_once
-        for b in segments.blocks_of(batches, 1 << 20):
+        before, segments.AT_ONCE = segments.AT_ONCE, at_once  # of a worker, which other tests use, too
+        blocks = list(segments.blocks_of(batches, 1 << 20))
+        segments.AT_ONCE = before
+        for b in blocks:
             yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "heads": [[f"{f} {t} {c:05}" for f, t, c in zip(*(b[k].to_pylist() for k in ("field", "token", "cell")))]]})
 
     found = rows.coalesce(1).mapInArrow(run, "rows long, heads array<string>").collect()
