@@ -124,6 +124,38 @@ def hinted(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 16 << 20)
     return F.broadcast(df) if (size or 0) <= most_bytes else df
 
 
+def sifted(rows: DataFrame, key: str, ids: DataFrame, how: str, most: int = 16_384) -> DataFrame:
+    """``rows`` whose ``key`` (long) may be among the ``ids`` (one column; left_semi) or is surely not (left_anti), without shuffling rows.
+
+    A bit for each of as many values of the key's hash as 16 times the ids, in bitmaps of 4 KB, ``most`` of them, is sent to all tasks; about one key in 16 that
+    isn't among the ids finds its bit set, more beyond ``most``.
+    """
+    many = min(most, ids.count() // 2048 + 1)
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(many * 32_768))
+    low, at, bits = free_name("low", rows), free_name("at", rows), free_name("bits", rows)
+    place = bit(F.col(f"`{ids.columns[0]}`"))
+    maps = ids.select(F.floor(place / 32_768).cast("int").alias(at), (place % 32_768).alias(low)).groupBy(at).agg(F.bitmap_construct_agg(low).alias(bits))
+    place = bit(F.col(f"`{key}`"))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place % 32_768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(maps), (F.floor(place / 32_768).cast("int") == F.col(at)) & is_set, how)
+
+
+def joined(rows: DataFrame, key: str, by: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner, left_semi or left_anti) on ``key`` (long) with ``by``, a cut whose first column is the key's counterpart; no row with a null key has one.
+
+    A ``by`` that is too large to broadcast moves only those rows that its bitmaps don't rule out; texts of all others stay where they are.
+    """
+    first = by.columns[0]
+    on = key if key == first else F.col(f"`{key}`") == F.col(f"`{first}`")
+    sent = hinted(by)
+    if sent is not by:
+        return rows.join(sent, on, how)
+    ids = by.select(F.col(f"`{first}`"))
+    near = sifted(rows, key, ids, "left_semi").join(by.hint("shuffle_hash"), on, how)
+    return sifted(rows, key, ids, "left_anti").union(near) if how == "left_anti" else near
+
+
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the symmetric boolean matrix ``links``: fewer than its rows, whatever the number of links."""
     left, out = links.any(1), []

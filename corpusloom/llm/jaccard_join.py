@@ -2,8 +2,9 @@
 
 Light sets (small) enumerate all their subsets of the fixed sizes that a similar partner must share and meet in equal
 subsets. Heavy sets (large) cut the hash space into more ranges than a similar partner can differ in and meet in an
-equal range; shingles that many documents share are left out of it. The boundary is the size up to which enumeration costs less than the ranges. Sets that meet,
-directly or by others, form a block. In a large block all sets are compared with one pivot first: those linked to it need not be compared with one
+equal range; shingles that many documents share are left out of it. The boundary is the size up to which enumeration costs less than the ranges. Of the sets
+that meet, those stay together whose sketches (a bit or two for each shingle) don't rule out that they are similar; they, directly or by others, form
+a block, so sets that share a passage don't chain a growing corpus into one. In a large block all sets are compared with one pivot first: those linked to it need not be compared with one
 another. Then the inverted lists of all shingles are scanned, in tiles of bounded size, and exact overlaps decide. A tile returns a spanning
 forest of its links, never all pairs.
 """
@@ -20,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, components, forest, free_name, hinted, mix, release, shingles, tidy
-from corpusloom.plans.lineage import cut
+from corpusloom.llm.common import WordHashes, components, forest, free_name, hinted, joined, mix, release, shingles, sifted, tidy
+from corpusloom.plans.lineage import cut, setting
 
 
 def needed(r: int, s: int, num: int, den: int) -> int:
@@ -123,6 +124,32 @@ def set_key(h: np.ndarray) -> int:
     return int(mix(np.array([mix(h).sum(dtype=np.uint64) + np.uint64(len(h))])).view(np.int64)[0])
 
 
+def sketch(h: np.ndarray, most: int = 1 << 16) -> bytes:
+    """For each value of the hashes' last bits, whether a set has an odd number of elements with it: a power of two of bits, as many as elements if ``most`` allows.
+
+    Bits in which the sketches of two sets differ are never more than the elements in which the sets do.
+    """
+    bits = min(most, max(64, 1 << (len(h) - 1).bit_length()))
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the other's length."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
+
+
+def may_be_similar(r: int, a: bytes, s: int, b: bytes, num: int, den: int) -> bool:
+    """False only if sets of sizes r and s with sketches a and b have a Jaccard similarity below num / den."""
+    return den * min(r, s) >= num * max(r, s) and (num + den) * differing(a, b) <= (den - num) * (r + s)
+
+
 def signature_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
     """(signature, node), a node for each distinct set; copies within a partition give their rows once."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
@@ -145,7 +172,7 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarr
 
 
 def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
-    """One pass over all texts: (doc_id, n_shingles, node) of every document, node null for an empty set, and (token, n) of shingles
+    """One pass over all texts: (doc_id, n_shingles, node, sketch) of every document, node and sketch null for an empty set, and (token, n) of shingles
     that ``n`` > 1 different sets of a run of about ``most`` shingles hold (lossy counting)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,13 +182,14 @@ def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
             token, times = np.unique(np.concatenate(kept), return_counts=True)
             token, times = token[times > 1], times[times > 1]
             none = pd.array([None] * len(token), "Int64")
-            return pd.DataFrame({"doc_id": none, "n_shingles": none, "node": none, "token": token.view(np.int64), "n": times})
+            return pd.DataFrame({"doc_id": none, "n_shingles": none, "node": none, "sketch": None, "token": token.view(np.int64), "n": times})
 
         for b in batches:
             sets = [shingles(hashes.of(text), n) for text in b["text"]]
             keys = [set_key(h) if len(h) else None for h in sets]
             none = pd.array([None] * len(sets), "Int64")
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(h) for h in sets], "node": pd.array(keys, "Int64"), "token": none, "n": none})
+            sketches = pd.Series([sketch(h) if len(h) else None for h in sets], dtype=object)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").array, "n_shingles": [len(h) for h in sets], "node": pd.array(keys, "Int64"), "sketch": sketches, "token": none, "n": none})
             for k, h in zip(keys, sets):
                 if k is not None and k not in seen:
                     seen.add(k)
@@ -174,7 +202,7 @@ def profile(docs: DataFrame, n: int, most: int = 2_500_000) -> DataFrame:
         if kept:
             yield counted()
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n_shingles long, node long, token long, n long")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n_shingles long, node long, sketch binary, token long, n long")
 
 
 def common_shingles(counts: DataFrame, at_least: int = 16, most: int = 1_000_000) -> np.ndarray:
@@ -183,6 +211,41 @@ def common_shingles(counts: DataFrame, at_least: int = 16, most: int = 1_000_000
     return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
+def compared(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v, ok) of ``pairs`` (u, v) of nodes: whether they may be similar by ``sketches`` (node, size, sketch)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [may_be_similar(*x, num, den) for x in zip(b["u_size"], b["u_sketch"], b["v_size"], b["v_sketch"])]
+            yield pd.DataFrame({"u": b["u"], "v": b["v"], "ok": np.array(ok, bool)})
+
+    sketches = hinted(sketches)
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(tidy(run), "u long, v long, ok boolean")
+
+
+def plausible_edges(met: DataFrame, named: DataFrame, num: int, den: int, most: int = 32) -> DataFrame:
+    """(src, dst) that connect all nodes that share a signature and may be similar. ``met`` (cut): (signature, node, first), first the least node that has the signature.
+
+    Nodes are compared with the first of their signature. One that can't be similar to it is compared with the others that have the signature; if more
+    than ``most`` have it, it stays with the first uncompared, so that pairs are never more than ``most`` times the rows: that makes a block larger, and loses nothing.
+    """
+    star = cut(met.select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
+    nodes = cut(star.select(F.col("u").alias("node")).union(star.select("v")).distinct())
+    sketches = named.join(hinted(nodes), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    sketches = cut(sketches)
+    star = cut(compared(star, sketches, num, den))
+    other = hinted(cut(star.where("not ok").select("u", "v")))
+    apart = met.join(other, (met["node"] == other["u"]) & (met["first"] == other["v"]), "left").select("signature", "node", "first", F.col("u").isNotNull().alias("apart"))
+    of = Window.partitionBy("signature")
+    apart = cut(apart.withColumns({"n": F.count(F.lit(1)).over(of), "mixed": F.max("apart").over(of)}).where("mixed"))
+    few = apart.where(F.col("n") <= most).groupBy("signature").agg(F.collect_list("node").alias("nodes"), F.collect_list(F.when(F.col("apart"), F.col("node"))).alias("rest"))
+    pairs = few.select(F.explode("rest").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a <> b")
+    pairs = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    more = apart.where((F.col("n") > most) & F.col("apart")).select("node", "first")
+    return star.where("ok").select("u", "v").union(compared(pairs, sketches, num, den).where("ok").select("u", "v")).union(more).toDF("src", "dst")
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of ``left`` with ``right``, by scanning the inverted lists of the elements in blocks."""
     sets, n = [*left, *right], len(left)
@@ -226,7 +289,7 @@ def pivot_links(large: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
     of_pivots = texts.withColumnRenamed("rep", "pivot").join(hinted(pivots), "pivot").mapInPandas(tidy(sets), "block long, pivot long, raw binary")
     of_pivots = cut(of_pivots.groupBy("block").agg(F.first("pivot").alias("pivot"), F.first("raw").alias("raw")))
-    members = texts.join(hinted(cut(large.select("rep", "block"))), "rep").join(hinted(of_pivots), "block")
+    members = joined(texts, "rep", cut(large.select("rep", "block"))).join(hinted(of_pivots), "block")
     return members.mapInPandas(tidy(compare), "rep long, block long, pivot long").distinct()
 
 
@@ -275,7 +338,7 @@ def tile_links(blocks: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
         return pd.DataFrame({"src": [rep[a] for a, _ in edges], "dst": [rep[b] for _, b in edges]}, dtype="int64")
 
     # without a doc_id that is unique, any of its rows would do for another: the set decides
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(hinted(blocks.where("not linked or q > 0")), "rep")
+    texts = joined(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", blocks.where("not linked or q > 0"))
     dealt = texts.mapInPandas(tidy(deal), "block long, i int, j int, second boolean, rep long, raw binary")
     return dealt.groupBy("block", "i", "j").applyInPandas(link, "src long, dst long")
 
@@ -290,11 +353,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     """
     seen = cut(profile(docs, n))
     named = seen.where("token is null").select("doc_id", "n_shingles", "node")
-    signed = signature_rows(docs, n, num, den, common_shingles(seen.where("token is not null")))
-    first = F.first("node").over(Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = signed.select("node", first.alias("first")).where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
-    block = cut(components(met))
     reps = cut(named.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")))
+    once = joined(docs, "doc_id", reps.select(F.col("rep").alias("doc_id"))) if 4 * reps.count() < 3 * named.count() else docs
+    signed = signature_rows(once, n, num, den, common_shingles(seen.where("token is not null")))
+    first = F.first("node").over(Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    with setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # the signatures are the most that is shuffled
+        met = cut(signed.select("signature", "node", first.alias("first")).where("node <> first").distinct())
+    block = cut(components(plausible_edges(met, seen.where("node is not null"), num, den)))
     placed = cut(reps.join(hinted(block), "node").select("rep", "size", "copies", F.col("component").alias("block")))
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / most_rows), F.ceil(F.sum("size") / most_shingles)).cast("int")
     large = hinted(cut(placed.groupBy("block").agg(chunks.alias("q")).where("q > 1").select("block")))
@@ -317,5 +382,9 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     Rows that repeat a doc_id are one document and stay together.
     """
     one = free_name("one", docs)
-    gone = cut(jaccard_components(docs, n, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(one)).distinct())
-    return docs.join(hinted(gone), F.col("doc_id") == F.col(one), "left_anti")
+    ids = jaccard_components(docs, n, num, den).where("doc_id is not null")
+    groups = cut(ids.groupBy(F.col("doc_id").alias(one)).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone")))
+    gone, kept = (cut(groups.where(x).select(one)) for x in ("gone", "not gone"))
+    if gone.count() > kept.count():
+        return joined(docs, "doc_id", kept, "left_semi").union(docs.where("doc_id is null"))
+    return joined(docs, "doc_id", gone, "left_anti")
